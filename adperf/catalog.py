@@ -10,14 +10,19 @@ left out of checked outputs or pinned to data columns.
 from __future__ import annotations
 
 import datetime as dt
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from adperf import schemas as S
-from adperf.operators import dedup, rollup, validate
-from adperf.sources import tables
+from adperf.operators import budget, campaigns, dedup, insights, quality, rollup, validate
+from adperf.plans import fetch
+from adperf.sources import events as ev
+from adperf.sources import payloads, storage, tables
+from adperf.streaming import ingest
 
 # Parameters of the registered queries (fixed so the oracle can repeat them).
 FILTER_START = dt.date(2024, 1, 8)
@@ -112,6 +117,252 @@ def q_insights_monthly(spark, sf_dir):
     return rollup.regroup_insights(daily, "monthly").select(*INSIGHT_OUT)
 
 
+# ---- F1 F2 O1 J1 -------------------------------------------------------------------------
+
+def _daily(spark, sf_dir):
+    return rollup.daily_insights(accepted_events(spark, sf_dir))
+
+
+def q_insights_filtered(spark, sf_dir):
+    return insights.query_insights(_daily(spark, sf_dir), start=FILTER_START, end=FILTER_END,
+                                   platform=FILTER_PLATFORM, region=FILTER_REGION
+                                   ).select(*INSIGHT_OUT)
+
+
+def q_insights_default_range(spark, sf_dir):
+    return insights.query_insights(_daily(spark, sf_dir), as_of=INSIGHTS_AS_OF
+                                   ).select(*INSIGHT_OUT)
+
+
+def q_insights_for_owner(spark, sf_dir):
+    owners = tables.ad_owners(spark, sf_dir)
+    return insights.insights_for_users(_daily(spark, sf_dir), owners,
+                                       owners.select("user_id")).select(*INSIGHT_OUT, "user_id")
+
+
+# ---- A8 A9 -------------------------------------------------------------------------------
+
+def q_reaggregate_range(spark, sf_dir):
+    """A stale table (loaded up to a cut inside a day) re-aggregated over whole days."""
+    facts = accepted_events(spark, sf_dir)
+    current = rollup.daily_insights(facts.filter(F.col("event_time") < _ts(STALE_CUT)))
+    return rollup.reaggregate(current, facts, REAGG_START, REAGG_END).select(*INSIGHT_OUT)
+
+
+def increment_batches(facts: DataFrame) -> list[DataFrame]:
+    """Arrival batches: by event time, with purchases reported one batch late."""
+    c1, c2 = _ts(INCREMENT_CUTS[0]), _ts(INCREMENT_CUTS[1])
+    t, late = F.col("event_time"), F.col("event_type") == "purchase"
+    return [facts.filter((t < c1) & ~late),
+            facts.filter(((t >= c1) & (t < c2) & ~late) | ((t < c1) & late)),
+            facts.filter((t >= c2) | ((t >= c1) & (t < c2) & late))]
+
+
+def q_rollup_incremental(spark, sf_dir):
+    """Three arrival batches applied one after the other; equals the full roll-up."""
+    facts = accepted_events(spark, sf_dir)
+    current = spark.createDataFrame([], rollup.daily_insights(facts).schema)
+    seen = None
+    for batch in increment_batches(facts):
+        seen = batch if seen is None else seen.unionByName(batch)
+        current = rollup.apply_increment(current, batch, seen)
+    return current.select(*INSIGHT_OUT)
+
+
+# ---- F3 F4 U1-U3 J3 ----------------------------------------------------------------------
+
+CAMPAIGN_OUT = ("id", "user_id", "platform", "budget", "start_date", "end_date", "status",
+                "created_at")
+
+
+def _campaign_out(df: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    return df.select(*[F.col(c).cast("double").alias(c) if c == "budget" else F.col(c)
+                       for c in CAMPAIGN_OUT + extra])
+
+
+def q_campaign_list(spark, sf_dir):
+    return _campaign_out(campaigns.list_campaigns(tables.ad_campaigns(spark, sf_dir),
+                                                  platform="google", status="O"))
+
+
+def q_campaign_get(spark, sf_dir):
+    requests = tables.spend_increments(spark, sf_dir).select(F.col("campaign_id").alias("id"))
+    found = campaigns.lookup_campaigns(tables.ad_campaigns(spark, sf_dir), requests)
+    return _campaign_out(found, ("found",))
+
+
+def campaign_changes(spark, sf_dir) -> DataFrame:
+    """Change feed from lineitem: new status, budget and flight per campaign, stamped with
+    the ship date; the line number breaks ties."""
+    li = tables.table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.col("l_orderkey").alias("id"),
+        F.col("l_shipdate").alias("updated_at"),
+        F.col("l_linenumber").alias("seq"),
+        tables.platform_of(F.col("l_orderkey")).alias("platform"),
+        F.col("l_extendedprice").cast(S.BUDGET).alias("budget"),
+        F.col("l_shipdate").alias("start_date"),
+        (F.col("l_shipdate") + F.expr("INTERVAL 90 DAYS")).alias("end_date"),
+        F.col("l_linestatus").alias("status"))
+
+
+def q_campaign_upsert(spark, sf_dir):
+    target = tables.ad_campaigns(spark, sf_dir).withColumn("updated_at", F.col("created_at"))
+    updated, _ = campaigns.apply_updates(target, campaign_changes(spark, sf_dir),
+                                         changed_at="updated_at", tie="seq")
+    return _campaign_out(updated, ("updated_at",))
+
+
+def _snapshot(spark, sf_dir) -> DataFrame:
+    cs = tables.ad_campaigns(spark, sf_dir)
+    return cs.filter(F.col("created_at") < _ts(SNAPSHOT_CUT))
+
+
+def q_campaign_insert_absent(spark, sf_dir):
+    """U1 + U3: the full campaign feed inserted into a snapshot taken at a cut date;
+    ``outcome`` is ``inserted`` or the conflict reason."""
+    _, inserted, conflicts = campaigns.insert_if_absent(
+        _snapshot(spark, sf_dir), tables.ad_campaigns(spark, sf_dir))
+    return (_campaign_out(inserted).withColumn("outcome", F.lit("inserted"))
+            .unionByName(_campaign_out(conflicts, ("reason",))
+                         .withColumnRenamed("reason", "outcome")))
+
+
+def q_campaign_orphans(spark, sf_dir):
+    """Spend increments of campaigns missing from the snapshot."""
+    return campaigns.orphans(tables.spend_increments(spark, sf_dir), _snapshot(spark, sf_dir)) \
+        .select("campaign_id", F.col("spend").cast("double").alias("spend"))
+
+
+# ---- A10 U4 J2 ---------------------------------------------------------------------------
+
+def q_spend_totals(spark, sf_dir):
+    valid, _ = budget.split_increments(tables.spend_increments(spark, sf_dir))
+    return budget.spend_totals(valid).select("campaign_id",
+                                             F.col("spend").cast("double").alias("spend"))
+
+
+def q_budget_status(spark, sf_dir):
+    valid, _ = budget.split_increments(tables.spend_increments(spark, sf_dir))
+    budgets = tables.ad_campaigns(spark, sf_dir).select("id", "budget")
+    return budget.budget_status(budgets, budget.spend_totals(valid))
+
+
+def q_spend_rejects(spark, sf_dir):
+    """U4 + J3: invalid amounts and increments for unknown campaigns."""
+    inc = tables.spend_increments(spark, sf_dir)
+    valid, bad = budget.split_increments(inc)
+    unknown = campaigns.orphans(valid, tables.ad_campaigns(spark, sf_dir)) \
+        .withColumn("reason", F.lit("campaign not found"))
+    return bad.unionByName(unknown).select(
+        "campaign_id", F.col("spend").cast("double").alias("spend"), "reason")
+
+
+# ---- C1-C4 -------------------------------------------------------------------------------
+
+def q_audit_unique(spark, sf_dir):
+    return quality.duplicate_keys(tables.table(spark, sf_dir, "lineitem"),
+                                  ["l_orderkey", "l_linenumber"])
+
+
+def q_audit_fk(spark, sf_dir):
+    t = lambda n: tables.table(spark, sf_dir, n)
+    return quality.reference_summary({
+        "orders.o_custkey->customer": (t("orders"), "o_custkey", t("customer"), "c_custkey"),
+        "lineitem.l_orderkey->orders": (t("lineitem"), "l_orderkey", t("orders"), "o_orderkey"),
+        "events.user_id->customer": (t("events"), "user_id", t("customer"), "c_custkey"),
+        "customer.c_nationkey->nation": (t("customer"), "c_nationkey", t("nation"),
+                                         "n_nationkey"),
+    })
+
+
+def q_audit_nulls(spark, sf_dir):
+    return quality.null_counts(tables.ad_campaigns(spark, sf_dir))
+
+
+def q_audit_domain(spark, sf_dir):
+    """C4 on the campaign source (budget before its decimal cast) and on raw events."""
+    orders = tables.table(spark, sf_dir, "orders")
+    cs = orders.select(F.col("o_orderkey").alias("id"),
+                       tables.platform_of(F.col("o_orderkey")).alias("platform"),
+                       F.col("o_totalprice").alias("budget"),
+                       F.col("o_orderdate").alias("start_date"),
+                       (F.col("o_orderdate") + F.expr("INTERVAL 90 DAYS")).alias("end_date"),
+                       F.col("o_orderstatus").alias("status"))
+    camp = quality.domain_checks(
+        {f"campaigns.{k}": v for k, v in quality.campaign_domain_checks().items()}, cs)
+    evs = quality.domain_checks(
+        {f"events.{k}": v for k, v in quality.event_domain_checks().items()},
+        tables.ad_events_raw(spark, sf_dir))
+    return camp.unionByName(evs)
+
+
+# ---- T5 ----------------------------------------------------------------------------------
+
+def q_fetch_plan(spark, sf_dir):
+    return fetch.fetch_plan(tables.ad_campaigns(spark, sf_dir), FETCH_AS_OF)
+
+
+def q_missing_days(spark, sf_dir):
+    facts = accepted_events(spark, sf_dir)
+    started = facts.groupBy("campaign_id", "platform").agg(
+        F.min("event_time").alias("start_date")).withColumnRenamed("campaign_id", "id")
+    plan = fetch.fetch_plan(started, EVENTS_AS_OF)
+    return fetch.missing_days(plan, rollup.daily_insights(facts))
+
+
+# ---- S1 S2 P1 P8-P11 J4 ------------------------------------------------------------------
+
+def q_event_json_roundtrip(spark, sf_dir):
+    """S2 then P1: every raw event encoded as a keyed JSON message and decoded strictly."""
+    raw = tables.with_driver_event_fields(tables.ad_events_raw(spark, sf_dir))
+    wire = ev.encode_events(raw)
+    decoded = ev.decoded_ok(ev.decode_events(wire, S.event_schema(T.LongType())))
+    return _event_out(decoded)
+
+
+def campaign_external_ids(spark, sf_dir) -> DataFrame:
+    """Event campaigns with their platform and external id (``ext-<id>``)."""
+    owners = tables.ad_owners(spark, sf_dir)
+    return owners.select(F.col("campaign_id").alias("id"),
+                         tables.platform_of(F.col("campaign_id")).alias("platform"),
+                         F.concat(F.lit("ext-"), F.col("campaign_id").cast("string"))
+                         .alias("external_id"))
+
+
+def q_payload_flatten(spark, sf_dir):
+    """P8-P11 + J4: daily stats packed as platform payload pages (JSON text), parsed with the
+    payload schema, flattened, and routed back to internal campaign ids."""
+    dim = campaign_external_ids(spark, sf_dir)
+    daily = _daily(spark, sf_dir).join(
+        dim.select(F.col("id").alias("campaign_id"), "external_id"), "campaign_id")
+    pages = payloads.pack_payloads(daily)
+    wire = pages.select("platform", "external_id",
+                        F.to_json(F.struct("data", "paging")).alias("body"))
+    parsed = wire.select("platform", "external_id",
+                         F.from_json("body", S.PAYLOAD_SCHEMA).alias("p")) \
+                 .select("platform", "external_id", "p.*")
+    routed, _ = payloads.route_to_campaigns(payloads.flatten_payloads(parsed), dim)
+    return routed.select(*[F.col(c).cast("double").alias(c) if c in S.AMOUNTS else F.col(c)
+                           for c in EVENT_OUT if c != "id"])
+
+
+def q_stream_ingest(spark, sf_dir):
+    """The events table as a file stream through decode-free ingest, TTL dedup
+    on the per-event key, fact storage and incremental insights; returns the stored
+    insight table."""
+    schema = tables.table(spark, sf_dir, "events").schema
+    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+              .parquet(sf_dir))
+    raw = tables.with_driver_event_fields(tables.ad_events_raw(spark, sf_dir, events=stream),
+                                          ("platform", "id"))
+    prepared = ingest.prepare(raw, now=F.col("received_at"), processed_at=F.col("processed_at"))
+    root = ingest.scratch_root(spark, "stream-ingest")
+    query = ingest.start(prepared, root, os.path.join(root, "_checkpoint"))
+    query.awaitTermination()
+    return storage.read_insights(spark, root).select(*INSIGHT_OUT)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "validate_accept": q_validate_accept,
     "validate_rejects": q_validate_rejects,
@@ -121,4 +372,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "insights_daily": q_insights_daily,
     "insights_weekly": q_insights_weekly,
     "insights_monthly": q_insights_monthly,
+    "insights_filtered": q_insights_filtered,
+    "insights_default_range": q_insights_default_range,
+    "insights_for_owner": q_insights_for_owner,
+    "reaggregate_range": q_reaggregate_range,
+    "rollup_incremental": q_rollup_incremental,
+    "campaign_list": q_campaign_list,
+    "campaign_get": q_campaign_get,
+    "campaign_upsert": q_campaign_upsert,
+    "campaign_insert_absent": q_campaign_insert_absent,
+    "campaign_orphans": q_campaign_orphans,
+    "budget_status": q_budget_status,
+    "spend_totals": q_spend_totals,
+    "spend_rejects": q_spend_rejects,
+    "audit_unique": q_audit_unique,
+    "audit_fk": q_audit_fk,
+    "audit_nulls": q_audit_nulls,
+    "audit_domain": q_audit_domain,
+    "fetch_plan": q_fetch_plan,
+    "missing_days": q_missing_days,
+    "event_json_roundtrip": q_event_json_roundtrip,
+    "payload_flatten": q_payload_flatten,
+    "stream_ingest": q_stream_ingest,
 }

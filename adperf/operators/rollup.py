@@ -69,18 +69,21 @@ def touched_days(new_facts: DataFrame) -> DataFrame:
     return new_facts.select("campaign_id", F.to_date("event_time").alias("date")).distinct()
 
 
-def apply_increment(current: DataFrame, new_facts: DataFrame, all_facts: DataFrame,
+def apply_increment(current: DataFrame | None, new_facts: DataFrame, all_facts: DataFrame,
                     updated_at: Column | None = None) -> DataFrame:
     """New insight table after a batch of facts.
 
     Days the batch touches are recomputed from *all* facts (so a replayed batch cannot double
     count); every other row of ``current`` is kept. ``all_facts`` should already include the
-    batch. Callers that store by month pass facts pruned to the touched months.
+    batch. Callers that store by month pass facts pruned to the touched months. ``current``
+    None means there is no table yet.
     """
     touched = touched_days(new_facts)
     affected = (all_facts.withColumn("date", F.to_date("event_time"))
                 .join(touched, ["campaign_id", "date"], "left_semi").drop("date"))
     recomputed = daily_insights(affected, updated_at)
+    if current is None:
+        return recomputed
     kept = current.join(touched, ["campaign_id", "date"], "left_anti")
     return kept.unionByName(recomputed.select(*kept.columns))
 

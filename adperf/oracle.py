@@ -135,3 +135,202 @@ SQL["insights_monthly"] = _with(RAW, _valid(), _rollup("valid", MONTH, "monthly"
     f"SELECT {INSIGHT_COLS} FROM monthly"
 # Latest version wins; the full recompute is newer than the stale load for every key.
 SQL["insights_latest"] = SQL["insights_daily"]
+
+SQL["insights_filtered"] = _with(RAW, _valid(), _rollup("valid", DAY, "daily")) + f"""
+SELECT {INSIGHT_COLS} FROM daily
+WHERE date >= DATE '2024-01-08' AND date <= DATE '2024-01-21'
+  AND platform = 'google' AND region = 'AMERICA'"""
+
+SQL["insights_default_range"] = _with(RAW, _valid(), _rollup("valid", DAY, "daily")) + f"""
+SELECT {INSIGHT_COLS} FROM daily
+WHERE date >= DATE '2024-01-25' - INTERVAL 30 DAY AND date <= DATE '2024-01-25'"""
+
+SQL["insights_for_owner"] = _with(RAW, _valid(), _rollup("valid", DAY, "daily")) + f"""
+SELECT {INSIGHT_COLS}, o.user_id FROM daily
+JOIN (SELECT c_custkey AS campaign_id, CAST(c_nationkey AS BIGINT) AS user_id FROM customer) o
+  USING (campaign_id)"""
+
+SQL["reaggregate_range"] = _with(
+    RAW, _valid(),
+    _rollup("valid", DAY, "stale", "event_time < TIMESTAMP '2024-01-15 12:00:00'"),
+    """latest AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY campaign_id, event_time, deduplication_key
+                                 ORDER BY processed_at DESC, id DESC) AS rn
+    FROM valid
+    WHERE event_time >= TIMESTAMP '2024-01-10 00:00:00'
+      AND event_time < TIMESTAMP '2024-01-21 00:00:00') WHERE rn = 1
+)""", _rollup("latest", DAY, "fresh")) + f"""
+SELECT {INSIGHT_COLS} FROM stale s
+WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE f.campaign_id = s.campaign_id
+                  AND f.date = s.date AND f.platform = s.platform AND f.region = s.region)
+UNION ALL
+SELECT {INSIGHT_COLS} FROM fresh"""
+
+# Applying the arrival batches one by one ends at the full daily roll-up.
+SQL["rollup_incremental"] = SQL["insights_daily"]
+# The stream stores every accepted event once; its insight table is the daily roll-up.
+SQL["stream_ingest"] = SQL["insights_daily"]
+
+
+def _platform(col: str) -> str:
+    return (f"CASE WHEN {col} % 4 = 0 THEN 'meta' WHEN {col} % 4 = 1 THEN 'google' "
+            f"WHEN {col} % 4 = 2 THEN 'linkedin' ELSE 'tiktok' END")
+
+
+CAMP = f"""camp AS (
+  SELECT o_orderkey AS id, o_custkey AS user_id, {_platform('o_orderkey')} AS platform,
+    CAST(o_totalprice AS DECIMAL(12,2)) AS budget, o_orderdate AS start_date,
+    o_orderdate + INTERVAL 90 DAY AS end_date, o_orderstatus AS status, o_orderdate AS created_at
+  FROM orders
+)"""
+SNAP = "snap AS (SELECT * FROM camp WHERE created_at < TIMESTAMP '1998-01-01 00:00:00')"
+CAMP_COLS = ("c.id, c.user_id, c.platform, CAST(c.budget AS DOUBLE) AS budget, c.start_date, "
+             "c.end_date, c.status, c.created_at")
+
+SQL["campaign_list"] = _with(CAMP) + f"""
+SELECT {CAMP_COLS} FROM camp c WHERE c.platform = 'google' AND c.status = 'O'"""
+
+SQL["campaign_get"] = _with(CAMP) + """
+SELECT r.id, c.user_id, c.platform, CAST(c.budget AS DOUBLE) AS budget, c.start_date,
+  c.end_date, c.status, c.created_at, c.id IS NOT NULL AS found
+FROM (SELECT DISTINCT l_orderkey AS id FROM lineitem) r LEFT JOIN camp c ON r.id = c.id"""
+
+SQL["campaign_upsert"] = _with(CAMP, f"""changes AS (
+  SELECT l_orderkey AS id, l_shipdate AS updated_at, l_linenumber AS seq,
+    {_platform('l_orderkey')} AS platform, CAST(l_extendedprice AS DECIMAL(12,2)) AS budget,
+    l_shipdate AS start_date, l_shipdate + INTERVAL 90 DAY AS end_date, l_linestatus AS status
+  FROM lineitem
+)""", """latest AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, seq DESC,
+      platform DESC, budget DESC, start_date DESC, end_date DESC, status DESC) AS rn
+    FROM changes) WHERE rn = 1
+)""") + """
+SELECT c.id, c.user_id,
+  CASE WHEN l.id IS NULL THEN c.platform ELSE l.platform END AS platform,
+  CAST(CASE WHEN l.id IS NULL THEN c.budget ELSE l.budget END AS DOUBLE) AS budget,
+  CASE WHEN l.id IS NULL THEN c.start_date ELSE l.start_date END AS start_date,
+  CASE WHEN l.id IS NULL THEN c.end_date ELSE l.end_date END AS end_date,
+  CASE WHEN l.id IS NULL THEN c.status ELSE l.status END AS status,
+  c.created_at,
+  CASE WHEN l.id IS NULL THEN c.created_at ELSE l.updated_at END AS updated_at
+FROM camp c LEFT JOIN latest l ON c.id = l.id"""
+
+SQL["campaign_insert_absent"] = _with(CAMP, SNAP) + f"""
+SELECT {CAMP_COLS},
+  CASE WHEN EXISTS (SELECT 1 FROM snap s WHERE s.id = c.id) THEN 'already exists'
+       ELSE 'inserted' END AS outcome
+FROM camp c"""
+
+SQL["campaign_orphans"] = _with(CAMP, SNAP) + """
+SELECT l_orderkey AS campaign_id, CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS DOUBLE) AS spend
+FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM snap s WHERE s.id = l.l_orderkey)"""
+
+INC = """inc AS (
+  SELECT l_orderkey AS campaign_id, CAST(l_extendedprice AS DECIMAL(12,2)) AS spend FROM lineitem
+)"""
+TOTALS = """totals AS (
+  SELECT campaign_id, SUM(spend) AS spend FROM inc
+  WHERE campaign_id IS NOT NULL AND spend IS NOT NULL AND spend > 0 GROUP BY campaign_id
+)"""
+
+SQL["spend_totals"] = _with(INC, TOTALS) + \
+    "SELECT campaign_id, CAST(spend AS DOUBLE) AS spend FROM totals"
+
+SQL["budget_status"] = _with(CAMP, INC, TOTALS) + """
+SELECT c.id AS campaign_id, CAST(c.budget AS DOUBLE) AS budget,
+  CAST(COALESCE(t.spend, 0) AS DOUBLE) AS spend,
+  CAST(c.budget - COALESCE(t.spend, 0) AS DOUBLE) AS remaining,
+  CASE WHEN c.budget - COALESCE(t.spend, 0) <= 0 THEN 'Overspent' ELSE 'Active' END AS status
+FROM camp c LEFT JOIN totals t ON c.id = t.campaign_id"""
+
+SQL["spend_rejects"] = _with(CAMP, INC) + """
+SELECT campaign_id, CAST(spend AS DOUBLE) AS spend, reason FROM (
+  SELECT campaign_id, spend,
+    CASE WHEN campaign_id IS NULL THEN 'campaign ID is required'
+         WHEN spend IS NULL OR spend = 0 THEN 'spend is required'
+         WHEN spend < 0 THEN 'spend amount cannot be negative'
+         WHEN NOT EXISTS (SELECT 1 FROM camp c WHERE c.id = inc.campaign_id)
+           THEN 'campaign not found' END AS reason
+  FROM inc) WHERE reason IS NOT NULL"""
+
+SQL["audit_unique"] = """
+SELECT l_orderkey, l_linenumber, COUNT(*) AS n FROM lineitem
+GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1"""
+
+
+def _fk(name: str, child: str, ck: str, parent: str, pk: str) -> str:
+    return (f"SELECT '{name}' AS constraint_name, COUNT(*) AS checked_rows, "
+            f"COUNT(*) FILTER (WHERE ch.{ck} IS NOT NULL AND p.{pk} IS NULL) AS violations "
+            f"FROM {child} ch LEFT JOIN (SELECT DISTINCT {pk} FROM {parent}) p "
+            f"ON ch.{ck} = p.{pk}")
+
+
+SQL["audit_fk"] = "\nUNION ALL\n".join([
+    _fk("orders.o_custkey->customer", "orders", "o_custkey", "customer", "c_custkey"),
+    _fk("lineitem.l_orderkey->orders", "lineitem", "l_orderkey", "orders", "o_orderkey"),
+    _fk("events.user_id->customer", "events", "user_id", "customer", "c_custkey"),
+    _fk("customer.c_nationkey->nation", "customer", "c_nationkey", "nation", "n_nationkey"),
+])
+
+SQL["audit_nulls"] = _with(CAMP) + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, COUNT(*) FILTER (WHERE {c} IS NULL) AS null_count FROM camp"
+    for c in ("id", "user_id", "platform", "budget", "start_date", "end_date", "status",
+              "created_at"))
+
+_PLATFORMS = "('meta', 'google', 'linkedin', 'tiktok')"
+_CAMP_CHECKS = {
+    "campaigns.budget_decimal_12_2":
+        "budget IS NOT NULL AND TRY_CAST(budget AS DECIMAL(12,2)) IS NULL",
+    "campaigns.platform_enum": f"platform IS NOT NULL AND platform NOT IN {_PLATFORMS}",
+    "campaigns.platform_length": "length(platform) > 50",
+    "campaigns.status_length": "length(status) > 50",
+    "campaigns.end_before_start": "end_date < start_date",
+}
+_EVENT_CHECKS = {"events.platform_enum": f"platform IS NOT NULL AND platform NOT IN {_PLATFORMS}"}
+for _m in ("impressions", "clicks", "conversions", "spend", "revenue"):
+    _EVENT_CHECKS[f"events.{_m}_negative"] = f"{_m} < 0"
+
+SQL["audit_domain"] = _with(RAW, f"""src AS (
+  SELECT o_orderkey AS id, {_platform('o_orderkey')} AS platform, o_totalprice AS budget,
+    o_orderdate AS start_date, o_orderdate + INTERVAL 90 DAY AS end_date,
+    o_orderstatus AS status FROM orders
+)""") + "\nUNION ALL\n".join(
+    [f"SELECT '{n}' AS check_name, COUNT(*) FILTER (WHERE COALESCE({c}, FALSE)) AS violations "
+     f"FROM src" for n, c in _CAMP_CHECKS.items()]
+    + [f"SELECT '{n}' AS check_name, COUNT(*) FILTER (WHERE COALESCE({c}, FALSE)) AS violations "
+       f"FROM raw" for n, c in _EVENT_CHECKS.items()])
+
+
+def _plan(src: str, as_of: str) -> str:
+    return f"""SELECT x.campaign_id, x.platform, CAST(r.d AS DATE) AS day
+FROM (SELECT campaign_id, platform,
+        GREATEST(CAST(DATE '{as_of}' - INTERVAL 30 DAY AS DATE), CAST(start_date AS DATE)) AS s
+      FROM {src}) x,
+     LATERAL (SELECT unnest(generate_series(CAST(x.s AS TIMESTAMP), TIMESTAMP '{as_of} 00:00:00',
+                                            INTERVAL 1 DAY)) AS d) r
+WHERE x.s <= DATE '{as_of}'"""
+
+
+SQL["fetch_plan"] = _with(CAMP, "cs AS (SELECT id AS campaign_id, platform, start_date FROM camp)") \
+    + _plan("cs", "1997-01-01")
+
+SQL["missing_days"] = _with(RAW, _valid(), _rollup("valid", DAY, "daily"), """started AS (
+  SELECT campaign_id, platform, MIN(event_time) AS start_date FROM valid GROUP BY 1, 2
+)""", f"plan AS ({_plan('started', '2024-01-30')})") + """
+SELECT p.campaign_id, p.platform, p.day FROM plan p
+WHERE NOT EXISTS (SELECT 1 FROM daily d WHERE d.campaign_id = p.campaign_id AND d.date = p.day)"""
+
+SQL["event_json_roundtrip"] = _with(RAW) + f"""
+SELECT id, campaign_id, platform, event_type, impressions, clicks, conversions,
+  CAST(spend AS DOUBLE) AS spend, CAST(revenue AS DOUBLE) AS revenue, event_time, region,
+  CAST(NULL AS VARCHAR) AS currency, {KEY_DAY} AS deduplication_key
+FROM raw"""
+
+SQL["payload_flatten"] = _with(RAW, _valid(), _rollup("valid", DAY, "daily")) + """
+SELECT campaign_id, platform, 'daily_stats' AS event_type, impressions, clicks, conversions,
+  spend, revenue, CAST(date AS TIMESTAMP) AS event_time, 'all' AS region, 'USD' AS currency,
+  platform || ':ext-' || CAST(campaign_id AS VARCHAR) || ':' || strftime(date, '%Y-%m-%d')
+    AS deduplication_key
+FROM daily"""

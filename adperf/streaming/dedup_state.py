@@ -1,0 +1,77 @@
+"""Streaming first-wins dedup with a TTL (D1) in the state store.
+
+State per dedup key is one timestamp: when the key was last *accepted*. Each micro-batch
+delivers a key's new rows as Arrow batches; they are sorted by ``(clock, id)`` and folded:
+a row is accepted when the key has no state or its clock is at least ``ttl`` after the last
+accepted one. Skipped duplicates leave the state as it is, as in the original, so the key
+expires ``ttl`` after the accepted row.
+
+Expiry uses an event-time timeout on the clock (``received_at``, stamped on arrival), with a
+watermark of the same length: a key's state is dropped once the watermark passes
+``last accepted + ttl``, when no later row could be a duplicate any more. State therefore
+stays bounded by the keys seen in one TTL window. The session time zone must be UTC (as
+every session of this package is), because the clock is a wall-clock ``TIMESTAMP_NTZ``.
+
+The per-key loop touches only the rows of one key in one micro-batch; the state is sharded by
+key across the state store partitions.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from adperf import schemas as S
+
+STATE_SCHEMA = T.StructType([T.StructField("last_accepted", T.TimestampNTZType())])
+_WM = "_clock_tz"
+_EPOCH = np.datetime64("1970-01-01T00:00:00", "us")
+
+
+def _fold(times: np.ndarray, last: np.datetime64 | None, ttl: np.timedelta64) -> np.ndarray:
+    """Boolean mask of accepted rows among ``times`` (sorted)."""
+    keep = np.zeros(len(times), dtype=bool)
+    for i, t in enumerate(times):
+        if last is None or t >= last + ttl:
+            keep[i] = True
+            last = t
+    return keep
+
+
+def first_wins_ttl_stream(valid: DataFrame, key: str = "deduplication_key",
+                          clock: str = "received_at", tie: str = "id",
+                          ttl_days: int = S.DEDUP_TTL_DAYS) -> DataFrame:
+    """Apply D1 to a streaming DataFrame; output rows have the input schema."""
+    ttl = np.timedelta64(int(ttl_days) * 86_400_000_000, "us")
+    out_schema = valid.schema
+    columns = valid.columns
+    timed = (valid.withColumn(_WM, F.col(clock).cast("timestamp"))
+             .withWatermark(_WM, f"{int(ttl_days)} days"))
+
+    def fold(key_value, pdfs: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(pdfs), ignore_index=True)
+        rows = rows.sort_values([clock, tie], kind="mergesort")
+        last = state.get[0] if state.exists else None
+        last64 = np.datetime64(pd.Timestamp(last).to_datetime64(), "us") \
+            if last is not None else None
+        times = rows[clock].to_numpy(dtype="datetime64[us]")
+        mask = _fold(times, last64, ttl)
+        accepted = rows[mask]
+        if len(accepted):
+            newest = times[mask][-1]
+            state.update((pd.Timestamp(newest).to_pydatetime(),))
+            expiry_ms = int((newest + ttl - _EPOCH) // np.timedelta64(1, "ms"))
+            state.setTimeoutTimestamp(expiry_ms)
+        yield accepted[columns]
+
+    return timed.groupBy(key).applyInPandasWithState(
+        fold, out_schema, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
