@@ -21,16 +21,19 @@ BASE_CONF = {
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "adperf", extra: dict | None = None) -> SparkSession:
+                  app_name: str = "adperf", extra: dict | None = None,
+                  driver_memory: str | None = "8g") -> SparkSession:
     """Get or create a session with :data:`BASE_CONF`.
 
-    ``master`` and ``shuffle_partitions`` are only for local runs; on a cluster the launcher
-    sets them.
+    ``master``, ``shuffle_partitions`` and ``driver_memory`` are only for local runs (in
+    local mode the driver JVM is the only executor); on a cluster the launcher sets them.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
+    if master and master.startswith("local") and driver_memory:
+        conf["spark.driver.memory"] = driver_memory
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

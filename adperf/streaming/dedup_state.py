@@ -13,7 +13,8 @@ stays bounded by the keys seen in one TTL window. The session time zone must be
 every session of this package is), because the clock is a wall-clock ``TIMESTAMP_NTZ``.
 
 The per-key loop touches only the rows of one key in one micro-batch; the state is sharded by
-key across the state store partitions.
+key across the state store partitions. Each key costs one Python call per micro-batch, so
+this exact mode is the slow path; :func:`drop_within_ttl` is the JVM alternative.
 """
 
 from __future__ import annotations
@@ -75,3 +76,18 @@ def first_wins_ttl_stream(valid: DataFrame, key: str = "deduplication_key",
 
     return timed.groupBy(key).applyInPandasWithState(
         fold, out_schema, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def drop_within_ttl(valid: DataFrame, key: str = "deduplication_key",
+                    clock: str = "received_at", ttl_days: int = S.DEDUP_TTL_DAYS) -> DataFrame:
+    """D1 with Spark's built-in state (JVM, no Python per key).
+
+    A row is dropped when its key was first seen less than ``ttl`` earlier; unlike the exact
+    mode the state of a key lives until the watermark (``ttl`` behind the newest clock) passes
+    ``first + ttl``, so a duplicate up to ``2 * ttl`` after the first may still be dropped.
+    Identical to the exact mode for keys that are unique per event (replay protection).
+    """
+    return (valid.withColumn(_WM, F.col(clock).cast("timestamp"))
+            .withWatermark(_WM, f"{int(ttl_days)} days")
+            .dropDuplicatesWithinWatermark([key])
+            .drop(_WM))

@@ -24,17 +24,22 @@ from adperf.operators.dedup import latest_facts
 from adperf.session import checkpoint_dir
 from adperf.sources import events as ev
 from adperf.sources import storage
-from adperf.streaming.dedup_state import first_wins_ttl_stream
+from adperf.streaming.dedup_state import drop_within_ttl, first_wins_ttl_stream
+
+DEDUP_MODES = ("exact", "watermark", "none")
 
 
 def prepare(stream: DataFrame, fact_schema=None, now: Column | None = None,
-            processed_at: Column | None = None, dedup: bool = True) -> DataFrame:
+            processed_at: Column | None = None, dedup: str = "exact") -> DataFrame:
     """Decode (when the stream carries ``value``), validate and dedup a stream of events.
 
     The result holds accepted rows and rejected rows together; rejected rows carry
     ``reject_reason`` (decode failures included) and skip the dedup state, so an invalid
-    message never consumes a dedup key.
+    message never consumes a dedup key. ``dedup``: ``exact`` (TTL restarts on accepted rows,
+    Python per key), ``watermark`` (JVM state, see :func:`drop_within_ttl`) or ``none``.
     """
+    if dedup not in DEDUP_MODES:
+        raise ValueError(f"dedup must be one of {DEDUP_MODES}")
     if "value" in stream.columns:
         decoded = ev.decode_events(stream, fact_schema) if fact_schema is not None \
             else ev.decode_events(stream)
@@ -44,8 +49,10 @@ def prepare(stream: DataFrame, fact_schema=None, now: Column | None = None,
         bad, events = None, stream
     checked = validate.validate(events, now=now, processed_at=processed_at)
     good = validate.accepted(checked)
-    if dedup:
+    if dedup == "exact":
         good = first_wins_ttl_stream(good)
+    elif dedup == "watermark":
+        good = drop_within_ttl(good)
     out = good.withColumn("reject_reason", F.lit(None).cast("string")) \
               .unionByName(validate.rejected(checked))
     if bad is not None:
@@ -62,6 +69,8 @@ def batch_writer(root: str, updated_at: Column | None = None):
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
+        if batch.isEmpty():  # watermark-only batches carry no rows
+            return
         batch = batch.persist()
         try:
             facts = batch.filter(F.col("reject_reason").isNull()).drop("reject_reason")
