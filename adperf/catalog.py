@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from adperf import schemas as S
 from adperf.operators import budget, campaigns, dedup, insights, quality, rollup, validate
 from adperf.plans import fetch
+from adperf.session import checkpoint_dir
 from adperf.sources import events as ev
 from adperf.sources import payloads, storage, tables
 from adperf.streaming import ingest
@@ -160,12 +161,13 @@ def increment_batches(facts: DataFrame) -> list[DataFrame]:
 
 def q_rollup_incremental(spark, sf_dir):
     """Three arrival batches applied one after the other; equals the full roll-up."""
-    facts = accepted_events(spark, sf_dir)
-    current = spark.createDataFrame([], rollup.daily_insights(facts).schema)
-    seen = None
+    checkpoint_dir(spark)
+    facts = accepted_events(spark, sf_dir).checkpoint(eager=True)
+    current, seen = None, None
     for batch in increment_batches(facts):
         seen = batch if seen is None else seen.unionByName(batch)
-        current = rollup.apply_increment(current, batch, seen)
+        # each increment is stored before the next one arrives
+        current = rollup.apply_increment(current, batch, seen).checkpoint(eager=True)
     return current.select(*INSIGHT_OUT)
 
 

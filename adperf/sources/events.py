@@ -74,7 +74,9 @@ def decode_events(df: DataFrame, schema: T.StructType = S.EVENT_SCHEMA,
     parsed = F.from_json(F.col(value), ws, {"mode": "PERMISSIVE",
                                            "columnNameOfCorruptRecord": CORRUPT,
                                            "timestampFormat": TIME_FORMAT})
-    out = df.withColumn("_p", parsed)
+    # Parse inside a one-element explode: filters on the parsed fields cannot be pushed below
+    # a Generate, so Catalyst does not copy the parse into every pushed-down predicate.
+    out = df.select("*", F.explode(F.array(parsed)).alias("_p"))
     error = (F.when(F.col(value).isNull(), F.lit("empty message"))
              .when(F.col("_p").isNull(), F.lit("not a JSON object"))
              .when(F.col(f"_p.{CORRUPT}").isNotNull(), F.lit("malformed JSON")))
