@@ -51,6 +51,29 @@ def flatten_payloads(pages: DataFrame) -> DataFrame:
     return items.select(*cols)
 
 
+# One adapter per platform turns landed pages into event rows. All platforms
+# deliver the insights shape above; a platform with another shape registers its own function.
+ADAPTERS: dict = {p: flatten_payloads for p in S.PLATFORMS}
+
+
+def register_adapter(platform: str, fn) -> None:
+    ADAPTERS[platform] = fn
+
+
+def adapt_pages(pages: DataFrame) -> DataFrame:
+    """Route every platform's pages through its adapter and union the results; pages of
+    a platform without an adapter keep their rows with that platform so that
+    :func:`route_to_campaigns` rejects them as ``unknown platform``."""
+    known = list(ADAPTERS)
+    parts = [fn(pages.filter(F.col("platform") == p)) for p, fn in ADAPTERS.items()]
+    parts.append(flatten_payloads(pages.filter(~F.col("platform").isin(*known)
+                                               | F.col("platform").isNull())))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def route_to_campaigns(events: DataFrame, campaigns: DataFrame
                        ) -> tuple[DataFrame, DataFrame]:
     """P10 + P11 + J4: attach the internal campaign id by ``(platform, external_id)``.

@@ -86,3 +86,22 @@ def test_pack_is_inverse_of_flatten(spark):
     assert pages.count() == 1
     flat = payloads.flatten_payloads(pages)
     assert flat.agg(F.sum("spend")).first()[0] == Decimal("8.50")
+
+
+def test_adapter_registry_and_dimensions(spark, tmp_root):
+    from adperf.sources import dimensions
+    pages = spark.createDataFrame(
+        [("meta", "e1", [("2024-01-01", "2024-01-01", 1, 2, 3, 4.0, 5.0)]),
+         ("bing", "e1", [("2024-01-01", "2024-01-01", 1, 2, 3, 4.0, 5.0)])],
+        "platform string, external_id string, data array<struct<date_start:string, "
+        "date_stop:string, impressions:long, clicks:long, actions:long, spend:double, "
+        "action_values:double>>")
+    flat = payloads.adapt_pages(pages)
+    assert sorted(r.platform for r in flat.collect()) == ["bing", "meta"]
+    users = spark.createDataFrame([("u1", "a@x", "A", "secret", "admin")],
+                                  "id string, email string, name string, password string, "
+                                  "role string")
+    path = os.path.join(tmp_root, "users")
+    users.write.parquet(path)
+    loaded = dimensions.read_users(spark, path)
+    assert "password" not in loaded.columns and loaded.first().email == "a@x"
