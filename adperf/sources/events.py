@@ -53,6 +53,29 @@ def encode_events(df: DataFrame, key: str = "campaign_id") -> DataFrame:
                      .alias("value"))
 
 
+def publish(df: DataFrame, fmt: str = "kafka", options: dict | None = None,
+            path: str | None = None, checkpoint: str | None = None, key: str = "campaign_id"):
+    """S2 as a sink: write events as keyed JSON messages.
+
+    A streaming ``df`` starts a streaming query (returned); a batch ``df`` is written once.
+    Kafka takes ``kafka.bootstrap.servers`` / ``topic`` in ``options``; file formats take
+    ``path``.
+    """
+    out = encode_events(df, key)
+    opts = dict(options or {})
+    if df.isStreaming:
+        w = out.writeStream.format(fmt).options(**opts)
+        if checkpoint:
+            w = w.option("checkpointLocation", checkpoint)
+        return w.start(path) if path else w.start()
+    w = out.write.format(fmt).options(**opts).mode("append")
+    if path:
+        w.save(path)
+    else:
+        w.save()
+    return None
+
+
 def wire_schema(schema: T.StructType = S.EVENT_SCHEMA) -> T.StructType:
     """Decode schema: time fields as zone-aware timestamps (messages carry offsets), plus
     the corrupt-record column."""

@@ -35,9 +35,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+_SIZE_CHECKS: dict[tuple, bool] = {}
+
+
 def small_enough(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows. Reads at most ``max_rows + 1`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True when ``df`` has at most ``max_rows`` rows. Reads at most ``max_rows + 1`` rows.
+
+    The answer is remembered per (plan, input files, bound) for the life of the process, so a
+    lookup used by many queries is checked once.
+    """
+    key = (df.semanticHash(), tuple(sorted(df.inputFiles())), max_rows)
+    if key not in _SIZE_CHECKS:
+        _SIZE_CHECKS[key] = df.limit(max_rows + 1).count() <= max_rows
+    return _SIZE_CHECKS[key]
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:

@@ -108,3 +108,24 @@ def start(prepared: DataFrame, root: str, checkpoint: str, available_now: bool =
 def scratch_root(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder."""
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def windowed_daily(facts: DataFrame, lateness: str = "2 days") -> DataFrame:
+    """T3 kept inside the streaming plan: daily tumbling windows with a watermark.
+
+    The alternative to :func:`batch_writer` when a plain append sink is wanted: each day is
+    emitted once the watermark passes its end, so events later than ``lateness`` are dropped
+    (the ``foreachBatch`` path accepts any late event instead). Same sums and ratios as the
+    batch roll-up.
+    """
+    from adperf import schemas as S
+    from adperf.functions.ratios import ratio_columns
+    timed = facts.withColumn("_t", F.col("event_time").cast("timestamp")) \
+                 .withWatermark("_t", lateness)
+    sums = ([F.sum(F.col(c).cast("long")).cast("long").alias(c) for c in S.COUNTERS]
+            + [F.sum(F.col(c).cast(S.MONEY)).alias(c) for c in S.AMOUNTS])
+    grouped = timed.groupBy("campaign_id", F.window("_t", "1 day").alias("w"), "platform",
+                            "region").agg(*sums)
+    return grouped.select(
+        "campaign_id", F.to_date(F.col("w.start")).alias("date"), "platform", "region",
+        *S.COUNTERS, *[F.col(c).cast("double").alias(c) for c in S.AMOUNTS], *ratio_columns())
