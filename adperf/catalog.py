@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from adperf import schemas as S
 from adperf.operators import budget, campaigns, dedup, insights, quality, rollup, validate
+from adperf.functions.dates import ntz
 from adperf.plans import fetch
 from adperf.session import checkpoint_dir
 from adperf.sources import events as ev
@@ -89,7 +90,7 @@ def q_dedup_first_ttl(spark, sf_dir):
 
 
 def _ts(v: dt.datetime):
-    return F.lit(v).cast("timestamp_ntz")
+    return ntz(v)
 
 
 def q_insights_latest(spark, sf_dir):
@@ -98,7 +99,7 @@ def q_insights_latest(spark, sf_dir):
     facts = accepted_events(spark, sf_dir)
     stale = rollup.daily_insights(facts.filter(F.col("event_time") < _ts(STALE_CUT)),
                                   updated_at=_ts(STALE_CUT))
-    full = rollup.daily_insights(facts, updated_at=F.lit(EVENTS_AS_OF).cast("timestamp_ntz"))
+    full = rollup.daily_insights(facts, updated_at=ntz(EVENTS_AS_OF))
     return dedup.latest_insights(stale.unionByName(full)).select(*INSIGHT_OUT)
 
 

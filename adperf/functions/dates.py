@@ -50,6 +50,17 @@ def period_start(day: Column, granularity: str) -> Column:
     return day if unit is None else F.date_trunc(unit, day).cast("date")
 
 
+def ntz(value: dt.datetime | dt.date) -> Column:
+    """A ``TIMESTAMP_NTZ`` literal that does not depend on any time zone.
+
+    (``lit(datetime)`` makes a zone-aware timestamp from the Python process's local zone, and
+    casting that to NTZ applies the session zone: the wall time would shift.)
+    """
+    if not isinstance(value, dt.datetime):
+        value = dt.datetime.combine(value, dt.time())
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def day_of(ts: Column) -> Column:
     return F.to_date(ts)
 

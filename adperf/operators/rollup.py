@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adperf import schemas as S
-from adperf.functions.dates import check_granularity, period_start
+from adperf.functions.dates import check_granularity, ntz, period_start
 from adperf.functions.ratios import ratio_columns
 from adperf.operators.dedup import latest_facts
 
@@ -90,8 +90,7 @@ def apply_increment(current: DataFrame | None, new_facts: DataFrame, all_facts:
 
 def day_range_filter(facts: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     """F6 with whole days: ``start <= event_time < end + 1 day``."""
-    lo = F.lit(dt.datetime.combine(start, dt.time())).cast("timestamp_ntz")
-    hi = F.lit(dt.datetime.combine(end + dt.timedelta(days=1), dt.time())).cast("timestamp_ntz")
+    lo, hi = ntz(start), ntz(end + dt.timedelta(days=1))
     return facts.filter((F.col("event_time") >= lo) & (F.col("event_time") < hi))
 
 

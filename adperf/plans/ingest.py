@@ -40,11 +40,11 @@ def ingest_batch(spark: SparkSession, incoming: DataFrame, root: str, batch_id:
     storage.write_rejects(rejects, root, batch_id)
     if bad is not None:
         storage.write_rejects(bad, root, f"{batch_id}-decode")
-    months = storage.months_of(kept)
-    if months:
-        all_facts = dedup.latest_facts(storage.read_facts(spark, root, months=months)
-                                       .drop("event_month"))
-        current = storage.read_insights(spark, root, months=months, schema=None)
+    days = storage.days_of(kept)
+    if days:
+        all_facts = dedup.latest_facts(storage.read_facts(spark, root, days=days))
+        current = storage.read_insights(spark, root, months=storage.months_of_days(days),
+                                        schema=None)
         if current is not None:
             current = current.drop("month")
         fresh = rollup.apply_increment(current, kept, all_facts, F.localtimestamp())

@@ -35,7 +35,7 @@ def reaggregate_stored(spark: SparkSession, root: str, start, end,
     if s is None or e is None:
         raise ValueError("start and end dates are required")
     months = months_between(s, e)
-    facts = storage.read_facts(spark, root, start=s, end=e).drop("event_month")
+    facts = storage.read_facts(spark, root, start=s, end=e)
     current = storage.read_insights(spark, root, months=months, schema=None)
     stamp = updated_at if updated_at is not None else F.localtimestamp()
     if current is None:

@@ -2,18 +2,20 @@
 
 Layout under a root folder (a shared file system or object store on a cluster):
 
-- ``facts/event_month=YYYYMM/ingest_batch=<id>/``  - appended facts. A batch re-run with the
+- ``facts/event_date=YYYY-MM-DD/ingest_batch=<id>/``  - appended facts. A batch re-run with the
   same id replaces exactly its own files (dynamic partition overwrite), so replays never
   duplicate rows; last-wins on the fact key is applied when facts are read for roll-ups.
+  Day partitions keep an incremental refresh to the days a batch touched: recomputing a day
+  reads that day's facts, not a month's.
 - ``insights/month=YYYYMM/``  - daily insights; rewrites replace whole months.
 - ``rejects/ingest_batch=<id>/`` - rejected events with their reason.
 
 Writes use a ``rebalance`` hint on the partition column, so AQE sizes the output tasks (and
 splits a month that holds most of the data) instead of one task per month or one file per
-task and month. Rows are sorted by the table key inside each file, so Parquet row-group
-min/max statistics skip data for campaign and time predicates. Reads add the month
-predicate derived from a time range themselves: Catalyst cannot derive it from
-``event_time`` on plain Parquet.
+task and partition. Rows are sorted by the table key inside each file, so Parquet row-group
+min/max statistics skip data for campaign and time predicates. Reads turn a time range into a
+partition predicate themselves: Catalyst cannot derive it from ``event_time`` on plain
+Parquet.
 """
 
 from __future__ import annotations
@@ -52,9 +54,9 @@ def _overwrite(df: DataFrame, path: str, partition_cols: list[str], sort_cols: l
 def write_facts(facts: DataFrame, root: str, batch_id: str | int) -> None:
     """S3: store a batch of facts under its batch id (idempotent per batch id)."""
     out = (facts.select(*[c for c in S.EVENT_SCHEMA.fieldNames() if c in facts.columns])
-           .withColumn("event_month", _month(F.col("event_time")))
+           .withColumn("event_date", F.to_date(F.col("event_time")))
            .withColumn("ingest_batch", F.lit(str(batch_id))))
-    _overwrite(out, os.path.join(root, FACTS), ["event_month", "ingest_batch"],
+    _overwrite(out, os.path.join(root, FACTS), ["event_date", "ingest_batch"],
                list(S.FACT_KEY))
 
 
@@ -82,27 +84,22 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def read_facts(spark: SparkSession, root: str, start: dt.date | None = None,
-               end: dt.date | None = None, months: list[int] | None = None,
+               end: dt.date | None = None, days: list[dt.date] | None = None,
                schema=S.EVENT_SCHEMA) -> DataFrame:
-    """Facts, pruned to the months of ``start..end`` (whole days) or to ``months``.
+    """Facts of the whole days ``start..end`` and/or of ``days`` (partition pruned).
 
     An absent table reads as empty with ``schema``.
     """
     df = _read(spark, os.path.join(root, FACTS))
     if df is None:
         return spark.createDataFrame([], schema)
-    if months is not None:
-        df = df.filter(F.col("event_month").isin(*months))
+    if days is not None:
+        df = df.filter(F.col("event_date").isin(*days))
     if start is not None:
-        df = df.filter(F.col("event_month") >= _month_of(start)).filter(
-            F.col("event_time") >= F.lit(dt.datetime.combine(start, dt.time()))
-            .cast("timestamp_ntz"))
+        df = df.filter(F.col("event_date") >= F.lit(start))
     if end is not None:
-        nxt = end + dt.timedelta(days=1)
-        df = df.filter(F.col("event_month") <= _month_of(end)).filter(
-            F.col("event_time") < F.lit(dt.datetime.combine(nxt, dt.time()))
-            .cast("timestamp_ntz"))
-    return df.drop("ingest_batch")
+        df = df.filter(F.col("event_date") <= F.lit(end))
+    return df.drop("ingest_batch", "event_date")
 
 
 def read_insights(spark: SparkSession, root: str, months: list[int] | None = None,
@@ -121,18 +118,23 @@ def read_insights(spark: SparkSession, root: str, months: list[int] | None = Non
     return df
 
 
-def months_of(df: DataFrame, col: str = "event_time") -> list[int]:
-    """Distinct months a DataFrame covers - a handful of values, used for pruning."""
-    return sorted(r[0] for r in df.select(_month(F.col(col)).alias("m")).distinct().collect()
+def days_of(df: DataFrame, col: str = "event_time") -> list[dt.date]:
+    """Distinct days a batch covers - bounded by the days it spans, used for pruning."""
+    return sorted(r[0] for r in df.select(F.to_date(F.col(col)).alias("d")).distinct().collect()
                   if r[0] is not None)
 
 
+def months_of_days(days: list[dt.date]) -> list[int]:
+    return sorted({_month_of(d) for d in days})
+
+
 def ensure_tables(spark: SparkSession, root: str, fact_schema=S.EVENT_SCHEMA,
                   insight_schema=S.INSIGHT_SCHEMA) -> None:
     """Create the empty tables with their schemas when absent (idempotent)."""
     empty_facts = (spark.createDataFrame([], fact_schema)
-                   .withColumn("event_month", F.lit(0)).withColumn("ingest_batch", F.lit("")))
+                   .withColumn("event_date", F.lit(None).cast("date"))
+                   .withColumn("ingest_batch", F.lit("")))
     empty_insights = spark.createDataFrame([], insight_schema).withColumn("month", F.lit(0))
-    for name, df, parts in ((FACTS, empty_facts, ["event_month", "ingest_batch"]),
+    for name, df, parts in ((FACTS, empty_facts, ["event_date", "ingest_batch"]),
                             (INSIGHTS, empty_insights, ["month"])):
         df.write.mode("ignore").partitionBy(*parts).parquet(os.path.join(root, name))

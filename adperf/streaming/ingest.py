@@ -5,7 +5,8 @@
 1. writes its facts under ``ingest_batch=<epoch>`` and its rejects likewise - a replayed epoch
    overwrites its own files, so a restart from the checkpoint never duplicates facts;
 2. recomputes only the ``(campaign, day)`` keys the batch touched, from all stored facts of the
-   touched months (last-wins per fact key), and rewrites those months of the insight table.
+   touched days (day partitions, last-wins per fact key), and rewrites the touched months of
+   the insight table.
 
 Late events need no watermark: a late row simply touches an older day, which is recomputed.
 Sums are never incremented in place, so replays cannot double count (T2).
@@ -77,12 +78,12 @@ def batch_writer(root: str, updated_at: Column | None = None):
             rejects = batch.filter(F.col("reject_reason").isNotNull())
             storage.write_facts(facts, root, epoch_id)
             storage.write_rejects(rejects, root, epoch_id)
-            months = storage.months_of(facts)
-            if not months:
+            days = storage.days_of(facts)
+            if not days:
                 return
-            all_facts = latest_facts(storage.read_facts(spark, root, months=months)
-                                     .drop("event_month"))
-            current = storage.read_insights(spark, root, months=months, schema=None)
+            all_facts = latest_facts(storage.read_facts(spark, root, days=days))
+            current = storage.read_insights(spark, root, months=storage.months_of_days(days),
+                                            schema=None)
             if current is not None:
                 current = current.drop("month")
             stamp = updated_at if updated_at is not None else F.localtimestamp()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adperf import schemas as S
+from adperf.functions.dates import ntz
 from adperf.operators import rollup
 from adperf.plans.ingest import ingest_batch
 from adperf.plans.reaggregate import reaggregate_stored
@@ -39,7 +40,7 @@ def _land(folder, name, lines):
 
 def _run_stream(spark, landing, root, dedup="exact"):
     stream = spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(landing)
-    prepared = ingest.prepare(stream, SCHEMA, now=F.lit(T0).cast("timestamp_ntz"),
+    prepared = ingest.prepare(stream, SCHEMA, now=ntz(T0),
                               dedup=dedup)
     q = ingest.start(prepared, root, os.path.join(root, "_ck"))
     q.awaitTermination()
@@ -65,7 +66,7 @@ def test_stream_equals_batch_and_survives_restart(spark, tmp_root):
     # batch path over the same messages gives the same facts and insights
     broot = os.path.join(tmp_root, "batch")
     msgs = spark.createDataFrame([(m,) for m in FILE1 + FILE2], "value string")
-    counts = ingest_batch(spark, msgs, broot, "b1", now=F.lit(T0).cast("timestamp_ntz"),
+    counts = ingest_batch(spark, msgs, broot, "b1", now=ntz(T0),
                           fact_schema=SCHEMA)
     assert counts == {"accepted": 4, "duplicates": 2, "rejected": 2}
     assert _fact_ids(spark, broot) == EXPECTED_IDS
@@ -87,7 +88,7 @@ def test_batch_rerun_is_idempotent_and_reaggregation(spark, tmp_root):
     rows = [(i, 1, "meta", "view", 10, 0, 0, None, None, T0 + (i % 5) * DAY, "EU", None,
              f"k{i}", T0, T0) for i in range(10)]
     df = spark.createDataFrame(rows, SCHEMA)
-    now = F.lit(T0).cast("timestamp_ntz")
+    now = ntz(T0)
     ingest_batch(spark, df, tmp_root, 1, now=now)
     ingest_batch(spark, df, tmp_root, 1, now=now)
     assert storage.read_facts(spark, tmp_root).count() == 10
@@ -108,7 +109,7 @@ def test_windowed_daily_matches_batch_rollup(spark, tmp_root):
     lines = [_msg(i, f"k{i}", T0 + dt.timedelta(hours=7 * i)) for i in range(12)]
     _land(landing, "1.txt", lines)
     stream = spark.readStream.format("text").load(landing)
-    prepared = ingest.prepare(stream, SCHEMA, now=F.lit(T0).cast("timestamp_ntz"), dedup="none")
+    prepared = ingest.prepare(stream, SCHEMA, now=ntz(T0), dedup="none")
     facts = prepared.filter(F.col("reject_reason").isNull()).drop("reject_reason")
     q = (ingest.windowed_daily(facts, "0 seconds").writeStream.format("memory")
          .queryName("wd_test").outputMode("append").trigger(availableNow=True)
@@ -119,7 +120,7 @@ def test_windowed_daily_matches_batch_rollup(spark, tmp_root):
     from adperf.sources import events as ev
     from adperf.operators import validate
     batch = rollup.daily_insights(validate.accepted(validate.validate(
-        ev.decoded_ok(ev.decode_events(msgs, SCHEMA)), now=F.lit(T0).cast("timestamp_ntz"))))
+        ev.decoded_ok(ev.decode_events(msgs, SCHEMA)), now=ntz(T0))))
     want = sorted(map(tuple, batch.collect()))
     # every emitted day equals the batch roll-up; only the last, still open day is missing
     last_day = max(r[1] for r in want)

@@ -2,13 +2,14 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from adperf.functions.dates import ntz
 from adperf.operators import validate
 from helpers import event, events_df, ts
 
 
 def _run(spark, rows):
     df = events_df(spark, rows)
-    return {r.id: r for r in validate.validate(df, now=F.lit(ts(30)).cast("timestamp_ntz"))
+    return {r.id: r for r in validate.validate(df, now=ntz(ts(30)))
             .collect()}
 
 
@@ -59,7 +60,7 @@ def test_missing_id_gets_deterministic_default(spark):
 def test_received_at_default_and_processed_stamp(spark):
     df = events_df(spark, [event(id=1)]).withColumn("received_at", F.lit(None)
                                                     .cast("timestamp_ntz"))
-    now = F.lit(ts(30)).cast("timestamp_ntz")
+    now = ntz(ts(30))
     r = validate.validate(df, now=now).first()
     assert r.received_at == ts(30) and r.processed_at == ts(30)
 
