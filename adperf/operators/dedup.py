@@ -14,6 +14,10 @@ without ordering a whole key in one task:
 3. the accepted nodes are those reachable from each key's first node through ``succ``: pointer
    doubling, ``log2(longest chain)`` rounds of equi-joins. The longest chain is bounded by the
    key's time span divided by the TTL.
+
+Keys with few candidates (the usual case) skip 2-3: their candidates, at most
+``light_limit`` per key, are sorted into one array and folded with ``aggregate`` in a single
+pass. Both paths are exact; only the heavy path is used for keys above the limit.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from adperf import schemas as S
 from adperf.session import checkpoint_dir
@@ -112,21 +117,34 @@ def _materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def first_wins_ttl(df: DataFrame, key: str = "deduplication_key", clock: str = "received_at",
-                   ttl_days: int = S.DEDUP_TTL_DAYS, tie: str = "id",
-                   bucket_hours: int = 24) -> DataFrame:
-    """Rows accepted by a first-wins dedup whose key expires ``ttl_days`` after the last
-    *accepted* row (skipped duplicates do not extend it). Rows with a null key pass through.
+LIGHT_LIMIT = 10_000
 
-    Exact for any data; the number of join rounds is ``ceil(log2(longest chain))``.
-    """
+
+def _fold_light(nodes: DataFrame, key: str, clock: str, ttl_days: int) -> DataFrame:
+    """Exact TTL fold of keys with few candidates: one sorted array per key (bounded by the
+    caller), folded with the built-in ``aggregate``; returns accepted ``(key, clock, _id)``."""
+    t_type = nodes.schema[clock].dataType
+    item = F.struct(F.col(clock).alias("t"), F.col("_id").alias("i"))
+    items = F.array_sort(F.collect_list(item))
     ttl = F.expr(f"INTERVAL {int(ttl_days)} DAYS")
-    keyed = df.filter(F.col(key).isNotNull())
-    unkeyed = df.filter(F.col(key).isNull())
+    elem_type = nodes.select(item.alias("x")).schema["x"].dataType
+    init = F.struct(F.lit(None).cast(t_type).alias("last"),
+                    F.array().cast(T.ArrayType(elem_type)).alias("acc"))
 
-    # 1. one candidate per (key, clock)
-    nodes = _materialize(keyed.groupBy(key, clock).agg(F.min(tie).alias("_id")))
-    # 2. successor of every node
+    def step(acc, x):
+        take = acc["last"].isNull() | (x["t"] >= acc["last"] + ttl)
+        return F.when(take, F.struct(x["t"].alias("last"),
+                                     F.array_append(acc["acc"], x).alias("acc"))).otherwise(acc)
+
+    folded = nodes.groupBy(key).agg(F.aggregate(items, init, step)["acc"].alias("_acc"))
+    return (folded.select(key, F.explode("_acc").alias("_a"))
+            .select(key, F.col("_a.t").alias(clock), F.col("_a.i").alias("_id")))
+
+
+def _chain_heavy(nodes: DataFrame, key: str, clock: str, ttl_days: int,
+                 bucket_hours: int) -> DataFrame:
+    """Exact TTL chain for keys of any size: as-of successor + pointer doubling."""
+    ttl = F.expr(f"INTERVAL {int(ttl_days)} DAYS")
     probes = nodes.select(key, F.col(clock).alias("_t"), (F.col(clock) + ttl).alias("_p"))
     succ = next_at_or_after(probes, nodes, key, "_p", clock, out="_n",
                             bucket_hours=bucket_hours).select(key, "_t", "_n")
@@ -137,7 +155,6 @@ def first_wins_ttl(df: DataFrame, key: str = "deduplication_key", clock: str = "
                  .agg(F.max("d")).first()[0]) or 0
     longest = span_days // ttl_days + 2
     rounds = max(1, math.ceil(math.log2(longest)))  # 2**rounds >= longest
-    # 3. pointer doubling from the heads
     reach = nodes.groupBy(key).agg(F.min(clock).alias("_t"))
     jump = succ  # (key, _t) -> _n = succ^(2^k)
     for k in range(rounds):
@@ -152,8 +169,37 @@ def first_wins_ttl(df: DataFrame, key: str = "deduplication_key", clock: str = "
                 jump.join(j2, (F.col(key) == F.col("_k2")) & (F.col("_n") == F.col("_m")),
                           "left")
                 .select(key, "_t", F.col("_n2").alias("_n")))
-    winners = (reach.join(nodes.withColumnRenamed(clock, "_t"), [key, "_t"])
-               .select(key, F.col("_t").alias(clock), F.col("_id").alias(tie)))
+    return (reach.join(nodes.withColumnRenamed(clock, "_t"), [key, "_t"])
+            .select(key, F.col("_t").alias(clock), "_id"))
+
+
+def first_wins_ttl(df: DataFrame, key: str = "deduplication_key", clock: str = "received_at",
+                   ttl_days: int = S.DEDUP_TTL_DAYS, tie: str = "id",
+                   bucket_hours: int = 24, light_limit: int = LIGHT_LIMIT) -> DataFrame:
+    """Rows accepted by a first-wins dedup whose key expires ``ttl_days`` after the last
+    *accepted* row (skipped duplicates do not extend it). Rows with a null key pass through.
+
+    Exact for any data. Keys with at most ``light_limit`` distinct clock values are folded in
+    one aggregate; heavier keys (a key may hold a third of all rows) take the as-of + pointer
+    doubling path, ``ceil(log2(longest chain))`` rounds of equi-joins, with no group held in one
+    task. ``light_limit=0`` sends every key down the doubling path.
+    """
+    keyed = df.filter(F.col(key).isNotNull())
+    unkeyed = df.filter(F.col(key).isNull())
+
+    # one candidate per (key, clock): rows at the same instant cannot both be accepted
+    nodes = _materialize(keyed.groupBy(key, clock).agg(F.min(tie).alias("_id")))
+    sizes = nodes.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    heavy_keys = sizes.filter(F.col("_n") > light_limit).select(key)
+    parts = []
+    if light_limit > 0:
+        light = nodes.join(sizes.filter(F.col("_n") <= light_limit).select(key), key,
+                           "left_semi")
+        parts.append(_fold_light(light, key, clock, ttl_days))
+    if light_limit <= 0 or heavy_keys.limit(1).count() > 0:
+        heavy = nodes if light_limit <= 0 else nodes.join(heavy_keys, key, "left_semi")
+        parts.append(_chain_heavy(heavy, key, clock, ttl_days, bucket_hours))
+    winners = union_all(parts).select(key, clock, F.col("_id").alias(tie))
     kept = keyed.join(winners, [key, clock, tie], "left_semi")
     return kept.unionByName(unkeyed)
 

@@ -19,8 +19,10 @@ def _ttl_rows(offsets, key="k"):
 def test_ttl_edges(spark):
     offsets = [dt.timedelta(0), 6 * DAY, 7 * DAY - dt.timedelta(microseconds=1), 7 * DAY,
                13 * DAY]
-    kept = dedup.first_wins_ttl(events_df(spark, _ttl_rows(offsets))).collect()
-    assert sorted(r.received_at - T0 for r in kept) == [dt.timedelta(0), 7 * DAY]
+    for limit in (0, 10):
+        kept = dedup.first_wins_ttl(events_df(spark, _ttl_rows(offsets)),
+                                    light_limit=limit).collect()
+        assert sorted(r.received_at - T0 for r in kept) == [dt.timedelta(0), 7 * DAY]
 
 
 def test_skipped_duplicate_does_not_extend_ttl(spark):
@@ -53,15 +55,16 @@ def _brute(rows, ttl=7 * DAY):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_ttl_matches_sequential_fold_with_hot_key(spark, seed):
+@pytest.mark.parametrize("seed,light_limit", [(1, 0), (2, 0), (3, 50), (4, 10_000)])
+def test_ttl_matches_sequential_fold_with_hot_key(spark, seed, light_limit):
     rnd = random.Random(seed)
     rows = []
     for i in range(900):
         key = "hot" if i % 3 == 0 else f"k{rnd.randint(0, 40)}"
         t = T0 + dt.timedelta(minutes=rnd.randint(0, 60 * 24 * 120))
         rows.append(event(id=i, key=key, received_at=t, event_time=t))
-    kept = dedup.first_wins_ttl(events_df(spark, rows), bucket_hours=6)
+    kept = dedup.first_wins_ttl(events_df(spark, rows), bucket_hours=6,
+                                light_limit=light_limit)
     assert {r.id for r in kept.collect()} == _brute(rows)
 
 
