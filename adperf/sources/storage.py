@@ -42,36 +42,50 @@ def _month_of(d: dt.date) -> int:
     return d.year * 100 + d.month
 
 
-def _overwrite(df: DataFrame, path: str, partition_cols: list[str], sort_cols: list[str]):
-    (df.hint("rebalance", *partition_cols)
-       .sortWithinPartitions(*partition_cols, *sort_cols)
-       .write.mode("overwrite")
-       .option("partitionOverwriteMode", "dynamic")
-       .partitionBy(*partition_cols)
-       .parquet(path))
-
-
-def write_facts(facts: DataFrame, root: str, batch_id: str | int) -> None:
+def _overwrite(df: DataFrame, path: str, partition_cols: list[str], sort_cols: list[str],
+               in_stream: bool = False):
+    """Dynamic-overwrite write of the partitions present in ``df``.
+
+    Batch jobs use the ``rebalance`` hint (AQE sizes the tasks). Inside a streaming
+    micro-batch AQE is off and the hint is ignored, so the rows are range-partitioned on
+    (partition columns, key) instead: each task writes a contiguous slice - few files per
+    partition - and a large partition still spreads over several tasks.
+    """
+    if in_stream:
+        laid = df.repartitionByRange(*partition_cols, *sort_cols)
+    else:
+        laid = df.hint("rebalance", *partition_cols)
+    (laid.sortWithinPartitions(*partition_cols, *sort_cols)
+         .write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*partition_cols)
+         .parquet(path))
+
+
+def write_facts(facts: DataFrame, root: str, batch_id: str | int,
+                in_stream: bool = False) -> None:
     """S3: store a batch of facts under its batch id (idempotent per batch id)."""
     out = (facts.select(*[c for c in S.EVENT_SCHEMA.fieldNames() if c in facts.columns])
            .withColumn("event_date", F.to_date(F.col("event_time")))
            .withColumn("ingest_batch", F.lit(str(batch_id))))
     _overwrite(out, os.path.join(root, FACTS), ["event_date", "ingest_batch"],
-               list(S.FACT_KEY))
+               list(S.FACT_KEY), in_stream)
 
 
-def write_rejects(rejects: DataFrame, root: str, batch_id: str | int) -> None:
+def write_rejects(rejects: DataFrame, root: str, batch_id: str | int,
+                  in_stream: bool = False) -> None:
     out = rejects.withColumn("ingest_batch", F.lit(str(batch_id)))
-    _overwrite(out, os.path.join(root, REJECTS), ["ingest_batch"], ["id"])
+    _overwrite(out, os.path.join(root, REJECTS), ["ingest_batch"],
+               ["id"] if "id" in out.columns else [], in_stream)
 
 
-def write_insights(insights: DataFrame, root: str) -> None:
+def write_insights(insights: DataFrame, root: str, in_stream: bool = False) -> None:
     """Replace the months present in ``insights`` (dynamic partition overwrite).
 
     ``insights`` must hold every row of each month it touches.
     """
     out = insights.withColumn("month", _month(F.col("date")))
-    _overwrite(out, os.path.join(root, INSIGHTS), ["month"], list(S.INSIGHT_KEY))
+    _overwrite(out, os.path.join(root, INSIGHTS), ["month"], list(S.INSIGHT_KEY), in_stream)
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:

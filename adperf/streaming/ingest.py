@@ -76,8 +76,8 @@ def batch_writer(root: str, updated_at: Column | None = None):
         try:
             facts = batch.filter(F.col("reject_reason").isNull()).drop("reject_reason")
             rejects = batch.filter(F.col("reject_reason").isNotNull())
-            storage.write_facts(facts, root, epoch_id)
-            storage.write_rejects(rejects, root, epoch_id)
+            storage.write_facts(facts, root, epoch_id, in_stream=True)
+            storage.write_rejects(rejects, root, epoch_id, in_stream=True)
             days = storage.days_of(facts)
             if not days:
                 return
@@ -88,8 +88,11 @@ def batch_writer(root: str, updated_at: Column | None = None):
                 current = current.drop("month")
             stamp = updated_at if updated_at is not None else F.localtimestamp()
             fresh = rollup.apply_increment(current, facts, all_facts, stamp)
-            checkpoint_dir(spark)
-            storage.write_insights(fresh.checkpoint(eager=True), root)
+            if current is not None:
+                # the months being rewritten are also read: cut the lineage first
+                checkpoint_dir(spark)
+                fresh = fresh.checkpoint(eager=True)
+            storage.write_insights(fresh, root, in_stream=True)
         finally:
             batch.unpersist()
 
