@@ -122,21 +122,23 @@ LIGHT_LIMIT = 10_000
 
 def _fold_light(nodes: DataFrame, key: str, clock: str, ttl_days: int) -> DataFrame:
     """Exact TTL fold of keys with few candidates: one sorted array per key (bounded by the
-    caller), folded with the built-in ``aggregate``; returns accepted ``(key, clock, _id)``."""
-    t_type = nodes.schema[clock].dataType
+    caller), folded with the built-in ``aggregate`` starting from the key's seed (``_seed``,
+    its last accepted time before this input, or null); returns accepted
+    ``(key, clock, _id)``."""
     item = F.struct(F.col(clock).alias("t"), F.col("_id").alias("i"))
-    items = F.array_sort(F.collect_list(item))
     ttl = F.expr(f"INTERVAL {int(ttl_days)} DAYS")
     elem_type = nodes.select(item.alias("x")).schema["x"].dataType
-    init = F.struct(F.lit(None).cast(t_type).alias("last"),
-                    F.array().cast(T.ArrayType(elem_type)).alias("acc"))
 
     def step(acc, x):
         take = acc["last"].isNull() | (x["t"] >= acc["last"] + ttl)
         return F.when(take, F.struct(x["t"].alias("last"),
                                      F.array_append(acc["acc"], x).alias("acc"))).otherwise(acc)
 
-    folded = nodes.groupBy(key).agg(F.aggregate(items, init, step)["acc"].alias("_acc"))
+    grouped = nodes.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_items"),
+                                     F.max("_seed").alias("_seed"))
+    init = F.struct(F.col("_seed").alias("last"),
+                    F.array().cast(T.ArrayType(elem_type)).alias("acc"))
+    folded = grouped.select(key, F.aggregate("_items", init, step)["acc"].alias("_acc"))
     return (folded.select(key, F.explode("_acc").alias("_a"))
             .select(key, F.col("_a.t").alias(clock), F.col("_a.i").alias("_id")))
 
@@ -170,12 +172,14 @@ def _chain_heavy(nodes: DataFrame, key: str, clock: str, ttl_days: int,
                           "left")
                 .select(key, "_t", F.col("_n2").alias("_n")))
     return (reach.join(nodes.withColumnRenamed(clock, "_t"), [key, "_t"])
+            .filter(F.col("_id").isNotNull())  # seed nodes were accepted earlier
             .select(key, F.col("_t").alias(clock), "_id"))
 
 
 def first_wins_ttl(df: DataFrame, key: str = "deduplication_key", clock: str = "received_at",
                    ttl_days: int = S.DEDUP_TTL_DAYS, tie: str = "id",
-                   bucket_hours: int = 24, light_limit: int = LIGHT_LIMIT) -> DataFrame:
+                   bucket_hours: int = 24, light_limit: int = LIGHT_LIMIT,
+                   seeds: DataFrame | None = None) -> DataFrame:
     """Rows accepted by a first-wins dedup whose key expires ``ttl_days`` after the last
     *accepted* row (skipped duplicates do not extend it). Rows with a null key pass through.
 
@@ -183,12 +187,25 @@ def first_wins_ttl(df: DataFrame, key: str = "deduplication_key", clock: str = "
     one aggregate; heavier keys (a key may hold a third of all rows) take the as-of + pointer
     doubling path, ``ceil(log2(longest chain))`` rounds of equi-joins, with no group held in one
     task. ``light_limit=0`` sends every key down the doubling path.
+
+    ``seeds`` (``key``, ``last_accepted``) continues an earlier run: a key's chain starts at its
+    last accepted time, so rows before it or within ``ttl`` of it are duplicates. This is how a
+    stream applies the same exact rule batch by batch.
     """
     keyed = df.filter(F.col(key).isNotNull())
     unkeyed = df.filter(F.col(key).isNull())
 
     # one candidate per (key, clock): rows at the same instant cannot both be accepted
-    nodes = _materialize(keyed.groupBy(key, clock).agg(F.min(tie).alias("_id")))
+    nodes = keyed.groupBy(key, clock).agg(F.min(tie).alias("_id"))
+    t_type = nodes.schema[clock].dataType
+    if seeds is not None:
+        last = seeds.groupBy(key).agg(F.max("last_accepted").cast(t_type).alias("_seed"))
+        # rows at or before the seed can never be accepted again
+        nodes = (nodes.join(last, key, "left")
+                 .filter(F.col("_seed").isNull() | (F.col(clock) > F.col("_seed"))))
+    else:
+        nodes = nodes.withColumn("_seed", F.lit(None).cast(t_type))
+    nodes = _materialize(nodes)
     sizes = nodes.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     heavy_keys = sizes.filter(F.col("_n") > light_limit).select(key)
     parts = []
@@ -198,6 +215,10 @@ def first_wins_ttl(df: DataFrame, key: str = "deduplication_key", clock: str = "
         parts.append(_fold_light(light, key, clock, ttl_days))
     if light_limit <= 0 or heavy_keys.limit(1).count() > 0:
         heavy = nodes if light_limit <= 0 else nodes.join(heavy_keys, key, "left_semi")
+        seed_nodes = (heavy.filter(F.col("_seed").isNotNull())
+                      .select(key, F.col("_seed").alias(clock)).distinct()
+                      .withColumn("_id", F.lit(None).cast(heavy.schema["_id"].dataType)))
+        heavy = heavy.select(key, clock, "_id").unionByName(seed_nodes)
         parts.append(_chain_heavy(heavy, key, clock, ttl_days, bucket_hours))
     winners = union_all(parts).select(key, clock, F.col("_id").alias(tie))
     kept = keyed.join(winners, [key, clock, tie], "left_semi")

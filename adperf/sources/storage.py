@@ -9,6 +9,8 @@ Layout under a root folder (a shared file system or object store on a cluster):
   reads that day's facts, not a month's.
 - ``insights/month=YYYYMM/``  - daily insights; rewrites replace whole months.
 - ``rejects/ingest_batch=<id>/`` - rejected events with their reason.
+- ``dedup_state/state_day=YYYY-MM-DD/epoch=<n>/`` - last accepted time per dedup key, as of
+  each micro-batch; only the days of one TTL window are ever read back.
 
 Writes use a ``rebalance`` hint on the partition column, so AQE sizes the output tasks (and
 splits a month that holds most of the data) instead of one task per month or one file per
@@ -32,6 +34,7 @@ from adperf import schemas as S
 FACTS = "facts"
 INSIGHTS = "insights"
 REJECTS = "rejects"
+DEDUP_STATE = "dedup_state"
 
 
 def _month(c) -> F.Column:
@@ -132,6 +135,26 @@ def read_insights(spark: SparkSession, root: str, months: list[int] | None = Non
     return df
 
 
+def write_dedup_state(accepted: DataFrame, root: str, epoch: int, key: str = "deduplication_key",
+                      clock: str = "received_at", in_stream: bool = False) -> None:
+    """Last accepted time per key of one micro-batch (idempotent per epoch)."""
+    out = (accepted.groupBy(key).agg(F.max(clock).alias("last_accepted"))
+           .withColumn("state_day", F.to_date("last_accepted"))
+           .withColumn("epoch", F.lit(int(epoch))))
+    _overwrite(out, os.path.join(root, DEDUP_STATE), ["state_day", "epoch"], [key], in_stream)
+
+
+def read_dedup_state(spark: SparkSession, root: str, since: dt.date,
+                     before_epoch: int) -> DataFrame | None:
+    """``(key, last_accepted)`` entries from ``since`` on, written by earlier epochs only (a
+    replayed epoch must not see its own first attempt). None when there is no state yet."""
+    df = _read(spark, os.path.join(root, DEDUP_STATE))
+    if df is None:
+        return None
+    return (df.filter((F.col("state_day") >= F.lit(since)) & (F.col("epoch") < before_epoch))
+            .drop("state_day", "epoch"))
+
+
 def days_of(df: DataFrame, col: str = "event_time") -> list[dt.date]:
     """Distinct days a batch covers - bounded by the days it spans, used for pruning."""
     return sorted(r[0] for r in df.select(F.to_date(F.col(col)).alias("d")).distinct().collect()

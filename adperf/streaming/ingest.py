@@ -14,20 +14,22 @@ Sums are never incremented in place, so replays cannot double count (T2).
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adperf.operators import rollup, validate
+from adperf import schemas as S
+from adperf.operators import dedup, rollup, validate
 from adperf.operators.dedup import latest_facts
 from adperf.session import checkpoint_dir
 from adperf.sources import events as ev
 from adperf.sources import storage
 from adperf.streaming.dedup_state import drop_within_ttl, first_wins_ttl_stream
 
-DEDUP_MODES = ("exact", "watermark", "none")
+DEDUP_MODES = ("exact", "table", "watermark", "none")
 
 
 def prepare(stream: DataFrame, fact_schema=None, now: Column | None = None,
@@ -37,7 +39,10 @@ def prepare(stream: DataFrame, fact_schema=None, now: Column | None = None,
     The result holds accepted rows and rejected rows together; rejected rows carry
     ``reject_reason`` (decode failures included) and skip the dedup state, so an invalid
     message never consumes a dedup key. ``dedup``: ``exact`` (TTL restarts on accepted rows,
-    Python per key), ``watermark`` (JVM state, see :func:`drop_within_ttl`) or ``none``.
+    state store, one Python call per key per micro-batch), ``table`` (the same exact rule,
+    JVM only, applied by :func:`batch_writer` against a dedup-state table - pass
+    ``dedup_table=True`` to :func:`start`), ``watermark`` (JVM state, see
+    :func:`drop_within_ttl`) or ``none``.
     """
     if dedup not in DEDUP_MODES:
         raise ValueError(f"dedup must be one of {DEDUP_MODES}")
@@ -51,7 +56,7 @@ def prepare(stream: DataFrame, fact_schema=None, now: Column | None = None,
     checked = validate.validate(events, now=now, processed_at=processed_at)
     good = validate.accepted(checked)
     if dedup == "exact":
-        good = first_wins_ttl_stream(good)
+        good = first_wins_ttl_stream(good)  # "table": applied later, in batch_writer
     elif dedup == "watermark":
         good = drop_within_ttl(good)
     out = good.withColumn("reject_reason", F.lit(None).cast("string")) \
@@ -65,8 +70,30 @@ def prepare(stream: DataFrame, fact_schema=None, now: Column | None = None,
     return out
 
 
-def batch_writer(root: str, updated_at: Column | None = None):
-    """The ``foreachBatch`` function: store facts and rejects, refresh touched days."""
+def _dedup_against_table(spark: SparkSession, valid: DataFrame, root: str,
+                        epoch_id: int) -> DataFrame:
+    """Exact TTL dedup of one micro-batch, seeded with the keys' last accepted times."""
+    first_day = valid.agg(F.min(F.to_date("received_at"))).first()[0]
+    if first_day is None:
+        return valid
+    since = first_day - dt.timedelta(days=S.DEDUP_TTL_DAYS + 1)
+    seeds = storage.read_dedup_state(spark, root, since, epoch_id)
+    if seeds is not None:
+        seeds = seeds.join(valid.select("deduplication_key").distinct(), "deduplication_key",
+                           "left_semi")
+    kept = dedup.first_wins_ttl(valid, seeds=seeds)
+    checkpoint_dir(spark)
+    kept = kept.checkpoint(eager=True)
+    storage.write_dedup_state(kept, root, epoch_id, in_stream=True)
+    return kept
+
+
+def batch_writer(root: str, updated_at: Column | None = None, dedup_table: bool = False):
+    """The ``foreachBatch`` function: store facts and rejects, refresh touched days.
+
+    With ``dedup_table`` the batch's valid rows first go through the exact TTL dedup against
+    the dedup-state table (see :func:`_dedup_against_table`).
+    """
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
@@ -76,6 +103,8 @@ def batch_writer(root: str, updated_at: Column | None = None):
         try:
             facts = batch.filter(F.col("reject_reason").isNull()).drop("reject_reason")
             rejects = batch.filter(F.col("reject_reason").isNotNull())
+            if dedup_table:
+                facts = _dedup_against_table(spark, facts, root, epoch_id)
             storage.write_facts(facts, root, epoch_id, in_stream=True)
             storage.write_rejects(rejects, root, epoch_id, in_stream=True)
             days = storage.days_of(facts)
@@ -100,9 +129,10 @@ def batch_writer(root: str, updated_at: Column | None = None):
 
 
 def start(prepared: DataFrame, root: str, checkpoint: str, available_now: bool = True,
-          processing_time: str | None = None, updated_at: Column | None = None):
+          processing_time: str | None = None, updated_at: Column | None = None,
+          dedup_table: bool = False):
     """Run the ingest as one streaming query; returns the ``StreamingQuery``."""
-    w = (prepared.writeStream.foreachBatch(batch_writer(root, updated_at))
+    w = (prepared.writeStream.foreachBatch(batch_writer(root, updated_at, dedup_table))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else \
         w.trigger(processingTime=processing_time or "1 minute")
@@ -133,3 +163,13 @@ def windowed_daily(facts: DataFrame, lateness: str = "2 days") -> DataFrame:
     return grouped.select(
         "campaign_id", F.to_date(F.col("w.start")).alias("date"), "platform", "region",
         *S.COUNTERS, *[F.col(c).cast("double").alias(c) for c in S.AMOUNTS], *ratio_columns())
+
+
+def run(stream: DataFrame, root: str, checkpoint: str, fact_schema=None, dedup: str = "table",
+        now: Column | None = None, processed_at: Column | None = None,
+        available_now: bool = True, processing_time: str | None = None):
+    """T1 in one call: ``prepare`` + ``start`` with a consistent dedup mode (default: the exact
+    TTL rule, JVM only, against the dedup-state table). Returns the ``StreamingQuery``."""
+    prepared = prepare(stream, fact_schema, now=now, processed_at=processed_at, dedup=dedup)
+    return start(prepared, root, checkpoint, available_now=available_now,
+                 processing_time=processing_time, dedup_table=dedup == "table")

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adperf.operators import dedup
@@ -98,3 +99,23 @@ def test_latest_insights_by_updated_at(spark):
                       T.StructField("clicks", T.LongType()),
                       T.StructField("updated_at", T.TimestampNTZType())]))
     assert [r.clicks for r in dedup.latest_insights(df).collect()] == [9]
+
+
+@pytest.mark.parametrize("light_limit", [0, 10_000])
+def test_seeds_continue_an_earlier_run(spark, light_limit):
+    rnd = random.Random(7)
+    rows = []
+    for i in range(400):
+        key = "hot" if i % 2 == 0 else f"k{rnd.randint(0, 15)}"
+        t = T0 + dt.timedelta(minutes=rnd.randint(0, 60 * 24 * 60))
+        rows.append(event(id=i, key=key, received_at=t, event_time=t))
+    rows.sort(key=lambda r: r[13])
+    first, second = rows[:200], rows[200:]
+    want = _brute(rows)
+    kept1 = dedup.first_wins_ttl(events_df(spark, first), light_limit=light_limit)
+    got1 = {r.id: r for r in kept1.collect()}
+    seeds = kept1.groupBy("deduplication_key").agg(
+        F.max("received_at").alias("last_accepted"))
+    kept2 = dedup.first_wins_ttl(events_df(spark, second), light_limit=light_limit,
+                                 seeds=seeds)
+    assert set(got1) | {r.id for r in kept2.collect()} == want

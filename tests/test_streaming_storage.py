@@ -2,6 +2,7 @@ import datetime as dt
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,7 +43,7 @@ def _run_stream(spark, landing, root, dedup="exact"):
     stream = spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(landing)
     prepared = ingest.prepare(stream, SCHEMA, now=ntz(T0),
                               dedup=dedup)
-    q = ingest.start(prepared, root, os.path.join(root, "_ck"))
+    q = ingest.start(prepared, root, os.path.join(root, "_ck"), dedup_table=dedup == "table")
     q.awaitTermination()
 
 
@@ -50,15 +51,16 @@ def _fact_ids(spark, root):
     return {r.id for r in storage.read_facts(spark, root).collect()}
 
 
-def test_stream_equals_batch_and_survives_restart(spark, tmp_root):
+@pytest.mark.parametrize("mode", ["exact", "table"])
+def test_stream_equals_batch_and_survives_restart(spark, tmp_root, mode):
     landing, root = os.path.join(tmp_root, "in"), os.path.join(tmp_root, "store")
     _land(landing, "1.txt", FILE1)
-    _run_stream(spark, landing, root)
+    _run_stream(spark, landing, root, mode)
     assert _fact_ids(spark, root) == {1, 2}
     _land(landing, "2.txt", FILE2)           # restart from the checkpoint with a new file
-    _run_stream(spark, landing, root)
+    _run_stream(spark, landing, root, mode)
     assert _fact_ids(spark, root) == EXPECTED_IDS
-    _run_stream(spark, landing, root)        # replay: nothing new
+    _run_stream(spark, landing, root, mode)  # replay: nothing new
     assert _fact_ids(spark, root) == EXPECTED_IDS
     rejects = spark.read.parquet(os.path.join(root, storage.REJECTS))
     assert sorted(r.reject_reason for r in rejects.collect()) == ["malformed JSON",
