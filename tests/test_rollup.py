@@ -119,4 +119,3 @@ def test_owner_access_check(spark):
     req = spark.createDataFrame([(100, 1), (100, 2), (100, 3)], "user_id long, campaign_id long")
     got = {r.campaign_id: r.access for r in insights.authorized_requests(req, camps).collect()}
     assert got == {1: "ok", 2: "forbidden", 3: "not_found"}
-    assert Decimal("1") == 1
