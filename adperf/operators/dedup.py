@@ -178,7 +178,7 @@ def _chain_heavy(nodes: DataFrame, key: str, clock: str, ttl_days: int,
 
 def first_wins_ttl(df: DataFrame, key: str = "deduplication_key", clock: str = "received_at",
                    ttl_days: int = S.DEDUP_TTL_DAYS, tie: str = "id",
-                   bucket_hours: int = 24, light_limit: int = LIGHT_LIMIT,
+                   bucket_hours: int = 1, light_limit: int = LIGHT_LIMIT,
                    seeds: DataFrame | None = None) -> DataFrame:
     """Rows accepted by a first-wins dedup whose key expires ``ttl_days`` after the last
     *accepted* row (skipped duplicates do not extend it). Rows with a null key pass through.
