@@ -351,18 +351,17 @@ def q_payload_flatten(spark, sf_dir):
 
 
 def q_stream_ingest(spark, sf_dir):
-    """The events table as a file stream through ingest (validation, replay
-    dedup on the per-event key in the JVM state store, fact storage, incremental insights);
-    returns the stored insight table."""
+    """The events table as a file stream through ingest (validation, exact TTL
+    dedup on the per-event replay key against the dedup-state table, fact storage,
+    incremental insights); returns the stored insight table."""
     schema = tables.table(spark, sf_dir, "events").schema
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
               .parquet(sf_dir))
     raw = tables.with_driver_event_fields(tables.ad_events_raw(spark, sf_dir, events=stream),
                                           ("platform", "id"))
-    prepared = ingest.prepare(raw, now=F.col("received_at"), processed_at=F.col("processed_at"),
-                              dedup="watermark")
     root = ingest.scratch_root(spark, "stream-ingest")
-    query = ingest.start(prepared, root, os.path.join(root, "_checkpoint"))
+    query = ingest.run(raw, root, os.path.join(root, "_checkpoint"), dedup="table",
+                       now=F.col("received_at"), processed_at=F.col("processed_at"))
     query.awaitTermination()
     return storage.read_insights(spark, root).select(*INSIGHT_OUT)
 

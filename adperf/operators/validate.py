@@ -32,9 +32,13 @@ def _default_text(c: str, default: str) -> Column:
     return F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(default)).alias(c)
 
 
-def with_reject_reason(df: DataFrame) -> DataFrame:
-    """Add ``reject_reason``: first failing check in the original order, else null."""
-    reason = (F.when(is_missing_id(F.col("campaign_id")), F.lit(S.REJECT_MISSING_CAMPAIGN))
+def with_reject_reason(df: DataFrame, prior: Column | None = None) -> DataFrame:
+    """Add ``reject_reason``: first failing check in the original order, else null.
+
+    ``prior`` is a reason found before validation (a decode error); it wins when not null.
+    """
+    reason = (F.when(prior.isNotNull() if prior is not None else F.lit(False), prior)
+              .when(is_missing_id(F.col("campaign_id")), F.lit(S.REJECT_MISSING_CAMPAIGN))
               .when(_blank(F.col("platform")), F.lit(S.REJECT_MISSING_PLATFORM))
               .when(_missing_time(F.col("event_time")), F.lit(S.REJECT_MISSING_EVENT_TIME))
               .when(_blank(F.col("deduplication_key")), F.lit(S.REJECT_MISSING_DEDUP_KEY)))
@@ -42,8 +46,8 @@ def with_reject_reason(df: DataFrame) -> DataFrame:
 
 
 def normalise(df: DataFrame, now: Column | None = None,
-              processed_at: Column | None = None) -> DataFrame:
-    """Defaults, clamps and stamps; keeps ``reject_reason`` if present.
+              processed_at: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Defaults, clamps and stamps; keeps ``reject_reason`` and the ``keep`` columns.
 
     ``now`` stands in for the wall clock (``received_at`` default); ``processed_at`` defaults
     to ``now``. Pass fixed columns for replayable results.
@@ -81,13 +85,15 @@ def normalise(df: DataFrame, now: Column | None = None,
     ]
     if "reject_reason" in df.columns:
         cols.append(F.col("reject_reason"))
+    cols += [F.col(c) for c in keep if c in df.columns]
     return df.select(*cols)
 
 
-def validate(df: DataFrame, now: Column | None = None,
-             processed_at: Column | None = None) -> DataFrame:
+def validate(df: DataFrame, now: Column | None = None, processed_at: Column | None = None,
+             prior: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Validated and normalised events with a ``reject_reason`` column."""
-    return normalise(with_reject_reason(df), now=now, processed_at=processed_at)
+    return normalise(with_reject_reason(df, prior), now=now, processed_at=processed_at,
+                     keep=keep)
 
 
 def accepted(validated: DataFrame) -> DataFrame:

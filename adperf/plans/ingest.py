@@ -24,22 +24,18 @@ def ingest_batch(spark: SparkSession, incoming: DataFrame, root: str, batch_id:
     if "value" in incoming.columns:
         decoded = ev.decode_events(incoming, fact_schema) if fact_schema is not None \
             else ev.decode_events(incoming)
-        bad = ev.decode_rejects(decoded).select(
-            F.col("raw_value"), F.col("decode_error").alias("reject_reason"))
-        incoming = ev.decoded_ok(decoded)
+        checked = validate.validate(decoded, now=now, processed_at=processed_at,
+                                    prior=F.col("decode_error"), keep=("raw_value",))
     else:
-        bad = None
-    checked = validate.validate(incoming, now=now, processed_at=processed_at)
+        checked = validate.validate(incoming, now=now, processed_at=processed_at)
     checkpoint_dir(spark)
-    checked = checked.checkpoint(eager=True)
-    good = validate.accepted(checked)
+    checked = checked.checkpoint(eager=True)  # one decode + validation pass for both outputs
+    good = validate.accepted(checked).drop("raw_value")
     kept = dedup.first_wins_ttl(good) if ttl_dedup else good
     kept = kept.checkpoint(eager=True)
     storage.write_facts(kept, root, batch_id)
     rejects = validate.rejected(checked)
     storage.write_rejects(rejects, root, batch_id)
-    if bad is not None:
-        storage.write_rejects(bad, root, f"{batch_id}-decode")
     days = storage.days_of(kept)
     if days:
         all_facts = dedup.latest_facts(storage.read_facts(spark, root, days=days))
@@ -50,5 +46,4 @@ def ingest_batch(spark: SparkSession, incoming: DataFrame, root: str, batch_id:
         fresh = rollup.apply_increment(current, kept, all_facts, F.localtimestamp())
         storage.write_insights(fresh.checkpoint(eager=True), root)
     n_good, n_kept = good.count(), kept.count()
-    return {"accepted": n_kept, "duplicates": n_good - n_kept,
-            "rejected": rejects.count() + (bad.count() if bad is not None else 0)}
+    return {"accepted": n_kept, "duplicates": n_good - n_kept, "rejected": rejects.count()}

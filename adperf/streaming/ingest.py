@@ -43,31 +43,26 @@ def prepare(stream: DataFrame, fact_schema=None, now: Column | None = None,
     JVM only, applied by :func:`batch_writer` against a dedup-state table - pass
     ``dedup_table=True`` to :func:`start`), ``watermark`` (JVM state, see
     :func:`drop_within_ttl`) or ``none``.
+
+    With ``table`` and ``none`` the plan is one branch (the source is read once per
+    micro-batch); the state-store modes split valid and rejected rows around the stateful
+    operator, which reads the source twice.
     """
     if dedup not in DEDUP_MODES:
         raise ValueError(f"dedup must be one of {DEDUP_MODES}")
     if "value" in stream.columns:
         decoded = ev.decode_events(stream, fact_schema) if fact_schema is not None \
             else ev.decode_events(stream)
-        bad = ev.decode_rejects(decoded)
-        events = ev.decoded_ok(decoded)
+        checked = validate.validate(decoded, now=now, processed_at=processed_at,
+                                    prior=F.col("decode_error"), keep=("raw_value",))
     else:
-        bad, events = None, stream
-    checked = validate.validate(events, now=now, processed_at=processed_at)
+        checked = validate.validate(stream, now=now, processed_at=processed_at)
+    if dedup in ("table", "none"):
+        return checked
     good = validate.accepted(checked)
-    if dedup == "exact":
-        good = first_wins_ttl_stream(good)  # "table": applied later, in batch_writer
-    elif dedup == "watermark":
-        good = drop_within_ttl(good)
-    out = good.withColumn("reject_reason", F.lit(None).cast("string")) \
-              .unionByName(validate.rejected(checked))
-    if bad is not None:
-        shaped = bad.select(*[F.col(c) if c in bad.columns else F.lit(None)
-                              .cast(out.schema[c].dataType).alias(c)
-                              for c in out.columns if c != "reject_reason"],
-                            F.col("decode_error").alias("reject_reason"))
-        out = out.unionByName(shaped)
-    return out
+    good = first_wins_ttl_stream(good) if dedup == "exact" else drop_within_ttl(good)
+    return (good.withColumn("reject_reason", F.lit(None).cast("string"))
+            .unionByName(validate.rejected(checked), allowMissingColumns=True))
 
 
 def _dedup_against_table(spark: SparkSession, valid: DataFrame, root: str,
@@ -101,7 +96,8 @@ def batch_writer(root: str, updated_at: Column | None = None, dedup_table: bool
             return
         batch = batch.persist()
         try:
-            facts = batch.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+            facts = batch.filter(F.col("reject_reason").isNull()).drop("reject_reason",
+                                                                       "raw_value")
             rejects = batch.filter(F.col("reject_reason").isNotNull())
             if dedup_table:
                 facts = _dedup_against_table(spark, facts, root, epoch_id)
