@@ -20,10 +20,30 @@ BASE_CONF = {
 }
 
 
+# Starting point for a large cluster (hundreds of executors, tens of TB per job). Shuffle
+# partitions start high and AQE coalesces them to ~256 MB; scans split files at 256 MB;
+# broadcast stays behind AQE's runtime size check; streaming state lives in RocksDB so
+# millions of dedup keys do not sit on the JVM heap.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.parquet.compression.codec": "zstd",
+}
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "adperf", extra: dict | None = None,
-                  driver_memory: str | None = "8g") -> SparkSession:
-    """Get or create a session with :data:`BASE_CONF`.
+                  driver_memory: str | None = "8g", cluster: bool = False) -> SparkSession:
+    """Get or create a session with :data:`BASE_CONF` (plus :data:`CLUSTER_CONF` when
+    ``cluster``).
 
     ``master``, ``shuffle_partitions`` and ``driver_memory`` are only for local runs (in
     local mode the driver JVM is the only executor); on a cluster the launcher sets them.
@@ -32,6 +52,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
+    if cluster:
+        conf.update(CLUSTER_CONF)
     if master and master.startswith("local") and driver_memory:
         conf["spark.driver.memory"] = driver_memory
     if shuffle_partitions:
