@@ -253,12 +253,9 @@ def q_budget_status(spark, sf_dir):
 
 def q_spend_rejects(spark, sf_dir):
     """U4 + J3: invalid amounts and increments for unknown campaigns."""
-    inc = tables.spend_increments(spark, sf_dir)
-    valid, bad = budget.split_increments(inc)
-    unknown = campaigns.orphans(valid, tables.ad_campaigns(spark, sf_dir)) \
-        .withColumn("reason", F.lit("campaign not found"))
-    return bad.unionByName(unknown).select(
-        "campaign_id", F.col("spend").cast("double").alias("spend"), "reason")
+    rejects = budget.increment_rejects(tables.spend_increments(spark, sf_dir),
+                                       tables.ad_campaigns(spark, sf_dir))
+    return rejects.select("campaign_id", F.col("spend").cast("double").alias("spend"), "reason")
 
 
 # ---- C1-C4 -------------------------------------------------------------------------------

@@ -16,14 +16,17 @@ from adperf import schemas as S
 SPEND_TYPE = "decimal(18,2)"
 
 
+def _increment_reason() -> F.Column:
+    amount = F.col("spend")
+    return (F.when(F.col("campaign_id").isNull(), F.lit("campaign ID is required"))
+            .when(amount.isNull() | (amount == 0), F.lit("spend is required"))
+            .when(amount < 0, F.lit("spend amount cannot be negative")))
+
+
 def split_increments(increments: DataFrame) -> tuple[DataFrame, DataFrame]:
     """U4: ``(valid, rejects)``. A missing, zero or negative amount is rejected; a missing
     campaign id is rejected too. ``rejects`` carries ``reason``."""
-    amount = F.col("spend")
-    reason = (F.when(F.col("campaign_id").isNull(), F.lit("campaign ID is required"))
-              .when(amount.isNull() | (amount == 0), F.lit("spend is required"))
-              .when(amount < 0, F.lit("spend amount cannot be negative")))
-    tagged = increments.withColumn("reason", reason)
+    tagged = increments.withColumn("reason", _increment_reason())
     return (tagged.filter(F.col("reason").isNull()).drop("reason"),
             tagged.filter(F.col("reason").isNotNull()))
 
@@ -54,3 +57,15 @@ def budget_status(budgets: DataFrame, totals: DataFrame) -> DataFrame:
                     remaining.cast("double").alias("remaining"),
                     F.when(remaining <= 0, F.lit(S.STATUS_OVERSPENT))
                      .otherwise(F.lit(S.STATUS_ACTIVE)).alias("status")))
+
+
+def increment_rejects(increments: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """U4 + J3 in one pass: invalid increments and increments of unknown campaigns, with
+    ``reason``. One left join to the campaign keys; the increments are scanned once."""
+    known = campaigns.select(F.col("id").alias("campaign_id"), F.lit(True).alias("_known"))
+    reason = F.coalesce(_increment_reason(),
+                        F.when(F.col("_known").isNull(), F.lit("campaign not found")))
+    return (increments.join(known, "campaign_id", "left")
+            .withColumn("reason", reason)
+            .filter(F.col("reason").isNotNull())
+            .drop("_known"))

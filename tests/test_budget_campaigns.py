@@ -28,6 +28,8 @@ def test_budget_status_edges(spark):
     assert "x" not in status
     orphans = campaigns.orphans(valid, budgets)
     assert [r.campaign_id for r in orphans.collect()] == ["x"]
+    one_pass = [(r.campaign_id, r.reason) for r in budget.increment_rejects(inc, budgets).collect()]
+    assert ("x", "campaign not found") in one_pass and len(one_pass) == 5
 
 
 def test_stored_spend_is_added(spark):
