@@ -172,7 +172,7 @@ def _chain_heavy(nodes: DataFrame, key: str, clock: str, ttl_days: int,
                           "left")
                 .select(key, "_t", F.col("_n2").alias("_n")))
     return (reach.join(nodes.withColumnRenamed(clock, "_t"), [key, "_t"])
-            .filter(F.col("_id").isNotNull())  # seed nodes were accepted earlier
+            .filter(~F.col("_is_seed"))  # seed nodes were accepted by an earlier run
             .select(key, F.col("_t").alias(clock), "_id"))
 
 
@@ -217,11 +217,16 @@ def first_wins_ttl(df: DataFrame, key: str = "deduplication_key", clock: str = "
         heavy = nodes if light_limit <= 0 else nodes.join(heavy_keys, key, "left_semi")
         seed_nodes = (heavy.filter(F.col("_seed").isNotNull())
                       .select(key, F.col("_seed").alias(clock)).distinct()
-                      .withColumn("_id", F.lit(None).cast(heavy.schema["_id"].dataType)))
-        heavy = heavy.select(key, clock, "_id").unionByName(seed_nodes)
+                      .withColumn("_id", F.lit(None).cast(heavy.schema["_id"].dataType))
+                      .withColumn("_is_seed", F.lit(True)))
+        heavy = (heavy.select(key, clock, "_id").withColumn("_is_seed", F.lit(False))
+                 .unionByName(seed_nodes))
         parts.append(_chain_heavy(heavy, key, clock, ttl_days, bucket_hours))
-    winners = union_all(parts).select(key, clock, F.col("_id").alias(tie))
-    kept = keyed.join(winners, [key, clock, tie], "left_semi")
+    winners = union_all(parts).select(F.col(key).alias("_wk"), F.col(clock).alias("_wc"),
+                                      F.col("_id").alias("_wi"))
+    match = ((F.col(key) == F.col("_wk")) & (F.col(clock) == F.col("_wc"))
+             & F.col(tie).eqNullSafe(F.col("_wi")))
+    kept = keyed.join(winners, match, "left_semi")
     return kept.unionByName(unkeyed)
 
 

@@ -37,6 +37,13 @@ def test_same_time_ties_keep_smallest_id(spark):
     assert [r.id for r in dedup.first_wins_ttl(events_df(spark, rows)).collect()] == [3]
 
 
+def test_null_ids_are_kept_by_both_paths(spark):
+    rows = [event(id=None, key="k", received_at=T0), event(id=None, key="k",
+                                                           received_at=T0 + 8 * DAY)]
+    for limit in (0, 10):
+        assert dedup.first_wins_ttl(events_df(spark, rows), light_limit=limit).count() == 2
+
+
 def test_null_key_passes_through(spark):
     rows = [event(id=1, key=None), event(id=2, key=None)]
     assert dedup.first_wins_ttl(events_df(spark, rows)).count() == 2
