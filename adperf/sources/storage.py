@@ -175,3 +175,21 @@ def ensure_tables(spark: SparkSession, root: str, fact_schema=S.EVENT_SCHEMA,
     for name, df, parts in ((FACTS, empty_facts, ["event_date", "ingest_batch"]),
                             (INSIGHTS, empty_insights, ["month"])):
         df.write.mode("ignore").partitionBy(*parts).parquet(os.path.join(root, name))
+
+
+def register_tables(spark: SparkSession, root: str, database: str = "adperf") -> list[str]:
+    """Expose the stored tables to Spark SQL as external Parquet tables
+    (``<database>.facts``, ``.insights``, ``.rejects``, ``.dedup_state``), partitions
+    discovered from the folders. Idempotent; returns the registered names."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    names = []
+    for name in (FACTS, INSIGHTS, REJECTS, DEDUP_STATE):
+        path = os.path.join(root, name)
+        if _read(spark, path) is None:
+            continue
+        full = f"{database}.{name}"
+        if not spark.catalog.tableExists(full):
+            spark.catalog.createTable(full, path=path, source="parquet")
+        spark.catalog.recoverPartitions(full)
+        names.append(full)
+    return names

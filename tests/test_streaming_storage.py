@@ -100,6 +100,10 @@ def test_batch_rerun_is_idempotent_and_reaggregation(spark, tmp_root):
     after = sorted(map(tuple, storage.read_insights(spark, tmp_root)
                        .select(*S.INSIGHT_COLUMNS).collect()))
     assert before == after and len(after) == 5
+    names = storage.register_tables(spark, tmp_root, "adperf_test")
+    assert "adperf_test.insights" in names
+    assert spark.sql("SELECT count(*) FROM adperf_test.facts WHERE event_date >= "
+                     "DATE'2024-01-02' AND event_date <= DATE'2024-01-03'").first()[0] == 4
     facts = storage.read_facts(spark, tmp_root, start=dt.date(2024, 1, 2),
                                end=dt.date(2024, 1, 3))
     assert facts.count() == 4
