@@ -118,6 +118,16 @@ def _materialize(df: DataFrame) -> DataFrame:
 
 
 LIGHT_LIMIT = 10_000
+# Broadcast bound for key lists (heavy keys, seeds); above it the joins shuffle and AQE splits
+# skewed partitions.
+KEY_BROADCAST_LIMIT = 1_000_000
+
+
+def _key_side(keys: DataFrame) -> DataFrame:
+    """Broadcast a key list when a bounded count proves it small; otherwise leave the join
+    to the planner (a shuffle join, with AQE's skew split)."""
+    return F.broadcast(keys) if keys.limit(KEY_BROADCAST_LIMIT + 1).count() \
+        <= KEY_BROADCAST_LIMIT else keys
 
 
 def _fold_light(nodes: DataFrame, key: str, clock: str, ttl_days: int) -> DataFrame:
@@ -199,21 +209,27 @@ def first_wins_ttl(df: DataFrame, key: str = "deduplication_key", clock: str = "
     nodes = keyed.groupBy(key, clock).agg(F.min(tie).alias("_id"))
     t_type = nodes.schema[clock].dataType
     if seeds is not None:
-        last = seeds.groupBy(key).agg(F.max("last_accepted").cast(t_type).alias("_seed"))
+        last = _materialize(seeds.groupBy(key).agg(
+            F.max("last_accepted").cast(t_type).alias("_seed")))
         # rows at or before the seed can never be accepted again
-        nodes = (nodes.join(last, key, "left")
+        nodes = (nodes.join(_key_side(last), key, "left")
                  .filter(F.col("_seed").isNull() | (F.col(clock) > F.col("_seed"))))
     else:
         nodes = nodes.withColumn("_seed", F.lit(None).cast(t_type))
     nodes = _materialize(nodes)
-    sizes = nodes.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    heavy_keys = sizes.filter(F.col("_n") > light_limit).select(key)
+    # keys above the limit: at most (candidates / limit) of them, usually none. The split
+    # never shuffles the candidates by key alone (a hot key would land in one task): with no
+    # heavy key there is no join, otherwise the bounded key list is broadcast when small.
+    heavy_keys = (nodes.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+                  .filter(F.col("_n") > light_limit).select(key))
+    has_heavy = light_limit <= 0 or heavy_keys.limit(1).count() > 0
+    if has_heavy and light_limit > 0:
+        heavy_keys = _key_side(_materialize(heavy_keys))
     parts = []
     if light_limit > 0:
-        light = nodes.join(sizes.filter(F.col("_n") <= light_limit).select(key), key,
-                           "left_semi")
+        light = nodes.join(heavy_keys, key, "left_anti") if has_heavy else nodes
         parts.append(_fold_light(light, key, clock, ttl_days))
-    if light_limit <= 0 or heavy_keys.limit(1).count() > 0:
+    if has_heavy:
         heavy = nodes if light_limit <= 0 else nodes.join(heavy_keys, key, "left_semi")
         seed_nodes = (heavy.filter(F.col("_seed").isNotNull())
                       .select(key, F.col("_seed").alias(clock)).distinct()
