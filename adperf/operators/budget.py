@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adperf import schemas as S
+from adperf.operators.joins import key_side
 
 SPEND_TYPE = "decimal(18,2)"
 
@@ -62,7 +63,8 @@ def budget_status(budgets: DataFrame, totals: DataFrame) -> DataFrame:
 def increment_rejects(increments: DataFrame, campaigns: DataFrame) -> DataFrame:
     """U4 + J3 in one pass: invalid increments and increments of unknown campaigns, with
     ``reason``. One left join to the campaign keys; the increments are scanned once."""
-    known = campaigns.select(F.col("id").alias("campaign_id"), F.lit(True).alias("_known"))
+    known = key_side(campaigns.select(F.col("id").alias("campaign_id")).distinct()
+                     .withColumn("_known", F.lit(True)))
     reason = F.coalesce(_increment_reason(),
                         F.when(F.col("_known").isNull(), F.lit("campaign not found")))
     return (increments.join(known, "campaign_id", "left")

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adperf.functions.keys import deterministic_uuid, is_missing_id
-from adperf.operators.dedup import first_wins, last_wins
+from adperf.operators.dedup import last_wins
+from adperf.operators.joins import key_side
+from adperf.session import checkpoint_dir
 
 # Columns an update replaces; ``user_id`` and ``created_at`` are kept from the target.
 UPDATED_COLUMNS = ("name", "platform", "budget", "start_date", "end_date", "status",
@@ -55,7 +57,8 @@ def insert_if_absent(target: DataFrame, incoming: DataFrame, key: str = "id",
     """U1 + U3: append incoming rows whose key is new; report the rest as conflicts.
 
     Missing ids get a deterministic id; ``created_at`` / ``updated_at`` default to ``now``.
-    Within the batch the first row per key (by ``order``) wins; later ones are conflicts too.
+    Within the batch the first row per key (by ``order``, ties broken by arrival) wins; later
+    ones are conflicts too.
     Returns ``(new_table, inserted, conflicts)``; ``conflicts`` has a ``reason`` column.
     """
     now = now if now is not None else F.localtimestamp()
@@ -72,17 +75,20 @@ def insert_if_absent(target: DataFrame, incoming: DataFrame, key: str = "id",
                 inc = inc.withColumn(c, F.coalesce(F.col(c), now.cast(target.schema[c].dataType)))
             else:
                 inc = inc.withColumn(c, now.cast(target.schema[c].dataType))
-    inc = inc.select(*target.columns)
-    tie = [c for c in target.columns if c not in (key, order)][0]
-    winners = first_wins(inc, key=key, clock=order, tie=tie)
-    in_batch_dups = (inc.join(winners.select(key, F.col(order).alias("_o"), F.col(tie).alias("_t")),
-                              key)
-                     .filter(~((F.col(order).eqNullSafe(F.col("_o"))) &
-                               (F.col(tie).eqNullSafe(F.col("_t")))))
-                     .select(*target.columns).withColumn("reason", F.lit("duplicate in batch")))
-    existing = winners.join(target.select(key), key, "left_semi") \
-                      .withColumn("reason", F.lit("already exists"))
-    inserted = winners.join(target.select(key), key, "left_anti")
+    # a row id, fixed by the checkpoint, tells the winner apart from its duplicates; joining on
+    # it (not on the key) keeps a key with many incoming rows spread over tasks
+    checkpoint_dir(incoming.sparkSession)
+    inc = (inc.select(*target.columns).withColumn("_rid", F.monotonically_increasing_id())
+           .checkpoint(eager=True))
+    winners = (inc.groupBy(key).agg(F.min(F.struct(order, "_rid")).alias("_w"))
+               .select(F.col("_w._rid").alias("_rid")))
+    first = inc.join(winners, "_rid", "left_semi")
+    in_batch_dups = (inc.join(winners, "_rid", "left_anti").drop("_rid")
+                     .withColumn("reason", F.lit("duplicate in batch")))
+    first = first.drop("_rid")
+    known = key_side(target.select(key).distinct())
+    existing = first.join(known, key, "left_semi").withColumn("reason", F.lit("already exists"))
+    inserted = first.join(known, key, "left_anti")
     return target.unionByName(inserted), inserted, existing.unionByName(in_batch_dups)
 
 
@@ -118,5 +124,5 @@ def apply_updates(target: DataFrame, changes: DataFrame, key: str = "id",
 def orphans(rows: DataFrame, campaigns: DataFrame, key: str = "campaign_id",
             campaign_key: str = "id") -> DataFrame:
     """Rows that reference a campaign that does not exist."""
-    known = campaigns.select(F.col(campaign_key).alias(key))
-    return rows.join(known, key, "left_anti")
+    known = campaigns.select(F.col(campaign_key).alias(key)).distinct()
+    return rows.join(key_side(known), key, "left_anti")

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adperf import schemas as S
+from adperf.operators.joins import key_side as _key_side
 from adperf.session import checkpoint_dir
 
 
@@ -118,16 +119,6 @@ def _materialize(df: DataFrame) -> DataFrame:
 
 
 LIGHT_LIMIT = 10_000
-# Broadcast bound for key lists (heavy keys, seeds); above it the joins shuffle and AQE splits
-# skewed partitions.
-KEY_BROADCAST_LIMIT = 1_000_000
-
-
-def _key_side(keys: DataFrame) -> DataFrame:
-    """Broadcast a key list when a bounded count proves it small; otherwise leave the join
-    to the planner (a shuffle join, with AQE's skew split)."""
-    return F.broadcast(keys) if keys.limit(KEY_BROADCAST_LIMIT + 1).count() \
-        <= KEY_BROADCAST_LIMIT else keys
 
 
 def _fold_light(nodes: DataFrame, key: str, clock: str, ttl_days: int) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from adperf import schemas as S
 from adperf.functions.dates import check_granularity, default_range, parse_day
+from adperf.operators.joins import key_side
 from adperf.operators.rollup import regroup_insights
 
 
@@ -76,5 +77,5 @@ def insights_for_users(insights: DataFrame, owners: DataFrame, users: DataFrame)
     ``owners`` is ``(campaign_id, user_id)``; ``users`` is ``(user_id)``. Rows of campaigns
     without an owner, or owned by someone else, are never returned.
     """
-    allowed = owners.join(users.select("user_id").distinct(), "user_id", "left_semi")
+    allowed = owners.join(key_side(users.select("user_id").distinct()), "user_id", "left_semi")
     return insights.join(allowed.select("campaign_id", "user_id"), "campaign_id")

@@ -1,0 +1,30 @@
+"""Join-side choice behind a size check.
+
+A key list used to filter a large table (touched days, known campaign ids, heavy dedup keys,
+parent keys of an audit) is broadcast only when a bounded count - at most ``max_rows + 1``
+rows read - proves it small. Then the large side is not shuffled at all, so a key holding a
+third of its rows cannot land in one task. Above the bound the planner shuffles both sides and
+AQE splits skewed partitions at run time.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+KEY_BROADCAST_LIMIT = 1_000_000
+
+_CHECKS: dict[tuple, bool] = {}
+
+
+def small_enough(df: DataFrame, max_rows: int = KEY_BROADCAST_LIMIT) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows; remembered per (plan, files, bound)."""
+    key = (df.semanticHash(), tuple(sorted(df.inputFiles())), max_rows)
+    if key not in _CHECKS:
+        _CHECKS[key] = df.limit(max_rows + 1).count() <= max_rows
+    return _CHECKS[key]
+
+
+def key_side(df: DataFrame, max_rows: int = KEY_BROADCAST_LIMIT) -> DataFrame:
+    """``df`` with a broadcast hint when it is proven small, else unchanged."""
+    return F.broadcast(df) if small_enough(df, max_rows) else df

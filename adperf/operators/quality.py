@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adperf import schemas as S
+from adperf.operators.joins import key_side
 
 
 def duplicate_keys(df: DataFrame, keys: list[str] | tuple[str, ...]) -> DataFrame:
@@ -23,7 +24,7 @@ def duplicate_keys(df: DataFrame, keys: list[str] | tuple[str, ...]) -> DataFram
 def missing_references(child: DataFrame, child_key: str, parent: DataFrame,
                        parent_key: str) -> DataFrame:
     """Child rows whose non-null key has no parent row."""
-    parents = parent.select(F.col(parent_key).alias(child_key))
+    parents = key_side(parent.select(F.col(parent_key).alias(child_key)).distinct())
     return child.filter(F.col(child_key).isNotNull()).join(parents, child_key, "left_anti")
 
 
@@ -31,7 +32,8 @@ def reference_summary(checks: dict[str, tuple[DataFrame, str, DataFrame, str]])
     """C2 for several constraints: ``(constraint_name, checked_rows, violations)``."""
     frames = []
     for name, (child, ck, parent, pk) in checks.items():
-        parents = parent.select(F.col(pk).alias("_pk"), F.lit(True).alias("_hit")).distinct()
+        parents = key_side(parent.select(F.col(pk).alias("_pk"), F.lit(True).alias("_hit"))
+                           .distinct())
         frames.append(child.select(F.col(ck).alias("_pk"))
                       .join(parents, "_pk", "left")
                       .agg(F.count(F.lit(1)).alias("checked_rows"),

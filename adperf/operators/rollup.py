@@ -17,6 +17,7 @@ from adperf import schemas as S
 from adperf.functions.dates import check_granularity, ntz, period_start
 from adperf.functions.ratios import ratio_columns
 from adperf.operators.dedup import latest_facts
+from adperf.operators.joins import key_side
 
 _SUM_TYPE = S.MONEY  # amounts stay decimal through the sums
 
@@ -80,7 +81,7 @@ def apply_increment(current: DataFrame | None, new_facts: DataFrame, all_facts:
     """
     touched = touched_days(new_facts)
     affected = (all_facts.withColumn("date", F.to_date("event_time"))
-                .join(touched, ["campaign_id", "date"], "left_semi").drop("date"))
+                .join(key_side(touched), ["campaign_id", "date"], "left_semi").drop("date"))
     recomputed = daily_insights(affected, updated_at)
     if current is None:
         return recomputed

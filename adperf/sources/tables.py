@@ -9,7 +9,7 @@ the inputs of this engine (exact definitions in FIXTURES.md §3):
 - :func:`ad_owners`      customer -> owner of each event campaign
 
 Dimension joins never hint a broadcast on tables whose size grows with the data; the fixed-size
-``nation`` / ``region`` lookups are broadcast only after :func:`small_enough` proves their
+``nation`` / ``region`` lookups are broadcast only after a bounded count proves their
 size, and everything else is left to AQE, which switches to a broadcast join at run time only
 when the measured shuffle size is below its threshold.
 """
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adperf import schemas as S
+from adperf.operators.joins import key_side
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                  "events")
@@ -35,24 +36,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-_SIZE_CHECKS: dict[tuple, bool] = {}
-
-
-def small_enough(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows. Reads at most ``max_rows + 1`` rows.
-
-    The answer is remembered per (plan, input files, bound) for the life of the process, so a
-    lookup used by many queries is checked once.
-    """
-    key = (df.semanticHash(), tuple(sorted(df.inputFiles())), max_rows)
-    if key not in _SIZE_CHECKS:
-        _SIZE_CHECKS[key] = df.limit(max_rows + 1).count() <= max_rows
-    return _SIZE_CHECKS[key]
-
-
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast hint only behind a size check; otherwise the planner / AQE decides."""
-    return F.broadcast(df) if small_enough(df, max_rows) else df
+    """Broadcast hint only behind a bounded size check; otherwise the planner / AQE decides."""
+    return key_side(df, max_rows)
 
 
 def platform_of(key: Column) -> Column:
