@@ -63,11 +63,42 @@ def main() -> None:
 
     report = {"hot_key_rows": hot_rows, "accepted_rows": n_kept, "daily_rows": n_daily,
               "stages": shuffle_stages(log_dir)}
+    report.update(join_skew(sf_dir, os.path.join(log_dir, "join")))
     report["largest_shuffle_task_records"] = max(
         (s["max_task_records"] for s in report["stages"]), default=0)
     print(json.dumps(report))
 
 
+def join_skew(sf_dir: str, log_dir: str) -> dict:
+    """The flagship roll-up with the customer join forced to a sort-merge join (as it would be
+    at full scale) and AQE's skew thresholds scaled down to test size: does AQE split the hot
+    campaign's partition?"""
+    os.makedirs(log_dir, exist_ok=True)
+    spark = build_session("local[8]", 16, extra={
+        "spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir,
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k"})
+    events = tables.table(spark, sf_dir, "events")
+    # the test file is one Parquet file (one map task); AQE splits a skewed partition along
+    # map outputs, so spread the input as a many-file table would be
+    hot = (events.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(1))
+                             .otherwise(F.col("user_id")))
+           .repartition(16))
+    facts = validate.accepted(validate.validate(
+        tables.with_driver_event_fields(tables.ad_events_raw(spark, sf_dir, events=hot)),
+        now=F.col("received_at"), processed_at=F.col("processed_at")))
+    n = rollup.daily_insights(facts).count()
+    spark.stop()
+    st = shuffle_stages(log_dir)
+    return {"join_daily_rows": n, "join_stages": st,
+            "join_largest_shuffle_task_records": max((s["max_task_records"] for s in st),
+                                                     default=0)}
+
+
 def shuffle_stages(log_dir: str) -> list[dict]:
     """Per stage that reads a shuffle: task count, largest task's records, total records."""
     stages: dict[int, list[int]] = {}
