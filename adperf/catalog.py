@@ -142,6 +142,16 @@ def q_insights_for_owner(spark, sf_dir):
                                        owners.select("user_id")).select(*INSIGHT_OUT, "user_id")
 
 
+def q_insights_owner_weekly(spark, sf_dir):
+    """J1 -> F1 -> A7 -> O1 in one request batch: every owner asks for the weekly insights of
+    each of their campaigns over a date range."""
+    owners = tables.ad_owners(spark, sf_dir)
+    camps = owners.select(F.col("campaign_id").alias("id"), "user_id")
+    return insights.owner_insights(_daily(spark, sf_dir), camps, owners,
+                                   start=FILTER_START, end=FILTER_END,
+                                   granularity="weekly").select(*INSIGHT_OUT, "user_id")
+
+
 # ---- A8 A9 -------------------------------------------------------------------------------
 
 def q_reaggregate_range(spark, sf_dir):
@@ -375,6 +385,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "insights_filtered": q_insights_filtered,
     "insights_default_range": q_insights_default_range,
     "insights_for_owner": q_insights_for_owner,
+    "insights_owner_weekly": q_insights_owner_weekly,
     "reaggregate_range": q_reaggregate_range,
     "rollup_incremental": q_rollup_incremental,
     "campaign_list": q_campaign_list,

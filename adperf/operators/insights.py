@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from adperf import schemas as S
 from adperf.functions.dates import check_granularity, default_range, parse_day
 from adperf.operators.joins import key_side
-from adperf.operators.rollup import regroup_insights
+from adperf.operators.rollup import regroup_insights, regroup_insights_by
 
 
 def insight_predicate(campaign_id=None, start: dt.date | str | None = None,
@@ -79,3 +79,22 @@ def insights_for_users(insights: DataFrame, owners: DataFrame, users: DataFrame)
     """
     allowed = owners.join(key_side(users.select("user_id").distinct()), "user_id", "left_semi")
     return insights.join(allowed.select("campaign_id", "user_id"), "campaign_id")
+
+
+def owner_insights(insights: DataFrame, campaigns: DataFrame, requests: DataFrame,
+                   start=None, end=None, platform: str | None = None,
+                   region: str | None = None, granularity: str | None = "daily",
+                   as_of: dt.date | None = None, ordered: bool = True) -> DataFrame:
+    """The insights request end to end, for a batch of ``(user_id, campaign_id)`` requests:
+    J1 (only campaigns that exist and belong to the requesting user) -> F1 / F2 filters ->
+    A7 granularity -> O1 order. Output: the request's ``user_id`` plus the insight columns."""
+    ok = (authorized_requests(requests.select("user_id", "campaign_id").distinct(), campaigns)
+          .filter(F.col("access") == "ok").select("campaign_id", "user_id"))
+    scoped = insights.join(key_side(ok), "campaign_id")
+    g = check_granularity(granularity)
+    if as_of is not None:
+        start, end = default_range(start, end, as_of)
+    filtered = scoped.filter(insight_predicate(None, start, end, platform, region))
+    out = regroup_insights_by(filtered, g, ["user_id"])
+    return out.orderBy("user_id", "date", *[k for k in S.INSIGHT_KEY if k != "date"]) \
+        if ordered else out

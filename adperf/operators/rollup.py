@@ -65,6 +65,15 @@ def regroup_insights(insights: DataFrame, granularity: str) -> DataFrame:
     return _finish(grouped, list(S.INSIGHT_KEY), None)
 
 
+def regroup_insights_by(insights: DataFrame, granularity: str, extra_keys: list[str]) -> DataFrame:
+    """:func:`regroup_insights` keeping ``extra_keys`` (e.g. the requesting user) as keys."""
+    g = check_granularity(granularity)
+    keys = list(S.INSIGHT_KEY) + list(extra_keys)
+    grouped = (insights.withColumn("date", period_start(F.col("date"), g))
+               .groupBy(*keys).agg(*_sums()))
+    return _finish(grouped, keys, None)
+
+
 def touched_days(new_facts: DataFrame) -> DataFrame:
     """``(campaign_id, date)`` keys a batch of facts changes."""
     return new_facts.select("campaign_id", F.to_date("event_time").alias("date")).distinct()

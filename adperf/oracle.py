@@ -334,3 +334,19 @@ SELECT campaign_id, platform, 'daily_stats' AS event_type, impressions, clicks,
   platform || ':ext-' || CAST(campaign_id AS VARCHAR) || ':' || strftime(date, '%Y-%m-%d')
     AS deduplication_key
 FROM daily"""
+
+SQL["insights_owner_weekly"] = _with(
+    RAW, _valid(), """owned AS (
+  SELECT v.*, CAST(c.c_nationkey AS BIGINT) AS user_id
+  FROM valid v JOIN customer c ON v.campaign_id = c.c_custkey
+  WHERE CAST(v.event_time AS DATE) >= DATE '2024-01-08'
+    AND CAST(v.event_time AS DATE) <= DATE '2024-01-21'
+)""", f"""weekly_sums AS (
+  SELECT campaign_id, {WEEK} AS date, platform, region, user_id,
+    CAST(SUM(impressions) AS BIGINT) AS impressions, CAST(SUM(clicks) AS BIGINT) AS clicks,
+    CAST(SUM(conversions) AS BIGINT) AS conversions, SUM(spend) AS spend, SUM(revenue) AS revenue
+  FROM owned GROUP BY ALL
+)""") + f"""
+SELECT campaign_id, date, platform, region, impressions, clicks, conversions,
+  CAST(spend AS DOUBLE) AS spend, CAST(revenue AS DOUBLE) AS revenue, {_ratios()}, user_id
+FROM weekly_sums"""

@@ -119,3 +119,15 @@ def test_owner_access_check(spark):
     req = spark.createDataFrame([(100, 1), (100, 2), (100, 3)], "user_id long, campaign_id long")
     got = {r.campaign_id: r.access for r in insights.authorized_requests(req, camps).collect()}
     assert got == {1: "ok", 2: "forbidden", 3: "not_found"}
+
+
+def test_owner_insights_end_to_end(spark):
+    rows = [event(id=1, campaign_id=1, event_time=dt.datetime(2024, 1, 1, 5)),
+            event(id=2, campaign_id=1, event_time=dt.datetime(2024, 1, 3, 5)),
+            event(id=3, campaign_id=2, event_time=dt.datetime(2024, 1, 2, 5))]
+    daily = rollup.daily_insights(_facts(spark, rows))
+    camps = spark.createDataFrame([(1, 100), (2, 200)], "id long, user_id long")
+    req = spark.createDataFrame([(100, 1), (100, 2), (100, 9)], "user_id long, campaign_id long")
+    got = insights.owner_insights(daily, camps, req, granularity="weekly").collect()
+    assert [(r.user_id, r.campaign_id, r.date, r.impressions) for r in got] == \
+        [(100, 1, dt.date(2024, 1, 1), 20)]
