@@ -21,6 +21,8 @@ from adperf import schemas as S
 from adperf.functions.dates import ntz
 from adperf.operators import budget, campaigns, dedup, insights, quality, rollup, validate
 from adperf.plans import fetch
+from adperf.plans import ingest as ingest_job
+from adperf.plans import reaggregate as reaggregate_job
 from adperf.session import checkpoint_dir
 from adperf.sources import events as ev
 from adperf.sources import payloads, storage, tables
@@ -373,6 +375,31 @@ def q_stream_ingest(spark, sf_dir):
     return storage.read_insights(spark, root).select(*INSIGHT_OUT)
 
 
+def q_batch_ingest_store(spark, sf_dir):
+    """The batch ingest job over the whole events table: validation, exact TTL dedup on the
+    per-event replay key, facts stored by day and batch id, insights refreshed for the touched
+    days; returns the stored insight table."""
+    raw = tables.with_driver_event_fields(tables.ad_events_raw(spark, sf_dir), ("platform", "id"))
+    root = ingest.scratch_root(spark, "batch-ingest")
+    ingest_job.ingest_batch(spark, raw, root, "b1", now=F.col("received_at"),
+                            processed_at=F.col("processed_at"))
+    return storage.read_insights(spark, root).select(*INSIGHT_OUT)
+
+
+def q_reaggregate_store(spark, sf_dir):
+    """A9 as the stored-table job: facts stored, a stale insight table stored, then the range
+    re-aggregated from stored facts and its months rewritten; returns the insight table."""
+    facts = accepted_events(spark, sf_dir)
+    root = ingest.scratch_root(spark, "reaggregate")
+    storage.write_facts(facts, root, "all")
+    stale = rollup.daily_insights(facts.filter(F.col("event_time") < _ts(STALE_CUT)),
+                                  updated_at=_ts(STALE_CUT))
+    storage.write_insights(stale, root)
+    reaggregate_job.reaggregate_stored(spark, root, REAGG_START, REAGG_END,
+                                       updated_at=ntz(EVENTS_AS_OF))
+    return storage.read_insights(spark, root).select(*INSIGHT_OUT)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "validate_accept": q_validate_accept,
     "validate_rejects": q_validate_rejects,
@@ -405,4 +432,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "event_json_roundtrip": q_event_json_roundtrip,
     "payload_flatten": q_payload_flatten,
     "stream_ingest": q_stream_ingest,
+    "batch_ingest_store": q_batch_ingest_store,
+    "reaggregate_store": q_reaggregate_store,
 }

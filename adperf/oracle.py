@@ -350,3 +350,7 @@ SQL["insights_owner_weekly"] = _with(
 SELECT campaign_id, date, platform, region, impressions, clicks, conversions,
   CAST(spend AS DOUBLE) AS spend, CAST(revenue AS DOUBLE) AS revenue, {_ratios()}, user_id
 FROM weekly_sums"""
+
+# The stored-table jobs end at the same tables as their in-memory twins.
+SQL["batch_ingest_store"] = SQL["insights_daily"]
+SQL["reaggregate_store"] = SQL["reaggregate_range"]
