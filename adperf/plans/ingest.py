@@ -19,8 +19,15 @@ from adperf.sources import storage
 
 def ingest_batch(spark: SparkSession, incoming: DataFrame, root: str, batch_id: str | int,
                  now: Column | None = None, processed_at: Column | None = None,
-                 ttl_dedup: bool = True, fact_schema=None) -> dict:
-    """Run one ingest batch; returns row counts (accepted, duplicates, rejected)."""
+                 ttl_dedup: bool = True, fact_schema=None, mode: str = "first") -> dict:
+    """Run one ingest batch; returns row counts (accepted, duplicates, rejected).
+
+    ``mode="first"`` (default) keeps the first row per dedup key within the TTL, as the
+    original; ``mode="last"`` keeps the latest version per dedup key (by ``processed_at``,
+    then id) so that a corrected re-fetch of a day replaces the earlier figure.
+    """
+    if mode not in ("first", "last"):
+        raise ValueError("mode must be 'first' or 'last'")
     if "value" in incoming.columns:
         decoded = ev.decode_events(incoming, fact_schema) if fact_schema is not None \
             else ev.decode_events(incoming)
@@ -31,7 +38,12 @@ def ingest_batch(spark: SparkSession, incoming: DataFrame, root: str, batch_id:
     checkpoint_dir(spark)
     checked = checked.checkpoint(eager=True)  # one decode + validation pass for both outputs
     good = validate.accepted(checked).drop("raw_value")
-    kept = dedup.first_wins_ttl(good) if ttl_dedup else good
+    if not ttl_dedup:
+        kept = good
+    elif mode == "last":
+        kept = dedup.last_wins(good, ["deduplication_key"], ["processed_at", "id"])
+    else:
+        kept = dedup.first_wins_ttl(good)
     kept = kept.checkpoint(eager=True)
     storage.write_facts(kept, root, batch_id)
     rejects = validate.rejected(checked)

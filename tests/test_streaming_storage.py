@@ -141,3 +141,16 @@ def test_publish_batch_to_files(spark, tmp_root):
     ev.publish(df, fmt="json", path=path)
     back = spark.read.json(path).first()
     assert back.key == "2" and json.loads(back.value)["platform"] == "meta"
+
+
+def test_batch_ingest_last_mode_keeps_corrections(spark, tmp_root):
+    rows = [(1, 1, "meta", "daily_stats", 10, 1, 0, None, None, T0, "all", None, "meta:1:d",
+             T0, T0),
+            (2, 1, "meta", "daily_stats", 15, 2, 0, None, None, T0, "all", None, "meta:1:d",
+             T0 + DAY, T0 + DAY)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    counts = ingest_batch(spark, df, tmp_root, 1, now=ntz(T0), processed_at=F.col("processed_at"),
+                          mode="last")
+    assert counts["accepted"] == 1 and counts["duplicates"] == 1
+    ins = storage.read_insights(spark, tmp_root).first()
+    assert (ins.impressions, ins.clicks) == (15, 2)
