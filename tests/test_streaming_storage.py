@@ -154,3 +154,24 @@ def test_batch_ingest_last_mode_keeps_corrections(spark, tmp_root):
     assert counts["accepted"] == 1 and counts["duplicates"] == 1
     ins = storage.read_insights(spark, tmp_root).first()
     assert (ins.impressions, ins.clicks) == (15, 2)
+
+
+def test_event_stream_source_and_streaming_publish(spark, tmp_root):
+    from adperf.sources import events as ev
+    landing = os.path.join(tmp_root, "in")
+    _land(landing, "1.txt", FILE1)
+    _land(landing, "2.txt", FILE2)
+    stream = ev.event_stream(spark, fmt="text", path=landing)
+    assert stream.columns == ["key", "value"] and stream.isStreaming
+    root = os.path.join(tmp_root, "store")
+    q = ingest.run(stream, root, os.path.join(root, "_ck"), fact_schema=SCHEMA, now=ntz(T0))
+    q.awaitTermination()
+    assert _fact_ids(spark, root) == EXPECTED_IDS
+    # republish the landed messages as a keyed stream of JSON files
+    decoded = ev.decoded_ok(ev.decode_events(ev.event_stream(spark, fmt="text", path=landing),
+                                             SCHEMA)).drop("key")
+    out = os.path.join(tmp_root, "out")
+    pq = ev.publish(decoded, fmt="json", path=out, checkpoint=os.path.join(tmp_root, "pub_ck"))
+    pq.processAllAvailable()
+    pq.stop()
+    assert spark.read.json(out).count() == len(FILE1) + len(FILE2) - 1  # the broken message
