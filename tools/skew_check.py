@@ -4,7 +4,8 @@ Usage: python tools/skew_check.py [sf_dir] [event_log_dir]
 
 Derives a skewed input from the driver ``events`` table - every third event is moved to one
 hot campaign, so one dedup key holds a third of the rows - runs the exact TTL dedup on it
-(the hot key goes through the heavy path) and a daily roll-up, with Spark's event log written
+(the hot key goes through the heavy path), a daily roll-up and a last-wins dedup keyed by the
+campaign, with Spark's event log written
 to a scratch folder. Prints, per stage that reads a shuffle, the shuffle records of the
 largest task next to the stage's total, plus the hot key's row count: a task that received
 the whole hot key would show it. (Scan stages are left out: a small input file is one task.)
@@ -59,9 +60,12 @@ def main() -> None:
     kept = dedup.first_wins_ttl(facts, light_limit=10_000)
     n_kept = kept.count()
     n_daily = rollup.daily_insights(facts).count()
+    # last-wins keyed by the hot campaign itself: the aggregate combines map-side
+    n_last = dedup.last_wins(facts, ["campaign_id"], ["processed_at", "id"]).count()
     spark.stop()
 
     report = {"hot_key_rows": hot_rows, "accepted_rows": n_kept, "daily_rows": n_daily,
+              "last_wins_rows": n_last,
               "stages": shuffle_stages(log_dir)}
     report.update(join_skew(sf_dir, os.path.join(log_dir, "join")))
     report["largest_shuffle_task_records"] = max(
