@@ -55,24 +55,29 @@ def first_wins_ttl_stream(valid: DataFrame, key: str = "deduplication_key",
     timed = (valid.withColumn(_WM, F.col(clock).cast("timestamp"))
              .withWatermark(_WM, f"{int(ttl_days)} days"))
 
+    def accept(newest, state: GroupState) -> None:
+        state.update((pd.Timestamp(newest).to_pydatetime(),))
+        state.setTimeoutTimestamp(int((newest + ttl - _EPOCH) // np.timedelta64(1, "ms")))
+
     def fold(key_value, pdfs: Iterator[pd.DataFrame], state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(pdfs), ignore_index=True)
+        frames = list(pdfs)
+        rows = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+        if len(rows) == 1 and not state.exists:  # the common case: a new key, one row
+            accept(rows[clock].to_numpy(dtype="datetime64[us]")[0], state)
+            yield rows[columns]
+            return
         rows = rows.sort_values([clock, tie], kind="mergesort")
         last = state.get[0] if state.exists else None
         last64 = np.datetime64(pd.Timestamp(last).to_datetime64(), "us") \
             if last is not None else None
         times = rows[clock].to_numpy(dtype="datetime64[us]")
         mask = _fold(times, last64, ttl)
-        accepted = rows[mask]
-        if len(accepted):
-            newest = times[mask][-1]
-            state.update((pd.Timestamp(newest).to_pydatetime(),))
-            expiry_ms = int((newest + ttl - _EPOCH) // np.timedelta64(1, "ms"))
-            state.setTimeoutTimestamp(expiry_ms)
-        yield accepted[columns]
+        if mask.any():
+            accept(times[mask][-1], state)
+        yield rows[mask][columns]
 
     return timed.groupBy(key).applyInPandasWithState(
         fold, out_schema, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
