@@ -359,6 +359,21 @@ def q_payload_flatten(spark, sf_dir):
                            for c in EVENT_OUT if c != "id"])
 
 
+def q_payload_files(spark, sf_dir):
+    """S8 + T6 + P8-P11 + J4 from files: daily stats landed as payload pages under
+    ``platform=/external_id=`` folders, read back with the payload schema, routed through the
+    platform adapters and the campaign dimension."""
+    dim = campaign_external_ids(spark, sf_dir)
+    daily = _daily(spark, sf_dir).join(
+        dim.select(F.col("id").alias("campaign_id"), "external_id"), "campaign_id")
+    root = ingest.scratch_root(spark, "payload-pages")
+    payloads.pack_payloads(daily).write.partitionBy("platform", "external_id").json(root)
+    pages = payloads.read_payloads(spark, root, multi_line=False)
+    routed, _ = payloads.route_to_campaigns(payloads.adapt_pages(pages), dim)
+    return routed.select(*[F.col(c).cast("double").alias(c) if c in S.AMOUNTS else F.col(c)
+                           for c in EVENT_OUT if c != "id"])
+
+
 def q_stream_ingest(spark, sf_dir):
     """The events table as a file stream through ingest (validation, exact TTL
     dedup on the per-event replay key against the dedup-state table, fact storage,
@@ -431,6 +446,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "missing_days": q_missing_days,
     "event_json_roundtrip": q_event_json_roundtrip,
     "payload_flatten": q_payload_flatten,
+    "payload_files": q_payload_files,
     "stream_ingest": q_stream_ingest,
     "batch_ingest_store": q_batch_ingest_store,
     "reaggregate_store": q_reaggregate_store,

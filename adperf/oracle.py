@@ -354,3 +354,4 @@ FROM weekly_sums"""
 # The stored-table jobs end at the same tables as their in-memory twins.
 SQL["batch_ingest_store"] = SQL["insights_daily"]
 SQL["reaggregate_store"] = SQL["reaggregate_range"]
+SQL["payload_files"] = SQL["payload_flatten"]

@@ -23,11 +23,14 @@ FIELD_MAP = (("impressions", "impressions"), ("clicks", "clicks"), ("actions", "
              ("spend", "spend"), ("action_values", "revenue"))
 
 
-def read_payloads(spark: SparkSession, root: str) -> DataFrame:
-    """Every landed page with its ``platform`` and ``external_id``."""
+def read_payloads(spark: SparkSession, root: str, multi_line: bool = True) -> DataFrame:
+    """Every landed page with its ``platform`` and ``external_id``.
+
+    ``multi_line`` reads one (possibly pretty-printed) document per file, as an API response
+    is saved; ``False`` reads JSON Lines, one page per line."""
     schema = T.StructType(S.PAYLOAD_SCHEMA.fields + [
         T.StructField("platform", T.StringType()), T.StructField("external_id", T.StringType())])
-    return spark.read.schema(schema).option("multiLine", True).json(root)
+    return spark.read.schema(schema).option("multiLine", multi_line).json(root)
 
 
 def flatten_payloads(pages: DataFrame) -> DataFrame:
