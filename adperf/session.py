@@ -76,15 +76,17 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts.
+    """Shared folder for lineage cuts and intermediate tables.
 
-    Uses ``spark.checkpoint.dir`` as the cluster names it. Only when it is unset (local tests)
-    a scratch folder is made and registered, so cluster jobs never write to machine-local
-    storage.
+    Uses ``spark.checkpoint.dir`` as the cluster names it. A scratch folder is made only when
+    the master is one local JVM (tests); on any other master an unset folder is an error,
+    because executors would write to their own disks.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="adperf-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
