@@ -18,7 +18,7 @@ def _plan(df) -> str:
 
 
 def test_no_cross_joins_or_python_in_registered_queries(spark):
-    for name, fn in entry.queries().items():
+    for name, fn in entry.QUERIES.items():
         if name == "stream_ingest":
             continue
         plan = _plan(fn(spark, entry.SMOKE_DIR))
@@ -29,7 +29,7 @@ def test_no_cross_joins_or_python_in_registered_queries(spark):
 def test_scans_read_only_needed_columns(spark):
     full = {"events": 6, "lineitem": 11, "orders": 6, "customer": 5}
     for name in ("insights_daily", "budget_status", "spend_totals", "audit_unique"):
-        plan = _plan(entry.queries()[name](spark, entry.SMOKE_DIR))
+        plan = _plan(entry.QUERIES[name](spark, entry.SMOKE_DIR))
         for block in plan.split("\n\n"):
             m = re.search(r"Location: .*?/(\w+)\.parquet", block)
             read = re.search(r"ReadSchema: struct<(.*)>", block)
@@ -38,11 +38,11 @@ def test_scans_read_only_needed_columns(spark):
 
 
 def test_insight_date_filter_reaches_the_scan(spark):
-    plan = _plan(entry.queries()["insights_filtered"](spark, entry.SMOKE_DIR))
+    plan = _plan(entry.QUERIES["insights_filtered"](spark, entry.SMOKE_DIR))
     assert re.search(r"PushedFilters: \[.*GreaterThanOrEqual\(ts,", plan)
     assert re.search(r"PushedFilters: \[.*LessThan\(ts,", plan)
 
 
 def test_rollup_is_partial_then_final_aggregate(spark):
-    plan = _plan(entry.queries()["insights_daily"](spark, entry.SMOKE_DIR))
+    plan = _plan(entry.QUERIES["insights_daily"](spark, entry.SMOKE_DIR))
     assert plan.count("HashAggregate") >= 2 and "partial_sum" in plan
