@@ -67,7 +67,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunks(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(text: pa.Array, max_rows: int = 1 << 30
+           ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of consecutive rows; null is an empty text."""
     text = pc.fill_null(text.cast(pa.large_binary()), b"")
     n = len(text)
@@ -79,6 +80,7 @@ def chunks(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     a = 0
     while a < n:
         b = max(a + 1, int(np.searchsorted(off, off[a] + CHUNK, side="right")) - 1)
+        b = min(b, a + max_rows)
         yield a, b, data[off[a]:off[b]], off[a:b + 1] - off[a]
         a = b
 

@@ -6,10 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, sharding
+from . import decontaminate, exact_dedup, language, near_dedup, sharding
 from .tables import table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked at Jaccard 0.85 on three-word shingles."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned outside the held-out fifth."""
+    return language.report(table(spark, sf_dir, "documents"), folds=5, fold=0)
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of ten words in every document."""
+    return decontaminate.report(table(spark, sf_dir, "documents"),
+                                table(spark, sf_dir, "benchmark"), window=10)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards by jump consistent hashing of the id (law ``key``)."""
     return sharding.assign(table(spark, sf_dir, "documents"), shards=24)
@@ -21,11 +37,42 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
+    "op3_language": op3_language,
+    "op4_decontaminate": op4_decontaminate,
     "op5_sharding": op5_sharding,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
 SQL: dict[str, str] = {
+    # the tables' capitals outside A-Z are part of their words, which lower() would change:
+    # translate() lowers A-Z alone
+    "op4_decontaminate": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(
+                     translate(coalesce(text, ''),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+        bw AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS s
+               FROM (SELECT item_id, w, least(10, len(w)) AS n,
+                            unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b
+                     WHERE len(w) > 0)),
+        dw AS (SELECT doc_id, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS s
+               FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+                     FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+        hit AS (SELECT doc_id, i, dw.n, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.s = bw.s),
+        pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+                FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+        it AS (SELECT doc_id, count(*) AS n_items,
+                      string_agg(item_id, ',' ORDER BY item_id) AS items
+               FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+        SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit,
+               coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
+    """,
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id,
                count(*) OVER (PARTITION BY t) AS group_size,
