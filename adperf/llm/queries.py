@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language, near_dedup, sharding
+from . import decontaminate, exact_dedup, language, near_dedup, sharding, substring_dedup
 from .tables import table
 
 
@@ -36,12 +36,18 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(exact_dedup.digests(table(spark, sf_dir, "documents")))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of every document, by sliding spans of sentences."""
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op3_language": op3_language,
     "op4_decontaminate": op4_decontaminate,
     "op5_sharding": op5_sharding,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 SQL: dict[str, str] = {
