@@ -6,9 +6,9 @@ is several centroids, found by spherical k-means among its training vectors. A t
 language of the centroid with the largest cosine; the cosine is the score. A text too far from
 every centroid is rejected.
 
-The classifier is fitted on a bounded sample: ``PER_LANGUAGE`` texts of each language at most,
-of at most ``MAX_FIT_BYTES`` bytes each, in the order of a hash of the id, so the sample and the
-model do not depend on partitioning. Prediction reads whole texts.
+The classifier is fitted on a bounded sample: about ``PER_LANGUAGE`` texts of each language, of
+at most ``MAX_FIT_BYTES`` bytes each, picked by a hash of the id, so the sample and the model do
+not depend on partitioning. Prediction reads whole texts.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; so is every text
 when there is nothing to learn from; equal cosines go to the language first in name order; rows
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as B
@@ -36,8 +36,10 @@ MAX_LANGUAGES = 200
 MAX_FIT_BYTES = 20_000
 CENTROIDS = 4
 ROUNDS = 12
-# a text is rejected below this share of the 0.1 % quantile of the training cosines
+# a text is rejected below this share of the 0.1 % quantile of the training cosines; a text of
+# fewer letters than FULL_LETTERS says less and must be that much farther away
 REJECT_SHARE = 0.5
+FULL_LETTERS = 100
 UNDETERMINED = "und"
 ROWS_AT_ONCE = 256
 
@@ -101,16 +103,29 @@ def _spherical_kmeans(x: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
+def bounded_sample(rows: DataFrame, label: str, per_label: int, max_labels: int) -> DataFrame:
+    """About ``per_label`` rows (doc_id, label) of each of the ``max_labels`` commonest labels.
+
+    Rows are taken by a threshold on a hash of the id that each label's count sets, so no
+    label is gathered or sorted; a limit above the expected size makes the bound hold always.
+    """
+    counts = (rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+              .orderBy(F.desc("n"), label).limit(max_labels))
+    cells = 1 << 40
+    cut = F.least(F.lit(1.0), F.lit(float(per_label)) / F.col("n")) * F.lit(float(cells))
+    chosen = rows.join(F.broadcast(counts), label)
+    return (chosen.where(F.pmod(F.xxhash64("doc_id"), F.lit(cells)) < cut)
+            .select("doc_id", label).distinct().limit(2 * per_label * max_labels))
+
+
 def sample(train: DataFrame) -> DataFrame:
-    """At most ``PER_LANGUAGE`` rows (lang, text) of each language, picked by the id's hash."""
+    """About ``PER_LANGUAGE`` rows (lang, text) of each language, picked by the id's hash."""
     usable = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull()
                          & (F.octet_length("text") <= MAX_FIT_BYTES))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (usable.select("doc_id", "lang").withColumn("n", F.row_number().over(order))
-           .where(F.col("n") <= PER_LANGUAGE).select("doc_id").distinct()
-           .limit(PER_LANGUAGE * MAX_LANGUAGES))
+    ids = bounded_sample(usable.select("doc_id", "lang"), "lang", PER_LANGUAGE, MAX_LANGUAGES)
     # the size is bounded by the sample's parameters
-    return usable.join(F.broadcast(ids), "doc_id").select("doc_id", "lang", "text")
+    return usable.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id").select(
+        "doc_id", "lang", "text")
 
 
 def fit(train: DataFrame) -> dict:
@@ -165,8 +180,10 @@ def _predict(text: pa.Array, model: dict) -> tuple[list, np.ndarray, np.ndarray]
         best = cosine.argmax(axis=1)
         value = np.clip(cosine[np.arange(b - a), best], 0.0, 1.0)
         known = letter[a:b]
+        letters = np.add.reduceat(np.append(LETTERS[data] != 0x20, False), off[:-1])
+        share = np.minimum(1.0, letters / FULL_LETTERS)
         score[a:b] = np.where(known, value, 0.0)
-        rejected[a:b] = ~known | (value < model["reject"])
+        rejected[a:b] = ~known | (value < model["reject"] * share)
         for i in np.flatnonzero(known):
             langs[a + int(i)] = names[best[i]]
     return langs, score, rejected
