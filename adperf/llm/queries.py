@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language, near_dedup, sharding, substring_dedup
+from corpus_pipeline import run as pipeline
+
+from . import (
+    decontaminate,
+    exact_dedup,
+    language,
+    line_dedup,
+    near_dedup,
+    packing,
+    sharding,
+    substring_dedup,
+    suffix_dedup,
+    toxicity,
+)
 from .tables import table
 
 
@@ -15,6 +28,11 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated line runs of every document and the lines deleted."""
+    return line_dedup.report(table(spark, sf_dir, "documents")).drop("depth", "runs")
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned outside the held-out fifth."""
     return language.report(table(spark, sf_dir, "documents"), folds=5, fold=0)
@@ -31,11 +49,26 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat a 50-byte string of a smaller doc_id."""
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins of 2048 words with all pieces of all documents."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal texts: the row with the largest doc_id stays."""
     return exact_dedup.dedup(exact_dedup.digests(table(spark, sf_dir, "documents")))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned outside the held-out third."""
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated passages of every document, by sliding spans of sentences."""
     return substring_dedup.report(table(spark, sf_dir, "documents"))
@@ -43,11 +76,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_line_dedup": op2_line_dedup,
     "op3_language": op3_language,
     "op4_decontaminate": op4_decontaminate,
     "op5_sharding": op5_sharding,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
+    "pipeline": pipeline,
 }
 
 SQL: dict[str, str] = {
@@ -86,4 +124,33 @@ SQL: dict[str, str] = {
                sha256(t) AS text_sha256
         FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
     """,
+    # runs from two lines on, or one line of 40 characters: what longer runs cover, the pairs
+    # inside them cover too
+    "op2_line_dedup": r"""
+        WITH l AS (SELECT doc_id, pos, rtrim(line, ' ') AS line FROM (
+                     SELECT doc_id, generate_subscripts(x, 1) - 1 AS pos, unnest(x) AS line
+                     FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x
+                           FROM documents)) WHERE rtrim(line, ' ') <> ''),
+        s AS (SELECT doc_id, pos, line, lead(line) OVER w AS line2, lead(pos) OVER w AS pos2
+              FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+        runs AS (SELECT doc_id, pos AS lo, pos AS hi, row_number() OVER
+                        (PARTITION BY line ORDER BY doc_id, pos) AS nth
+                 FROM s WHERE length(line) >= 40
+                 UNION ALL
+                 SELECT doc_id, pos, pos2, row_number() OVER
+                        (PARTITION BY line, line2 ORDER BY doc_id, pos)
+                 FROM s WHERE line2 IS NOT NULL),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(lo, hi + 1)) AS pos
+                 FROM runs WHERE nth > 1),
+        marked AS (SELECT doc_id, pos, CASE WHEN lag(pos) OVER
+                     (PARTITION BY doc_id ORDER BY pos) = pos - 1 THEN 0 ELSE 1 END AS new
+                   FROM gone),
+        per AS (SELECT doc_id, count(*) AS n_deleted, sum(new) AS n_runs
+                FROM marked GROUP BY doc_id),
+        n AS (SELECT doc_id, count(*) AS n_lines FROM l GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines,
+               CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs,
+               coalesce(n_deleted, 0) AS n_deleted
+        FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN per USING (doc_id)
+    """,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,25 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/adperf-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`cut` wrote once nothing reads them any more, and let Spark's
+    cleaner drop the shuffle files of the finished steps (it follows the JVM's collector)."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    tidy(spark)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle files that no DataFrame refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def free_name(df: DataFrame, *names: str) -> list[str]:
