@@ -13,7 +13,8 @@ trees with chance (1 - s) ** TREES (6e-9 at 0.85, 1e-7 at 0.8).
 Candidates pass a size test (exact) and a signature test far below the threshold (half of the
 tokens equal), and each is confirmed on the full sets. Large nodes whose classes are already
 one component after the first level are dropped: they cannot change the result. What is still
-large after ``MAX_DEPTH`` levels is compared exhaustively as a join that AQE may split.
+large after ``MAX_DEPTH`` levels goes through an exact rarest-token filter instead of being
+compared exhaustively, so a large family of near-copies costs no square of its size.
 
 Skew: node sizes and smallest classes are aggregates with map-side combine; branching is an
 expression per row; only nodes of at most ``SMALL`` classes are gathered.
@@ -30,7 +31,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytescan as B
@@ -41,7 +42,7 @@ COORDINATES = 32
 TREES = 10
 SMALL = 16
 SECOND_CHILD = 0.3
-MAX_DEPTH = 10
+MAX_DEPTH = 4
 SIGNATURE_SHARE = 0.5
 
 _rng = np.random.default_rng(41)
@@ -163,8 +164,9 @@ def _sized(rows: DataFrame) -> DataFrame:
     nodes = rows.groupBy("key").agg(
         F.count(F.lit(1)).alias("size"), F.min(F.struct("cls", "label")).alias("least"),
         F.min("label").alias("l0"), F.max("label").alias("l1"))
-    mixed = nodes.where((F.col("size") > 1) & (F.col("l0") != F.col("l1")))
-    return rows.join(mixed.drop("l0", "l1"), "key")
+    mixed = nodes.where((F.col("size") > 1) & (F.col("l0") != F.col("l1"))).drop("l0", "l1")
+    # as a written table it is a plain side of the join, which AQE can split at a large node
+    return rows.join(cut(mixed, "near-sizes"), "key")
 
 
 def _small_pairs(rows: DataFrame) -> DataFrame:
@@ -185,24 +187,52 @@ def _star_pairs(rows: DataFrame) -> DataFrame:
     return rows.where(far).select(F.col("least.cls").alias("a"), F.col("cls").alias("b"))
 
 
-def _block_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs of different labels in the nodes that are left (an equi-join on the node)."""
-    x = rows.select("key", F.col("cls").alias("a"), F.col("label").alias("la"))
-    y = rows.select("key", F.col("cls").alias("b"), F.col("label").alias("lb"))
-    return x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))
-                                  ).select("a", "b")
+def _prefix_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different labels, among all classes of ``rows``, that can reach the threshold.
 
+    An exact filter: with the tokens of every set in one order, the rarest first, two sets that
+    reach the threshold have their first common token so early in both that what follows is
+    large enough for the overlap needed. The edits of a near-copy are its rarest tokens, so
+    members of one family below the threshold do not meet.
+    """
+    classes = rows.select("cls", "label").distinct()
+    sets = sets.join(classes, "cls", "left_semi")
 
-def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int,
-           percent: int) -> DataFrame:
-    """Confirmed links among candidate pairs."""
-    found = cut(_similar_enough(pairs.distinct(), classes, percent), "near-pairs")
-    ids = found.select(F.col("a").alias("doc_id")).unionByName(
-        found.select(F.col("b").alias("doc_id"))).distinct()
-    # an id may be on several rows: the sets of a class are equal, one is enough
-    texts = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")
-    sets = cut(_full_sets(texts, shingle), "near-sets").dropDuplicates(["cls"])
-    return cut(_confirm(found, sets, percent), "near-links")
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                t = np.frombuffer(batch.column(1)[i].as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(t), batch.column(0)[i].as_py())), pa.array(t),
+                     pa.array(np.full(len(t), len(t)))], names=["cls", "token", "n"])
+
+    tokens = cut(sets.mapInArrow(unpack, "cls long, token long, n long"), "near-tokens")
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    rank = F.row_number().over(Window.partitionBy("cls").orderBy("df", "token"))
+    first = (tokens.join(counts, "token").withColumn("at", rank)
+             .where((F.col("df") > 1)
+                    & (F.lit(100) * (F.col("n") - F.col("at") + 1) >= F.lit(percent) * F.col("n")))
+             .join(classes, "cls").select("token", "cls", "label", "n", "at"))
+    first = cut(first, "near-prefix")
+    common = (first.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"))
+              .where(F.col("l0") != F.col("l1")).select("token", "l0"))
+    y = first.join(cut(common, "near-common"), "token")
+    # of two labels one is not the token's smallest: that side is usually the small one
+    x = y.where(F.col("label") != F.col("l0")).select(
+        "token", *[F.col(c).alias(f"{c}_x") for c in ("cls", "label", "n", "at")])
+    overlap = F.least(F.col("n") - F.col("at"), F.col("n_x") - F.col("at_x")) + F.lit(1)
+    enough = (F.lit(100 + percent) * overlap >= F.lit(percent) * (F.col("n") + F.col("n_x")))
+    pairs = x.join(y, "token").where((F.col("label") != F.col("label_x")) & enough)
+    return pairs.select(F.least("cls", "cls_x").alias("a"), F.greatest("cls", "cls_x").alias("b"))
+
+
+def _set_table(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """Full sets of the classes ``ids`` (cls), in one pass over the texts."""
+    ids = ids.select(F.col("cls").alias("doc_id")).distinct()
+    # the same plan at every size; an id on several rows names equal texts, one is enough
+    texts = (docs.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+             .select("doc_id", "text"))
+    return cut(_full_sets(texts, shingle), "near-sets")
 
 
 def similarity_links(docs: DataFrame, classes: DataFrame, shingle: int,
@@ -212,9 +242,13 @@ def similarity_links(docs: DataFrame, classes: DataFrame, shingle: int,
                       for t in range(TREES)])
     rows = classes.select(F.explode(roots).alias("key"), "cls", F.col("cls").alias("label"))
     rows = cut(_sized(rows), "near-nodes")
-    links = _links(docs, classes, _small_pairs(rows).unionByName(_star_pairs(rows)),
-                   shingle, percent)
+    pairs = _small_pairs(rows).unionByName(_star_pairs(rows)).distinct()
+    pairs = cut(_similar_enough(pairs, classes, percent), "near-pairs")
     rows = rows.where(F.col("size") > SMALL).select("key", "cls")
+    # whatever is compared below is in these pairs or in a larger root node
+    sets = _set_table(docs, pairs.select(F.col("a").alias("cls")).unionByName(
+        pairs.select(F.col("b").alias("cls"))).unionByName(rows.select("cls")), shingle)
+    links = cut(_confirm(pairs, sets, percent), "near-links")
     if not rows.head(1):
         return links
     parts = connected_components(links)
@@ -229,11 +263,13 @@ def similarity_links(docs: DataFrame, classes: DataFrame, shingle: int,
         later.append(_small_pairs(rows).unionByName(_star_pairs(rows)))
         rows = rows.where(F.col("size") > SMALL).select("key", "cls", "label")
     else:
-        later.append(_block_pairs(rows))
+        if rows.head(1):
+            later.append(_prefix_pairs(rows, sets, percent))
     if not later:
         return links
-    more = _links(docs, classes, reduce(DataFrame.unionByName, later), shingle, percent)
-    return links.unionByName(more)
+    pairs = reduce(DataFrame.unionByName, later).distinct()
+    pairs = cut(_similar_enough(pairs, classes, percent), "near-pairs")
+    return links.unionByName(cut(_confirm(pairs, sets, percent), "near-links"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
