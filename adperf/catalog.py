@@ -13,14 +13,14 @@ import datetime as dt
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adperf import schemas as S
 from adperf.functions.dates import ntz
 from adperf.operators import budget, campaigns, dedup, insights, quality, rollup, validate
-from adperf.plans import fetch
+from adperf.plans import fetch, publish, request
 from adperf.plans import ingest as ingest_job
 from adperf.plans import reaggregate as reaggregate_job
 from adperf.session import checkpoint_dir
@@ -99,32 +99,32 @@ def q_insights_latest(spark, sf_dir):
     """D3 over two stored versions: a stale load (events before a cut, stamped at the cut)
     and a full recompute (stamped at the last event); the latest version of each key wins."""
     facts = accepted_events(spark, sf_dir)
-    stale = rollup.daily_insights(facts.filter(F.col("event_time") < _ts(STALE_CUT)),
-                                  updated_at=_ts(STALE_CUT))
-    full = rollup.daily_insights(facts, updated_at=ntz(EVENTS_AS_OF))
+    stale = rollup.insights_of(facts.filter(F.col("event_time") < _ts(STALE_CUT)),
+                               updated_at=_ts(STALE_CUT))
+    full = rollup.insights_of(facts, updated_at=ntz(EVENTS_AS_OF))
     return dedup.latest_insights(stale.unionByName(full)).select(*INSIGHT_OUT)
 
 
 # ---- A1-A7 -------------------------------------------------------------------------------
 
 def q_insights_daily(spark, sf_dir):
-    return rollup.daily_insights(accepted_events(spark, sf_dir)).select(*INSIGHT_OUT)
+    return rollup.insights_of(accepted_events(spark, sf_dir)).select(*INSIGHT_OUT)
 
 
 def q_insights_weekly(spark, sf_dir):
-    daily = rollup.daily_insights(accepted_events(spark, sf_dir))
+    daily = rollup.insights_of(accepted_events(spark, sf_dir))
     return rollup.regroup_insights(daily, "weekly").select(*INSIGHT_OUT)
 
 
 def q_insights_monthly(spark, sf_dir):
-    daily = rollup.daily_insights(accepted_events(spark, sf_dir))
+    daily = rollup.insights_of(accepted_events(spark, sf_dir))
     return rollup.regroup_insights(daily, "monthly").select(*INSIGHT_OUT)
 
 
 # ---- F1 F2 O1 J1 -------------------------------------------------------------------------
 
 def _daily(spark, sf_dir):
-    return rollup.daily_insights(accepted_events(spark, sf_dir))
+    return rollup.insights_of(accepted_events(spark, sf_dir))
 
 
 def q_insights_filtered(spark, sf_dir):
@@ -159,7 +159,7 @@ def q_insights_owner_weekly(spark, sf_dir):
 def q_reaggregate_range(spark, sf_dir):
     """A stale table (loaded up to a cut inside a day) re-aggregated over whole days."""
     facts = accepted_events(spark, sf_dir)
-    current = rollup.daily_insights(facts.filter(F.col("event_time") < _ts(STALE_CUT)))
+    current = rollup.insights_of(facts.filter(F.col("event_time") < _ts(STALE_CUT)))
     return rollup.reaggregate(current, facts, REAGG_START, REAGG_END).select(*INSIGHT_OUT)
 
 
@@ -302,7 +302,7 @@ def q_audit_domain(spark, sf_dir):
                        (F.col("o_orderdate") + F.expr("INTERVAL 90 DAYS")).alias("end_date"),
                        F.col("o_orderstatus").alias("status"))
     camp = quality.domain_checks(
-        {f"campaigns.{k}": v for k, v in quality.campaign_domain_checks().items()}, cs)
+        {f"campaigns.{k}": v for k, v in quality.campaign_domain_checks(cs.columns).items()}, cs)
     evs = quality.domain_checks(
         {f"events.{k}": v for k, v in quality.event_domain_checks().items()},
         tables.ad_events_raw(spark, sf_dir))
@@ -320,7 +320,7 @@ def q_missing_days(spark, sf_dir):
     started = facts.groupBy("campaign_id", "platform").agg(
         F.min("event_time").alias("start_date")).withColumnRenamed("campaign_id", "id")
     plan = fetch.fetch_plan(started, EVENTS_AS_OF)
-    return fetch.missing_days(plan, rollup.daily_insights(facts))
+    return fetch.missing_days(plan, rollup.insights_of(facts))
 
 
 # ---- S1 S2 P1 P8-P11 J4 ------------------------------------------------------------------
@@ -361,13 +361,13 @@ def q_payload_flatten(spark, sf_dir):
 
 def q_payload_files(spark, sf_dir):
     """S8 + T6 + P8-P11 + J4 from files: daily stats landed as payload pages under
-    ``platform=/external_id=`` folders, read back with the payload schema, routed through the
+    ``platform=`` folders, read back with the payload schema, routed through the
     platform adapters and the campaign dimension."""
     dim = campaign_external_ids(spark, sf_dir)
     daily = _daily(spark, sf_dir).join(
         dim.select(F.col("id").alias("campaign_id"), "external_id"), "campaign_id")
     root = ingest.scratch_root(spark, "payload-pages")
-    payloads.pack_payloads(daily).write.partitionBy("platform", "external_id").json(root)
+    payloads.pack_payloads(daily).write.partitionBy("platform").json(root)
     pages = payloads.read_payloads(spark, root, multi_line=False)
     routed, _ = payloads.route_to_campaigns(payloads.adapt_pages(pages), dim)
     return routed.select(*[F.col(c).cast("double").alias(c) if c in S.AMOUNTS else F.col(c)
@@ -375,23 +375,23 @@ def q_payload_files(spark, sf_dir):
 
 
 def q_stream_ingest(spark, sf_dir):
-    """The events table as a file stream through ingest (validation, exact TTL
-    dedup on the per-event replay key against the dedup-state table, fact storage,
-    incremental insights); returns the stored insight table."""
+    """The events table as a file stream through ingest (validation, dedup by arrival
+    on the per-event replay key against the dedup-state table, fact storage, refresh of the
+    touched days); returns the stored insight table."""
     schema = tables.table(spark, sf_dir, "events").schema
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
               .parquet(sf_dir))
     raw = tables.with_driver_event_fields(tables.ad_events_raw(spark, sf_dir, events=stream),
                                           ("platform", "id"))
     root = ingest.scratch_root(spark, "stream-ingest")
-    query = ingest.run(raw, root, os.path.join(root, "_checkpoint"), dedup="table",
+    query = ingest.run(raw, root, os.path.join(root, "_checkpoint"),
                        now=F.col("received_at"), processed_at=F.col("processed_at"))
     query.awaitTermination()
     return storage.read_insights(spark, root).select(*INSIGHT_OUT)
 
 
 def q_batch_ingest_store(spark, sf_dir):
-    """The batch ingest job over the whole events table: validation, exact TTL dedup on the
+    """The batch ingest job over the whole events table: validation, dedup by arrival on the
     per-event replay key, facts stored by day and batch id, insights refreshed for the touched
     days; returns the stored insight table."""
     raw = tables.with_driver_event_fields(tables.ad_events_raw(spark, sf_dir), ("platform", "id"))
@@ -403,18 +403,301 @@ def q_batch_ingest_store(spark, sf_dir):
 
 def q_reaggregate_store(spark, sf_dir):
     """A9 as the stored-table job: facts stored, a stale insight table stored, then the range
-    re-aggregated from stored facts and its months rewritten; returns the insight table."""
+    re-aggregated from stored facts and its days rewritten; returns the insight table."""
     facts = accepted_events(spark, sf_dir)
     root = ingest.scratch_root(spark, "reaggregate")
     storage.write_facts(facts, root, "all")
-    stale = rollup.daily_insights(facts.filter(F.col("event_time") < _ts(STALE_CUT)),
-                                  updated_at=_ts(STALE_CUT))
+    stale = rollup.insights_of(facts.filter(F.col("event_time") < _ts(STALE_CUT)),
+                               updated_at=_ts(STALE_CUT))
     storage.write_insights(stale, root)
     reaggregate_job.reaggregate_stored(spark, root, REAGG_START, REAGG_END,
                                        updated_at=ntz(EVENTS_AS_OF))
     return storage.read_insights(spark, root).select(*INSIGHT_OUT)
 
 
+# ---- rows that make the rules bite -------------------------------------------------------
+
+REPLAY_KEY = ("platform", "id")
+ARRIVED = dt.datetime(2024, 2, 1)
+FAR = 1_000_000_000  # added to an id, it names nothing
+
+
+def q_dedup_redelivery(spark, sf_dir):
+    """D1 over every event delivered twice: the same rows stay as from one delivery."""
+    facts = accepted_events(spark, sf_dir, TTL_KEY)
+    return _event_out(dedup.first_wins_ttl(facts.unionByName(facts)))
+
+
+def q_dedup_heavy(spark, sf_dir):
+    """D1 with every key on the heavy path."""
+    facts = accepted_events(spark, sf_dir, TTL_KEY)
+    return _event_out(dedup.first_wins_ttl(facts, light_limit=0))
+
+
+def q_ingest_two_batches(spark, sf_dir):
+    """D1 across batches: all events as one batch, again an hour later (all duplicates), and
+    again eight days later (accepted again, but D2 counts each fact once)."""
+    raw = tables.with_driver_event_fields(tables.ad_events_raw(spark, sf_dir), LAST_WINS_KEY)
+    root = ingest.scratch_root(spark, "two-batches")
+    for batch, later in (("b1", dt.timedelta()), ("b2", dt.timedelta(hours=1)),
+                         ("b3", dt.timedelta(days=8))):
+        ingest_job.ingest_batch(spark, raw, root, batch, now=F.col("received_at"),
+                                processed_at=F.col("processed_at"), arrived=ARRIVED + later)
+    return storage.read_insights(spark, root).select(*INSIGHT_OUT)
+
+
+def q_ingest_late(spark, sf_dir):
+    """T4: events arrive in three batches, purchases one batch late, some far behind others of
+    their key; none is lost, whatever its own time."""
+    raw = tables.with_driver_event_fields(tables.ad_events_raw(spark, sf_dir), REPLAY_KEY)
+    root = ingest.scratch_root(spark, "late")
+    for n, batch in enumerate(reversed(increment_batches(raw))):
+        ingest_job.ingest_batch(spark, batch, root, f"b{n}", now=F.col("received_at"),
+                                processed_at=F.col("processed_at"),
+                                arrived=ARRIVED + dt.timedelta(hours=n))
+    return storage.read_insights(spark, root).select(*INSIGHT_OUT)
+
+
+def q_ingest_rerun_corrected(spark, sf_dir):
+    """A batch is run again with its clicks a day later; nothing of the first run stays."""
+    raw = tables.with_driver_event_fields(tables.ad_events_raw(spark, sf_dir), REPLAY_KEY)
+    moved = raw.withColumn("event_time", F.when(
+        F.col("event_type") == "click", F.col("event_time") + F.expr("INTERVAL 1 DAY"))
+        .otherwise(F.col("event_time")))
+    root = ingest.scratch_root(spark, "rerun")
+    for batch in (raw, moved):
+        ingest_job.ingest_batch(spark, batch, root, "b1", now=F.col("received_at"),
+                                processed_at=F.col("processed_at"), arrived=ARRIVED)
+    return storage.read_insights(spark, root).select(*INSIGHT_OUT)
+
+
+def _stored(spark, sf_dir, name) -> tuple[str, DataFrame]:
+    """A store with all accepted events and their insights."""
+    facts = accepted_events(spark, sf_dir)
+    root = ingest.scratch_root(spark, name)
+    storage.write_facts(facts, root, "all")
+    storage.write_insights(rollup.insights_of(facts, ntz(EVENTS_AS_OF)), root)
+    return root, facts
+
+
+def q_reaggregate_corrected_region(spark, sf_dir):
+    """Purchases of the range get another region in a newer fact version; the rows of the
+    old region go."""
+    root, facts = _stored(spark, sf_dir, "region")
+    fixed = (rollup.day_range_filter(facts, REAGG_START, REAGG_END)
+             .filter(F.col("event_type") == "purchase").withColumn("region", F.lit("MOVED"))
+             .withColumn("processed_at", F.col("processed_at") + F.expr("INTERVAL 1 DAY")))
+    storage.write_facts(fixed, root, "fix")
+    reaggregate_job.reaggregate_stored(spark, root, REAGG_START, REAGG_END,
+                                       updated_at=ntz(EVENTS_AS_OF))
+    return storage.read_insights(spark, root).select(*INSIGHT_OUT)
+
+
+def _mixed_requests(spark, sf_dir) -> DataFrame:
+    """Every owner asks for the own campaign, for one of another user, and for none."""
+    owners = tables.ad_owners(spark, sf_dir)
+    other = owners.select("campaign_id", (F.col("user_id") + 1).alias("user_id"))
+    none = owners.select((F.col("campaign_id") + FAR).alias("campaign_id"), "user_id")
+    return owners.unionByName(other).unionByName(none)
+
+
+def _owned_campaigns(spark, sf_dir) -> DataFrame:
+    return tables.ad_owners(spark, sf_dir).select(F.col("campaign_id").alias("id"), "user_id")
+
+
+def q_insights_request_stored(spark, sf_dir):
+    """J1 -> F1/F2 -> A7 -> O1 on the stored table, with foreign and unknown campaigns."""
+    root, _ = _stored(spark, sf_dir, "request")
+    return request.insights_request(
+        spark, root, _mixed_requests(spark, sf_dir), _owned_campaigns(spark, sf_dir),
+        as_of=INSIGHTS_AS_OF, start=FILTER_START, granularity="weekly"
+    ).select("user_id", "access", "position", *INSIGHT_OUT)
+
+
+def q_reaggregate_requested(spark, sf_dir):
+    """The owner-checked re-aggregation: a stale table, requests of owners and strangers."""
+    facts = accepted_events(spark, sf_dir)
+    root = ingest.scratch_root(spark, "requested")
+    storage.write_facts(facts, root, "all")
+    storage.write_insights(rollup.insights_of(
+        facts.filter(F.col("event_time") < _ts(STALE_CUT)), ntz(EVENTS_AS_OF)), root)
+    reaggregate_job.reaggregate_requested(
+        spark, root, _mixed_requests(spark, sf_dir), _owned_campaigns(spark, sf_dir),
+        as_of=REAGG_END, start=REAGG_START, updated_at=ntz(EVENTS_AS_OF))
+    return storage.read_insights(spark, root).select(*INSIGHT_OUT)
+
+
+def q_ensure_tables_roundtrip(spark, sf_dir):
+    """Tables created with their schema, filled through S3, read through the catalog."""
+    root = ingest.scratch_root(spark, "tables")
+    database = "adperf_" + os.path.basename(root).replace("-", "_")
+    schema = S.event_schema(T.LongType())
+    facts_table, _ = storage.ensure_tables(spark, root, schema, database=database)
+    empty = spark.table(facts_table)
+    assert set(schema.fieldNames()) < set(empty.columns) and empty.isEmpty()
+    storage.write_facts(accepted_events(spark, sf_dir), root, "all")
+    spark.catalog.recoverPartitions(facts_table)
+    return (spark.table(facts_table).groupBy("event_date", "ingest_batch")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("clicks").alias("clicks")))
+
+
+def q_insights_subcent(spark, sf_dir):
+    """Amounts of a thousandth keep their value through validation and sums."""
+    raw = tables.with_driver_event_fields(tables.ad_events_raw(spark, sf_dir))
+    for m in S.AMOUNTS:
+        raw = raw.withColumn(m, (F.col(m).cast(tables.CENTS) * F.expr("0.001BD")).cast(S.MONEY))
+    good = validate.accepted(validate.validate(raw, now=F.col("received_at"),
+                                               processed_at=F.col("processed_at")))
+    return rollup.insights_of(good).select(*INSIGHT_OUT)
+
+
+def q_validate_reasons(spark, sf_dir):
+    """Every reject reason and every default id, counted."""
+    raw = tables.with_driver_event_fields(tables.ad_events_raw(spark, sf_dir), REPLAY_KEY)
+    case = F.col("id") % 11
+    broken = raw.select(
+        F.when(case == 6, None).otherwise(F.col("id")).alias("id"),
+        F.when(case == 0, None).otherwise(F.col("campaign_id")).alias("campaign_id"),
+        F.when(case == 1, "").when(case == 5, " ").otherwise(F.col("platform"))
+        .alias("platform"),
+        F.when(case != 2, F.col("event_time")).alias("event_time"),
+        F.when(case != 3, F.col("deduplication_key")).otherwise("").alias("deduplication_key"),
+        F.when(case == 4, F.lit(1e30)).otherwise(F.col("spend").cast("double")).alias("spend"),
+        case.alias("case"),
+        *[c for c in raw.columns if c not in ("id", "campaign_id", "platform", "event_time",
+                                              "deduplication_key", "spend")])
+    checked = validate.validate(broken, now=_ts(dt.datetime(2024, 1, 1)), keep=("case",))
+    return checked.groupBy("reject_reason", "case").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("id").isNull()).alias("null_ids"))
+
+
+def q_spend_rejects_mixed(spark, sf_dir):
+    """U4 + J3 with zero, negative, missing amounts and unknown campaigns in the feed."""
+    li = tables.table(spark, sf_dir, "lineitem")
+    line = F.col("l_linenumber")
+    inc = li.select(
+        F.when(line == 6, F.col("l_orderkey") + FAR).when(line == 7, None)
+        .otherwise(F.col("l_orderkey")).alias("campaign_id"),
+        F.when(line == 3, None).when(line == 4, 0)
+        .otherwise(F.col("l_extendedprice").cast(S.BUDGET) - 20000).cast(S.BUDGET).alias("spend"))
+    return budget.increment_rejects(inc, tables.ad_campaigns(spark, sf_dir)).select(
+        "campaign_id", F.col("spend").cast("double").alias("spend"), "reason")
+
+
+def q_campaign_get_unknown(spark, sf_dir):
+    """F4 for known and unknown ids."""
+    ids = tables.spend_increments(spark, sf_dir).select(F.col("campaign_id").alias("id"))
+    requests = ids.unionByName(ids.select((F.col("id") + FAR).alias("id")))
+    found = campaigns.lookup_campaigns(tables.ad_campaigns(spark, sf_dir), requests)
+    return _campaign_out(found, ("found",))
+
+
+def q_campaign_list_users(spark, sf_dir):
+    """F3 + O2 for every user with a positive account balance, with the position in the list."""
+    users = (tables.table(spark, sf_dir, "customer").filter(F.col("c_acctbal") > 0)
+             .select(F.col("c_custkey").alias("user_id")))
+    listed = campaigns.list_campaigns(tables.ad_campaigns(spark, sf_dir), users=users,
+                                      ordered=False)
+    order = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), "id")
+    return _campaign_out(listed.withColumn("position", F.row_number().over(order)),
+                         ("position",))
+
+
+def q_campaign_insert_dups(spark, sf_dir):
+    """U1 + U3: a feed that brings every campaign twice, a day apart, into a snapshot."""
+    feed = tables.ad_campaigns(spark, sf_dir)
+    again = feed.withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 1 DAY"))
+    _, inserted, conflicts = campaigns.insert_if_absent(_snapshot(spark, sf_dir),
+                                                        again.unionByName(feed))
+    return (_campaign_out(inserted).withColumn("outcome", F.lit("inserted"))
+            .unionByName(_campaign_out(conflicts, ("reason",))
+                         .withColumnRenamed("reason", "outcome")))
+
+
+def q_audit_fk_orphans(spark, sf_dir):
+    """C2 against parents without their overdrawn customers and old orders."""
+    t = lambda n: tables.table(spark, sf_dir, n)
+    customers = t("customer").filter(F.col("c_acctbal") >= 0)
+    return quality.reference_summary({
+        "orders.o_custkey->customer": (t("orders"), "o_custkey", customers, "c_custkey"),
+        "events.user_id->customer": (t("events"), "user_id", customers, "c_custkey"),
+        "lineitem.l_orderkey->orders": (
+            t("lineitem"), "l_orderkey",
+            t("orders").filter(F.col("o_orderdate") >= _ts(SNAPSHOT_CUT)), "o_orderkey"),
+    })
+
+
+def _broken_campaigns(spark, sf_dir) -> DataFrame:
+    """Campaigns with nulls, overflowing budgets, unknown platforms, long texts and flights
+    that end before they start, by their order's status and priority."""
+    o = tables.table(spark, sf_dir, "orders")
+    status = F.col("o_orderstatus")
+    return o.select(
+        F.col("o_orderkey").alias("id"),
+        F.nullif(F.col("o_custkey") % 10, F.lit(3)).alias("user_id"),
+        F.when(status == "F", F.lit("other")).when(status == "P", F.repeat(F.lit("x"), F.lit(51)))
+        .otherwise(tables.platform_of(F.col("o_orderkey"))).alias("platform"),
+        F.when(status == "O", F.col("o_totalprice") * 1e8).otherwise(F.col("o_totalprice"))
+        .alias("budget"),
+        F.nullif(F.col("o_orderdate"), F.col("o_orderdate")).alias("start_none"),
+        F.col("o_orderdate").alias("start_date"),
+        (F.col("o_orderdate") - F.expr("INTERVAL 1 DAY")).alias("end_date"),
+        F.when(status == "P", F.repeat(status, F.lit(60))).otherwise(status).alias("status"),
+        F.when(status != "F", F.repeat(status, F.lit(256))).alias("name"),
+        F.repeat(F.lit("e"), (F.col("o_orderkey") % 300).cast("int")).alias("external_id"))
+
+
+def q_audit_nulls_found(spark, sf_dir):
+    return quality.null_counts(_broken_campaigns(spark, sf_dir),
+                               ["id", "user_id", "start_none", "name", "platform"])
+
+
+def q_audit_domain_found(spark, sf_dir):
+    """C4 with violations of every campaign and user rule."""
+    broken = _broken_campaigns(spark, sf_dir)
+    camp = quality.domain_checks(quality.campaign_domain_checks(broken.columns), broken)
+    c = tables.table(spark, sf_dir, "customer")
+    length = (F.col("c_custkey") % 300).cast("int")
+    users = c.select(F.repeat(F.lit("m"), length).alias("email"),
+                     F.repeat(F.lit("n"), length + 1).alias("name"),
+                     F.repeat(F.lit("r"), length + 2).alias("role"))
+    found = quality.domain_checks(quality.user_domain_checks(), users)
+    return (camp.select(F.concat(F.lit("campaigns."), "check_name").alias("check_name"),
+                        "violations")
+            .unionByName(found.select(F.concat(F.lit("users."), "check_name")
+                                      .alias("check_name"), "violations")))
+
+
+def q_audit_currency(spark, sf_dir):
+    """Campaigns whose facts mix currencies: purchases are booked in another one."""
+    facts = accepted_events(spark, sf_dir).withColumn("currency", F.when(
+        F.col("event_type") == "purchase", F.lit("EUR")).otherwise(F.col("currency")))
+    return quality.mixed_currency(facts)
+
+
+def q_event_json_any_case(spark, sf_dir):
+    """Keys in upper case decode as well."""
+    raw = tables.with_driver_event_fields(tables.ad_events_raw(spark, sf_dir))
+    wire = raw.select(F.to_json(F.struct(*[F.col(c).alias(c.upper()) for c in raw.columns]),
+                                ev.WRITE_OPTIONS).alias("value"))
+    return _event_out(ev.decoded_ok(ev.decode_events(wire, S.event_schema(T.LongType()))))
+
+
+def q_fetch_publish(spark, sf_dir):
+    """The fetch -> publish job: pages landed, read, routed, published and decoded again."""
+    dim = campaign_external_ids(spark, sf_dir)
+    daily = _daily(spark, sf_dir).join(
+        dim.select(F.col("id").alias("campaign_id"), "external_id"), "campaign_id")
+    root = ingest.scratch_root(spark, "publish")
+    landed, out = os.path.join(root, "landed"), os.path.join(root, "out")
+    payloads.pack_payloads(daily).write.partitionBy("platform").json(landed)
+    publish.publish_landed(spark, landed, dim, fmt="parquet", path=out)
+    decoded = ev.decoded_ok(ev.decode_events(
+        spark.read.schema("key string, value string").parquet(out), S.event_schema(T.LongType())))
+    return decoded.select(*[F.col(c).cast("double").alias(c) if c in S.AMOUNTS else F.col(c)
+                            for c in EVENT_OUT if c != "id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "validate_accept": q_validate_accept,
     "validate_rejects": q_validate_rejects,
@@ -450,4 +733,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_ingest": q_stream_ingest,
     "batch_ingest_store": q_batch_ingest_store,
     "reaggregate_store": q_reaggregate_store,
+    "dedup_redelivery": q_dedup_redelivery,
+    "dedup_heavy": q_dedup_heavy,
+    "ingest_two_batches": q_ingest_two_batches,
+    "ingest_late": q_ingest_late,
+    "ingest_rerun_corrected": q_ingest_rerun_corrected,
+    "reaggregate_corrected_region": q_reaggregate_corrected_region,
+    "reaggregate_requested": q_reaggregate_requested,
+    "insights_request_stored": q_insights_request_stored,
+    "ensure_tables_roundtrip": q_ensure_tables_roundtrip,
+    "insights_subcent": q_insights_subcent,
+    "validate_reasons": q_validate_reasons,
+    "spend_rejects_mixed": q_spend_rejects_mixed,
+    "campaign_get_unknown": q_campaign_get_unknown,
+    "campaign_list_users": q_campaign_list_users,
+    "campaign_insert_dups": q_campaign_insert_dups,
+    "audit_fk_orphans": q_audit_fk_orphans,
+    "audit_nulls_found": q_audit_nulls_found,
+    "audit_domain_found": q_audit_domain_found,
+    "audit_currency": q_audit_currency,
+    "event_json_any_case": q_event_json_any_case,
+    "fetch_publish": q_fetch_publish,
 }

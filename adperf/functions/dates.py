@@ -61,10 +61,6 @@ def ntz(value: dt.datetime | dt.date) -> Column:
     return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
-def day_of(ts: Column) -> Column:
-    return F.to_date(ts)
-
-
 def try_day(text: Column) -> Column:
     """Strict ``yyyy-MM-dd`` parse of a column; null when it does not parse."""
     return F.to_date(F.try_to_timestamp(text, F.lit("yyyy-MM-dd")))

@@ -28,10 +28,3 @@ def is_missing_id(c: Column) -> Column:
     """Missing identifier: null, empty, or the nil UUID (zero value of the original)."""
     as_text = c.cast("string")
     return c.isNull() | (as_text == "") | (as_text == S.NIL_UUID)
-
-
-UUID_PATTERN = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-
-
-def is_uuid(c: Column) -> Column:
-    return c.rlike(UUID_PATTERN)

@@ -12,16 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adperf import schemas as S
-from adperf.operators.joins import key_side
 
 SPEND_TYPE = "decimal(18,2)"
 
 
 def _increment_reason() -> F.Column:
     amount = F.col("spend")
-    return (F.when(F.col("campaign_id").isNull(), F.lit("campaign ID is required"))
-            .when(amount.isNull() | (amount == 0), F.lit("spend is required"))
-            .when(amount < 0, F.lit("spend amount cannot be negative")))
+    return (F.when(F.col("campaign_id").isNull(), F.lit(S.REJECT_CAMPAIGN_REQUIRED))
+            .when(amount.isNull() | (amount == 0), F.lit(S.REJECT_SPEND_REQUIRED))
+            .when(amount < 0, F.lit(S.REJECT_SPEND_NEGATIVE)))
 
 
 def split_increments(increments: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -63,10 +62,10 @@ def budget_status(budgets: DataFrame, totals: DataFrame) -> DataFrame:
 def increment_rejects(increments: DataFrame, campaigns: DataFrame) -> DataFrame:
     """U4 + J3 in one pass: invalid increments and increments of unknown campaigns, with
     ``reason``. One left join to the campaign keys; the increments are scanned once."""
-    known = key_side(campaigns.select(F.col("id").alias("campaign_id")).distinct()
+    known = (campaigns.select(F.col("id").alias("campaign_id")).distinct()
                      .withColumn("_known", F.lit(True)))
     reason = F.coalesce(_increment_reason(),
-                        F.when(F.col("_known").isNull(), F.lit("campaign not found")))
+                        F.when(F.col("_known").isNull(), F.lit(S.REJECT_CAMPAIGN_NOT_FOUND)))
     return (increments.join(known, "campaign_id", "left")
             .withColumn("reason", reason)
             .filter(F.col("reason").isNotNull())

@@ -15,8 +15,6 @@ from pyspark.sql import types as T
 
 from adperf.functions.keys import deterministic_uuid, is_missing_id
 from adperf.operators.dedup import last_wins
-from adperf.operators.joins import key_side
-from adperf.session import checkpoint_dir
 
 # Columns an update replaces; ``user_id`` and ``created_at`` are kept from the target.
 UPDATED_COLUMNS = ("name", "platform", "budget", "start_date", "end_date", "status",
@@ -57,8 +55,8 @@ def insert_if_absent(target: DataFrame, incoming: DataFrame, key: str = "id",
     """U1 + U3: append incoming rows whose key is new; report the rest as conflicts.
 
     Missing ids get a deterministic id; ``created_at`` / ``updated_at`` default to ``now``.
-    Within the batch the first row per key (by ``order``, ties broken by arrival) wins; later
-    ones are conflicts too.
+    Within the batch the first row per key (by ``order``, then by all columns) wins, whatever the
+    partitioning; the others are conflicts too.
     Returns ``(new_table, inserted, conflicts)``; ``conflicts`` has a ``reason`` column.
     """
     now = now if now is not None else F.localtimestamp()
@@ -75,21 +73,25 @@ def insert_if_absent(target: DataFrame, incoming: DataFrame, key: str = "id",
                 inc = inc.withColumn(c, F.coalesce(F.col(c), now.cast(target.schema[c].dataType)))
             else:
                 inc = inc.withColumn(c, now.cast(target.schema[c].dataType))
-    # a row id, fixed by the checkpoint, tells the winner apart from its duplicates; joining on
-    # it (not on the key) keeps a key with many incoming rows spread over tasks
-    checkpoint_dir(incoming.sparkSession)
-    inc = (inc.select(*target.columns).withColumn("_rid", F.monotonically_increasing_id())
-           .checkpoint(eager=True))
-    winners = (inc.groupBy(key).agg(F.min(F.struct(order, "_rid")).alias("_w"))
-               .select(F.col("_w._rid").alias("_rid")))
-    first = inc.join(winners, "_rid", "left_semi")
-    in_batch_dups = (inc.join(winners, "_rid", "left_anti").drop("_rid")
+    inc = inc.select(*target.columns)
+    rest = [c for c in inc.columns if c not in (key, order)]
+    # one aggregate with map-side combine: the first row per key by (order, all columns), and
+    # how often each distinct row came
+    same = inc.groupBy(*inc.columns).agg(F.count(F.lit(1)).alias("_n"))
+    first = (inc.groupBy(key).agg(F.min(F.struct(order, *rest)).alias("_w"))
+             .select(key, "_w.*").select(*target.columns))
+    marked = same.join(first.withColumn("_first", F.lit(True)),
+                       [same[c].eqNullSafe(first[c]) for c in target.columns], "left") \
+        .select(*[same[c] for c in target.columns], "_n", "_first")
+    again = F.col("_n") - F.when(F.col("_first"), 1).otherwise(0)
+    in_batch_dups = (marked.withColumn("_copy", F.explode(F.when(
+        again > 0, F.sequence(F.lit(1), again.cast("int"))))).select(*target.columns)
                      .withColumn("reason", F.lit("duplicate in batch")))
-    first = first.drop("_rid")
-    known = key_side(target.select(key).distinct())
+    known = target.select(key).distinct()
     existing = first.join(known, key, "left_semi").withColumn("reason", F.lit("already exists"))
-    inserted = first.join(known, key, "left_anti")
-    return target.unionByName(inserted), inserted, existing.unionByName(in_batch_dups)
+    inserted = first.join(known, key, "left_anti").select(*target.columns)
+    return (target.unionByName(inserted), inserted,
+            existing.select(*target.columns, "reason").unionByName(in_batch_dups))
 
 
 def apply_updates(target: DataFrame, changes: DataFrame, key: str = "id",
@@ -125,4 +127,4 @@ def orphans(rows: DataFrame, campaigns: DataFrame, key: str = "campaign_id",
             campaign_key: str = "id") -> DataFrame:
     """Rows that reference a campaign that does not exist."""
     known = campaigns.select(F.col(campaign_key).alias(key)).distinct()
-    return rows.join(key_side(known), key, "left_anti")
+    return rows.join(known, key, "left_anti")

@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adperf import schemas as S
-from adperf.operators.joins import key_side as _key_side
 from adperf.session import checkpoint_dir
 
 
@@ -191,19 +190,24 @@ def first_wins_ttl(df: DataFrame, key: str = "deduplication_key", clock: str = "
 
     ``seeds`` (``key``, ``last_accepted``) continues an earlier run: a key's chain starts at its
     last accepted time, so rows before it or within ``ttl`` of it are duplicates. This is how a
-    stream applies the same exact rule batch by batch.
+    backfill applies the same exact rule part by part. Live ingest judges by arrival instead:
+    see :func:`first_wins_arrival`.
     """
     keyed = df.filter(F.col(key).isNotNull())
     unkeyed = df.filter(F.col(key).isNull())
 
-    # one candidate per (key, clock): rows at the same instant cannot both be accepted
-    nodes = keyed.groupBy(key, clock).agg(F.min(tie).alias("_id"))
+    # one candidate per (key, clock): rows at the same instant cannot both be accepted. The
+    # whole row travels with its candidate, so a redelivered copy of it is never picked up again
+    rest = [c for c in df.columns if c not in (key, clock, tie)]
+    candidates = _materialize(keyed.groupBy(key, clock).agg(
+        F.min(F.struct(tie, *rest)).alias("_row")))
+    nodes = candidates.select(key, clock, F.col(f"_row.{tie}").alias("_id"))
     t_type = nodes.schema[clock].dataType
     if seeds is not None:
         last = _materialize(seeds.groupBy(key).agg(
             F.max("last_accepted").cast(t_type).alias("_seed")))
         # rows at or before the seed can never be accepted again
-        nodes = (nodes.join(_key_side(last), key, "left")
+        nodes = (nodes.join(last, key, "left")
                  .filter(F.col("_seed").isNull() | (F.col(clock) > F.col("_seed"))))
     else:
         nodes = nodes.withColumn("_seed", F.lit(None).cast(t_type))
@@ -215,7 +219,7 @@ def first_wins_ttl(df: DataFrame, key: str = "deduplication_key", clock: str = "
                   .filter(F.col("_n") > light_limit).select(key))
     has_heavy = light_limit <= 0 or heavy_keys.limit(1).count() > 0
     if has_heavy and light_limit > 0:
-        heavy_keys = _key_side(_materialize(heavy_keys))
+        heavy_keys = _materialize(heavy_keys)
     parts = []
     if light_limit > 0:
         light = nodes.join(heavy_keys, key, "left_anti") if has_heavy else nodes
@@ -229,22 +233,34 @@ def first_wins_ttl(df: DataFrame, key: str = "deduplication_key", clock: str = "
         heavy = (heavy.select(key, clock, "_id").withColumn("_is_seed", F.lit(False))
                  .unionByName(seed_nodes))
         parts.append(_chain_heavy(heavy, key, clock, ttl_days, bucket_hours))
-    winners = union_all(parts).select(F.col(key).alias("_wk"), F.col(clock).alias("_wc"),
-                                      F.col("_id").alias("_wi"))
-    match = ((F.col(key) == F.col("_wk")) & (F.col(clock) == F.col("_wc"))
-             & F.col(tie).eqNullSafe(F.col("_wi")))
-    kept = keyed.join(winners, match, "left_semi")
+    winners = union_all(parts).select(key, clock)
+    kept = (candidates.join(winners, [key, clock], "left_semi")
+            .select(key, clock, f"_row.{tie}", *[F.col(f"_row.{c}").alias(c) for c in rest])
+            .select(*df.columns))
     return kept.unionByName(unkeyed)
 
 
-def first_wins(df: DataFrame, key: str = "deduplication_key", clock: str = "received_at",
-               tie: str = "id") -> DataFrame:
-    """First-wins without expiry: earliest ``(clock, tie)`` per key (aggregate, map-side combine)."""
-    rest = [c for c in df.columns if c not in (key, clock, tie)]
-    packed = F.struct(F.col(clock), F.col(tie), *[F.col(c) for c in rest])
-    return (df.groupBy(key).agg(F.min(packed).alias("_w"))
-            .select(key, *[F.col(f"_w.{c}").alias(c) for c in [clock, tie] + rest])
-            .select(*df.columns))
+def first_wins_arrival(df: DataFrame, arrived: Column, state: DataFrame | None = None,
+                       key: str = "deduplication_key",
+                       order: tuple[str, ...] = ("received_at", "id"),
+                       ttl_days: int = S.DEDUP_TTL_DAYS) -> DataFrame:
+    """D1 for live ingest: the rows of one batch that a dedup judging by arrival accepts.
+
+    All rows of a batch share one arrival stamp, so at most one row per key is accepted (the
+    first by ``order``; an aggregate with map-side combine), and none whose key was accepted
+    less than ``ttl_days`` before the batch arrived. ``state`` is ``(key, accepted_at)`` of
+    earlier batches. Event time plays no part, so late rows are judged like any other; rows
+    with a null key pass through.
+    """
+    rest = [c for c in df.columns if c != key and c not in order]
+    first = (df.filter(F.col(key).isNotNull()).groupBy(key)
+             .agg(F.min(F.struct(*order, *rest)).alias("_row"))
+             .select(key, "_row.*").select(*df.columns))
+    if state is not None:
+        live = state.filter(F.col("accepted_at")
+                            > arrived - F.expr(f"INTERVAL {int(ttl_days)} DAYS"))
+        first = first.join(live.select(key), key, "left_anti")
+    return first.unionByName(df.filter(F.col(key).isNull()))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from adperf import schemas as S
 from adperf.functions.dates import check_granularity, default_range, parse_day
-from adperf.operators.joins import key_side
 from adperf.operators.rollup import regroup_insights, regroup_insights_by
 
 
@@ -77,7 +76,7 @@ def insights_for_users(insights: DataFrame, owners: DataFrame, users: DataFrame)
     ``owners`` is ``(campaign_id, user_id)``; ``users`` is ``(user_id)``. Rows of campaigns
     without an owner, or owned by someone else, are never returned.
     """
-    allowed = owners.join(key_side(users.select("user_id").distinct()), "user_id", "left_semi")
+    allowed = owners.join(users.select("user_id").distinct(), "user_id", "left_semi")
     return insights.join(allowed.select("campaign_id", "user_id"), "campaign_id")
 
 
@@ -90,7 +89,7 @@ def owner_insights(insights: DataFrame, campaigns: DataFrame, requests: DataFram
     A7 granularity -> O1 order. Output: the request's ``user_id`` plus the insight columns."""
     ok = (authorized_requests(requests.select("user_id", "campaign_id").distinct(), campaigns)
           .filter(F.col("access") == "ok").select("campaign_id", "user_id"))
-    scoped = insights.join(key_side(ok), "campaign_id")
+    scoped = insights.join(ok, "campaign_id")
     g = check_granularity(granularity)
     if as_of is not None:
         start, end = default_range(start, end, as_of)

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adperf import schemas as S
-from adperf.operators.joins import key_side
 
 
 def duplicate_keys(df: DataFrame, keys: list[str] | tuple[str, ...]) -> DataFrame:
@@ -24,7 +23,7 @@ def duplicate_keys(df: DataFrame, keys: list[str] | tuple[str, ...]) -> DataFram
 def missing_references(child: DataFrame, child_key: str, parent: DataFrame,
                        parent_key: str) -> DataFrame:
     """Child rows whose non-null key has no parent row."""
-    parents = key_side(parent.select(F.col(parent_key).alias(child_key)).distinct())
+    parents = parent.select(F.col(parent_key).alias(child_key)).distinct()
     return child.filter(F.col(child_key).isNotNull()).join(parents, child_key, "left_anti")
 
 
@@ -32,7 +31,7 @@ def reference_summary(checks: dict[str, tuple[DataFrame, str, DataFrame, str]])
     """C2 for several constraints: ``(constraint_name, checked_rows, violations)``."""
     frames = []
     for name, (child, ck, parent, pk) in checks.items():
-        parents = key_side(parent.select(F.col(pk).alias("_pk"), F.lit(True).alias("_hit"))
+        parents = (parent.select(F.col(pk).alias("_pk"), F.lit(True).alias("_hit"))
                            .distinct())
         frames.append(child.select(F.col(ck).alias("_pk"))
                       .join(parents, "_pk", "left")
@@ -68,20 +67,30 @@ def domain_checks(checks: dict[str, Column], df: DataFrame) -> DataFrame:
                    "check_name", "violations")
 
 
-def campaign_domain_checks() -> dict[str, Column]:
-    """Domain rules of the campaign table: decimal(12,2) budget, varchar limits, platform."""
-    limits = S.VARCHAR_LIMITS["campaigns"]
+def campaign_domain_checks(columns: list[str] | None = None) -> dict[str, Column]:
+    """Domain rules of the campaign table: decimal(12,2) budget, varchar limits, platform.
+
+    Limits are checked for ``columns``, those that the source has (default: platform, status).
+    """
+    limits = {c: n for c, n in S.VARCHAR_LIMITS["campaigns"].items()
+              if c in (columns if columns is not None else ("platform", "status"))}
     checks = {
         "budget_decimal_12_2": F.col("budget").isNotNull()
         & F.col("budget").try_cast("decimal(12,2)").isNull(),
         "platform_enum": F.col("platform").isNotNull() & ~F.col("platform").isin(*S.PLATFORMS),
     }
-    for c in ("platform", "status"):
-        checks[f"{c}_length"] = F.length(F.col(c).cast("string")) > limits[c]
+    for c, limit in limits.items():
+        checks[f"{c}_length"] = F.length(F.col(c).cast("string")) > limit
     checks["end_before_start"] = F.col("end_date") < F.col("start_date")
     return checks
 
 
+def user_domain_checks() -> dict[str, Column]:
+    """Domain rules of the user table: varchar limits."""
+    return {f"{c}_length": F.length(F.col(c).cast("string")) > limit
+            for c, limit in S.VARCHAR_LIMITS["users"].items()}
+
+
 def event_domain_checks() -> dict[str, Column]:
     """Domain rules of the event stream: known platform, non-negative metrics."""
     checks = {"platform_enum": F.col("platform").isNotNull()

@@ -17,7 +17,6 @@ from adperf import schemas as S
 from adperf.functions.dates import check_granularity, ntz, period_start
 from adperf.functions.ratios import ratio_columns
 from adperf.operators.dedup import latest_facts
-from adperf.operators.joins import key_side
 
 _SUM_TYPE = S.MONEY  # amounts stay decimal through the sums
 
@@ -42,20 +41,17 @@ def daily_insights(facts: DataFrame, updated_at: Column | None = None) -> DataFr
     return _finish(grouped, list(S.INSIGHT_KEY), updated_at)
 
 
-def period_insights(facts: DataFrame, granularity: str = "daily",
-                    updated_at: Column | None = None) -> DataFrame:
-    """A1 + A7 straight from facts: ``date`` is the first day of the day / week / month."""
-    g = check_granularity(granularity)
-    grouped = (facts.withColumn("date", period_start(F.to_date("event_time"), g))
-               .groupBy(*S.INSIGHT_KEY).agg(*_sums()))
-    return _finish(grouped, list(S.INSIGHT_KEY), updated_at)
+def insights_of(facts: DataFrame, updated_at: Column | None = None) -> DataFrame:
+    """D2 then A1: daily insights of stored or incoming facts, the last version of each fact
+    counted once. Every path from facts to insights goes through here."""
+    return daily_insights(latest_facts(facts), updated_at)
 
 
 def regroup_insights(insights: DataFrame, granularity: str) -> DataFrame:
     """A7 over stored daily insights: re-sum the counters, recompute ratios from the sums.
 
-    Stored amounts are doubles of 2-decimal values, so the cast back to decimal is exact and
-    the re-sum is order-independent.
+    Stored amounts are doubles of decimals, so the cast back to decimal gives the sum's decimal
+    (up to a double's 15 digits) and the re-sum is order-independent.
     """
     g = check_granularity(granularity)
     if g == "daily":
@@ -85,13 +81,12 @@ def apply_increment(current: DataFrame | None, new_facts: DataFrame, all_facts:
 
     Days the batch touches are recomputed from *all* facts (so a replayed batch cannot double
     count); every other row of ``current`` is kept. ``all_facts`` should already include the
-    batch. Callers that store by month pass facts pruned to the touched months. ``current``
-    None means there is no table yet.
+    batch; ``current`` None means there is no table yet.
     """
     touched = touched_days(new_facts)
     affected = (all_facts.withColumn("date", F.to_date("event_time"))
-                .join(key_side(touched), ["campaign_id", "date"], "left_semi").drop("date"))
-    recomputed = daily_insights(affected, updated_at)
+                .join(touched, ["campaign_id", "date"], "left_semi").drop("date"))
+    recomputed = insights_of(affected, updated_at)
     if current is None:
         return recomputed
     kept = current.join(touched, ["campaign_id", "date"], "left_anti")
@@ -106,15 +101,19 @@ def day_range_filter(facts: DataFrame, start: dt.date, end: dt.date) -> DataFram
 
 def reaggregate(current: DataFrame, facts: DataFrame, start: dt.date, end: dt.date,
                 campaigns: DataFrame | None = None, updated_at: Column | None = None) -> DataFrame:
-    """Recompute insights of ``campaigns`` (all when None) over whole days
-    ``start..end`` from last-wins facts, replacing rows with the same insight key.
+    """Insights of ``campaigns`` (all when None) over whole days ``start..end``, recomputed
+    from last-wins facts. Every row of those campaigns and days is replaced, so a key that the
+    facts no longer have (a corrected region, say) does not stay behind.
     """
     if end < start:
         raise ValueError("end date before start date")
     scoped = day_range_filter(facts, start, end)
+    in_range = F.col("date").between(F.lit(start), F.lit(end))
+    outside = current.filter(~in_range)
     if campaigns is not None:
-        scoped = scoped.join(campaigns.select("campaign_id").distinct(), "campaign_id",
-                             "left_semi")
-    recomputed = daily_insights(latest_facts(scoped), updated_at)
-    kept = current.join(recomputed.select(*S.INSIGHT_KEY), list(S.INSIGHT_KEY), "left_anti")
-    return kept.unionByName(recomputed.select(*kept.columns))
+        ids = campaigns.select("campaign_id").distinct()
+        scoped = scoped.join(ids, "campaign_id", "left_semi")
+        outside = outside.unionByName(current.filter(in_range).join(ids, "campaign_id",
+                                                                    "left_anti"))
+    recomputed = insights_of(scoped, updated_at)
+    return outside.unionByName(recomputed.select(*outside.columns))

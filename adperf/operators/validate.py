@@ -16,12 +16,18 @@ from pyspark.sql import types as T
 from adperf import schemas as S
 from adperf.functions.keys import deterministic_uuid, is_missing_id
 
-# Zero value of a Go time, read as "missing".
+# The zero time of the messages, read as "missing".
 _ZERO_TIME = "0001-01-01 00:00:00"
 
 
 def _blank(c: Column) -> Column:
-    return c.isNull() | (F.trim(c) == "")
+    return c.isNull() | (c == "")
+
+
+def _bad_amount() -> Column:
+    """An amount is given but does not fit the stored type."""
+    bad = [F.col(m).isNotNull() & F.col(m).try_cast(S.MONEY).isNull() for m in S.AMOUNTS]
+    return bad[0] | bad[1]
 
 
 def _missing_time(c: Column) -> Column:
@@ -41,7 +47,8 @@ def with_reject_reason(df: DataFrame, prior: Column | None = None) -> DataFrame:
               .when(is_missing_id(F.col("campaign_id")), F.lit(S.REJECT_MISSING_CAMPAIGN))
               .when(_blank(F.col("platform")), F.lit(S.REJECT_MISSING_PLATFORM))
               .when(_missing_time(F.col("event_time")), F.lit(S.REJECT_MISSING_EVENT_TIME))
-              .when(_blank(F.col("deduplication_key")), F.lit(S.REJECT_MISSING_DEDUP_KEY)))
+              .when(_blank(F.col("deduplication_key")), F.lit(S.REJECT_MISSING_DEDUP_KEY))
+              .when(_bad_amount(), F.lit(S.REJECT_AMOUNT)))
     return df.withColumn("reject_reason", reason)
 
 
@@ -72,7 +79,7 @@ def normalise(df: DataFrame, now: Column | None = None,
                     .cast("long").alias(m))
     zero = F.lit(0).cast(S.MONEY)
     for m in S.AMOUNTS:
-        cols.append(F.greatest(F.coalesce(F.col(m).cast(S.MONEY), zero), zero)
+        cols.append(F.greatest(F.coalesce(F.col(m).try_cast(S.MONEY), zero), zero)
                     .cast(S.MONEY).alias(m))
     cols += [
         F.col("event_time"),

@@ -45,11 +45,22 @@ def _valid(key_sql: str = KEY_DAY) -> str:
     {key_sql} AS deduplication_key,
     event_time AS received_at, event_time AS processed_at
   FROM raw
-  WHERE campaign_id IS NOT NULL AND platform IS NOT NULL AND trim(platform) <> ''
+  WHERE campaign_id IS NOT NULL AND platform IS NOT NULL AND platform <> ''
     AND event_time IS NOT NULL
 )"""
 
 
+# The last version per fact key; every path from facts to insights counts it once.
+def _latest(src: str = "valid", name: str = "latest") -> str:
+    return f"""{name} AS (
+  SELECT * FROM {src} QUALIFY row_number() OVER (
+    PARTITION BY campaign_id, event_time, deduplication_key
+    ORDER BY processed_at DESC, id DESC) = 1
+)"""
+
+
+KEY_REPLAY = "concat_ws(':', platform, CAST(id AS VARCHAR))"
+
 EVENT_COLS = ("id, campaign_id, platform, event_type, impressions, clicks, conversions, "
               "CAST(spend AS DOUBLE) AS spend, CAST(revenue AS DOUBLE) AS revenue, event_time, "
               "region, currency, deduplication_key")
@@ -97,11 +108,11 @@ SQL["validate_accept"] = _with(RAW, _valid()) + f"SELECT {EVENT_COLS} FROM valid
 
 SQL["validate_rejects"] = _with(RAW) + """SELECT id, campaign_id, event_type, event_time,
   CASE WHEN campaign_id IS NULL THEN 'missing campaign ID'
-       WHEN platform IS NULL OR trim(platform) = '' THEN 'missing platform'
+       WHEN platform IS NULL OR platform = '' THEN 'missing platform'
        WHEN event_time IS NULL THEN 'missing event time'
        ELSE 'missing deduplication key' END AS reject_reason
 FROM raw
-WHERE campaign_id IS NULL OR platform IS NULL OR trim(platform) = '' OR event_time IS NULL"""
+WHERE campaign_id IS NULL OR platform IS NULL OR platform = '' OR event_time IS NULL"""
 
 SQL["dedup_last"] = _with(RAW, _valid(), """ranked AS (
   SELECT *, row_number() OVER (PARTITION BY deduplication_key
@@ -127,50 +138,46 @@ SELECT {EVENT_COLS} FROM valid v
 JOIN nodes n ON v.deduplication_key = n.k AND v.received_at = n.t AND v.id = n.nid
 JOIN chain c ON c.k = n.k AND c.t = n.t"""
 
-SQL["insights_daily"] = _with(RAW, _valid(), _rollup("valid", DAY, "daily")) + \
+SQL["insights_daily"] = _with(RAW, _valid(), _latest(), _rollup("latest", DAY, "daily")) + \
     f"SELECT {INSIGHT_COLS} FROM daily"
-SQL["insights_weekly"] = _with(RAW, _valid(), _rollup("valid", WEEK, "weekly")) + \
+SQL["insights_weekly"] = _with(RAW, _valid(), _latest(), _rollup("latest", WEEK, "weekly")) + \
     f"SELECT {INSIGHT_COLS} FROM weekly"
-SQL["insights_monthly"] = _with(RAW, _valid(), _rollup("valid", MONTH, "monthly")) + \
+SQL["insights_monthly"] = _with(RAW, _valid(), _latest(), _rollup("latest", MONTH, "monthly")) + \
     f"SELECT {INSIGHT_COLS} FROM monthly"
 # Latest version wins; the full recompute is newer than the stale load for every key.
 SQL["insights_latest"] = SQL["insights_daily"]
 
-SQL["insights_filtered"] = _with(RAW, _valid(), _rollup("valid", DAY, "daily")) + f"""
+SQL["insights_filtered"] = _with(RAW, _valid(), _latest(), _rollup("latest", DAY, "daily")) + f"""
 SELECT {INSIGHT_COLS} FROM daily
 WHERE date >= DATE '2024-01-08' AND date <= DATE '2024-01-21'
   AND platform = 'google' AND region = 'AMERICA'"""
 
-SQL["insights_default_range"] = _with(RAW, _valid(), _rollup("valid", DAY, "daily")) + f"""
+SQL["insights_default_range"] = _with(RAW, _valid(), _latest(), _rollup("latest", DAY, "daily")) + f"""
 SELECT {INSIGHT_COLS} FROM daily
 WHERE date >= DATE '2024-01-25' - INTERVAL 30 DAY AND date <= DATE '2024-01-25'"""
 
-SQL["insights_for_owner"] = _with(RAW, _valid(), _rollup("valid", DAY, "daily")) + f"""
+SQL["insights_for_owner"] = _with(RAW, _valid(), _latest(), _rollup("latest", DAY, "daily")) + f"""
 SELECT {INSIGHT_COLS}, o.user_id FROM daily
 JOIN (SELECT c_custkey AS campaign_id, CAST(c_nationkey AS BIGINT) AS user_id FROM customer) o
   USING (campaign_id)"""
 
 SQL["reaggregate_range"] = _with(
-    RAW, _valid(),
-    _rollup("valid", DAY, "stale", "event_time < TIMESTAMP '2024-01-15 12:00:00'"),
-    """latest AS (
-  SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY campaign_id, event_time, deduplication_key
-                                 ORDER BY processed_at DESC, id DESC) AS rn
-    FROM valid
-    WHERE event_time >= TIMESTAMP '2024-01-10 00:00:00'
-      AND event_time < TIMESTAMP '2024-01-21 00:00:00') WHERE rn = 1
-)""", _rollup("latest", DAY, "fresh")) + f"""
-SELECT {INSIGHT_COLS} FROM stale s
-WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE f.campaign_id = s.campaign_id
-                  AND f.date = s.date AND f.platform = s.platform AND f.region = s.region)
+    RAW, _valid(), _latest(),
+    _rollup("latest", DAY, "stale", "event_time < TIMESTAMP '2024-01-15 12:00:00'"),
+    _rollup("latest", DAY, "fresh", "event_time >= TIMESTAMP '2024-01-10 00:00:00' "
+                                    "AND event_time < TIMESTAMP '2024-01-21 00:00:00'")) + f"""
+SELECT {INSIGHT_COLS} FROM stale
+WHERE date NOT BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'
 UNION ALL
 SELECT {INSIGHT_COLS} FROM fresh"""
 
 # Applying the arrival batches one by one ends at the full daily roll-up.
 SQL["rollup_incremental"] = SQL["insights_daily"]
-# The stream stores every accepted event once; its insight table is the daily roll-up.
-SQL["stream_ingest"] = SQL["insights_daily"]
+# The stream stores every accepted event once under its own key; its insight table is the
+# daily roll-up.
+SQL["stream_ingest"] = _with(RAW, _valid(KEY_REPLAY), _latest(),
+                             _rollup("latest", DAY, "daily")) + \
+    f"SELECT {INSIGHT_COLS} FROM daily"
 
 
 def _platform(col: str) -> str:
@@ -316,7 +323,7 @@ WHERE x.s <= DATE '{as_of}'"""
 SQL["fetch_plan"] = _with(CAMP, "cs AS (SELECT id AS campaign_id, platform, start_date FROM camp)") \
     + _plan("cs", "1997-01-01")
 
-SQL["missing_days"] = _with(RAW, _valid(), _rollup("valid", DAY, "daily"), """started AS (
+SQL["missing_days"] = _with(RAW, _valid(), _latest(), _rollup("latest", DAY, "daily"), """started AS (
   SELECT campaign_id, platform, MIN(event_time) AS start_date FROM valid GROUP BY 1, 2
 )""", f"plan AS ({_plan('started', '2024-01-30')})") + """
 SELECT p.campaign_id, p.platform, p.day FROM plan p
@@ -328,7 +335,7 @@ SELECT id, campaign_id, platform, event_type, impressions, clicks, conversions,
   CAST(NULL AS VARCHAR) AS currency, {KEY_DAY} AS deduplication_key
 FROM raw"""
 
-SQL["payload_flatten"] = _with(RAW, _valid(), _rollup("valid", DAY, "daily")) + """
+SQL["payload_flatten"] = _with(RAW, _valid(), _latest(), _rollup("latest", DAY, "daily")) + """
 SELECT campaign_id, platform, 'daily_stats' AS event_type, impressions, clicks, conversions,
   spend, revenue, CAST(date AS TIMESTAMP) AS event_time, 'all' AS region, 'USD' AS currency,
   platform || ':ext-' || CAST(campaign_id AS VARCHAR) || ':' || strftime(date, '%Y-%m-%d')
@@ -336,9 +343,9 @@ SELECT campaign_id, platform, 'daily_stats' AS event_type, impressions, clicks,
 FROM daily"""
 
 SQL["insights_owner_weekly"] = _with(
-    RAW, _valid(), """owned AS (
+    RAW, _valid(), _latest(), """owned AS (
   SELECT v.*, CAST(c.c_nationkey AS BIGINT) AS user_id
-  FROM valid v JOIN customer c ON v.campaign_id = c.c_custkey
+  FROM latest v JOIN customer c ON v.campaign_id = c.c_custkey
   WHERE CAST(v.event_time AS DATE) >= DATE '2024-01-08'
     AND CAST(v.event_time AS DATE) <= DATE '2024-01-21'
 )""", f"""weekly_sums AS (
@@ -352,6 +359,136 @@ SELECT campaign_id, date, platform, region, impressions, clicks, conversions,
 FROM weekly_sums"""
 
 # The stored-table jobs end at the same tables as their in-memory twins.
-SQL["batch_ingest_store"] = SQL["insights_daily"]
+SQL["batch_ingest_store"] = SQL["stream_ingest"]
 SQL["reaggregate_store"] = SQL["reaggregate_range"]
 SQL["payload_files"] = SQL["payload_flatten"]
+
+# ---- rows that make the rules bite --------------------------------------------------------
+
+SQL["dedup_redelivery"] = SQL["dedup_first_ttl"]
+SQL["dedup_heavy"] = SQL["dedup_first_ttl"]
+
+# One row per key, whatever is redelivered: the first by (received_at, id).
+SQL["ingest_two_batches"] = _with(RAW, _valid(), """firsts AS (
+  SELECT * FROM valid QUALIFY row_number() OVER (
+    PARTITION BY deduplication_key ORDER BY received_at, id) = 1
+)""", _rollup("firsts", DAY, "daily")) + f"SELECT {INSIGHT_COLS} FROM daily"
+SQL["ingest_late"] = SQL["stream_ingest"]
+
+SQL["ingest_rerun_corrected"] = _with(
+    RAW.replace("e.ts AS event_time", "CASE WHEN e.event_type = 'click' "
+                "THEN e.ts + INTERVAL 1 DAY ELSE e.ts END AS event_time"),
+    _valid(KEY_REPLAY), _latest(), _rollup("latest", DAY, "daily")) + \
+    f"SELECT {INSIGHT_COLS} FROM daily"
+
+SQL["reaggregate_corrected_region"] = _with(RAW, _valid(), _latest(), f"""fixed AS (
+  SELECT * REPLACE (CASE WHEN event_type = 'purchase'
+                          AND {DAY} BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'
+                         THEN 'MOVED' ELSE region END AS region) FROM latest
+)""", _rollup("fixed", DAY, "daily")) + f"SELECT {INSIGHT_COLS} FROM daily"
+
+# Every owner may refresh the own campaign, so the whole range is fresh.
+SQL["reaggregate_requested"] = SQL["reaggregate_range"]
+
+SQL["insights_request_stored"] = _with(
+    RAW, _valid(), _latest(), """own AS (
+  SELECT c_custkey AS campaign_id, CAST(c_nationkey AS BIGINT) AS user_id FROM customer
+)""", """asked AS (
+  SELECT campaign_id, user_id, 'ok' AS access FROM own
+  UNION ALL SELECT campaign_id, user_id + 1, 'forbidden' FROM own
+  UNION ALL SELECT campaign_id + 1000000000, user_id, 'not_found' FROM own
+)""", _rollup("latest", WEEK, "weekly",
+              "CAST(event_time AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-25'")) + f"""
+SELECT a.user_id, access,
+  CASE WHEN w.date IS NOT NULL THEN CAST(row_number() OVER (
+    PARTITION BY a.user_id, a.campaign_id ORDER BY w.date, w.platform, w.region) AS INTEGER)
+  END AS position,
+  a.campaign_id, {INSIGHT_COLS.replace('campaign_id, ', '')}
+FROM asked a LEFT JOIN weekly w ON a.campaign_id = w.campaign_id AND a.access = 'ok'"""
+
+SQL["ensure_tables_roundtrip"] = _with(RAW, _valid()) + """
+SELECT CAST(event_time AS DATE) AS event_date, 'all' AS ingest_batch, COUNT(*) AS n,
+  CAST(SUM(clicks) AS BIGINT) AS clicks FROM valid GROUP BY 1"""
+
+SQL["insights_subcent"] = _with(RAW, _valid(), _latest(), """thousandth AS (
+  SELECT * REPLACE (spend * CAST(0.001 AS DECIMAL(4,3)) AS spend,
+                    revenue * CAST(0.001 AS DECIMAL(4,3)) AS revenue) FROM latest
+)""", _rollup("thousandth", DAY, "daily")) + f"SELECT {INSIGHT_COLS} FROM daily"
+
+SQL["validate_reasons"] = _with(RAW) + f"""
+SELECT reject_reason, id % 11 AS "case", COUNT(*) AS n, CAST(0 AS BIGINT) AS null_ids FROM (
+  SELECT id, CASE
+    WHEN id % 11 = 0 THEN 'missing campaign ID'
+    WHEN id % 11 = 1 OR (platform IS NULL AND id % 11 <> 5) THEN 'missing platform'
+    WHEN id % 11 = 2 THEN 'missing event time'
+    WHEN id % 11 = 3 THEN 'missing deduplication key'
+    WHEN id % 11 = 4 THEN 'amount out of range' END AS reject_reason FROM raw)
+GROUP BY 1, 2"""
+
+SQL["spend_rejects_mixed"] = _with(CAMP, """inc AS (
+  SELECT CASE WHEN l_linenumber = 6 THEN l_orderkey + 1000000000
+              WHEN l_linenumber <> 7 THEN l_orderkey END AS campaign_id,
+         CASE WHEN l_linenumber = 4 THEN 0 WHEN l_linenumber <> 3
+              THEN CAST(l_extendedprice AS DECIMAL(12,2)) - 20000 END AS spend
+  FROM lineitem
+)""") + SQL["spend_rejects"][SQL["spend_rejects"].index("\nSELECT campaign_id"):]
+
+SQL["campaign_get_unknown"] = SQL["campaign_get"] + """
+UNION ALL
+SELECT DISTINCT l_orderkey + 1000000000, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR),
+  CAST(NULL AS DOUBLE), CAST(NULL AS TIMESTAMP), CAST(NULL AS TIMESTAMP),
+  CAST(NULL AS VARCHAR), CAST(NULL AS TIMESTAMP), FALSE FROM lineitem"""
+
+SQL["campaign_list_users"] = _with(CAMP) + f"""
+SELECT {CAMP_COLS}, CAST(row_number() OVER (
+    PARTITION BY c.user_id ORDER BY c.created_at DESC, c.id) AS INTEGER) AS position
+FROM camp c WHERE c.user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)"""
+
+SQL["campaign_insert_dups"] = SQL["campaign_insert_absent"] + f"""
+UNION ALL
+SELECT {CAMP_COLS.replace('c.created_at', 'c.created_at + INTERVAL 1 DAY AS created_at')},
+  'duplicate in batch' FROM camp c"""
+
+SQL["audit_fk_orphans"] = "\nUNION ALL\n".join([
+    _fk("orders.o_custkey->customer", "orders", "o_custkey",
+        "(SELECT * FROM customer WHERE c_acctbal >= 0)", "c_custkey"),
+    _fk("events.user_id->customer", "events", "user_id",
+        "(SELECT * FROM customer WHERE c_acctbal >= 0)", "c_custkey"),
+    _fk("lineitem.l_orderkey->orders", "lineitem", "l_orderkey",
+        "(SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01 00:00:00')",
+        "o_orderkey"),
+])
+
+_BROKEN = f"""broken AS (
+  SELECT o_orderkey AS id, nullif(o_custkey % 10, 3) AS user_id,
+    CASE WHEN o_orderstatus = 'F' THEN 'other' WHEN o_orderstatus = 'P' THEN repeat('x', 51)
+         ELSE {_platform('o_orderkey')} END AS platform,
+    CASE WHEN o_orderstatus = 'O' THEN o_totalprice * 1e8 ELSE o_totalprice END AS budget,
+    CAST(NULL AS TIMESTAMP) AS start_none, o_orderdate AS start_date,
+    o_orderdate - INTERVAL 1 DAY AS end_date,
+    CASE WHEN o_orderstatus = 'P' THEN repeat(o_orderstatus, 60) ELSE o_orderstatus END AS status,
+    CASE WHEN o_orderstatus <> 'F' THEN repeat(o_orderstatus, 256) END AS name,
+    repeat('e', o_orderkey % 300) AS external_id FROM orders
+), users AS (
+  SELECT repeat('m', c_custkey % 300) AS email, repeat('n', c_custkey % 300 + 1) AS name,
+    repeat('r', c_custkey % 300 + 2) AS role FROM customer
+)"""
+
+SQL["audit_nulls_found"] = _with(_BROKEN) + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, COUNT(*) FILTER (WHERE {c} IS NULL) AS null_count FROM broken"
+    for c in ("id", "user_id", "start_none", "name", "platform"))
+
+_FOUND = dict(_CAMP_CHECKS) | {"campaigns.name_length": "length(name) > 255",
+                               "campaigns.external_id_length": "length(external_id) > 255"}
+SQL["audit_domain_found"] = _with(_BROKEN) + "\nUNION ALL\n".join(
+    [f"SELECT '{n}' AS check_name, COUNT(*) FILTER (WHERE COALESCE({c}, FALSE)) AS violations "
+     f"FROM broken" for n, c in _FOUND.items()]
+    + [f"SELECT 'users.{c}_length' AS check_name, COUNT(*) FILTER (WHERE length({c}) > {n}) "
+       f"AS violations FROM users" for c, n in (("email", 255), ("name", 255), ("role", 50))])
+
+SQL["audit_currency"] = _with(RAW, _valid()) + """
+SELECT campaign_id, CAST(2 AS BIGINT) AS currencies FROM valid GROUP BY campaign_id
+HAVING COUNT(DISTINCT event_type = 'purchase') = 2"""
+
+SQL["event_json_any_case"] = SQL["event_json_roundtrip"]
+SQL["fetch_publish"] = SQL["payload_flatten"]

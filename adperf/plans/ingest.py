@@ -1,61 +1,81 @@
 """Batch ingest job: the streaming chain run once over a finite input.
 
-``raw events (or JSON messages) -> decode -> validate -> first-wins TTL dedup -> store facts
-+ rejects under a batch id -> recompute the touched days of the insight table``. Re-running
-the same batch id replaces its own facts, and insights are recomputed from stored facts, so
-the job is idempotent; an interrupted run is simply run again.
+``raw events (or JSON messages) -> decode -> validate -> first-wins dedup by arrival -> store
+facts, rejects and dedup state under a batch id -> recompute the touched days of the insight
+table``. Batches and micro-batches share one dedup state, so a message redelivered in a later
+batch within the TTL is not counted again. Re-running a batch id replaces all that its earlier
+run stored, on other days too, and recomputes the days of both runs; an interrupted run is
+simply run again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from adperf.operators import dedup, rollup, validate
+from adperf.operators import dedup, validate
+from adperf.functions.dates import ntz
+from adperf.plans.refresh import refresh_days
 from adperf.session import checkpoint_dir
 from adperf.sources import events as ev
 from adperf.sources import storage
 
 
+def checked_events(incoming: DataFrame, now: Column | None = None,
+                   processed_at: Column | None = None, fact_schema=None) -> DataFrame:
+    """Decoded (when ``incoming`` carries ``value``) and validated events."""
+    if "value" not in incoming.columns:
+        return validate.validate(incoming, now=now, processed_at=processed_at)
+    decoded = ev.decode_events(incoming, fact_schema) if fact_schema is not None \
+        else ev.decode_events(incoming)
+    return validate.validate(decoded, now=now, processed_at=processed_at,
+                             prior=F.col("decode_error"), keep=("raw_value",))
+
+
+def store_batch(spark: SparkSession, good: DataFrame, rejects: DataFrame, root: str,
+                batch_id: str | int, arrived: dt.datetime, stamp: Column, ttl_dedup: bool = True,
+                mode: str = "first", in_stream: bool = False) -> None:
+    """Dedup against the state, store, refresh: the part that batches and micro-batches share."""
+    if not ttl_dedup:
+        kept = good
+    elif mode == "last":
+        kept = dedup.last_wins(good, ["deduplication_key"], ["processed_at", "id"])
+    else:
+        kept = dedup.first_wins_arrival(
+            good, ntz(arrived), storage.read_dedup_state(spark, root, arrived, batch_id))
+    days = storage.write_facts(kept, root, batch_id, in_stream)
+    storage.write_rejects(rejects, root, batch_id, in_stream)
+    if ttl_dedup and mode == "first":
+        stored = storage.read_batch(spark, root, batch_id)
+        if stored is not None:
+            storage.write_dedup_state(stored, root, batch_id, arrived, in_stream=in_stream)
+    refresh_days(spark, root, days, stamp, in_stream)
+
+
 def ingest_batch(spark: SparkSession, incoming: DataFrame, root: str, batch_id: str | int,
                  now: Column | None = None, processed_at: Column | None = None,
-                 ttl_dedup: bool = True, fact_schema=None, mode: str = "first") -> dict:
+                 ttl_dedup: bool = True, fact_schema=None, mode: str = "first",
+                 arrived: dt.datetime | None = None) -> dict:
     """Run one ingest batch; returns row counts (accepted, duplicates, rejected).
 
-    ``mode="first"`` (default) keeps the first row per dedup key within the TTL, as the
-    original; ``mode="last"`` keeps the latest version per dedup key (by ``processed_at``,
-    then id) so that a corrected re-fetch of a day replaces the earlier figure.
+    ``mode="first"`` (default) keeps the first row per dedup key unless an earlier batch
+    accepted the key within the TTL before this one ``arrived`` (default: the wall clock);
+    ``mode="last"`` keeps the latest version per dedup key (by ``processed_at``, then id) so
+    that a corrected re-fetch of a day replaces the earlier figure.
     """
     if mode not in ("first", "last"):
         raise ValueError("mode must be 'first' or 'last'")
-    if "value" in incoming.columns:
-        decoded = ev.decode_events(incoming, fact_schema) if fact_schema is not None \
-            else ev.decode_events(incoming)
-        checked = validate.validate(decoded, now=now, processed_at=processed_at,
-                                    prior=F.col("decode_error"), keep=("raw_value",))
-    else:
-        checked = validate.validate(incoming, now=now, processed_at=processed_at)
+    arrived = arrived if arrived is not None else dt.datetime.now(dt.UTC).replace(tzinfo=None)
+    seen = Observation("ingest")
+    checked = checked_events(incoming, now, processed_at, fact_schema).observe(
+        seen, F.count_if(F.col("reject_reason").isNull()).alias("good"),
+        F.count_if(F.col("reject_reason").isNotNull()).alias("bad"))
     checkpoint_dir(spark)
     checked = checked.checkpoint(eager=True)  # one decode + validation pass for both outputs
-    good = validate.accepted(checked).drop("raw_value")
-    if not ttl_dedup:
-        kept = good
-    elif mode == "last":
-        kept = dedup.last_wins(good, ["deduplication_key"], ["processed_at", "id"])
-    else:
-        kept = dedup.first_wins_ttl(good)
-    kept = kept.checkpoint(eager=True)
-    storage.write_facts(kept, root, batch_id)
-    rejects = validate.rejected(checked)
-    storage.write_rejects(rejects, root, batch_id)
-    days = storage.days_of(kept)
-    if days:
-        all_facts = dedup.latest_facts(storage.read_facts(spark, root, days=days))
-        current = storage.read_insights(spark, root, months=storage.months_of_days(days),
-                                        schema=None)
-        if current is not None:
-            current = current.drop("month")
-        fresh = rollup.apply_increment(current, kept, all_facts, F.localtimestamp())
-        storage.write_insights(fresh.checkpoint(eager=True), root)
-    n_good, n_kept = good.count(), kept.count()
-    return {"accepted": n_kept, "duplicates": n_good - n_kept, "rejected": rejects.count()}
+    store_batch(spark, validate.accepted(checked).drop("raw_value"), validate.rejected(checked),
+                root, batch_id, arrived, F.localtimestamp(), ttl_dedup, mode)
+    stored = storage.read_batch(spark, root, batch_id)
+    kept, counts = 0 if stored is None else stored.count(), seen.get
+    return {"accepted": kept, "duplicates": counts["good"] - kept, "rejected": counts["bad"]}

@@ -18,6 +18,10 @@ REJECT_MISSING_CAMPAIGN = "missing campaign ID"
 REJECT_MISSING_PLATFORM = "missing platform"
 REJECT_MISSING_EVENT_TIME = "missing event time"
 REJECT_MISSING_DEDUP_KEY = "missing deduplication key"
+REJECT_CAMPAIGN_REQUIRED = "campaign ID is required"
+REJECT_SPEND_REQUIRED = "spend is required"
+REJECT_SPEND_NEGATIVE = "spend amount cannot be negative"
+REJECT_CAMPAIGN_NOT_FOUND = "campaign not found"
 DEDUP_TTL_DAYS = 7
 FETCH_LOOKBACK_DAYS = 30
 DEFAULT_RANGE_DAYS = 30
@@ -27,7 +31,10 @@ STATUS_OVERSPENT = "Overspent"
 NIL_UUID = "00000000-0000-0000-0000-000000000000"
 # -------------------------------------------------------------------------------------------
 
-MONEY = T.DecimalType(18, 2)
+REJECT_AMOUNT = "amount out of range"
+
+# Amounts keep nine decimal places from decode to output: per-event spend is often below a cent.
+MONEY = T.DecimalType(27, 9)
 BUDGET = T.DecimalType(12, 2)
 
 # Metric columns in their stored order.
@@ -119,11 +126,6 @@ CREDENTIAL_SCHEMA = T.StructType([
     T.StructField("updated_at", T.TimestampNTZType()),
 ])
 
-SPEND_INCREMENT_SCHEMA = T.StructType([
-    T.StructField("campaign_id", T.StringType()),
-    T.StructField("spend", T.DoubleType()),
-])
-
 # Platform insights payload: ``data`` rows plus a paging block.
 PAYLOAD_SCHEMA = T.StructType([
     T.StructField("data", T.ArrayType(T.StructType([

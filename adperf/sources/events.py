@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from adperf import schemas as S
 
 CORRUPT = "_corrupt"
-# RFC 3339 with an optional fraction of 1-9 digits and an optional offset (Go's time format);
+# RFC 3339 with an optional fraction of 1-9 digits and an optional offset;
 # Spark keeps microseconds.
 TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][XXX]"
 # Writing keeps microseconds (the default JSON writer cuts to milliseconds).
@@ -85,16 +85,29 @@ def wire_schema(schema: T.StructType = S.EVENT_SCHEMA) -> T.StructType:
     return T.StructType(fields + [T.StructField(CORRUPT, T.StringType())])
 
 
+def _lower_keys(value: Column, names: list[str]) -> Column:
+    """``value`` with its object keys spelled as in ``names``, whatever their case.
+
+    Only documents with an upper-case letter in a key are rewritten; a quote inside a text
+    value is escaped, so it cannot pass for a key.
+    """
+    out = value
+    for n in names:
+        out = F.regexp_replace(out, f'(?i)(?<!\\\\)"{n}"\\s*:', f'"{n}":')
+    return F.when(value.rlike('(?<!\\\\)"[a-z_]*[A-Z][A-Za-z_]*"\\s*:'), out).otherwise(value)
+
+
 def decode_events(df: DataFrame, schema: T.StructType = S.EVENT_SCHEMA,
                   value: str = "value") -> DataFrame:
     """Parse ``value`` into the event columns plus ``decode_error``.
 
     A message is rejected whole on broken JSON, a type mismatch (``1.5`` for a long), or a
-    document that is not an object (``null``); unknown keys are ignored. Times are converted
+    document that is not an object (``null``); unknown keys are ignored and the case of keys
+    does not matter. Times are converted
     to the session time zone's wall clock (UTC in every job of this package).
     """
     ws = wire_schema(schema)
-    parsed = F.from_json(F.col(value), ws, {"mode": "PERMISSIVE",
+    parsed = F.from_json(_lower_keys(F.col(value), schema.fieldNames()), ws, {"mode": "PERMISSIVE",
                                            "columnNameOfCorruptRecord": CORRUPT,
                                            "timestampFormat": TIME_FORMAT})
     # Parse inside a one-element explode: filters on the parsed fields cannot be pushed below
@@ -116,6 +129,3 @@ def decode_events(df: DataFrame, schema: T.StructType = S.EVENT_SCHEMA,
 def decoded_ok(decoded: DataFrame) -> DataFrame:
     return decoded.filter(F.col("decode_error").isNull()).drop("decode_error", "raw_value")
 
-
-def decode_rejects(decoded: DataFrame) -> DataFrame:
-    return decoded.filter(F.col("decode_error").isNotNull())

@@ -1,9 +1,9 @@
 """Landed platform payloads (S8) -> campaign events.
 
 A platform's insights response is a JSON document with a ``data`` array of daily rows and a
-``paging`` block. Responses are landed as files under
-``<root>/platform=<name>/external_id=<id>/*.json`` (every page its own file), so partition
-discovery supplies platform and external id and every page is read. Flattening is
+``paging`` block. Pages are landed as files under ``<root>/platform=<name>/``, each with the
+``external_id`` of its campaign beside the response's own fields: a folder per platform, not per
+campaign, so listing does not grow with the campaigns. Every page is read. Flattening is
 ``explode``; the campaign id comes from a join with the campaign dimension on
 ``(platform, external_id)``; rows of an unknown platform or campaign go to rejects.
 """
@@ -67,10 +67,16 @@ def adapt_pages(pages: DataFrame) -> DataFrame:
     """Route every platform's pages through its adapter and union the results; pages of
     a platform without an adapter keep their rows with that platform so that
     :func:`route_to_campaigns` rejects them as ``unknown platform``."""
-    known = list(ADAPTERS)
-    parts = [fn(pages.filter(F.col("platform") == p)) for p, fn in ADAPTERS.items()]
-    parts.append(flatten_payloads(pages.filter(~F.col("platform").isin(*known)
-                                               | F.col("platform").isNull())))
+    by_adapter: dict = {}  # platforms that share an adapter share its scan
+    for p, fn in ADAPTERS.items():
+        by_adapter.setdefault(fn, []).append(p)
+    by_adapter.setdefault(flatten_payloads, [])
+    parts = []
+    for fn, ps in by_adapter.items():
+        own = F.col("platform").isin(*ps)
+        if fn is flatten_payloads:  # and whatever no adapter claims
+            own = own | ~F.coalesce(F.col("platform").isin(*ADAPTERS), F.lit(False))
+        parts.append(fn(pages.filter(own)))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

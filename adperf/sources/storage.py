@@ -2,52 +2,46 @@
 
 Layout under a root folder (a shared file system or object store on a cluster):
 
-- ``facts/event_date=YYYY-MM-DD/ingest_batch=<id>/``  - appended facts. A batch re-run with the
-  same id replaces exactly its own files (dynamic partition overwrite), so replays never
-  duplicate rows; last-wins on the fact key is applied when facts are read for roll-ups.
-  Day partitions keep an incremental refresh to the days a batch touched: recomputing a day
-  reads that day's facts, not a month's.
-- ``insights/month=YYYYMM/``  - daily insights; rewrites replace whole months.
+- ``facts/ingest_batch=<id>/event_date=YYYY-MM-DD/``  - appended facts. Writing a batch replaces
+  everything an earlier run of the same id stored, other days included, and reports the days of
+  both runs, so a corrected re-run leaves nothing behind. Last-wins on the fact key is applied
+  when facts are read for roll-ups; the day level keeps a refresh to the days a batch touched.
+- ``insights/day=YYYY-MM-DD/``  - daily insights; a refresh replaces whole days, recomputed from
+  the stored facts alone, so a crash between two steps is mended by running the job again.
 - ``rejects/ingest_batch=<id>/`` - rejected events with their reason.
-- ``dedup_state/state_day=YYYY-MM-DD/epoch=<n>/`` - last accepted time per dedup key, as of
-  each micro-batch; only the days of one TTL window are ever read back.
+- ``dedup_state/state_day=YYYY-MM-DD/ingest_batch=<id>/`` - keys a batch accepted and its arrival
+  stamp; only the days of one TTL window are ever read back.
 
 Writes use a ``rebalance`` hint on the partition column, so AQE sizes the output tasks (and
-splits a month that holds most of the data) instead of one task per month or one file per
-task and partition. Rows are sorted by the table key inside each file, so Parquet row-group
-min/max statistics skip data for campaign and time predicates. Reads turn a time range into a
-partition predicate themselves: Catalyst cannot derive it from ``event_time`` on plain
-Parquet.
+splits a day that holds most of the data) instead of one task per day or one file per task and
+partition. Rows are sorted by the table key inside each file, so Parquet row-group min/max
+statistics skip data for campaign and time predicates. Reads turn a date range into a
+partition predicate.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import os
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from adperf import schemas as S
+from adperf.functions.dates import ntz
 
 FACTS = "facts"
 INSIGHTS = "insights"
 REJECTS = "rejects"
 DEDUP_STATE = "dedup_state"
-
-
-def _month(c) -> F.Column:
-    return F.date_format(c, "yyyyMM").cast("int")
-
-
-def _month_of(d: dt.date) -> int:
-    return d.year * 100 + d.month
+MAX_DAYS = 20_000
 
 
 def _overwrite(df: DataFrame, path: str, partition_cols: list[str], sort_cols: list[str],
-               in_stream: bool = False):
-    """Dynamic-overwrite write of the partitions present in ``df``.
+               in_stream: bool = False, whole: bool = False):
+    """Overwrite the partitions present in ``df``, or with ``whole`` everything under ``path``.
 
     Batch jobs use the ``rebalance`` hint (AQE sizes the tasks). Inside a streaming
     micro-batch AQE is off and the hint is ignored, so the rows are range-partitioned on
@@ -55,46 +49,67 @@ def _overwrite(df: DataFrame, path: str, partition_cols: list[str], sort_cols: l
     partition - and a large partition still spreads over several tasks.
     """
     if in_stream:
-        laid = df.repartitionByRange(*partition_cols, *sort_cols)
+        # the hash spreads rows that share all other columns (malformed messages do)
+        spread = F.xxhash64(*df.columns)
+        laid = df.repartitionByRange(*partition_cols, *sort_cols, spread)
     else:
         laid = df.hint("rebalance", *partition_cols)
-    (laid.sortWithinPartitions(*partition_cols, *sort_cols)
-         .write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic")
+    if partition_cols + sort_cols:
+        laid = laid.sortWithinPartitions(*partition_cols, *sort_cols)
+    (laid.write.mode("overwrite")
+         .option("partitionOverwriteMode", "static" if whole else "dynamic")
          .partitionBy(*partition_cols)
          .parquet(path))
 
 
+def _batch_path(root: str, name: str, batch_id: str | int) -> str:
+    return os.path.join(root, name, f"ingest_batch={quote(str(batch_id), safe='')}")
+
+
 def write_facts(facts: DataFrame, root: str, batch_id: str | int,
-                in_stream: bool = False) -> None:
-    """S3: store a batch of facts under its batch id (idempotent per batch id)."""
+                in_stream: bool = False) -> list[dt.date]:
+    """S3: store a batch of facts under its batch id, replacing all that an earlier run of the
+    id stored. Returns the days that either run touches."""
+    spark, path = facts.sparkSession, _batch_path(root, FACTS, batch_id)
+    before = _read(spark, path)
+    old = days_of(before, "event_date") if before is not None and "event_date" in before.columns \
+        else []
     out = (facts.select(*[c for c in S.EVENT_SCHEMA.fieldNames() if c in facts.columns])
-           .withColumn("event_date", F.to_date(F.col("event_time")))
-           .withColumn("ingest_batch", F.lit(str(batch_id))))
-    _overwrite(out, os.path.join(root, FACTS), ["event_date", "ingest_batch"],
-               list(S.FACT_KEY), in_stream)
+           .withColumn("event_date", F.to_date(F.col("event_time"))))
+    _overwrite(out, path, ["event_date"], list(S.FACT_KEY), in_stream, whole=True)
+    after = _read(spark, path)
+    new = days_of(after, "event_date") if after is not None and "event_date" in after.columns \
+        else []
+    return sorted({*old, *new})
 
 
 def write_rejects(rejects: DataFrame, root: str, batch_id: str | int,
                   in_stream: bool = False) -> None:
-    out = rejects.withColumn("ingest_batch", F.lit(str(batch_id)))
-    _overwrite(out, os.path.join(root, REJECTS), ["ingest_batch"],
-               ["id"] if "id" in out.columns else [], in_stream)
-
-
-def write_insights(insights: DataFrame, root: str, in_stream: bool = False) -> None:
-    """Replace the months present in ``insights`` (dynamic partition overwrite).
-
-    ``insights`` must hold every row of each month it touches.
-    """
-    out = insights.withColumn("month", _month(F.col("date")))
-    _overwrite(out, os.path.join(root, INSIGHTS), ["month"], list(S.INSIGHT_KEY), in_stream)
+    """Store the rejects of a batch; an earlier run's are replaced even by none."""
+    _overwrite(rejects, _batch_path(root, REJECTS, batch_id), [],
+               ["id"] if "id" in rejects.columns else [], in_stream, whole=True)
+
+
+def write_insights(insights: DataFrame, root: str, in_stream: bool = False,
+                   days: list[dt.date] | None = None) -> None:
+    """Replace the days present in ``insights``, which must hold every row of them. Days
+    in ``days`` of which no row is left are emptied."""
+    path = os.path.join(root, INSIGHTS)
+    _overwrite(insights.withColumn("day", F.col("date")), path, ["day"], list(S.INSIGHT_KEY),
+               in_stream)
+    if days:
+        spark = insights.sparkSession
+        gone = set(days) - set(days_of(insights, "date"))
+        for day in gone:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/day={day.isoformat()}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
     except AnalysisException as exc:
+        # absent, or a batch that stored no row
         if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
             return None
         raise
@@ -119,62 +134,77 @@ def read_facts(spark: SparkSession, root: str, start: dt.date | None = None,
     return df.drop("ingest_batch", "event_date")
 
 
-def read_insights(spark: SparkSession, root: str, months: list[int] | None = None,
-                  schema=S.INSIGHT_SCHEMA) -> DataFrame | None:
-    """The insight table, optionally pruned to ``months``.
+def read_batch(spark: SparkSession, root: str, batch_id: str | int) -> DataFrame | None:
+    """The facts that one batch stored; None when it stored none."""
+    return _read(spark, _batch_path(root, FACTS, batch_id))
+
+
+def read_insights(spark: SparkSession, root: str, start: dt.date | None = None,
+                  end: dt.date | None = None, schema=S.INSIGHT_SCHEMA) -> DataFrame | None:
+    """The insight table, whole days ``start..end`` only (partition pruned).
 
     An absent table reads as empty with ``schema``, or as ``None`` when ``schema`` is None.
     """
     df = _read(spark, os.path.join(root, INSIGHTS))
     if df is None:
-        if schema is None:
-            return None
-        return spark.createDataFrame([], schema).withColumn("month", F.lit(0))
-    if months is not None:
-        df = df.filter(F.col("month").isin(*months))
-    return df
+        return None if schema is None else spark.createDataFrame([], schema)
+    if start is not None:
+        df = df.filter(F.col("day") >= F.lit(start))
+    if end is not None:
+        df = df.filter(F.col("day") <= F.lit(end))
+    return df.drop("day")
 
 
-def write_dedup_state(accepted: DataFrame, root: str, epoch: int, key: str = "deduplication_key",
-                      clock: str = "received_at", in_stream: bool = False) -> None:
-    """Last accepted time per key of one micro-batch (idempotent per epoch)."""
-    out = (accepted.groupBy(key).agg(F.max(clock).alias("last_accepted"))
-           .withColumn("state_day", F.to_date("last_accepted"))
-           .withColumn("epoch", F.lit(int(epoch))))
-    _overwrite(out, os.path.join(root, DEDUP_STATE), ["state_day", "epoch"], [key], in_stream)
+def write_dedup_state(accepted: DataFrame, root: str, batch_id: str | int, arrived: dt.datetime,
+                      key: str = "deduplication_key", in_stream: bool = False) -> None:
+    """Keys that a batch accepted, stamped with its arrival; a re-run replaces its own."""
+    out = (accepted.filter(F.col(key).isNotNull()).select(key).distinct()
+           .withColumn("accepted_at", ntz(arrived))
+           .withColumn("state_day", F.to_date("accepted_at"))
+           .withColumn("ingest_batch", F.lit(str(batch_id))))
+    _overwrite(out, os.path.join(root, DEDUP_STATE), ["state_day", "ingest_batch"], [key],
+               in_stream)
 
 
-def read_dedup_state(spark: SparkSession, root: str, since: dt.date,
-                     before_epoch: int) -> DataFrame | None:
-    """``(key, last_accepted)`` entries from ``since`` on, written by earlier epochs only (a
-    replayed epoch must not see its own first attempt). None when there is no state yet."""
+def read_dedup_state(spark: SparkSession, root: str, arrived: dt.datetime,
+                     batch_id: str | int) -> DataFrame | None:
+    """``(key, accepted_at)`` entries of one TTL window before ``arrived``, but for the batch's
+    own (a replay must not see its first attempt). None when there is no state yet."""
     df = _read(spark, os.path.join(root, DEDUP_STATE))
     if df is None:
         return None
-    return (df.filter((F.col("state_day") >= F.lit(since)) & (F.col("epoch") < before_epoch))
-            .drop("state_day", "epoch"))
+    since = (arrived - dt.timedelta(days=S.DEDUP_TTL_DAYS)).date()
+    return (df.filter((F.col("state_day") >= F.lit(since))
+                      & (F.col("ingest_batch").cast("string") != F.lit(str(batch_id))))
+            .drop("state_day", "ingest_batch"))
 
 
 def days_of(df: DataFrame, col: str = "event_time") -> list[dt.date]:
-    """Distinct days a batch covers - bounded by the days it spans, used for pruning."""
-    return sorted(r[0] for r in df.select(F.to_date(F.col(col)).alias("d")).distinct().collect()
-                  if r[0] is not None)
-
-
-def months_of_days(days: list[dt.date]) -> list[int]:
-    return sorted({_month_of(d) for d in days})
+    """Distinct days a batch covers, used for pruning: at most one value per calendar day."""
+    days = df.select(F.to_date(F.col(col)).alias("d")).distinct().limit(MAX_DAYS + 1).collect()
+    if len(days) > MAX_DAYS:
+        raise ValueError(f"a batch spans more than {MAX_DAYS} days; split it")
+    return sorted(r[0] for r in days if r[0] is not None)
 
 
 def ensure_tables(spark: SparkSession, root: str, fact_schema=S.EVENT_SCHEMA,
-                  insight_schema=S.INSIGHT_SCHEMA) -> None:
-    """Create the empty tables with their schemas when absent (idempotent)."""
-    empty_facts = (spark.createDataFrame([], fact_schema)
-                   .withColumn("event_date", F.lit(None).cast("date"))
-                   .withColumn("ingest_batch", F.lit("")))
-    empty_insights = spark.createDataFrame([], insight_schema).withColumn("month", F.lit(0))
-    for name, df, parts in ((FACTS, empty_facts, ["event_date", "ingest_batch"]),
-                            (INSIGHTS, empty_insights, ["month"])):
-        df.write.mode("ignore").partitionBy(*parts).parquet(os.path.join(root, name))
+                  insight_schema=S.INSIGHT_SCHEMA, database: str = "adperf") -> list[str]:
+    """Create the fact and insight tables with their schemas and partition columns when
+    absent (idempotent); returns their names."""
+    def ddl(fields) -> str:
+        return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    names = []
+    for name, schema, parts in (
+            (FACTS, fact_schema, "`ingest_batch` string, `event_date` date"),
+            (INSIGHTS, insight_schema, "`day` date")):
+        columns = ", ".join(p.split("` ")[0].strip() + "`" for p in parts.split(", "))
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({ddl(schema.fields)}, {parts}) "
+                  f"USING parquet PARTITIONED BY ({columns}) "
+                  f"LOCATION '{os.path.join(root, name)}'")
+        names.append(f"{database}.{name}")
+    return names
 
 
 def register_tables(spark: SparkSession, root: str, database: str = "adperf") -> list[str]:

@@ -8,10 +8,8 @@ the inputs of this engine (exact definitions in FIXTURES.md §3):
 - :func:`spend_increments` lineitem -> spend increments per campaign
 - :func:`ad_owners`      customer -> owner of each event campaign
 
-Dimension joins never hint a broadcast on tables whose size grows with the data; the fixed-size
-``nation`` / ``region`` lookups are broadcast only after a bounded count proves their
-size, and everything else is left to AQE, which switches to a broadcast join at run time only
-when the measured shuffle size is below its threshold.
+Joins carry no broadcast hint: the planner broadcasts a side whose byte size it knows to be
+under its threshold, and AQE switches at run time by measured bytes.
 """
 
 from __future__ import annotations
@@ -22,13 +20,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adperf import schemas as S
-from adperf.operators.joins import key_side
-
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                  "events")
 
-# Upper bound (rows) for a side that may be broadcast by hint.
-BROADCAST_ROW_LIMIT = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,11 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast hint only behind a bounded size check; otherwise the planner / AQE decides."""
-    return key_side(df, max_rows)
-
-
 def platform_of(key: Column) -> Column:
     """Round-robin platform assignment of the adapter views (``key % 4``)."""
     return (F.when(key % 4 == 0, F.lit(S.PLATFORMS[0]))
@@ -49,19 +38,22 @@ def platform_of(key: Column) -> Column:
             .otherwise(F.lit(S.PLATFORMS[3])))
 
 
+CENTS = "decimal(18,2)"  # the driver's values are amounts of whole cents
+
+
 def money(c: Column | str) -> Column:
-    return F.col(c).cast(S.MONEY) if isinstance(c, str) else c.cast(S.MONEY)
+    return F.col(c).cast(CENTS) if isinstance(c, str) else c.cast(CENTS)
 
 
 def customer_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(c_custkey, r_name): customer -> nation -> region, the fixed lookups broadcast."""
+    """(c_custkey, r_name): customer -> nation -> region."""
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    nation_region = (nation.join(checked_broadcast(region),
+    nation_region = (nation.join(region,
                                  nation.n_regionkey == region.r_regionkey)
                      .select("n_nationkey", "r_name"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    return (customer.join(checked_broadcast(nation_region),
+    return (customer.join(nation_region,
                           customer.c_nationkey == nation_region.n_nationkey)
             .select("c_custkey", "r_name"))
 
@@ -87,10 +79,10 @@ def ad_events_raw(spark: SparkSession, sf_dir: str, events: DataFrame | None = N
         F.when(et == "click", F.lit(1)).otherwise(F.lit(0)).cast("long").alias("clicks"),
         F.when(et.isin("signup", "purchase"), F.lit(1)).otherwise(F.lit(0))
          .cast("long").alias("conversions"),
-        F.when(et == "click", money("value") - F.lit(5).cast(S.MONEY))
-         .otherwise(F.lit(0).cast(S.MONEY)).cast(S.MONEY).alias("spend"),
+        F.when(et == "click", money("value") - F.lit(5).cast(CENTS))
+         .otherwise(F.lit(0).cast(CENTS)).cast(S.MONEY).alias("spend"),
         F.when(et == "purchase", money("value"))
-         .otherwise(F.lit(0).cast(S.MONEY)).cast(S.MONEY).alias("revenue"),
+         .otherwise(F.lit(0).cast(CENTS)).cast(S.MONEY).alias("revenue"),
         F.col("ts").alias("event_time"),
         F.col("r_name").alias("region"),
     )

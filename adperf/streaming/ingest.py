@@ -1,15 +1,17 @@
 """Streaming ingest.
 
-``source -> decode -> validate -> TTL dedup (state store) -> foreachBatch``. Each micro-batch:
-
-1. writes its facts under ``ingest_batch=<epoch>`` and its rejects likewise - a replayed epoch
-   overwrites its own files, so a restart from the checkpoint never duplicates facts;
-2. recomputes only the ``(campaign, day)`` keys the batch touched, from all stored facts of the
-   touched days (day partitions, last-wins per fact key), and rewrites the touched months of
-   the insight table.
-
-Late events need no watermark: a late row simply touches an older day, which is recomputed.
-Sums are never incremented in place, so replays cannot double count (T2).
+``source -> decode -> validate -> foreachBatch``. Each micro-batch:
+
+1. takes the first row per dedup key, unless an earlier batch accepted the key within the TTL
+   before this one arrived (the dedup-state table, shared with batch ingest);
+2. writes its facts, rejects and accepted keys under ``ingest_batch=<epoch>`` - a replayed epoch
+   replaces its own, so a restart from the checkpoint never duplicates facts;
+3. recomputes the days it touched from their stored facts and replaces those days of the
+   insight table.
+
+Events are judged by arrival, not by their own time: a late row simply touches an older day,
+which is recomputed, and nothing needs a watermark. Sums are never incremented in place, so
+replays cannot double count (T2).
 """
 
 from __future__ import annotations
@@ -21,103 +23,40 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adperf import schemas as S
-from adperf.operators import dedup, rollup, validate
-from adperf.operators.dedup import latest_facts
+from adperf.plans.ingest import checked_events, store_batch
 from adperf.session import checkpoint_dir
-from adperf.sources import events as ev
-from adperf.sources import storage
-from adperf.streaming.dedup_state import drop_within_ttl, first_wins_ttl_stream
-
-DEDUP_MODES = ("exact", "table", "watermark", "none")
 
 
 def prepare(stream: DataFrame, fact_schema=None, now: Column | None = None,
-            processed_at: Column | None = None, dedup: str = "exact") -> DataFrame:
-    """Decode (when the stream carries ``value``), validate and dedup a stream of events.
-
-    The result holds accepted rows and rejected rows together; rejected rows carry
-    ``reject_reason`` (decode failures included) and skip the dedup state, so an invalid
-    message never consumes a dedup key. ``dedup``: ``exact`` (TTL restarts on accepted rows,
-    state store, one Python call per key per micro-batch), ``table`` (the same exact rule,
-    JVM only, applied by :func:`batch_writer` against a dedup-state table - pass
-    ``dedup_table=True`` to :func:`start`), ``watermark`` (JVM state, see
-    :func:`drop_within_ttl`) or ``none``.
-
-    With ``table`` and ``none`` the plan is one branch (the source is read once per
-    micro-batch); the state-store modes split valid and rejected rows around the stateful
-    operator, which reads the source twice.
+            processed_at: Column | None = None) -> DataFrame:
+    """Decode (when the stream carries ``value``) and validate a stream of events.
+
+    Accepted and rejected rows stay together, told apart by ``reject_reason`` (decode failures
+    included), so a micro-batch reads its source once.
     """
-    if dedup not in DEDUP_MODES:
-        raise ValueError(f"dedup must be one of {DEDUP_MODES}")
-    if "value" in stream.columns:
-        decoded = ev.decode_events(stream, fact_schema) if fact_schema is not None \
-            else ev.decode_events(stream)
-        checked = validate.validate(decoded, now=now, processed_at=processed_at,
-                                    prior=F.col("decode_error"), keep=("raw_value",))
-    else:
-        checked = validate.validate(stream, now=now, processed_at=processed_at)
-    if dedup in ("table", "none"):
-        return checked
-    good = validate.accepted(checked)
-    good = first_wins_ttl_stream(good) if dedup == "exact" else drop_within_ttl(good)
-    return (good.withColumn("reject_reason", F.lit(None).cast("string"))
-            .unionByName(validate.rejected(checked), allowMissingColumns=True))
-
-
-def _dedup_against_table(spark: SparkSession, valid: DataFrame, root: str,
-                        epoch_id: int) -> DataFrame:
-    """Exact TTL dedup of one micro-batch, seeded with the keys' last accepted times."""
-    first_day = valid.agg(F.min(F.to_date("received_at"))).first()[0]
-    if first_day is None:
-        return valid
-    since = first_day - dt.timedelta(days=S.DEDUP_TTL_DAYS + 1)
-    seeds = storage.read_dedup_state(spark, root, since, epoch_id)
-    if seeds is not None:
-        seeds = seeds.join(valid.select("deduplication_key").distinct(), "deduplication_key",
-                           "left_semi")
-    kept = dedup.first_wins_ttl(valid, seeds=seeds)
-    checkpoint_dir(spark)
-    kept = kept.checkpoint(eager=True)
-    storage.write_dedup_state(kept, root, epoch_id, in_stream=True)
-    return kept
-
-
-def batch_writer(root: str, updated_at: Column | None = None, dedup_table: bool = False):
-    """The ``foreachBatch`` function: store facts and rejects, refresh touched days.
-
-    With ``dedup_table`` the batch's valid rows first go through the exact TTL dedup against
-    the dedup-state table (see :func:`_dedup_against_table`).
+    return checked_events(stream, now, processed_at, fact_schema)
+
+
+def batch_writer(root: str, updated_at: Column | None = None, dedup: bool = True,
+                 arrived=None):
+    """The ``foreachBatch`` function: dedup, store, refresh touched days.
+
+    ``arrived`` maps an epoch to its arrival stamp (default: the wall clock when it is run).
     """
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        if batch.isEmpty():  # watermark-only batches carry no rows
+        if batch.isEmpty():
             return
         batch = batch.persist()
         try:
-            facts = batch.filter(F.col("reject_reason").isNull()).drop("reject_reason",
-                                                                       "raw_value")
+            good = batch.filter(F.col("reject_reason").isNull()).drop("reject_reason", "raw_value")
             rejects = batch.filter(F.col("reject_reason").isNotNull())
-            if dedup_table:
-                facts = _dedup_against_table(spark, facts, root, epoch_id)
-            storage.write_facts(facts, root, epoch_id, in_stream=True)
-            storage.write_rejects(rejects, root, epoch_id, in_stream=True)
-            days = storage.days_of(facts)
-            if not days:
-                return
-            all_facts = latest_facts(storage.read_facts(spark, root, days=days))
-            current = storage.read_insights(spark, root, months=storage.months_of_days(days),
-                                            schema=None)
-            if current is not None:
-                current = current.drop("month")
             stamp = updated_at if updated_at is not None else F.localtimestamp()
-            fresh = rollup.apply_increment(current, facts, all_facts, stamp)
-            if current is not None:
-                # the months being rewritten are also read: cut the lineage first
-                checkpoint_dir(spark)
-                fresh = fresh.checkpoint(eager=True)
-            storage.write_insights(fresh, root, in_stream=True)
+            at = arrived(epoch_id) if arrived is not None \
+                else dt.datetime.now(dt.UTC).replace(tzinfo=None)
+            store_batch(spark, good, rejects, root, epoch_id, at, stamp, ttl_dedup=dedup,
+                        in_stream=True)
         finally:
             batch.unpersist()
 
@@ -126,9 +65,9 @@ def batch_writer(root: str, updated_at: Column | None = None, dedup_table: bool
 
 def start(prepared: DataFrame, root: str, checkpoint: str, available_now: bool = True,
           processing_time: str | None = None, updated_at: Column | None = None,
-          dedup_table: bool = False):
+          dedup: bool = True, arrived=None):
     """Run the ingest as one streaming query; returns the ``StreamingQuery``."""
-    w = (prepared.writeStream.foreachBatch(batch_writer(root, updated_at, dedup_table))
+    w = (prepared.writeStream.foreachBatch(batch_writer(root, updated_at, dedup, arrived))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else \
         w.trigger(processingTime=processing_time or "1 minute")
@@ -140,32 +79,10 @@ def scratch_root(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def windowed_daily(facts: DataFrame, lateness: str = "2 days") -> DataFrame:
-    """T3 kept inside the streaming plan: daily tumbling windows with a watermark.
-
-    The alternative to :func:`batch_writer` when a plain append sink is wanted: each day is
-    emitted once the watermark passes its end, so events later than ``lateness`` are dropped
-    (the ``foreachBatch`` path accepts any late event instead). Same sums and ratios as the
-    batch roll-up.
-    """
-    from adperf import schemas as S
-    from adperf.functions.ratios import ratio_columns
-    timed = facts.withColumn("_t", F.col("event_time").cast("timestamp")) \
-                 .withWatermark("_t", lateness)
-    sums = ([F.sum(F.col(c).cast("long")).cast("long").alias(c) for c in S.COUNTERS]
-            + [F.sum(F.col(c).cast(S.MONEY)).alias(c) for c in S.AMOUNTS])
-    grouped = timed.groupBy("campaign_id", F.window("_t", "1 day").alias("w"), "platform",
-                            "region").agg(*sums)
-    return grouped.select(
-        "campaign_id", F.to_date(F.col("w.start")).alias("date"), "platform", "region",
-        *S.COUNTERS, *[F.col(c).cast("double").alias(c) for c in S.AMOUNTS], *ratio_columns())
-
-
-def run(stream: DataFrame, root: str, checkpoint: str, fact_schema=None, dedup: str = "table",
+def run(stream: DataFrame, root: str, checkpoint: str, fact_schema=None, dedup: bool = True,
         now: Column | None = None, processed_at: Column | None = None,
-        available_now: bool = True, processing_time: str | None = None):
-    """T1 in one call: ``prepare`` + ``start`` with a consistent dedup mode (default: the exact
-    TTL rule, JVM only, against the dedup-state table). Returns the ``StreamingQuery``."""
-    prepared = prepare(stream, fact_schema, now=now, processed_at=processed_at, dedup=dedup)
+        available_now: bool = True, processing_time: str | None = None, arrived=None):
+    """T1 in one call: ``prepare`` + ``start``. Returns the ``StreamingQuery``."""
+    prepared = prepare(stream, fact_schema, now=now, processed_at=processed_at)
     return start(prepared, root, checkpoint, available_now=available_now,
-                 processing_time=processing_time, dedup_table=dedup == "table")
+                 processing_time=processing_time, dedup=dedup, arrived=arrived)

@@ -37,6 +37,24 @@ def test_same_time_ties_keep_smallest_id(spark):
     assert [r.id for r in dedup.first_wins_ttl(events_df(spark, rows)).collect()] == [3]
 
 
+@pytest.mark.parametrize("limit", [0, 10])
+def test_redelivered_rows_are_accepted_once(spark, limit):
+    rows = [event(id=3, key="k", received_at=T0)] * 3 + [
+        event(id=4, key="k", received_at=T0 + 8 * DAY)] * 2
+    kept = dedup.first_wins_ttl(events_df(spark, rows), light_limit=limit).collect()
+    assert sorted(r.id for r in kept) == [3, 4]
+
+
+def test_arrival_ignores_event_time_and_expires_after_the_ttl(spark):
+    from adperf.functions.dates import ntz
+    rows = [event(id=1, key="a", received_at=T0 - 90 * DAY), event(id=2, key="b"),
+            event(id=3, key="b", received_at=T0 - 91 * DAY), event(id=4, key=None)]
+    state = spark.createDataFrame([("a", T0 + DAY), ("b", T0)],
+                                  "deduplication_key string, accepted_at timestamp_ntz")
+    kept = dedup.first_wins_arrival(events_df(spark, rows), ntz(T0 + 7 * DAY), state).collect()
+    assert sorted(r.id for r in kept) == [3, 4]  # a is live; b expired, its first row wins
+
+
 def test_null_ids_are_kept_by_both_paths(spark):
     rows = [event(id=None, key="k", received_at=T0), event(id=None, key="k",
                                                            received_at=T0 + 8 * DAY)]

@@ -10,18 +10,34 @@ def _facts(spark, rows):
     return events_df(spark, rows)
 
 
-def test_golden_google_day_10(spark):
-    # google stub figures for d = 10
-    d = 10
-    row = event(campaign_id=1, impressions=1000 + 100 * d, clicks=50 + 5 * d,
-                conversions=5 + d, spend=f"{50 + 5 * d}.00", revenue=f"{100 + 10 * d}.00",
-                event_time=dt.datetime(2024, 1, d), event_type="daily_stats", region="all")
+def test_golden_day(spark):
+    row = event(campaign_id=1, impressions=640, clicks=32, conversions=8, spend="12.80",
+                revenue="51.20", event_time=dt.datetime(2024, 1, 17), event_type="daily_stats",
+                region="all")
     r = rollup.daily_insights(_facts(spark, [row])).first()
     assert (r.impressions, r.clicks, r.conversions, r.spend, r.revenue) == \
-        (2000, 100, 15, 100.0, 200.0)
-    assert r.ctr == pytest.approx(0.05) and r.cpc == pytest.approx(1.0)
-    assert r.cpa == pytest.approx(100 / 15) and r.roas == pytest.approx(2.0)
-    assert r.conversion_rate == pytest.approx(0.15)
+        (640, 32, 8, 12.8, 51.2)
+    assert r.ctr == pytest.approx(0.05) and r.cpc == pytest.approx(0.4)
+    assert r.cpa == pytest.approx(1.6) and r.roas == pytest.approx(4.0)
+    assert r.conversion_rate == pytest.approx(0.25)
+
+
+def test_redelivered_facts_count_once(spark):
+    rows = [event(id=1, key="a"), event(id=1, key="a"), event(id=2, key="b")]
+    facts = _facts(spark, rows)
+    for insights_table in (rollup.insights_of(facts), rollup.apply_increment(None, facts, facts)):
+        assert [r.impressions for r in insights_table.collect()] == [20]
+
+
+def test_reaggregate_drops_keys_that_the_facts_left(spark):
+    t = dt.datetime(2024, 1, 2, 5)
+    stale = rollup.daily_insights(_facts(spark, [event(id=1, region="EU", event_time=t),
+                                                 event(id=2, campaign_id=11, event_time=t)]))
+    facts = _facts(spark, [event(id=1, region="US", event_time=t)])
+    day = dt.date(2024, 1, 2)
+    got = rollup.reaggregate(stale, facts, day, day, facts.select("campaign_id")).collect()
+    assert sorted((r.campaign_id, r.region) for r in got) == [(10, "US"), (11, "EU")]
+    assert [r.region for r in rollup.reaggregate(stale, facts, day, day).collect()] == ["US"]
 
 
 def test_zero_denominators(spark):
@@ -88,7 +104,8 @@ def test_reaggregate_uses_last_version_of_a_fact(spark):
 
 
 def test_increment_recomputes_late_days(spark):
-    rows = [event(id=i, event_time=dt.datetime(2024, 1, 1 + i % 4, 3)) for i in range(12)]
+    rows = [event(id=i, key=f"k{i}", event_time=dt.datetime(2024, 1, 1 + i % 4, 3))
+            for i in range(12)]
     facts = _facts(spark, rows)
     b1, b2 = facts.filter("id < 6"), facts.filter("id >= 6")
     cur = rollup.apply_increment(None, b1, b1)

@@ -29,8 +29,10 @@ def _msg(i, key, t, clicks=1, platform="google"):
 
 FILE1 = [_msg(1, "a", T0), _msg(2, "b", T0), _msg(3, "a", T0 + 3 * DAY), "{broken",
          _msg(4, "c", T0, platform="")]
-FILE2 = [_msg(5, "a", T0 + 8 * DAY), _msg(6, "b", T0 + 2 * DAY), _msg(7, "d", T0 + 40 * DAY)]
-EXPECTED_IDS = {1, 2, 5, 7}  # a: 0d, 8d; b: 0d; d: 40d; 3 and 6 are duplicates
+FILE2 = [_msg(5, "a", T0 - 18 * DAY), _msg(6, "b", T0 + 2 * DAY), _msg(7, "d", T0 - 40 * DAY)]
+# judged by arrival: 3 repeats a; in the second file 5 and 6 come within the TTL of 1 and 2 when
+# it arrives a day later, and are accepted when it arrives eight days later, however late they are
+WITHIN, EXPIRED = {1, 2, 7}, {1, 2, 5, 6, 7}
 
 
 def _land(folder, name, lines):
@@ -39,11 +41,11 @@ def _land(folder, name, lines):
         fh.write("\n".join(lines) + "\n")
 
 
-def _run_stream(spark, landing, root, dedup="exact"):
+def _run_stream(spark, landing, root, days=1):
     stream = spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(landing)
-    prepared = ingest.prepare(stream, SCHEMA, now=ntz(T0),
-                              dedup=dedup)
-    q = ingest.start(prepared, root, os.path.join(root, "_ck"), dedup_table=dedup == "table")
+    prepared = ingest.prepare(stream, SCHEMA, now=ntz(T0))
+    q = ingest.start(prepared, root, os.path.join(root, "_ck"),
+                     arrived=lambda epoch: T0 + epoch * days * DAY)
     q.awaitTermination()
 
 
@@ -51,39 +53,76 @@ def _fact_ids(spark, root):
     return {r.id for r in storage.read_facts(spark, root).collect()}
 
 
-@pytest.mark.parametrize("mode", ["exact", "table"])
-def test_stream_equals_batch_and_survives_restart(spark, tmp_root, mode):
+@pytest.mark.parametrize("days,expected", [(1, WITHIN), (8, EXPIRED)])
+def test_stream_equals_batches_and_survives_restart(spark, tmp_root, days, expected):
     landing, root = os.path.join(tmp_root, "in"), os.path.join(tmp_root, "store")
     _land(landing, "1.txt", FILE1)
-    _run_stream(spark, landing, root, mode)
+    _run_stream(spark, landing, root, days)
     assert _fact_ids(spark, root) == {1, 2}
     _land(landing, "2.txt", FILE2)           # restart from the checkpoint with a new file
-    _run_stream(spark, landing, root, mode)
-    assert _fact_ids(spark, root) == EXPECTED_IDS
-    _run_stream(spark, landing, root, mode)  # replay: nothing new
-    assert _fact_ids(spark, root) == EXPECTED_IDS
+    _run_stream(spark, landing, root, days)
+    assert _fact_ids(spark, root) == expected
+    _run_stream(spark, landing, root, days)  # replay: nothing new
+    assert _fact_ids(spark, root) == expected
     rejects = spark.read.parquet(os.path.join(root, storage.REJECTS))
     assert sorted(r.reject_reason for r in rejects.collect()) == ["malformed JSON",
                                                                    "missing platform"]
-    # batch path over the same messages gives the same facts and insights
+    # the batch path over the same messages gives the same facts and insights
     broot = os.path.join(tmp_root, "batch")
-    msgs = spark.createDataFrame([(m,) for m in FILE1 + FILE2], "value string")
-    counts = ingest_batch(spark, msgs, broot, "b1", now=ntz(T0),
-                          fact_schema=SCHEMA)
-    assert counts == {"accepted": 4, "duplicates": 2, "rejected": 2}
-    assert _fact_ids(spark, broot) == EXPECTED_IDS
+    counts = []
+    for n, part in enumerate((FILE1, FILE2)):
+        msgs = spark.createDataFrame([(m,) for m in part], "value string")
+        counts.append(ingest_batch(spark, msgs, broot, f"b{n}", now=ntz(T0), fact_schema=SCHEMA,
+                                   arrived=T0 + n * days * DAY))
+    assert counts[0] == {"accepted": 2, "duplicates": 1, "rejected": 2}
+    assert counts[1]["accepted"] == len(expected) - 2
+    assert _fact_ids(spark, broot) == expected
     cols = list(S.INSIGHT_COLUMNS)
     s_ins = sorted(map(tuple, storage.read_insights(spark, root).select(cols).collect()))
     b_ins = sorted(map(tuple, storage.read_insights(spark, broot).select(cols).collect()))
-    assert s_ins == b_ins and len(s_ins) == 4
+    assert s_ins == b_ins
 
 
-def test_watermark_mode_drops_replayed_keys(spark, tmp_root):
-    landing, root = os.path.join(tmp_root, "in"), os.path.join(tmp_root, "store")
-    _land(landing, "1.txt", [_msg(1, "x", T0), _msg(2, "y", T0)])
-    _land(landing, "2.txt", [_msg(1, "x", T0), _msg(3, "z", T0 + DAY)])
-    _run_stream(spark, landing, root, dedup="watermark")
-    assert _fact_ids(spark, root) == {1, 2, 3}
+def test_redelivered_rows_count_once(spark, tmp_root):
+    msgs = spark.createDataFrame([(_msg(1, "a", T0),)] * 3, "value string")
+    counts = ingest_batch(spark, msgs, tmp_root, "b1", now=ntz(T0), fact_schema=SCHEMA)
+    assert counts == {"accepted": 1, "duplicates": 2, "rejected": 0}
+    again = ingest_batch(spark, msgs, tmp_root, "b2", now=ntz(T0), fact_schema=SCHEMA)
+    assert again["accepted"] == 0
+    assert storage.read_insights(spark, tmp_root).first().impressions == 5
+
+
+def test_rerun_replaces_other_days_and_an_empty_rerun_empties(spark, tmp_root):
+    def batch(day):
+        rows = [(1, 1, "meta", "view", 10, 0, 0, None, None, day, "EU", None, "k", T0, T0)]
+        return spark.createDataFrame(rows, SCHEMA)
+
+    ingest_batch(spark, batch(T0), tmp_root, "b1", now=ntz(T0))
+    ingest_batch(spark, batch(T0 + DAY), tmp_root, "b1", now=ntz(T0))
+    assert [r.date for r in storage.read_insights(spark, tmp_root).collect()] == [
+        (T0 + DAY).date()]
+    assert storage.read_facts(spark, tmp_root).count() == 1
+    ingest_batch(spark, batch(T0).limit(0), tmp_root, "b1", now=ntz(T0))
+    assert storage.read_facts(spark, tmp_root).count() == 0
+    assert storage.read_insights(spark, tmp_root).count() == 0
+
+
+def test_insights_range_prunes_day_partitions(spark, tmp_root):
+    rows = [(i, 1, "meta", "view", 10, 0, 0, None, None, T0 + i * DAY, "EU", None, f"k{i}", T0, T0)
+            for i in range(5)]
+    ingest_batch(spark, spark.createDataFrame(rows, SCHEMA), tmp_root, "b", now=ntz(T0))
+    asked = storage.read_insights(spark, tmp_root, dt.date(2024, 1, 2), dt.date(2024, 1, 3))
+    assert asked.count() == 2
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "(day" in plan.split("PartitionFilters")[1]
+
+
+def test_ensure_tables_creates_schemas(spark, tmp_root):
+    names = storage.ensure_tables(spark, tmp_root, database="adperf_new")
+    assert names == storage.ensure_tables(spark, tmp_root, database="adperf_new")
+    facts = spark.table("adperf_new.facts")
+    assert set(S.EVENT_SCHEMA.fieldNames()) | {"ingest_batch", "event_date"} == set(facts.columns)
+    assert facts.isEmpty() and spark.table("adperf_new.insights").isEmpty()
 
 
 def test_batch_rerun_is_idempotent_and_reaggregation(spark, tmp_root):
@@ -110,30 +149,6 @@ def test_batch_rerun_is_idempotent_and_reaggregation(spark, tmp_root):
     assert rollup.daily_insights(facts).count() == 2
 
 
-def test_windowed_daily_matches_batch_rollup(spark, tmp_root):
-    landing = os.path.join(tmp_root, "in")
-    lines = [_msg(i, f"k{i}", T0 + dt.timedelta(hours=7 * i)) for i in range(12)]
-    _land(landing, "1.txt", lines)
-    stream = spark.readStream.format("text").load(landing)
-    prepared = ingest.prepare(stream, SCHEMA, now=ntz(T0), dedup="none")
-    facts = prepared.filter(F.col("reject_reason").isNull()).drop("reject_reason")
-    q = (ingest.windowed_daily(facts, "0 seconds").writeStream.format("memory")
-         .queryName("wd_test").outputMode("append").trigger(availableNow=True)
-         .option("checkpointLocation", os.path.join(tmp_root, "ck")).start())
-    q.awaitTermination()
-    got = sorted(map(tuple, spark.table("wd_test").collect()))
-    msgs = spark.createDataFrame([(m,) for m in lines], "value string")
-    from adperf.sources import events as ev
-    from adperf.operators import validate
-    batch = rollup.daily_insights(validate.accepted(validate.validate(
-        ev.decoded_ok(ev.decode_events(msgs, SCHEMA)), now=ntz(T0))))
-    want = sorted(map(tuple, batch.collect()))
-    # every emitted day equals the batch roll-up; only the last, still open day is missing
-    last_day = max(r[1] for r in want)
-    assert set(got) <= set(want) and got
-    assert all(r[1] == last_day for r in set(want) - set(got))
-
-
 def test_publish_batch_to_files(spark, tmp_root):
     from adperf.sources import events as ev
     df = spark.createDataFrame([(1, 2, "meta")], "id long, campaign_id long, platform string")
@@ -166,7 +181,7 @@ def test_event_stream_source_and_streaming_publish(spark, tmp_root):
     root = os.path.join(tmp_root, "store")
     q = ingest.run(stream, root, os.path.join(root, "_ck"), fact_schema=SCHEMA, now=ntz(T0))
     q.awaitTermination()
-    assert _fact_ids(spark, root) == EXPECTED_IDS
+    assert len(_fact_ids(spark, root)) == 3  # one row for each of a, b, d
     # republish the landed messages as a keyed stream of JSON files
     decoded = ev.decoded_ok(ev.decode_events(ev.event_stream(spark, fmt="text", path=landing),
                                              SCHEMA)).drop("key")
