@@ -169,7 +169,8 @@ def _predict(text: pa.Array, model: dict) -> tuple[list, np.ndarray, np.ndarray]
     if not model["langs"]:
         return langs, score, rejected
     names = np.array(model["langs"], object)
-    ascii_letter = pc.fill_null(pc.match_substring_regex(text.cast(pa.large_string()), "[A-Za-z]"), False)
+    ascii_letter = pc.fill_null(
+        pc.match_substring_regex(text.cast(pa.large_string()), "[A-Za-z]"), False)
     letter = ascii_letter.to_numpy(zero_copy_only=False).copy()
     for i in np.flatnonzero(~letter):
         letter[i] = _has_letter(text[int(i)].as_py())
@@ -180,8 +181,8 @@ def _predict(text: pa.Array, model: dict) -> tuple[list, np.ndarray, np.ndarray]
         best = cosine.argmax(axis=1)
         value = np.clip(cosine[np.arange(b - a), best], 0.0, 1.0)
         known = letter[a:b]
-        letters = np.add.reduceat(np.append(LETTERS[data] != 0x20, False), off[:-1])
-        share = np.minimum(1.0, letters / FULL_LETTERS)
+        letters = np.concatenate([[0], np.cumsum(LETTERS[data] != 0x20)])
+        share = np.minimum(1.0, np.diff(letters[off]) / FULL_LETTERS)
         score[a:b] = np.where(known, value, 0.0)
         rejected[a:b] = ~known | (value < model["reject"] * share)
         for i in np.flatnonzero(known):
@@ -217,7 +218,8 @@ def report(docs: DataFrame, folds: int = 5, fold: int = 0) -> DataFrame:
 
 def keep_known(docs: DataFrame, folds: int = 5, fold: int = 0) -> DataFrame:
     """Rows of ``docs`` whose language is recognised; all columns are kept."""
-    model = fit(docs.where(~held_out(F.col("doc_id"), folds, fold)).select("doc_id", "lang", "text"))
+    train = docs.where(~held_out(F.col("doc_id"), folds, fold))
+    model = fit(train.select("doc_id", "lang", "text"))
     names = free_name(docs, "lang_pred", "score", "rejected")
     found = add_language(docs, model, "text", names)
     return found.where(~F.col(names[2])).select(docs.columns)

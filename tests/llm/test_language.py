@@ -43,6 +43,14 @@ def test_edge_texts(spark):
     assert {900, 901, 902}.isdisjoint(ids) and set(range(120)) <= ids and 903 in ids
 
 
+def test_a_long_text_far_from_every_language_is_rejected(spark):
+    odd = "Ж҂Ѫ Ѯѱ Ѿ҈ " * 40
+    docs, _ = _docs(spark, [(910, odd, None, None), (911, "Ж", None, None)])
+    got = {r.doc_id: r.rejected for r in L.report(docs).collect()}
+    assert got[910] and not any(got[i] for i in range(120))
+    assert 910 not in {r.doc_id for r in L.keep_known(docs).collect()}
+
+
 def test_nothing_to_learn_and_empty(spark):
     docs = spark.createDataFrame([(1, "abc", None, None)], SCHEMA)
     assert [(r.lang_pred, r.score) for r in L.report(docs).collect()] == [("und", 0.0)]
