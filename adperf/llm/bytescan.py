@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 U64 = np.uint64
 _rng = np.random.default_rng(20240607)
 BYTE_CODES = _rng.integers(1, 2**63, 256, dtype=U64) | U64(1)
@@ -70,11 +70,15 @@ def mix(h: np.ndarray) -> np.ndarray:
 def chunks(text: pa.Array, max_rows: int = 1 << 30
            ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of consecutive rows; null is an empty text."""
-    text = pc.fill_null(text.cast(pa.large_binary()), b"")
+    if text.null_count:
+        text = pc.fill_null(text, "")
     n = len(text)
     if not n:
         return
-    off = np.frombuffer(text.buffers()[1], np.int64)[text.offset:text.offset + n + 1]
+    # the batch's own buffers, not a copy
+    wide = pa.types.is_large_string(text.type) or pa.types.is_large_binary(text.type)
+    off = np.frombuffer(text.buffers()[1], np.int64 if wide else np.int32)
+    off = off[text.offset:text.offset + n + 1].astype(np.int64)
     data = text.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     a = 0

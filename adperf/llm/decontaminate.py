@@ -5,8 +5,8 @@ window) go to every task as sorted hashes with the window texts. A task hashes e
 every document, looks the hash up, and verifies a hit by comparing the words themselves.
 
 The broadcast is bounded: ``BLOCK_WINDOWS`` windows at most. A larger benchmark is dealt by
-window hash into blocks of that size, each broadcast to a scan of its own that adds its hits to those
-of the scans before, so no window is left out.
+window hash into blocks of that size, each broadcast to a scan of its own that adds its hits to
+those of the scans before, so no window is left out.
 
 Edge cases: null or wordless texts have no words and are never hit; an item without words has
 no window; items with equal texts are all reported; a text shorter than a window can only hold

@@ -8,8 +8,8 @@ of their residual, and the search for a piece starts at the tightest residual
 that holds it and goes on to the successor until a bin is compatible. Bins carry their sources
 and clusters as bitmaps, so a test is two ANDs.
 
-Skew: the group of a piece depends on its id and number alone, so a source or a cluster that holds a third
-of all rows is dealt over all groups; a group is bounded by its expected size.
+Skew: the group of a piece depends on its id and number alone, so a source or a cluster that
+holds a third of all rows is dealt over all groups; a group is bounded by its expected size.
 
 Edge cases: a null, empty or wordless text has no token and no piece (it is reported with no
 bin); a null source is a source of its own; a text longer than the capacity takes several bins;

@@ -9,9 +9,10 @@ with a smaller id. The suffix array is built only where it can hold a repeat, in
    a batch, equal texts and texts that share an anchor are already settled before the shuffle,
    so an anchor of a third of all documents sends one row a batch, not one a document).
 2. The windows around shared anchors become records: the bytes under all consecutive windows of
-   one anchor. Equal records are one, with their smallest document (a map-side aggregate).
-3. Records are dealt by their anchor to buckets. A bucket sorts the suffixes that start at its
-   window starts, computes the common prefixes of neighbours, and scans them with a stack: every
+   one anchor. Equal records are one, with their smallest document (a map-side aggregate); an
+   anchor with one record only (inside a passage) is settled by that.
+3. The records of the other anchors are dealt by anchor to buckets. A bucket sorts the suffixes
+   that start at its window starts, computes the common prefixes of neighbours, and scans them with a stack: every
    interval of common prefix ``LENGTH`` or more whose occurrences differ in the byte to their
    left (or start a record) is a maximal repeat group. An interval with one left byte is the
    tail of the interval one byte earlier, which covers it. In each group all occurrences in
@@ -45,10 +46,10 @@ from . import bytescan as B
 from .tables import cut, discard
 
 LENGTH = 50
-GRAM = 24
+GRAM = 20
 HOT = 2000
 BUCKET_RECORDS = 4000
-SETTLE_BYTES = 16 << 20  # text whose anchors are settled at once, before the shuffle
+SETTLE_BYTES = 4 << 20  # text whose anchors are settled at once, before the shuffle
 U64 = np.uint64
 RANGES = "array<struct<lo: int, hi: int>>"
 
@@ -136,9 +137,10 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, anchor) of anchors in several texts, from rows sorted by (route, tag, doc_id).
+    """(doc_id, anchor) of anchors in several texts, from rows sorted by route.
 
-    Only one row of an anchor is carried to the next batch, and a mark once it is settled.
+    Of an anchor seen in one text so far only the smallest document is carried to the next
+    batch, and a mark once it is settled.
     """
     held = None  # (route, doc_id, tag, settled) of the last anchor
     for batch in batches:
@@ -163,6 +165,8 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out_ids.append(ids[take])
             out_anchor.append(_low(route[take].view(U64)))
             last = head[-1]
+            if plain[last:].any():
+                last += int(np.argmin(np.where(plain[last:], ids[last:], np.iinfo(np.int64).max)))
             held = (route[last], ids[last], tag[last], bool(settled[-1]))
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate(out_ids)), pa.array(np.concatenate(out_anchor))],
@@ -173,14 +177,14 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
     """doc_id and the anchors (lower hash halves) that another text has too."""
     tag = F.shiftrightunsigned(F.xxhash64("text"), 16)  # 48 bits
     rows = _anchor_rows(docs.select("doc_id", "text", tag.alias("tag")))
-    settled = (rows.repartition("route").sortWithinPartitions("route", "tag", "doc_id")
+    settled = (rows.repartition("route").sortWithinPartitions("route")
                .mapInArrow(_settle, "doc_id long, anchor int"))
     return settled.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
 
 
 def _records(texts: DataFrame) -> DataFrame:
     """Records of (doc_id, text, anchors) rows: the bytes under the windows of each shared
-    anchor, and where they start."""
+    anchor, where they start, and whether the document had the same record before."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,12 +201,16 @@ def _records(texts: DataFrame) -> DataFrame:
                 doc, lo, hi, h = doc[ok], lo[ok], hi[ok], h[ok]
                 raw = data.tobytes()
                 found = [raw[x:y + LENGTH] for x, y in zip(lo.tolist(), hi.tolist())]
+                seen: set = set()
+                again = [r in seen or seen.add(r) is not None
+                         for r in zip(doc.tolist(), found)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(B.as_long(h)), batch.column(0).slice(a, b - a).take(pa.array(doc)),
-                     pa.array((lo - off[doc]).astype(np.int32)), pa.array(found, pa.binary())],
-                    names=["h", "doc_id", "lo", "bytes"])
+                     pa.array((lo - off[doc]).astype(np.int32)), pa.array(again),
+                     pa.array(found, pa.binary())],
+                    names=["h", "doc_id", "lo", "again", "bytes"])
 
-    return texts.mapInArrow(scan, "h long, doc_id long, lo int, bytes binary")
+    return texts.mapInArrow(scan, "h long, doc_id long, lo int, again boolean, bytes binary")
 
 
 def sorted_suffixes(records: list[bytes]):
@@ -289,7 +297,7 @@ def _bucket(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         else:
             ranges.append({"lo": a, "hi": a + m})
     rows = list(out)
-    return pd.DataFrame({"r1": part["r1"].to_numpy()[rows], "r2": part["r2"].to_numpy()[rows],
+    return pd.DataFrame({**{c: part[c].to_numpy()[rows] for c in ("h", "r1", "r2")},
                          "ranges": pd.Series(list(out.values()), dtype=object)})
 
 
@@ -298,22 +306,22 @@ def _hot_ranges(hot: DataFrame) -> DataFrame:
 
     def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = pc.subtract(pc.binary_length(batch.column(3)), LENGTH - 1).to_numpy()
+            n = pc.subtract(pc.binary_length(batch.column(4)), LENGTH - 1).to_numpy()
             row = np.repeat(np.arange(len(n)), n)
             at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            whole = [x.as_py() for x in batch.column(3)]
+            whole = batch.column(4).to_pylist()
             found = [whole[r][a:a + LENGTH] for r, a in zip(row.tolist(), at.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i).take(pa.array(row)) for i in range(3)),
+                [*(batch.column(i).take(pa.array(row)) for i in range(4)),
                  pa.array(at.astype(np.int32)), pa.array(found, pa.binary())],
-                names=["r1", "r2", "doc_id", "at", "prefix"])
+                names=["h", "r1", "r2", "doc_id", "at", "prefix"])
 
-    rows = hot.select("r1", "r2", "doc_id", "bytes").mapInArrow(
-        starts, "r1 long, r2 long, doc_id long, at int, prefix binary")
+    rows = hot.select("h", "r1", "r2", "doc_id", "bytes").mapInArrow(
+        starts, "h long, r1 long, r2 long, doc_id long, at int, prefix binary")
     least = rows.groupBy("prefix").agg(F.min("doc_id").alias("least"))
     later = rows.join(least, "prefix").where(F.col("doc_id") > F.col("least"))
     one = F.struct(F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi"))
-    return later.groupBy("r1", "r2").agg(F.collect_set(one).alias("ranges"))
+    return later.groupBy("h", "r1", "r2").agg(F.collect_set(one).alias("ranges"))
 
 
 def repeated_ranges(docs: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -324,26 +332,31 @@ def repeated_ranges(docs: DataFrame, firsts: DataFrame) -> DataFrame:
                       "left_semi").join(shared, "doc_id")
     records = cut(_records(texts.select("doc_id", "text", "anchors")), "op6-records")
     discard(shared)
-    named = records.select("*", F.xxhash64("bytes").alias("r1"),
-                           F.xxhash64(F.lit(LENGTH), "bytes").alias("r2"))
-    one = cut(named.groupBy("r1", "r2").agg(
-        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.first("h").alias("h"),
-        F.first("bytes").alias("bytes")), "op6-distinct")
-    hot = (one.groupBy("h").agg(F.count(F.lit(1)).alias("records"))
-           .where(F.col("records") > HOT).select("h"))
-    buckets = max(1, -(-one.count() // BUCKET_RECORDS))
-    cool = one.join(hot, "h", "left_anti").withColumn("bucket", F.pmod("h", F.lit(buckets)))
-    found = (cool.select("bucket", "r1", "r2", "doc_id", "bytes").groupBy("bucket")
-             .applyInPandas(_bucket, f"r1 long, r2 long, ranges {RANGES}"))
-    found = found.unionByName(_hot_ranges(one.join(hot, "h", "left_semi")))
-    found = (one.select("r1", "r2", "n", F.col("doc_id").alias("least"))
-             .join(found, ["r1", "r2"], "left"))
+    r1, r2 = F.xxhash64("bytes").alias("r1"), F.xxhash64(F.lit(LENGTH), "bytes").alias("r2")
+    named = records.select("h", "doc_id", "lo", F.octet_length("bytes").alias("size"), r1, r2)
+    key = ["h", "r1", "r2"]
+    one = cut(named.groupBy(*key).agg(F.min("doc_id").alias("least"),
+                                      F.count(F.lit(1)).alias("n")), "op6-distinct")
+    # an anchor whose records are all equal is settled: its later documents repeat the first
+    per = one.groupBy("h").agg(F.count(F.lit(1)).alias("records")).where(F.col("records") > 1)
+    several = cut(one.join(per, "h").select(*key, F.col("least").alias("doc_id"), "records"),
+                  "op6-several")
+    texts = records.where(~F.col("again")).select("h", "doc_id", r1, r2, "bytes")
+    several_texts = texts.join(several, [*key, "doc_id"])
+    buckets = max(1, -(-several.count() // BUCKET_RECORDS))
+    cool = (several_texts.where(F.col("records") <= HOT)
+            .withColumn("bucket", F.pmod("h", F.lit(buckets))))
+    found = (cool.select("bucket", *key, "doc_id", "bytes").groupBy("bucket")
+             .applyInPandas(_bucket, f"h long, r1 long, r2 long, ranges {RANGES}"))
+    if several.where(F.col("records") > HOT).head(1):
+        found = found.unionByName(_hot_ranges(several_texts.where(F.col("records") > HOT)))
+    intervals = cut(found, "op6-intervals")
+    found = one.join(intervals, key, "left")
     found = cut(found.where((F.col("n") > 1) | F.col("ranges").isNotNull()).drop("n"),
                 "op6-found")
-    discard(one)
+    discard(one, several, intervals)
     whole = F.array(F.struct(F.lit(0).alias("lo"), F.col("size").alias("hi")))
-    hits = (named.select("r1", "r2", "doc_id", "lo", F.octet_length("bytes").alias("size"))
-            .join(found, ["r1", "r2"])
+    hits = (named.join(found, key)
             .select("doc_id", "lo", F.when(F.col("doc_id") > F.col("least"), whole)
                     .otherwise(F.col("ranges")).alias("ranges")))
     moved = F.transform("ranges", lambda r: F.struct(

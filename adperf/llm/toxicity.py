@@ -11,9 +11,9 @@ insults meet), and a text by its worst words: a logistic curve over its ``TOP``
 scores and its length. The machine is trained on labelled sentences:
 only the text carries the label, so the words that toxic texts have far more often than clean
 ones are the first positive examples and the machine's own findings in toxic texts join them;
-words of clean texts are the negatives, the worst ones added in each round. Nyström: kernel values against
-``LANDMARKS`` words are whitened, and a squared-hinge SVM is solved in that space. As the kernel
-is an inner product of subsequence weights, the trained machine collapses to one weight per
+words of clean texts are the negatives, the worst ones added in each round. Nyström: kernel
+values against ``LANDMARKS`` words are whitened, and a squared-hinge SVM is solved in that
+space. As the kernel is an inner product of subsequence weights, the trained machine collapses to one weight per
 subsequence, and scoring a text is a sum of table look-ups.
 
 The model is fitted on a bounded sample: about ``PER_CLASS`` labelled texts of each class, of at
