@@ -89,8 +89,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
-    # the tables' capitals outside A-Z are part of their words, which lower() would change:
-    # translate() lowers A-Z alone
+    # capitals outside A-Z stay as they are: translate(), not lower()
+    "op1_near_dedup": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS shingle
+              FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d
+                    WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+                   FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+                   GROUP BY ALL),
+        links AS (SELECT a, b FROM common JOIN n AS na ON a = na.doc_id
+                  JOIN n AS nb ON b = nb.doc_id
+                  WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+        reach(doc_id, other) AS (
+            SELECT doc_id, doc_id FROM documents
+            UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id,
+               d.doc_id = c.component_id AS kept
+        FROM d LEFT JOIN n USING (doc_id)
+        JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c
+            USING (doc_id)
+    """,
     "op4_decontaminate": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
