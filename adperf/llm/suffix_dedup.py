@@ -327,20 +327,20 @@ def _hot_ranges(hot: DataFrame) -> DataFrame:
 def repeated_ranges(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """doc_id and byte ranges (overlapping, unsorted) that repeat a smaller document, for rows
     (doc_id, text); texts equal to one with a smaller id (``firsts``) are left out."""
-    shared = cut(shared_anchors(docs), "op6-shared")
+    shared = cut(shared_anchors(docs), "op6-shared", heavy=True)
     texts = docs.join(firsts.where("doc_id = first_id").select("doc_id").distinct(), "doc_id",
                       "left_semi").join(shared, "doc_id")
-    records = cut(_records(texts.select("doc_id", "text", "anchors")), "op6-records")
+    records = cut(_records(texts.select("doc_id", "text", "anchors")), "op6-records", heavy=True)
     discard(shared)
     r1, r2 = F.xxhash64("bytes").alias("r1"), F.xxhash64(F.lit(LENGTH), "bytes").alias("r2")
     named = records.select("h", "doc_id", "lo", F.octet_length("bytes").alias("size"), r1, r2)
     key = ["h", "r1", "r2"]
     one = cut(named.groupBy(*key).agg(F.min("doc_id").alias("least"),
-                                      F.count(F.lit(1)).alias("n")), "op6-distinct")
+                                      F.count(F.lit(1)).alias("n")), "op6-distinct", heavy=True)
     # an anchor whose records are all equal is settled: its later documents repeat the first
     per = one.groupBy("h").agg(F.count(F.lit(1)).alias("records")).where(F.col("records") > 1)
     several = cut(one.join(per, "h").select(*key, F.col("least").alias("doc_id"), "records"),
-                  "op6-several")
+                  "op6-several", heavy=True)
     texts = records.where(~F.col("again")).select("h", "doc_id", r1, r2, "bytes")
     several_texts = texts.join(several, [*key, "doc_id"])
     buckets = max(1, -(-several.count() // BUCKET_RECORDS))
@@ -350,10 +350,10 @@ def repeated_ranges(docs: DataFrame, firsts: DataFrame) -> DataFrame:
              .applyInPandas(_bucket, f"h long, r1 long, r2 long, ranges {RANGES}"))
     if several.where(F.col("records") > HOT).head(1):
         found = found.unionByName(_hot_ranges(several_texts.where(F.col("records") > HOT)))
-    intervals = cut(found, "op6-intervals")
+    intervals = cut(found, "op6-intervals", heavy=True)
     found = one.join(intervals, key, "left")
     found = cut(found.where((F.col("n") > 1) | F.col("ranges").isNotNull()).drop("n"),
-                "op6-found")
+                "op6-found", heavy=True)
     discard(one, several, intervals)
     whole = F.array(F.struct(F.lit(0).alias("lo"), F.col("size").alias("hi")))
     hits = (named.join(found, key)
@@ -363,7 +363,7 @@ def repeated_ranges(docs: DataFrame, firsts: DataFrame) -> DataFrame:
         (r["lo"] + F.col("lo")).alias("lo"), (r["hi"] + F.col("lo")).alias("hi")))
     out = cut(hits.where(F.col("ranges").isNotNull()).select("doc_id", moved.alias("ranges"))
               .groupBy("doc_id").agg(F.flatten(F.collect_list("ranges")).alias("ranges")),
-              "op6-ranges")
+              "op6-ranges", heavy=True)
     discard(records, found)
     return out
 

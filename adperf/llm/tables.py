@@ -14,17 +14,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, heavy: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it back.
 
     The written table cuts the lineage and survives lost executors. Folders are unique, so a
-    retried job never reads a half-written one.
+    retried job never reads a half-written one. ``heavy`` frees the shuffle files of the step
+    at once, where they are large beside the table.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/adperf-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    if heavy:
+        tidy(spark)
     return out
 
 
@@ -44,6 +47,19 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def bounded_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold at most ``rows`` rows.
+
+    Batches are bounded by rows, and the default of 10,000 whole texts can be a gigabyte in
+    each of a task's buffers. A smaller setting of the caller stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name))
+    if now <= 0 or now > rows:
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
 def free_name(df: DataFrame, *names: str) -> list[str]:
     """``names``, each prefixed until it clashes with no column of ``df``."""
     taken = {c.lower() for c in df.columns}
