@@ -48,14 +48,18 @@ def _line_rows(docs: DataFrame) -> DataFrame:
                        F.length("s.line").alias("chars"))
 
 
-def _tied(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key occurs twice or more, with their group's first occurrence as name."""
+def _tied(rows: DataFrame, keys: list[str], hot: bool = False) -> DataFrame:
+    """Rows whose key occurs twice or more, with their group's first occurrence as name.
+
+    With ``hot`` the groups are a written table, a plain side of the join that AQE can split at
+    a line in a third of all documents.
+    """
     at = F.struct("doc_id", "seq")
     groups = (rows.groupBy(*keys).agg(F.min(at).alias("name"), F.max(at).alias("other"))
               .where(F.col("name") != F.col("other"))
               .select(*keys, F.col("name.doc_id").alias("name_doc"),
                       F.col("name.seq").alias("name_seq")))
-    return rows.join(groups, keys)
+    return rows.join(cut(groups, "line-groups") if hot else groups, keys)
 
 
 def tied_suffixes(docs: DataFrame) -> list[DataFrame]:
@@ -67,7 +71,7 @@ def tied_suffixes(docs: DataFrame) -> list[DataFrame]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keep = ["doc_id", "seq", "pos", "end", "chars", "name_doc", "name_seq"]
     rows = _line_rows(docs).withColumn("end", F.col("pos"))
-    rows = _tied(rows, ["h1", "h2"]).select(*keep)
+    rows = _tied(rows, ["h1", "h2"], hot=True).select(*keep)
     levels, step = [cut(rows, "lines-1")], 1
     while levels[-1].head(1):
         later = (Window.partitionBy("doc_id").orderBy("seq").rangeBetween(step, step))
