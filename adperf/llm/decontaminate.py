@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as B
-from .tables import free_name
+from .tables import bounded_batches, free_name
 
 WINDOW = 10
 BLOCK_WINDOWS = 200_000
@@ -156,15 +156,23 @@ def _blocks(benchmark: DataFrame, window: int) -> Iterator[list]:
 
 
 def _with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str, window: int,
-               names: list[str]) -> DataFrame:
-    """``docs`` and three more columns: word count, hit word ranges, items."""
+               names: list[str], then=None, schema=None) -> DataFrame:
+    """``docs`` and three more columns: word count, hit word ranges, items.
+
+    ``then`` (batches to batches of ``schema``) runs in the same task as the last scan.
+    """
     empty = ["CAST(0 AS BIGINT)", "CAST(array() AS array<struct<lo: int, hi: int>>)",
              "CAST(array() AS array<string>)"]
-    out = docs.select("*", *[F.expr(e).alias(n) for e, n in zip(empty, names)])
+    out = bounded_batches(docs).select("*", *[F.expr(e).alias(n) for e, n in zip(empty, names)])
+    scan = None
     for block in _blocks(benchmark, window):
+        if scan is not None:
+            out = out.mapInArrow(scan, out.schema)
         shared = docs.sparkSession.sparkContext.broadcast(_lookup(block))
-        out = out.mapInArrow(_scanner(shared, docs.columns.index(text_col)), out.schema)
-    return out
+        scan = _scanner(shared, docs.columns.index(text_col))
+    if then is None:
+        return out.mapInArrow(scan, out.schema)
+    return out.mapInArrow(lambda batches: then(scan(batches)), schema)
 
 
 def hit_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
@@ -220,4 +228,4 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             done = pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:n_columns])
             yield done.filter(pa.array(keep))
 
-    return _with_hits(docs, benchmark, "text", window, names).mapInArrow(cut_hits, schema)
+    return _with_hits(docs, benchmark, "text", window, names, cut_hits, schema)

@@ -26,12 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as B
-from .tables import free_name
+from .tables import bounded_batches, free_name
 
 DIM_BITS = 12
 DIM = 1 << DIM_BITS
 NGRAMS = (1, 2, 3)
-PER_LANGUAGE = 1500
+PER_LANGUAGE = 800
 MAX_LANGUAGES = 200
 MAX_FIT_BYTES = 20_000
 CENTROIDS = 4
@@ -85,7 +85,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _texts(text: pa.Array) -> pa.Array:
-    return pc.utf8_lower(pc.fill_null(text.cast(pa.large_string()), ""))
+    return pc.utf8_lower(pc.fill_null(text, ""))
 
 
 def _spherical_kmeans(x: np.ndarray, k: int) -> np.ndarray:
@@ -139,11 +139,15 @@ def fit(train: DataFrame) -> dict:
         langs += [r.lang for r in part]
     if not rows:
         return {"langs": [], "idf": None, "centroids": None, "reject": 0.0}
+    del rows
     x, langs = np.concatenate(vectors), np.array(langs)
+    vectors.clear()
     used = x.any(axis=1)
-    x, langs = x[used], langs[used]
+    if not used.all():
+        x, langs = x[used], langs[used]
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
-    x = _unit(x * idf)
+    x *= idf  # in place: the sample is the largest thing that the driver holds
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     names, centroids = [], []
     for lang in sorted(set(langs.tolist())):
         c = _spherical_kmeans(x[langs == lang], CENTROIDS)
@@ -170,7 +174,7 @@ def _predict(text: pa.Array, model: dict) -> tuple[list, np.ndarray, np.ndarray]
         return langs, score, rejected
     names = np.array(model["langs"], object)
     ascii_letter = pc.fill_null(
-        pc.match_substring_regex(text.cast(pa.large_string()), "[A-Za-z]"), False)
+        pc.match_substring_regex(text, "[A-Za-z]"), False)
     letter = ascii_letter.to_numpy(zero_copy_only=False).copy()
     for i in np.flatnonzero(~letter):
         letter[i] = _has_letter(text[int(i)].as_py())
@@ -193,6 +197,7 @@ def _predict(text: pa.Array, model: dict) -> tuple[list, np.ndarray, np.ndarray]
 def add_language(docs: DataFrame, model: dict, text_col: str, names: list[str]) -> DataFrame:
     """``docs`` and three columns: language, score, rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = bounded_batches(docs)
     out = docs.select("*", F.lit("").alias(names[0]), F.lit(0.0).alias(names[1]),
                       F.lit(False).alias(names[2]))
     at = docs.columns.index(text_col)

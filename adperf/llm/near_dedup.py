@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan as B
 from .components import connected_components
-from .tables import cut
+from .tables import bounded_batches, cut
 
 COORDINATES = 32
 TREES = 10
@@ -232,7 +232,7 @@ def _set_table(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     # the same plan at every size; an id on several rows names equal texts, one is enough
     texts = (docs.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
              .select("doc_id", "text"))
-    return cut(_full_sets(texts, shingle), "near-sets")
+    return cut(_full_sets(texts, shingle), "near-sets", heavy=True)
 
 
 def similarity_links(docs: DataFrame, classes: DataFrame, shingle: int,
@@ -278,7 +278,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     Rows are linked when 100 * |intersection| >= percent * |union|; ``component_id`` is the
     smallest id reachable, and that row is kept.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sigs = cut(signatures(docs, shingle), "near-signatures")
     full = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     sets = ["n_shingles", "k1", "k2"]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as B
-from .tables import cut, free_name
+from .tables import bounded_batches, cut, free_name
 
 SENTENCES = 3
 WORDS = 16
@@ -103,7 +103,7 @@ def sentence_counts(docs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id and the byte ranges (disjoint, sorted) that non-first repeated spans cover."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = spans(docs.where(F.col("doc_id").isNotNull()))
     at = F.struct("doc_id", "lo")
     first = (found.groupBy("h1", "h2")

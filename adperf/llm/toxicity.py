@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan as B
 from .language import bounded_sample, held_out
+from .tables import bounded_batches
 
 ORDER = 3
 SPAN = 5
@@ -321,7 +322,8 @@ def _calibrate(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, float]:
 def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
     """doc_id and score (0 to 1) of each row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("doc_id"),
+                                        F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
