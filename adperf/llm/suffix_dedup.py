@@ -341,8 +341,9 @@ def repeated_ranges(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     per = one.groupBy("h").agg(F.count(F.lit(1)).alias("records")).where(F.col("records") > 1)
     several = cut(one.join(per, "h").select(*key, F.col("least").alias("doc_id"), "records"),
                   "op6-several", heavy=True)
-    texts = records.where(~F.col("again")).select("h", "doc_id", r1, r2, "bytes")
-    several_texts = texts.join(several, [*key, "doc_id"])
+    # the two hashes name a record; its anchor need not travel with its bytes
+    texts = records.where(~F.col("again")).select("doc_id", r1, r2, "bytes")
+    several_texts = texts.join(several, ["r1", "r2", "doc_id"])
     buckets = max(1, -(-several.count() // BUCKET_RECORDS))
     cool = (several_texts.where(F.col("records") <= HOT)
             .withColumn("bucket", F.pmod("h", F.lit(buckets))))
@@ -352,11 +353,11 @@ def repeated_ranges(docs: DataFrame, firsts: DataFrame) -> DataFrame:
         found = found.unionByName(_hot_ranges(several_texts.where(F.col("records") > HOT)))
     intervals = cut(found, "op6-intervals", heavy=True)
     found = one.join(intervals, key, "left")
-    found = cut(found.where((F.col("n") > 1) | F.col("ranges").isNotNull()).drop("n"),
+    found = cut(found.where((F.col("n") > 1) | F.col("ranges").isNotNull()).drop("n", "h"),
                 "op6-found", heavy=True)
     discard(one, several, intervals)
     whole = F.array(F.struct(F.lit(0).alias("lo"), F.col("size").alias("hi")))
-    hits = (named.join(found, key)
+    hits = (named.drop("h").join(found, ["r1", "r2"])
             .select("doc_id", "lo", F.when(F.col("doc_id") > F.col("least"), whole)
                     .otherwise(F.col("ranges")).alias("ranges")))
     moved = F.transform("ranges", lambda r: F.struct(
