@@ -2,11 +2,13 @@
 
 A sentence ends at ``. ! ?`` or a line break; a long sentence is also cut after words whose hash
 says so, a rule that looks at the word alone, so equal passages are cut alike wherever they
-stand. Every run of at least ``SENTENCES`` consecutive sentences with at least ``WORDS`` words
-(the shortest such run from each sentence) is a span. Spans are hashed by their lower-cased words
-(96 bits), joined over all documents, and every span that is not its hash's first occurrence, by
-(doc_id, position), is repeated: the sentences that it covers are removed. A first occurrence
-stays, so one copy of every passage is kept.
+stand. A run of at least ``SENTENCES`` consecutive sentences with at least ``WORDS`` words is
+repeated where the same words, cut alike, stand before it in (doc_id, position). Of these runs the
+shortest from each sentence on and the shortest up to each sentence are spans: together they cover
+every sentence of every longer run, and they repeat where it does. Spans are hashed by their
+lower-cased words (96 bits), joined over all documents, and the sentences of every span that is
+not its hash's first occurrence are removed. A first occurrence stays, so one copy of every
+passage is kept.
 
 Skew: first occurrences are a minimum with map-side combine; the join back is an equi-join that
 AQE may split, so a passage in a third of all documents meets no single task.
@@ -56,11 +58,18 @@ def sentence_spans(data: np.ndarray, off: np.ndarray):
     sums = [np.concatenate([np.zeros(1, B.U64), np.cumsum(x * up[:n])])
             for x in (h, B.mix(h ^ B.U64(0x5851F42D4C957F2D)))]
     # the shortest run from each sentence with enough sentences and enough words
-    last = np.maximum(np.arange(len(head)) + SENTENCES - 1,
+    at = np.arange(len(head))
+    last = np.maximum(at + SENTENCES - 1,
                       np.searchsorted(tail, (head if len(head) else tail) + WORDS))
     doc_of = np.repeat(np.arange(len(off) - 1), np.diff(doc_first))
     ok = last < (doc_first[1:][doc_of] if len(head) else 0)
     a, z = np.flatnonzero(ok), last[ok]
+    # and the shortest up to each sentence, where it is not one of those
+    start_at = np.minimum(at - SENTENCES + 1,
+                          np.searchsorted(head, tail - WORDS, side="right") - 1)
+    up_to = np.flatnonzero(start_at >= (doc_first[doc_of] if len(head) else 0))
+    up_to = up_to[last[start_at[up_to]] != up_to]
+    a, z = np.concatenate([a, start_at[up_to]]), np.concatenate([z, up_to])
     count = (tail[z] - head[a]).astype(B.U64)
     hashes = [B.mix((s[tail[z]] - s[head[a]]) * down[head[a]] ^ count) for s in sums]
     return start[head], end[tail - 1] if len(head) else tail, doc_first, a, z, doc_of, hashes

@@ -99,3 +99,68 @@ def test_remove_repeats_keeps_columns_and_clean_rows(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert S.report(docs).collect() == [] and S.remove_repeats(docs).collect() == []
+
+
+def all_runs(rows):
+    """Bytes that repeated runs of any length cover: runs of equal words cut alike, and runs of
+    equal words however they are cut."""
+    out = []
+    for cut_alike in (True, False):
+        found, first = [], {}
+        for d, text in sorted({(r[0], r[1]) for r in rows}):
+            raw = text.encode()
+            lo, hi, *_ = S.sentence_spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+            words = [tuple(re.findall(rb"[0-9a-z\x80-\xff]+", raw[a:b].lower()))
+                     for a, b in zip(lo, hi)]
+            for i in range(len(words)):
+                for j in range(i + S.SENTENCES, len(words) + 1):
+                    if sum(map(len, words[i:j])) >= S.WORDS:
+                        key = tuple(words[i:j]) if cut_alike else sum(words[i:j], ())
+                        at = (d, int(lo[i]))
+                        first[key] = min(first.get(key, at), at)
+                        found.append((key, at, int(hi[j - 1])))
+        covered = {}
+        for key, (d, a), b in found:
+            if first[key] != (d, a):
+                covered.setdefault(d, set()).update(range(a, b))
+        out.append(covered)
+    return out
+
+
+def plain_words(rng, n):
+    """Words that end no sentence by their hash."""
+    out = []
+    while len(out) < n:
+        word = f"w{rng.randrange(10**6)}"
+        raw = np.frombuffer(word.encode(), np.uint8)
+        if int(B.words(raw, np.array([0, len(raw)]), B.ALNUM_WORDS)[2][0]) % S.SOFT_CUT:
+            out.append(word)
+    return " ".join(out)
+
+
+def covered_bytes(docs):
+    return {r.doc_id: {p for x in r.removed for p in range(x.lo, x.hi)}
+            for r in S.report(docs).collect()}
+
+
+def test_short_sentences_at_the_end_of_a_repeated_passage_go(spark):
+    rng = random.Random(5)
+    passage = "".join(plain_words(rng, n) + ". " for n in (10, 3, 3, 2, 2))
+    own = [plain_words(rng, 9) + ". " for _ in range(4)]
+    rows = [(1, own[0] + passage + own[1], 7), (2, own[2] + passage + own[3], 7)]
+    got = covered_bytes(spark.createDataFrame(rows, SCHEMA))
+    lo = len(own[2])
+    assert got == {1: set(), 2: set(range(lo, lo + len(passage) - 2))}
+
+
+def test_every_repeated_run_is_covered(spark):
+    rng = random.Random(9)
+    pool = ["".join(plain_words(rng, rng.choice([1, 2, 3, 9, 17])) + ". "
+                    for _ in range(rng.randrange(4, 12))) for _ in range(8)]
+    rows = [(i, "".join(rng.choice(pool) if rng.random() < 0.4 else _sentence(
+        rng, rng.randrange(1, 40)) for _ in range(rng.randrange(2, 8))), 7) for i in range(60)]
+    got = covered_bytes(spark.createDataFrame(rows, SCHEMA))
+    least, most = all_runs(rows)
+    for d, _, _ in rows:
+        assert least.get(d, set()) <= got[d] <= most.get(d, set()), d
+    assert sum(map(len, least.values())) > 1000
