@@ -1,8 +1,10 @@
 """Repeated passages by sliding spans of consecutive sentences.
 
 A sentence ends at ``. ! ?`` or a line break; a long sentence is also cut after words whose hash
-says so, a rule that looks at the word alone, so equal passages are cut alike wherever they
-stand. A run of at least ``SENTENCES`` consecutive sentences with at least ``WORDS`` words is
+says so, and where ``GAP`` words follow each other without either, after the smallest hash of
+them (all words that share it). Both rules look at these words alone, so of any ``GAP`` words of
+a passage one ends a sentence, the same in every copy: equal passages are cut alike from the first
+such word to the last, and any ``4 * GAP`` equal words hold a span. A run of at least ``SENTENCES`` consecutive sentences with at least ``WORDS`` words is
 repeated where the same words, cut alike, stand before it in (doc_id, position). Of these runs the
 shortest from each sentence on and the shortest up to each sentence are spans: together they cover
 every sentence of every longer run, and they repeat where it does. Spans are hashed by their
@@ -33,11 +35,33 @@ from .tables import bounded_batches, cut, free_name
 SENTENCES = 3
 WORDS = 16
 SOFT_CUT = 16  # a word in so many ends a sentence by its hash
+GAP = 12  # the most words without an end: 50 words hold the four ends around three sentences
 
 ENDS = np.zeros(256, bool)
 ENDS[[ord(c) for c in ".!?\n"]] = True
 
 
+def smallest_of_windows(h: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Whether each word has the smallest hash of some ``GAP`` words without a head after the
+    first of them."""
+
+    def sliding(x: np.ndarray, of) -> np.ndarray:
+        wide = 1
+        while 2 * wide <= GAP:
+            x = of(x[:-wide], x[wide:])
+            wide *= 2
+        return of(x[:len(x) - GAP + wide], x[GAP - wide:]) if GAP > wide else x
+
+    if len(h) < GAP:
+        return np.zeros(len(h), bool)
+    part = np.cumsum(heads)
+    # 0 stands for a window that is not whole and is the smallest of no word
+    low = np.where(part[GAP - 1:] == part[:len(h) - GAP + 1],
+                   sliding(np.maximum(h, B.U64(1)), np.minimum), B.U64(0))
+    none = np.zeros(GAP - 1, B.U64)
+    return sliding(np.concatenate([none, low, none]), np.maximum) == np.maximum(h, B.U64(1))
+
+
 def sentence_spans(data: np.ndarray, off: np.ndarray):
     """Byte start and end of each sentence's words, each document's first sentence, and the
     spans: first sentence, end sentence, two hashes."""
@@ -50,6 +74,7 @@ def sentence_spans(data: np.ndarray, off: np.ndarray):
         between = stops[start[1:]] > stops[end[:-1]]
         heads[1:] = between | (h[:-1] % B.U64(SOFT_CUT) == 0)
         heads[first[:-1][first[:-1] < n]] = True
+        heads[1:] |= smallest_of_windows(h, heads)[:-1]
     head = np.flatnonzero(heads)
     tail = np.append(head[1:], n)[:len(head)]
     doc_first = np.searchsorted(head, first)

@@ -164,3 +164,41 @@ def test_every_repeated_run_is_covered(spark):
     for d, _, _ in rows:
         assert least.get(d, set()) <= got[d] <= most.get(d, set()), d
     assert sum(map(len, least.values())) > 1000
+
+
+def test_smallest_of_windows_matches_its_rule():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, S.GAP - 1, S.GAP, S.GAP + 1, 200):
+        h = rng.integers(0, 9 if n == 200 else 2**63, n, dtype=np.uint64)
+        heads = rng.random(n) < 0.05
+        expected = np.zeros(n, bool)
+        for i in range(n - S.GAP + 1):
+            if not heads[i + 1:i + S.GAP].any():
+                window = np.maximum(h[i:i + S.GAP], 1)
+                expected[i:i + S.GAP] |= window == window.min()
+        assert (S.smallest_of_windows(h, heads) == expected).all(), n
+
+
+def test_passages_of_50_words_without_a_stop_or_cut_word_go(spark):
+    rng = random.Random(11)
+    rows, inside = [], {}
+    for k in range(120):
+        n = 50 + k % 11
+        passage = plain_words(rng, n) if k % 2 else " ".join(
+            f"w{rng.randrange(10**6)}" for _ in range(n))
+        stop = ". " if k % 3 == 0 else " "
+        for copy in range(2):
+            before = plain_words(rng, rng.randrange(1, 20)) + stop
+            rows.append((2 * k + copy, before + passage + stop + plain_words(rng, 15), 7))
+        inside[2 * k + 1] = range(len(before), len(before) + len(passage))
+    got = covered_bytes(spark.createDataFrame(rows, SCHEMA))
+    for d, at in inside.items():
+        text = rows[d][1]
+        assert not got[d - 1] and got[d] <= set(at)
+        # all but what stands before the first and after the last end that the passage makes sure
+        assert len(text[at.start:min(got[d])].split()) <= S.GAP
+        assert len(text[max(got[d]) + 1:at.stop].split()) < S.GAP
+    one_word = next(w for w in ("aa", "bb", "cc") if int(B.words(np.frombuffer(
+        w.encode(), np.uint8), np.array([0, 2]), B.ALNUM_WORDS)[2][0]) % S.SOFT_CUT)
+    got = covered_bytes(spark.createDataFrame([(1, f"{one_word} " * 500, 7)], SCHEMA))
+    assert len(got[1]) > 1400
