@@ -471,6 +471,22 @@ def q_ingest_rerun_corrected(spark, sf_dir):
     return storage.read_insights(spark, root).select(*INSIGHT_OUT)
 
 
+def q_ingest_rerun_loses_keys(spark, sf_dir):
+    """T2 + D1: a batch is run again a day later without its clicks, another with no row left;
+    a third batch brings all events, and what the re-runs lost is accepted from it."""
+    raw = tables.with_driver_event_fields(tables.ad_events_raw(spark, sf_dir), REPLAY_KEY)
+    kind = F.coalesce("event_type", F.lit(""))
+    root = ingest.scratch_root(spark, "rerun-loses")
+    day = dt.timedelta(days=1)
+    for name, batch, later in (("b1", raw.filter(kind != "purchase"), 0 * day),
+                               ("b2", raw.filter(kind == "purchase"), 0 * day),
+                               ("b1", raw.filter(~kind.isin("purchase", "click")), day),
+                               ("b2", raw.limit(0), day), ("b3", raw, 2 * day)):
+        ingest_job.ingest_batch(spark, batch, root, name, now=F.col("received_at"),
+                                processed_at=F.col("processed_at"), arrived=ARRIVED + later)
+    return storage.read_insights(spark, root).select(*INSIGHT_OUT)
+
+
 def _stored(spark, sf_dir, name) -> tuple[str, DataFrame]:
     """A store with all accepted events and their insights."""
     facts = accepted_events(spark, sf_dir)
@@ -738,6 +754,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_two_batches": q_ingest_two_batches,
     "ingest_late": q_ingest_late,
     "ingest_rerun_corrected": q_ingest_rerun_corrected,
+    "ingest_rerun_loses_keys": q_ingest_rerun_loses_keys,
     "reaggregate_corrected_region": q_reaggregate_corrected_region,
     "reaggregate_requested": q_reaggregate_requested,
     "insights_request_stored": q_insights_request_stored,

@@ -381,6 +381,9 @@ SQL["ingest_rerun_corrected"] = _with(
     _valid(KEY_REPLAY), _latest(), _rollup("latest", DAY, "daily")) + \
     f"SELECT {INSIGHT_COLS} FROM daily"
 
+# The re-runs lose keys that the last batch brings again.
+SQL["ingest_rerun_loses_keys"] = SQL["stream_ingest"]
+
 SQL["reaggregate_corrected_region"] = _with(RAW, _valid(), _latest(), f"""fixed AS (
   SELECT * REPLACE (CASE WHEN event_type = 'purchase'
                           AND {DAY} BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'

@@ -47,10 +47,9 @@ def store_batch(spark: SparkSession, good: DataFrame, rejects: DataFrame, root:
             good, ntz(arrived), storage.read_dedup_state(spark, root, arrived, batch_id))
     days = storage.write_facts(kept, root, batch_id, in_stream)
     storage.write_rejects(rejects, root, batch_id, in_stream)
-    if ttl_dedup and mode == "first":
-        stored = storage.read_batch(spark, root, batch_id)
-        if stored is not None:
-            storage.write_dedup_state(stored, root, batch_id, arrived, in_stream=in_stream)
+    # a run that accepts nothing, or keeps no state, leaves none of an earlier run's either
+    stored = storage.read_batch(spark, root, batch_id) if ttl_dedup and mode == "first" else None
+    storage.write_dedup_state(spark, stored, root, batch_id, arrived, in_stream=in_stream)
     refresh_days(spark, root, days, stamp, in_stream)
 
 

@@ -9,8 +9,8 @@ Layout under a root folder (a shared file system or object store on a cluster):
 - ``insights/day=YYYY-MM-DD/``  - daily insights; a refresh replaces whole days, recomputed from
   the stored facts alone, so a crash between two steps is mended by running the job again.
 - ``rejects/ingest_batch=<id>/`` - rejected events with their reason.
-- ``dedup_state/state_day=YYYY-MM-DD/ingest_batch=<id>/`` - keys a batch accepted and its arrival
-  stamp; only the days of one TTL window are ever read back.
+- ``dedup_state/ingest_batch=<id>/state_day=YYYY-MM-DD/`` - keys a batch accepted and its arrival
+  stamp, replaced with the batch's facts; only the days of one TTL window are ever read back.
 
 Writes use a ``rebalance`` hint on the partition column, so AQE sizes the output tasks (and
 splits a day that holds most of the data) instead of one task per day or one file per task and
@@ -23,11 +23,12 @@ from __future__ import annotations
 
 import datetime as dt
 import os
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from adperf import schemas as S
 from adperf.functions.dates import ntz
@@ -101,8 +102,12 @@ def write_insights(insights: DataFrame, root: str, in_stream: bool = False,
         spark = insights.sparkSession
         gone = set(days) - set(days_of(insights, "date"))
         for day in gone:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/day={day.isoformat()}")
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            _delete(spark, f"{path}/day={day.isoformat()}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
@@ -155,27 +160,36 @@ def read_insights(spark: SparkSession, root: str, start: dt.date | None = None,
     return df.drop("day")
 
 
-def write_dedup_state(accepted: DataFrame, root: str, batch_id: str | int, arrived: dt.datetime,
-                      key: str = "deduplication_key", in_stream: bool = False) -> None:
-    """Keys that a batch accepted, stamped with its arrival; a re-run replaces its own."""
+def write_dedup_state(spark: SparkSession, accepted: DataFrame | None, root: str,
+                      batch_id: str | int, arrived: dt.datetime, key: str = "deduplication_key",
+                      in_stream: bool = False) -> None:
+    """Keys that a batch accepted, stamped with its arrival. All that earlier runs of the batch
+    accepted is replaced, whatever day they arrived, even by nothing (``accepted`` is None)."""
+    path = _batch_path(root, DEDUP_STATE, batch_id)
+    if accepted is None:
+        _delete(spark, path)
+        return
     out = (accepted.filter(F.col(key).isNotNull()).select(key).distinct()
            .withColumn("accepted_at", ntz(arrived))
-           .withColumn("state_day", F.to_date("accepted_at"))
-           .withColumn("ingest_batch", F.lit(str(batch_id))))
-    _overwrite(out, os.path.join(root, DEDUP_STATE), ["state_day", "ingest_batch"], [key],
-               in_stream)
+           .withColumn("state_day", F.to_date("accepted_at")))
+    _overwrite(out, path, ["state_day"], [key], in_stream, whole=True)
 
 
 def read_dedup_state(spark: SparkSession, root: str, arrived: dt.datetime,
                      batch_id: str | int) -> DataFrame | None:
     """``(key, accepted_at)`` entries of one TTL window before ``arrived``, but for the batch's
     own (a replay must not see its first attempt). None when there is no state yet."""
-    df = _read(spark, os.path.join(root, DEDUP_STATE))
+    path = os.path.join(root, DEDUP_STATE)
+    df = _read(spark, path)
     if df is None:
         return None
+    # ids as they are in the folder names: inference would take 007 for 7
+    df = spark.read.schema(T.StructType([
+        T.StructField(f.name, T.StringType()) if f.name == "ingest_batch" else f
+        for f in df.schema])).parquet(path)
+    own = unquote(quote(str(batch_id), safe=""), "latin-1")  # Spark unescapes byte by byte
     since = (arrived - dt.timedelta(days=S.DEDUP_TTL_DAYS)).date()
-    return (df.filter((F.col("state_day") >= F.lit(since))
-                      & (F.col("ingest_batch").cast("string") != F.lit(str(batch_id))))
+    return (df.filter((F.col("state_day") >= F.lit(since)) & (F.col("ingest_batch") != F.lit(own)))
             .drop("state_day", "ingest_batch"))
 
 

@@ -107,6 +107,25 @@ def test_rerun_replaces_other_days_and_an_empty_rerun_empties(spark, tmp_root):
     assert storage.read_insights(spark, tmp_root).count() == 0
 
 
+def test_rerun_on_a_later_day_replaces_its_dedup_state(spark, tmp_root):
+    def run(name, keys, day, **kw):
+        rows = [(i, 1, "meta", "view", 10, 0, 0, None, None, T0, "EU", None, k, T0, T0)
+                for i, k in enumerate(keys)]
+        return ingest_batch(spark, spark.createDataFrame(rows, SCHEMA), tmp_root, name,
+                            now=ntz(T0), fact_schema=SCHEMA, arrived=T0 + day * DAY,
+                            **kw)["accepted"]
+
+    for name in ("007", "1e3", "b é/1"):  # ids that partition columns could misread
+        keys = [f"{name}-{k}" for k in "abc"]
+        assert run(name, keys, 0) == 3
+        assert run(name, keys, 1) == 3        # sees nothing of its first run
+        assert run(name, keys[:1], 1) == 1
+        assert run(f"{name}+", keys, 2) == 2  # what the re-run lost is accepted, the rest not
+        assert run(f"{name}+", [], 3) == 0
+        assert run(name, keys[:1], 3, mode="last") == 1  # keeps no state
+        assert run(f"{name}++", keys, 4) == 3
+
+
 def test_insights_range_prunes_day_partitions(spark, tmp_root):
     rows = [(i, 1, "meta", "view", 10, 0, 0, None, None, T0 + i * DAY, "EU", None, f"k{i}", T0, T0)
             for i in range(5)]
