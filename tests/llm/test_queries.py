@@ -24,6 +24,8 @@ CONTRACT = {
     "op9_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double",
                      "predicted": "int"},
     "op10_substring_dedup": {"doc_id": "bigint", "n_sentences": "bigint", "n_removed": "bigint"},
+    "op13_token_counts": {"doc_id": "bigint", "n_bytes": "bigint", "n_tokens": "bigint",
+                          "over_limit": "boolean"},
 }
 
 
