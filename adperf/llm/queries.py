@@ -14,6 +14,7 @@ from . import (
     exact_dedup,
     language,
     line_dedup,
+    merkle,
     near_dedup,
     packing,
     sharding,
@@ -76,6 +77,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle proof of every document, a third of which has its capitals lowered meanwhile."""
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered_third())
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text by the 50k byte-level BPE, against a context of 1,024."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"),
@@ -93,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_token_counts": op13_token_counts,
     "pipeline": pipeline,
 }
@@ -184,4 +191,66 @@ SQL: dict[str, str] = {
                coalesce(n_deleted, 0) AS n_deleted
         FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN per USING (doc_id)
     """,
+    # list_reduce gives the CRC-32 of the decimal id, bit by bit
+    "op12_merkle_manifest": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, lang, text,
+                   coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-')
+                   || coalesce(strlen(source) || ':' || source, '-')
+                   || coalesce(strlen(lang) || ':' || lang, '-')
+                   || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+                   4294967295 - list_reduce(list_prepend(4294967295,
+                       list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                       lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                           lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))) AS crc
+            FROM documents),
+        leaf AS (
+            SELECT *, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf FROM d),
+        placed AS (
+            SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+                   row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+                   count(*) OVER (PARTITION BY lang) AS n
+            FROM leaf),
+        up(tree, level, idx, n, hash) AS (
+            SELECT tree, 0, idx, n, leaf FROM placed
+            UNION ALL
+            SELECT tree, level + 1, idx // 8, (any_value(n) + 7) // 8,
+                   sha256(string_agg(hash, '' ORDER BY idx))
+            FROM up WHERE n > 1 GROUP BY tree, level, idx // 8),
+        top(level, idx, n, hash) AS (
+            SELECT 0, tree, count(*) OVER (), hash FROM up WHERE n = 1
+            UNION ALL
+            SELECT level + 1, idx // 8, (any_value(n) + 7) // 8,
+                   sha256(string_agg(hash, '' ORDER BY idx))
+            FROM top WHERE n > 1 GROUP BY level, idx // 8),
+        climb(tree, leaf_at, stage, level, idx, n, proof, folded) AS (
+            SELECT tree, idx, 0, 0, idx, n, '',
+                   CASE WHEN crc % 3 = 0 THEN sha256(head || coalesce(strlen(text) || ':' ||
+                        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-'))
+                        ELSE leaf END
+            FROM placed
+            UNION ALL
+            SELECT c.tree, c.leaf_at, c.stage, c.level + 1, c.idx // 8, (c.n + 7) // 8,
+                   c.proof || coalesce(string_agg(u.hash, '' ORDER BY u.idx) FILTER (u.idx <> c.idx), ''),
+                   sha256(string_agg(CASE WHEN u.idx = c.idx THEN c.folded ELSE u.hash END, ''
+                                     ORDER BY u.idx))
+            FROM climb c JOIN up u ON u.tree = c.tree AND u.level = c.level AND u.idx // 8 = c.idx // 8
+            WHERE c.n > 1 AND c.stage = 0
+            GROUP BY c.tree, c.leaf_at, c.stage, c.level, c.idx, c.n, c.proof, c.folded),
+        crown(tree, leaf_at, level, idx, n, proof, folded) AS (
+            SELECT c.tree, c.leaf_at, 0, c.tree, (SELECT count(*) FROM up WHERE n = 1), c.proof, c.folded
+            FROM climb c WHERE c.n = 1
+            UNION ALL
+            SELECT c.tree, c.leaf_at, c.level + 1, c.idx // 8, (c.n + 7) // 8,
+                   c.proof || coalesce(string_agg(u.hash, '' ORDER BY u.idx) FILTER (u.idx <> c.idx), ''),
+                   sha256(string_agg(CASE WHEN u.idx = c.idx THEN c.folded ELSE u.hash END, ''
+                                     ORDER BY u.idx))
+            FROM crown c JOIN top u ON u.level = c.level AND u.idx // 8 = c.idx // 8
+            WHERE c.n > 1
+            GROUP BY c.tree, c.leaf_at, c.level, c.idx, c.n, c.proof, c.folded)
+        SELECT p.doc_id, p.leaf, s.hash AS subroot, r.hash AS root, sha256(c.proof) AS proof_sha256,
+               c.folded AS folded_root, c.folded = r.hash AS verified
+        FROM placed p JOIN crown c ON c.tree = p.tree AND c.leaf_at = p.idx AND c.n = 1
+        JOIN up s ON s.tree = p.tree AND s.n = 1 JOIN top r ON r.n = 1
+    """,
 }

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scope() -> Iterator[list[DataFrame]]:
+    """Tables that :func:`cut` writes inside are deleted at the end, also after a failure; the
+    block takes those that must stay out of the list it is given."""
+    made: list[DataFrame] = []
+    token = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(token)
+        if made:
+            discard(*made)
+
+
 def cut(df: DataFrame, name: str, heavy: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it back.
 
@@ -26,6 +46,8 @@ def cut(df: DataFrame, name: str, heavy: bool = False) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    if (made := _made.get()) is not None:
+        made.append(out)
     if heavy:
         tidy(spark)
     return out

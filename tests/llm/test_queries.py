@@ -24,6 +24,9 @@ CONTRACT = {
     "op9_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double",
                      "predicted": "int"},
     "op10_substring_dedup": {"doc_id": "bigint", "n_sentences": "bigint", "n_removed": "bigint"},
+    "op12_merkle_manifest": {"doc_id": "bigint", "leaf": "string", "subroot": "string",
+                             "root": "string", "proof_sha256": "string",
+                             "folded_root": "string", "verified": "boolean"},
     "op13_token_counts": {"doc_id": "bigint", "n_bytes": "bigint", "n_tokens": "bigint",
                           "over_limit": "boolean"},
 }
