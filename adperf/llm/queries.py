@@ -17,6 +17,7 @@ from . import (
     merkle,
     near_dedup,
     packing,
+    repair,
     sharding,
     substring_dedup,
     suffix_dedup,
@@ -77,6 +78,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage, faults and the cheapest repair of every conversation."""
+    return repair.report(table(spark, sf_dir, "conversations"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle proof of every document, a third of which has its capitals lowered meanwhile."""
     return merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered_third())
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_token_counts": op13_token_counts,
     "pipeline": pipeline,

@@ -1,4 +1,4 @@
-"""The registered queries on the smallest tables: contract columns, one row per document, SQL."""
+"""The registered queries on the smallest tables: contract columns, one row per key, SQL."""
 
 import duckdb
 import pytest
@@ -24,6 +24,10 @@ CONTRACT = {
     "op9_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double",
                      "predicted": "int"},
     "op10_substring_dedup": {"doc_id": "bigint", "n_sentences": "bigint", "n_removed": "bigint"},
+    "op11_conversation_repair": {
+        "conv_id": "bigint", "gaps": "bigint", "blank": "bigint", "duplicate": "bigint",
+        "truncated": "bigint", "illegal": "bigint", "cost": "bigint", "audit": "string",
+        "repaired_sha256": "string"},
     "op12_merkle_manifest": {"doc_id": "bigint", "leaf": "string", "subroot": "string",
                              "root": "string", "proof_sha256": "string",
                              "folded_root": "string", "verified": "boolean"},
@@ -33,21 +37,21 @@ CONTRACT = {
 
 
 @pytest.mark.parametrize("name", CONTRACT)
-def test_contract_columns_and_one_row_per_document(spark, name):
+def test_contract_columns_and_one_row_per_key(spark, name):
     df = QUERIES[name](spark, SF)
     types = dict(df.dtypes)
     assert {c: types.get(c) for c in CONTRACT[name]} == CONTRACT[name]
-    ids = [r.doc_id for r in df.select("doc_id").collect()]
-    docs = [r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet")
-            .select("doc_id").collect()]
-    assert sorted(ids) == sorted(docs)
+    table, key = ("documents", "doc_id") if "doc_id" in types else ("conversations", "conv_id")
+    ids = [r[0] for r in df.select(key).collect()]
+    rows = spark.read.parquet(f"{SF}/{table}.parquet").select(key)
+    assert sorted(ids) == sorted(r[0] for r in (rows if key == "doc_id" else rows.distinct()).collect())
 
 
 @pytest.mark.parametrize("name", SQL)
 def test_sql_gives_the_same_rows(spark, name):
     df = QUERIES[name](spark, SF)
     con = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "conversations"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     found = con.sql(SQL[name])
     assert sorted(found.columns) == sorted(df.columns)
