@@ -260,4 +260,85 @@ SQL: dict[str, str] = {
         FROM placed p JOIN crown c ON c.tree = p.tree AND c.leaf_at = p.idx AND c.n = 1
         JOIN up s ON s.tree = p.tree AND s.n = 1 JOIN top r ON r.n = 1
     """,
+    # a table over (row, state) gives the least (cost, audit); two inserts reach every state
+    "op11_conversation_repair": r"""
+        WITH RECURSIVE k AS (
+            SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')
+                      AS key FROM conversations),
+        c AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   (4294967295 - list_reduce(list_prepend(4294967295,
+                       list_transform(string_split(key, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                       lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                           lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))) % 20 AS kind
+            FROM k),
+        rows AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g')
+                        ELSE text END AS text
+            FROM c, LATERAL (SELECT unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)))),
+        placed AS (
+            SELECT *, row_number() OVER w AS i, left(role, 1) AS initial,
+                   left(role, 1) IN ('s', 'u', 'a')
+                   AND lag(left(role, 1)) OVER w || left(role, 1) IN ('su', 'ua', 'au') AS fits,
+                   regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS seen
+            FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+        marked AS (
+            SELECT *, CASE WHEN seen = '' THEN 'b'
+                           WHEN i > min(i) OVER (PARTITION BY conv_id, role, text) THEN 'd'
+                           WHEN seen NOT IN ('.', '!', '?') THEN 't' ELSE 'n' END AS fault
+            FROM placed),
+        steps(q, r, p) AS (VALUES ('B', 's', 'S'), ('B', 'u', 'U'), ('S', 'u', 'U'), ('U', 'a', 'A'),
+                                  ('A', 'u', 'U')),
+        inserts AS (
+            SELECT q, '' AS letters, 0 AS cost, q AS p, CAST([] AS VARCHAR[]) AS turns
+            FROM (VALUES ('B'), ('S'), ('U'), ('A')) AS t(q)
+            UNION ALL
+            SELECT q, 'I', 2, p, [CASE r WHEN 'u' THEN 'user:' ELSE 'assistant:' END]
+            FROM steps WHERE r <> 's'
+            UNION ALL
+            SELECT x.q, 'II', 4, y.p, [CASE x.r WHEN 'u' THEN 'user:' ELSE 'assistant:' END,
+                                       CASE y.r WHEN 'u' THEN 'user:' ELSE 'assistant:' END]
+            FROM steps x JOIN steps y ON x.p = y.q WHERE x.r <> 's' AND y.r <> 's'),
+        edits AS (
+            SELECT conv_id, i, 'D' AS letter, 3 AS cost, NULL AS r, CAST([] AS VARCHAR[]) AS turns
+            FROM marked
+            UNION ALL
+            SELECT conv_id, i, 'K', CAST(fault = 't' AS INT), initial, [role || ':' || text]
+            FROM marked WHERE fault IN ('n', 't') AND initial IN ('s', 'u', 'a')
+            UNION ALL
+            SELECT conv_id, i, 'R', 2 + CAST(fault = 't' AS INT), left(new, 1), [new || ':' || text]
+            FROM marked, (VALUES ('user'), ('assistant')) AS t(new) WHERE fault IN ('n', 't')),
+        best(conv_id, i, q, w) AS (
+            SELECT DISTINCT conv_id, CAST(1 AS BIGINT), 'B',
+                   {'cost': 0, 'audit': '', 'turns': CAST([] AS VARCHAR[])} FROM conversations
+            UNION ALL
+            SELECT b.conv_id, b.i + 1, coalesce(s.p, n.p),
+                   min({'cost': b.w.cost + n.cost + e.cost, 'audit': b.w.audit || n.letters || e.letter,
+                        'turns': b.w.turns || n.turns || e.turns})
+            FROM best b JOIN inserts n ON n.q = b.q
+            JOIN edits e ON e.conv_id IS NOT DISTINCT FROM b.conv_id AND e.i = b.i
+            LEFT JOIN steps s ON s.q = n.p AND s.r = e.r
+            WHERE e.letter = 'D' OR s.p IS NOT NULL
+            GROUP BY b.conv_id, b.i, coalesce(s.p, n.p)),
+        measures AS (
+            SELECT conv_id, count(*) AS rows,
+                   coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count_if(fault = 'b') AS blank, count_if(fault = 'd') AS duplicate,
+                   count_if(fault = 't') AS truncated, count_if(i > 1 AND NOT fits) AS illegal
+            FROM marked GROUP BY conv_id),
+        ends AS (
+            SELECT b.conv_id, min({'cost': b.w.cost + n.cost, 'audit': b.w.audit || n.letters,
+                                   'turns': b.w.turns || n.turns}) AS w
+            FROM best b JOIN inserts n ON n.q = b.q
+            LEFT JOIN measures m ON m.conv_id IS NOT DISTINCT FROM b.conv_id
+            WHERE b.i = coalesce(m.rows, 0) + 1 AND n.p IN ('B', 'A') GROUP BY b.conv_id)
+        SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps,
+               CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+               CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+               CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+               CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(e.w.cost AS BIGINT) AS cost,
+               e.w.audit AS audit, sha256(array_to_string(e.w.turns, chr(10))) AS repaired_sha256
+        FROM ends e LEFT JOIN measures m ON m.conv_id IS NOT DISTINCT FROM e.conv_id
+    """,
 }
