@@ -589,13 +589,7 @@ def q_validate_reasons(spark, sf_dir):
 
 def q_spend_rejects_mixed(spark, sf_dir):
     """U4 + J3 with zero, negative, missing amounts and unknown campaigns in the feed."""
-    li = tables.table(spark, sf_dir, "lineitem")
-    line = F.col("l_linenumber")
-    inc = li.select(
-        F.when(line == 6, F.col("l_orderkey") + FAR).when(line == 7, None)
-        .otherwise(F.col("l_orderkey")).alias("campaign_id"),
-        F.when(line == 3, None).when(line == 4, 0)
-        .otherwise(F.col("l_extendedprice").cast(S.BUDGET) - 20000).cast(S.BUDGET).alias("spend"))
+    inc = _mixed_spend(spark, sf_dir).drop("updated_at", "seq")
     return budget.increment_rejects(inc, tables.ad_campaigns(spark, sf_dir)).select(
         "campaign_id", F.col("spend").cast("double").alias("spend"), "reason")
 
@@ -714,6 +708,63 @@ def q_fetch_publish(spark, sf_dir):
                             for c in EVENT_OUT if c != "id"])
 
 
+def _mixed_spend(spark, sf_dir) -> DataFrame:
+    """Spend updates with their time and number: zero, negative and missing amounts, unknown
+    and missing campaigns among them."""
+    line = F.col("l_linenumber")
+    return tables.table(spark, sf_dir, "lineitem").select(
+        F.when(line == 6, F.col("l_orderkey") + FAR).when(line != 7, F.col("l_orderkey"))
+        .alias("campaign_id"),
+        F.when(line == 4, 0).when(line != 3, F.col("l_extendedprice").cast(S.BUDGET) - 20000)
+        .cast(S.BUDGET).alias("spend"),
+        F.col("l_shipdate").alias("updated_at"), line.alias("seq"))
+
+
+def q_spend_running(spark, sf_dir):
+    """A10 + J2 per update: the total after every accepted update, in the order of time and
+    number, and the update at which a campaign becomes overspent."""
+    updates = budget.running_spend(
+        _mixed_spend(spark, sf_dir),
+        tables.ad_campaigns(spark, sf_dir).selectExpr(
+            "id", "budget * 0.25BD AS budget", "budget * 0.01BD AS spend"), ["updated_at", "seq"])
+    return updates.select("campaign_id", "updated_at", "seq", *[
+        F.col(c).cast("double").alias(c) for c in ("spend", "new_spend", "remaining")],
+        "status", "became_overspent")
+
+
+def _judged_changes(spark, sf_dir) -> DataFrame:
+    """The change feed with its sender: every second change comes from another user, every
+    sixth line names an unknown campaign."""
+    owner = tables.ad_campaigns(spark, sf_dir).select("id", "user_id")
+    changes = campaign_changes(spark, sf_dir).join(owner, "id")
+    return changes.withColumns({
+        "user_id": F.when(F.col("seq") % 2 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")),
+        "id": F.when(F.col("seq") == 6, F.col("id") + FAR).otherwise(F.col("id"))})
+
+
+def q_campaign_update_owned(spark, sf_dir):
+    """U2 + J1: the campaign table after the changes of its owners alone."""
+    target = tables.ad_campaigns(spark, sf_dir).withColumn("updated_at", F.col("created_at"))
+    updated, _ = campaigns.apply_owned_updates(target, _judged_changes(spark, sf_dir), tie="seq")
+    return _campaign_out(updated, ("updated_at",))
+
+
+def q_campaign_update_refused(spark, sf_dir):
+    """U2 + J1 + J3: the changes that are refused, and why."""
+    target = tables.ad_campaigns(spark, sf_dir).withColumn("updated_at", F.col("created_at"))
+    _, refused = campaigns.apply_owned_updates(target, _judged_changes(spark, sf_dir), tie="seq")
+    return refused.select("id", "user_id", "updated_at", "seq", "access")
+
+
+def q_fetch_plan_owned(spark, sf_dir):
+    """T5 + J1: fetch requests for own, foreign and unknown campaigns."""
+    camps = tables.ad_campaigns(spark, sf_dir)
+    own = camps.select(F.col("id").alias("campaign_id"), "user_id")
+    asked = (own.unionByName(own.withColumn("user_id", F.col("user_id") + 1))
+             .unionByName(own.withColumn("campaign_id", F.col("campaign_id") + FAR)))
+    return fetch.owned_fetch_plan(asked, camps, FETCH_AS_OF)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "validate_accept": q_validate_accept,
     "validate_rejects": q_validate_rejects,
@@ -771,4 +822,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "audit_currency": q_audit_currency,
     "event_json_any_case": q_event_json_any_case,
     "fetch_publish": q_fetch_publish,
+    "spend_running": q_spend_running,
+    "campaign_update_owned": q_campaign_update_owned,
+    "campaign_update_refused": q_campaign_update_refused,
+    "fetch_plan_owned": q_fetch_plan_owned,
 }

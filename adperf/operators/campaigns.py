@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from adperf.functions.keys import deterministic_uuid, is_missing_id
 from adperf.operators.dedup import last_wins
+from adperf.operators.insights import authorized_requests
 
 # Columns an update replaces; ``user_id`` and ``created_at`` are kept from the target.
 UPDATED_COLUMNS = ("name", "platform", "budget", "start_date", "end_date", "status",
@@ -123,6 +124,22 @@ def apply_updates(target: DataFrame, changes: DataFrame, key: str = "id",
     return joined.select(*cols), orphans
 
 
+def apply_owned_updates(target: DataFrame, changes: DataFrame, key: str = "id",
+                        changed_at: str = "updated_at", tie: str | None = None
+                        ) -> tuple[DataFrame, DataFrame]:
+    """U2 + J1: apply the changes whose ``user_id`` owns the campaign.
+
+    Every change is judged before the latest one per id is taken, so a stranger's later change
+    never hides the owner's. Returns ``(new_table, refused)``; ``refused`` holds the other
+    changes with ``access``: ``forbidden`` or ``not_found``.
+    """
+    judged = authorized_requests(changes.withColumnRenamed(key, "campaign_id"), target.select(
+        F.col(key).alias("id"), "user_id")).withColumnRenamed("campaign_id", key)
+    own = judged.filter(F.col("access") == "ok").drop("access", "user_id")
+    updated, _ = apply_updates(target, own, key, changed_at, tie)
+    return updated, judged.filter(F.col("access") != "ok")
+
+
 def orphans(rows: DataFrame, campaigns: DataFrame, key: str = "campaign_id",
             campaign_key: str = "id") -> DataFrame:
     """Rows that reference a campaign that does not exist."""

@@ -495,3 +495,53 @@ HAVING COUNT(DISTINCT event_type = 'purchase') = 2"""
 
 SQL["event_json_any_case"] = SQL["event_json_roundtrip"]
 SQL["fetch_publish"] = SQL["payload_flatten"]
+
+SQL["spend_running"] = _with(CAMP, """inc AS (
+  SELECT CASE WHEN l_linenumber = 6 THEN l_orderkey + 1000000000
+              WHEN l_linenumber <> 7 THEN l_orderkey END AS campaign_id,
+         CAST(CASE WHEN l_linenumber = 4 THEN 0 WHEN l_linenumber <> 3
+              THEN CAST(l_extendedprice AS DECIMAL(12,2)) - 20000 END AS DECIMAL(12,2)) AS spend,
+         l_shipdate AS updated_at, l_linenumber AS seq
+  FROM lineitem
+)""", """budgets AS (
+  SELECT id, CAST(budget * CAST(0.25 AS DECIMAL(3,2)) AS DECIMAL(18,2)) AS budget,
+         CAST(budget * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,2)) AS stored FROM camp
+)""", """running AS (
+  SELECT i.*, b.budget, b.stored + sum(spend) OVER (
+      PARTITION BY campaign_id ORDER BY updated_at, seq, spend
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total
+  FROM inc i JOIN budgets b ON i.campaign_id = b.id WHERE spend > 0
+)""") + """
+SELECT campaign_id, updated_at, seq, CAST(spend AS DOUBLE) AS spend,
+  CAST(total AS DOUBLE) AS new_spend, CAST(budget - total AS DOUBLE) AS remaining,
+  CASE WHEN budget - total <= 0 THEN 'Overspent' ELSE 'Active' END AS status,
+  budget - total <= 0 AND budget - total + spend > 0 AS became_overspent
+FROM running"""
+
+JUDGED = f"""judged AS (
+  SELECT CASE WHEN l_linenumber = 6 THEN l_orderkey + 1000000000 ELSE l_orderkey END AS id,
+    CASE WHEN l_linenumber % 2 = 0 THEN o_custkey + 1 ELSE o_custkey END AS user_id,
+    l_shipdate AS updated_at, l_linenumber AS seq, {_platform('l_orderkey')} AS platform,
+    CAST(l_extendedprice AS DECIMAL(12,2)) AS budget, l_shipdate AS start_date,
+    l_shipdate + INTERVAL 90 DAY AS end_date, l_linestatus AS status,
+    CASE WHEN l_linenumber = 6 THEN 'not_found' WHEN l_linenumber % 2 = 0 THEN 'forbidden'
+         ELSE 'ok' END AS access
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+)"""
+SQL["campaign_update_owned"] = SQL["campaign_upsert"].replace(
+    SQL["campaign_upsert"][SQL["campaign_upsert"].index("changes AS ("):
+                           SQL["campaign_upsert"].index("latest AS (")],
+    JUDGED + ",\nchanges AS (SELECT * FROM judged WHERE access = 'ok'),\n")
+
+SQL["campaign_update_refused"] = _with(JUDGED) + """
+SELECT id, user_id, updated_at, seq, access FROM judged WHERE access <> 'ok'"""
+
+SQL["fetch_plan_owned"] = _with(CAMP, """cs AS (
+  SELECT id AS campaign_id, platform, start_date FROM camp
+)""", f"plan AS ({_plan('cs', '1997-01-01')})") + """
+SELECT p.campaign_id, c.user_id, 'ok' AS access, p.platform, p.day
+FROM plan p JOIN camp c ON p.campaign_id = c.id
+UNION ALL
+SELECT id, user_id + 1, 'forbidden', CAST(NULL AS VARCHAR), CAST(NULL AS DATE) FROM camp
+UNION ALL
+SELECT id + 1000000000, user_id, 'not_found', CAST(NULL AS VARCHAR), CAST(NULL AS DATE) FROM camp"""

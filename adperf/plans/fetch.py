@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adperf import schemas as S
+from adperf.operators.insights import authorized_requests
 
 
 def fetch_plan(campaigns: DataFrame, as_of: dt.date,
@@ -30,6 +31,21 @@ def fetch_plan(campaigns: DataFrame, as_of: dt.date,
                     .alias("day")))
 
 
+def owned_fetch_plan(requests: DataFrame, campaigns: DataFrame, as_of: dt.date,
+                     lookback_days: int = S.FETCH_LOOKBACK_DAYS) -> DataFrame:
+    """T5 + J1: the plan of every ``(user_id, campaign_id)`` request, with ``access``.
+
+    A request for a campaign of another user (``forbidden``) or for none (``not_found``) is
+    answered by one row without platform and day; one for a campaign that starts after
+    ``as_of`` has no row.
+    """
+    judged = authorized_requests(requests.select("user_id", "campaign_id").distinct(), campaigns)
+    plan = fetch_plan(campaigns, as_of, lookback_days)
+    allowed = judged.filter(F.col("access") == "ok").join(plan, "campaign_id")
+    refused = judged.filter(F.col("access") != "ok")
+    return allowed.unionByName(refused, allowMissingColumns=True)
+
+
 def missing_days(plan: DataFrame, stored: DataFrame, day_col: str = "date") -> DataFrame:
     """Planned ``(campaign_id, day)`` pairs with no stored row yet."""
     have = stored.select("campaign_id", F.col(day_col).alias("day")).distinct()
