@@ -1,22 +1,24 @@
 """Token counts by a public tokenizer: batch encoding in Arrow tasks that returns lengths only.
 
-Each task keeps one tokenizer. Its texts are cut into pieces of about ``PIECE`` bytes at safe
-boundaries, and the pieces are dealt into encoding batches of about ``BATCH`` bytes, however
-long or short the texts are, so working memory follows the batch and no text or token id leaves
-the task. The count of a text is the sum over its pieces.
+Each task keeps one tokenizer. The bytes of its texts are taken in windows of about ``WINDOW``
+bytes, however long or short the texts are, so working memory follows the window and no text or
+token id leaves the task. In a window the texts are cut into pieces at every safe boundary;
+equal pieces are encoded once, all in one call, and the count of a text is the sum over its
+pieces.
 
 A boundary is safe where the tokenizer itself always cuts, whatever stands around it:
 
-* byte-level BPE (``.json``): before white space that follows a visible ASCII character, and
-  between CJK punctuation and a CJK letter. Its splitting pattern takes a run of letters,
-  digits or signs up to there in every case and looks behind nowhere;
+* byte-level BPE (``.json``): before ASCII white space that follows a visible ASCII character or
+  a letter or sign of U+00C0 to U+07FF, and between CJK punctuation and a kana or ideograph. Its
+  splitting pattern takes a run of letters, digits or signs up to there in every case and looks
+  behind nowhere;
 * SentencePiece (``.model``): at a single space between visible ASCII characters, which is
   left out, as the model puts one before every text; only where no piece of the vocabulary
   holds a space after another character.
 
-A tokenizer of another make is given whole texts. A text without a safe boundary (one endless
-word) is one piece, and so is counted whole. The tokenizer file goes to the tasks as a
-broadcast of at most ``MAX_FILE`` bytes, so executors need no copy of it.
+A tokenizer of another make is given whole texts. An endless word without a safe boundary is
+one piece, and so is counted whole. The tokenizer file goes to the tasks as a broadcast of at
+most ``MAX_FILE`` bytes, so executors need no copy of it.
 
 Edge cases: a null text counts as empty, which has no token and no byte; strings of special
 tokens inside texts are taken as the library takes them by default; repeated rows and null ids
@@ -28,97 +30,146 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECE = 1 << 14
-BATCH = 1 << 18
+WINDOW = 1 << 21
 MAX_FILE = 1 << 26
 
-# visible ASCII before white space, or CJK punctuation before kana or an ideograph
-BYTE_LEVEL_CUT = re.compile(r"(?<=[!-~])(?=[ \t\r\n])|(?<=[、。！，：；？])(?=[ぁ-ゖァ-ヺ一-鿿])")
-ONE_SPACE = re.compile(r"(?<=[!-~]) (?=[!-~])")
 
+class Tokenizer(NamedTuple):
+    """``encode`` gives the lengths of a batch of texts, ``cut`` the safe boundaries in some
+    bytes (None: unknown); ``drops``: the space at a boundary is left out."""
 
-def _byte_level_cut(config: dict) -> re.Pattern | None:
-    """The safe boundary of a ``.json`` tokenizer, or None where none is known."""
+    encode: Callable[[list[str]], list[int]]
+    cut: Callable[[np.ndarray], np.ndarray] | None
+    drops: bool = False
+
+
+# fixed values: UTF-8 of 、 。 ！ ， ： ； ？ and of the first and last kana and ideographs
+CJK_SIGNS = [0xE38081, 0xE38082, 0xEFBC81, 0xEFBC8C, 0xEFBC9A, 0xEFBC9B, 0xEFBC9F]
+CJK_LETTERS = [(0xE38181, 0xE38296), (0xE382A1, 0xE383BA), (0xE4B880, 0xE9BFBF)]
+
+
+def _visible(data: np.ndarray) -> np.ndarray:
+    return (data >= 0x21) & (data <= 0x7E)
+
+
+def byte_level_cut(data: np.ndarray) -> np.ndarray:
+    white = (data == 0x20) | (data == 0x0A) | (data == 0x0D) | (data == 0x09)
+    letter = _visible(data)
+    # the second byte of a two-byte character from U+00C0 on; white space among them is below
+    letter[1:] |= (data[1:] >= 0x80) & (data[1:] <= 0xBF) & (data[:-1] >= 0xC3) & (
+        data[:-1] <= 0xDF)
+    at = np.flatnonzero(white[1:] & letter[:-1]) + 1
+    lead = np.flatnonzero((data[:-5] == 0xE3) | (data[:-5] == 0xEF)) if len(data) > 5 else at[:0]
+    if len(lead):
+        def code(i: np.ndarray) -> np.ndarray:
+            return (data[i].astype(np.int64) << 16) | (data[i + 1].astype(np.int64) << 8) | data[
+                i + 2]
+
+        after = code(lead + 3)
+        letters = np.logical_or.reduce([(after >= lo) & (after <= hi) for lo, hi in CJK_LETTERS])
+        lead = lead[letters & np.isin(code(lead), CJK_SIGNS)]
+        at = np.union1d(at, lead + 3)
+    return at
+
+
+def one_space_cut(data: np.ndarray) -> np.ndarray:
+    seen = _visible(data)
+    return np.flatnonzero((data[1:-1] == 0x20) & seen[:-2] & seen[2:]) + 1
+
+
+def _is_byte_level(config: dict) -> bool:
+    """Whether the boundaries of :func:`byte_level_cut` are safe for a ``.json`` tokenizer."""
     pre = config.get("pre_tokenizer") or {}
     plain = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
              and not pre.get("add_prefix_space") and not config.get("normalizer"))
     added = config.get("added_tokens") or []
-    inside = any(t["lstrip"] or t["rstrip"] or t["single_word"]
-                 or BYTE_LEVEL_CUT.search(f"x{t['content']}x") for t in added)
+    inside = any(t["lstrip"] or t["rstrip"] or t["single_word"] or len(byte_level_cut(
+        np.frombuffer(f"x{t['content']}x".encode(), np.uint8))) for t in added)
     post = (config.get("post_processor") or {}).get("type")
-    return BYTE_LEVEL_CUT if plain and not inside and post in (None, "ByteLevel") else None
+    return plain and not inside and post in (None, "ByteLevel")
 
 
 @lru_cache(maxsize=2)
-def load(blob: bytes, kind: str) -> tuple[Callable[[list[str]], list[int]], re.Pattern | None]:
-    """(lengths of a batch of texts, safe boundary) of a tokenizer file's bytes."""
+def load(blob: bytes, kind: str) -> Tokenizer:
+    """The tokenizer of a file's bytes."""
     if kind == "json":
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
-        from tokenizers import Tokenizer
+        import tokenizers
 
-        own = Tokenizer.from_str(blob.decode())
+        own = tokenizers.Tokenizer.from_str(blob.decode())
         own.no_truncation()
         own.no_padding()
-        return (lambda texts: [len(e) for e in own.encode_batch_fast(
-            texts, add_special_tokens=False)]), _byte_level_cut(json.loads(blob))
+        return Tokenizer(
+            lambda texts: [len(e) for e in own.encode_batch_fast(texts, add_special_tokens=False)],
+            byte_level_cut if _is_byte_level(json.loads(blob)) else None)
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_proto=blob)
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     apart = (model.encode("x", out_type=str)[:1] == ["▁x"]
              and not any("▁" in p.lstrip("▁") for p in pieces))
-    return (lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]), \
-        ONE_SPACE if apart else None
-
-
-def pieces(text: str, cut: re.Pattern | None, size: int | None = None) -> Iterator[str]:
-    """``text`` in pieces that end at the first safe boundary after ``size`` characters."""
-    start, size = 0, size or PIECE
-    while cut is not None and len(text) - start > size:
-        found = cut.search(text, start + size)
-        if found is None:
-            break
-        yield text[start:found.start()]
-        start = found.end()
-    yield text[start:]
-
-
-def lengths(texts: Iterator[str | None], encode: Callable[[list[str]], list[int]],
-            cut: re.Pattern | None) -> list[int]:
-    """Tokens of each text, encoded in batches of about ``BATCH`` bytes."""
-    out: list[int] = []
-    batch: list[str] = []
-    owner: list[int] = []
-    held = 0
-
-    def settle() -> None:
-        for i, n in zip(owner, encode(batch)):
-            out[i] += n
-        batch.clear()
-        owner.clear()
-
-    for i, text in enumerate(texts):
-        out.append(0)
-        for piece in pieces(text or "", cut):
-            if piece:
-                batch.append(piece)
-                owner.append(i)
-                held += len(piece) if piece.isascii() else len(piece.encode())
-            if held >= BATCH:
-                settle()
-                held = 0
-    settle()
+    return Tokenizer(lambda texts: [len(x) for x in model.encode(texts, num_threads=1)],
+                     one_space_cut if apart else None, drops=apart)
+
+
+def lengths(texts: pa.Array, tokenizer: Tokenizer, window: int = WINDOW) -> np.ndarray:
+    """Tokens of each text of an Arrow array, window by window."""
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:][:len(texts) + 1]
+    out = np.zeros(len(texts), np.int64)
+    lo, end = (int(offsets[0]), int(offsets[-1])) if len(texts) else (0, 0)
+    data = np.frombuffer(texts.buffers()[2], np.uint8) if lo < end else None
+    size, after_cut = window, False
+    while lo < end:
+        hi = min(lo + size, end)
+        part = data[lo:hi]
+        first, last = np.searchsorted(offsets, [lo + 1, hi])
+        own = np.unique(offsets[first:last]) - lo  # where texts start
+        at = own[:0] if tokenizer.cut is None else tokenizer.cut(part)
+        if tokenizer.drops:  # never the first or last space of a text
+            at = at[~(np.isin(at, own) | np.isin(at + 1, own))]
+        bounds = np.union1d(at, own)
+        if hi < end and not len(bounds):
+            size *= 2  # an endless word
+            continue
+        starts = np.concatenate([[0], bounds])
+        ends = np.concatenate([bounds, [len(part)]])
+        if hi < end:  # the last piece goes on in the next window
+            starts, ends = starts[:-1], ends[:-1]
+        owner = np.searchsorted(offsets, starts + lo, side="right") - 1
+        if tokenizer.drops:
+            dropped = np.isin(starts, at)
+            dropped[0] = after_cut
+            starts = starts + dropped
+            after_cut = bool(len(at)) and at[-1] == ends[-1]
+        np.add.at(out, owner, _piece_lengths(part, starts, ends, tokenizer))
+        lo, size = lo + int(ends[-1]), window
     return out
 
 
+def _piece_lengths(part: np.ndarray, starts: np.ndarray, ends: np.ndarray,
+                   tokenizer: Tokenizer) -> np.ndarray:
+    """Tokens of the pieces ``starts[i]:ends[i]``; equal ones are encoded once, in one call."""
+    size = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    if tokenizer.drops:
+        part = part[np.repeat(starts - offsets[:-1], size) + np.arange(offsets[-1])]
+    raw = pa.Array.from_buffers(pa.large_binary(), len(size), [
+        None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(part))])
+    coded = raw.dictionary_encode()
+    texts = coded.dictionary.cast(pa.large_string()).to_pylist()
+    return np.array(tokenizer.encode(texts), np.int64)[coded.indices.to_numpy()]
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of every row.
@@ -135,12 +186,11 @@ def count_tokens(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(blob)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, cut = load(shared.value, kind)
+        tokenizer = load(shared.value, kind)
         for batch in batches:
-            texts = (x.as_py() for x in batch.column(2))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(lengths(texts, encode, cut), pa.int64())],
-                names=["doc_id", "n_bytes", "n_tokens"])
+            counts = pa.array(lengths(batch.column(2), tokenizer))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts],
+                                             names=["doc_id", "n_bytes", "n_tokens"])
 
     n_bytes = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), n_bytes.alias("n_bytes"),

@@ -1,4 +1,5 @@
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -31,7 +32,7 @@ TEXTS = [None, "", " ", "one", "<|endoftext|> a<|endoftext|>b <|endoftext|>", "i
 
 
 @pytest.mark.parametrize("path", [JSON, MODEL, WORDS])
-def test_counts_equal_the_library_on_whole_texts(spark, path, monkeypatch):
+def test_counts_equal_the_library_on_whole_texts(spark, path):
     rows = [(i, t, "clash") for i, t in enumerate(TEXTS)] + [(None, "null id", "x"), (0, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit)
@@ -50,30 +51,31 @@ def test_empty_table_and_ids_beyond_a_double(spark):
 
 
 @pytest.mark.parametrize("path", [JSON, MODEL])
-@settings(max_examples=300, deadline=None)
-@given(text=st.text(st.sampled_from("aZ09'sldre.!?<|endoftext|> \n\t\r、。日本カéß 　🙂-"), max_size=80),
-       size=st.integers(1, 9))
-def test_pieces_at_safe_boundaries_sum_to_the_whole(path, text, size):
-    encode, cut = _load(path)
-    assert cut is not None
-    parts = list(T.pieces(text, cut, size))
-    assert sum(encode(parts)) == encode([text])[0]
+@settings(max_examples=400, deadline=None)
+@given(texts=st.lists(st.none() | st.text(
+    st.sampled_from("aZ09'sldre.!?<|endoftext|> \n\t\r、。日本カéß\u0301\u00a0\u3000🙂-"),
+    max_size=60), max_size=6), window=st.integers(1, 40))
+def test_pieces_at_safe_boundaries_sum_to_the_whole(path, texts, window):
+    tokenizer = _load(path)
+    assert tokenizer.cut is not None
+    got = T.lengths(pa.array(texts, pa.string()), tokenizer, window).tolist()
+    assert got == tokenizer.encode([t or "" for t in texts])
 
 
-def test_batches_are_balanced_by_bytes(monkeypatch):
-    sizes = []
-    encode, cut = _load(JSON)
+def test_windows_bound_what_is_encoded_at_once():
+    held = []
+    tokenizer = _load(JSON)
 
     def noted(texts):
-        sizes.append(sum(len(t.encode()) for t in texts))
-        return encode(texts)
+        held.append(sum(len(t.encode()) for t in texts))
+        return tokenizer.encode(texts)
 
-    texts = ["word " * 40_000, *["short"] * 200, "wörter " * 20_000]
-    monkeypatch.setattr(T, "BATCH", 20_000)
-    monkeypatch.setattr(T, "PIECE", 1_000)
-    got = T.lengths(iter(texts), noted, cut)
-    assert got == encode(texts)
-    assert max(sizes) < 25_000 and min(sizes[:-1]) >= 20_000
+    texts = [" ".join(f"word{i}" for i in range(40_000)), *["short"] * 200, None, "wörter " * 9]
+    got = T.lengths(pa.array(texts).slice(1), tokenizer._replace(encode=noted), 20_000)
+    assert got.tolist() == tokenizer.encode([t or "" for t in texts[1:]])
+    got = T.lengths(pa.array(texts), tokenizer._replace(encode=noted), 20_000)
+    assert got.tolist() == tokenizer.encode([t or "" for t in texts])
+    assert max(held) <= 20_000 and len(held) > 15
 
 
 def test_other_file_kinds_are_refused(spark):
@@ -82,4 +84,4 @@ def test_other_file_kinds_are_refused(spark):
 
 
 def test_a_tokenizer_of_unknown_make_is_given_whole_texts():
-    assert _load(WORDS)[1] is None
+    assert _load(WORDS).cut is None
