@@ -14,8 +14,9 @@ At scale: texts are hashed where they are read and never shuffled. Places inside
 from one range shuffle of (group, id, digest) rows and counts per (partition, group), not from
 a window over a group. A node above ``BLOCK`` leaves is stored once for each block of them, so
 the join of a step meets no hot key: not even at the root, where all leaves arrive. A climber
-carries its digest only; the siblings of a step are in that step's row, and are put together
-per leaf once, at the end.
+takes its digest along only; the siblings of a step are in that step's row, and are put
+together per leaf once, at the end. Above a block all its leaves have the same siblings, which
+its first leaf appends for all.
 
 Edge cases: a null field hashes as ``-``; null ids come first in their group and a null group
 before all others; a row with a null id is never tampered with; rows that repeat an id are
@@ -36,29 +37,32 @@ from .tables import cut, scope
 
 FANOUT = 8
 BLOCK = FANOUT ** 4  # leaves that share one stored copy of the nodes above them
+CELL_ROWS = 20_000  # rows of a partition of the order, where there are few
 ROOT_TREE = -1
 NODE_ROWS = ("for_tree long, block long, tree long, level int, idx long, children binary, "
-             "up_tree long, up_level int, up_idx long, slot int")
+             "up_tree long, up_level int, up_idx long, slot int, wide boolean")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 CLIMB = """
 WITH RECURSIVE climb (tree, block, leaf_at, hop, up_tree, up_level, up_idx, slot, folded,
-                      siblings, doc_id, leaf) AS (
+                      wide, siblings, doc_id, leaf) AS (
     SELECT tree, block, idx, 0, up_tree, up_level, up_idx, slot, coalesce(changed, hash),
-           CAST(NULL AS BINARY), doc_id, hash
+           false, CAST(NULL AS BINARY), doc_id, hash
     FROM {leaves}
     UNION ALL
     SELECT c.tree, c.block, c.leaf_at, c.hop + 1, n.up_tree, n.up_level, n.up_idx, n.slot,
            unhex(sha2(lower(hex(concat(substring(n.children, 1, 32 * c.slot), c.folded,
                                        substring(n.children, 32 * c.slot + 33)))), 256)),
-           concat(substring(n.children, 1, 32 * c.slot),
-                  substring(n.children, 32 * c.slot + 33)),
+           n.wide,
+           CASE WHEN NOT n.wide OR c.leaf_at % {size} = 0
+                THEN concat(substring(n.children, 1, 32 * c.slot),
+                            substring(n.children, 32 * c.slot + 33)) END,
            CAST(NULL AS BIGINT), CAST(NULL AS BINARY)
     FROM climb c JOIN {nodes} n
       ON n.for_tree = c.tree AND n.block = c.block
      AND n.tree = c.up_tree AND n.level = c.up_level AND n.idx = c.up_idx
 )
-SELECT tree, leaf_at, hop, folded, siblings, doc_id, leaf FROM climb
+SELECT tree, block, leaf_at, hop, folded, wide, siblings, doc_id, leaf FROM climb
 """
 
 
@@ -89,7 +93,8 @@ def leaf_rows(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
 def placed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``rows`` with ``tree`` (number of the group), ``idx`` (place in the group by id, digest)
     and ``n`` (rows of the group); and the groups: grp, tree, n."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(most, -(-rows.count() // CELL_ROWS)))
     order = ["grp", "doc_id", "hash", "uid"]  # uid: equal rows may lie in several partitions
     laid = (rows.withColumn("uid", F.monotonically_increasing_id())
             .repartitionByRange(parts, *order).sortWithinPartitions(*order)
@@ -155,7 +160,8 @@ def _node_rows(spark: SparkSession, levels: list[DataFrame], tops: list[DataFram
     sizes = groups.select("tree", F.col("n").alias("rows"))
     out = spark.createDataFrame([], NODE_ROWS)  # nothing stands above a lone leaf
     for k, level in enumerate(levels, 1):
-        rows = _linked(level, trees).withColumn("for_tree", F.col("tree"))
+        rows = _linked(level, trees).withColumns({
+            "for_tree": F.col("tree"), "wide": F.lit(FANOUT ** (k - 1) >= BLOCK)})
         if FANOUT ** k <= BLOCK:
             rows = rows.withColumn("block", F.floor(F.col("idx") * FANOUT ** k / BLOCK))
         else:
@@ -168,6 +174,7 @@ def _node_rows(spark: SparkSession, levels: list[DataFrame], tops: list[DataFram
         under = sizes.select(F.col("tree").alias("for_tree"), "rows",
                              F.floor(F.col("tree") / FANOUT ** k).alias("idx"))
         rows = (_linked(level, trees).join(under, "idx")
+                .withColumn("wide", F.lit(True))
                 .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last))))
         out = out.unionByName(rows.select(*out.columns))
     return out
@@ -175,14 +182,18 @@ def _node_rows(spark: SparkSession, levels: list[DataFrame], tops: list[DataFram
 
 @contextmanager
 def _whole_recursion(spark: SparkSession):
-    """The recursive query returns a row for each leaf and level: no row limit meanwhile."""
-    name = "spark.sql.cteRecursionRowLimit"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "-1")
+    """The recursive query returns a row for each leaf and level, in as many partitions as its
+    first step has: meanwhile no row limit, and no partitions joined for being small."""
+    wanted = {"spark.sql.cteRecursionRowLimit": "-1",
+              "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in wanted}
     try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
@@ -217,16 +228,23 @@ def _proved(rows: DataFrame) -> DataFrame:
     starts = _linked(leaves.withColumn("level", F.lit(0)), trees).withColumn(
         "block", F.floor(F.col("idx") / BLOCK))
     nodes = cut(_node_rows(spark, levels, tops, groups, trees), "merkle-nodes")
-    climb = spark.sql(CLIMB, leaves=starts, nodes=nodes)
-    steps = F.sort_array(F.collect_list(F.struct("hop", "siblings")))
-    text = F.concat_ws("", F.transform("steps", lambda x: F.lower(F.hex(x["siblings"]))))
-    per_leaf = (climb.groupBy("tree", "leaf_at")
+    climb = spark.sql(CLIMB, leaves=starts, nodes=nodes, size=BLOCK)
+    # one shuffle by block serves the groups of a leaf and what the block's first leaf appended
+    steps = F.sort_array(F.collect_list(F.struct("hop", "wide", "siblings")))
+    per_leaf = (climb.repartition("tree", "block").groupBy("tree", "block", "leaf_at")
                 .agg(F.max("doc_id").alias("doc_id"), F.max("leaf").alias("leaf"),
-                     steps.alias("steps"), F.max_by("folded", "hop").alias("folded"))
+                     steps.alias("steps"), F.max_by("folded", "hop").alias("folded")))
+
+    def appended(wide: bool) -> Column:
+        own = F.filter("steps", lambda x: x["wide"] == F.lit(wide))
+        return F.concat_ws("", F.transform(own, lambda x: F.lower(F.hex(x["siblings"]))))
+
+    above = F.max(appended(True)).over(Window.partitionBy("tree", "block"))
+    per_leaf = (per_leaf.withColumn("text", F.concat(appended(False), above))
                 .join(subroots.withColumnRenamed("hash", "subroot"), "tree"))
     out = per_leaf.select(
         "doc_id", F.lower(F.hex("leaf")).alias("leaf"), F.lower(F.hex("subroot")).alias("subroot"),
-        root.alias("root"), F.sha2(text, 256).alias("proof_sha256"),
+        root.alias("root"), F.sha2("text", 256).alias("proof_sha256"),
         F.lower(F.hex("folded")).alias("folded_root"))
     with _whole_recursion(spark):
         return cut(out.withColumn("verified", F.col("folded_root") == F.col("root")),
