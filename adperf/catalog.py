@@ -487,6 +487,26 @@ def q_ingest_rerun_loses_keys(spark, sf_dir):
     return storage.read_insights(spark, root).select(*INSIGHT_OUT)
 
 
+def q_ingest_interrupted(spark, sf_dir):
+    """T2 + A8 + S3: a stored batch is run again with all events on other days, stopped after
+    each step in turn, then with its clicks a day later to the end. Nothing of the stopped runs
+    stays, in the facts or in the insights of the days they touched."""
+    raw = tables.with_driver_event_fields(tables.ad_events_raw(spark, sf_dir), REPLAY_KEY)
+    root = ingest.scratch_root(spark, "interrupted")
+
+    def run(shift, steps=len(ingest_job.BatchRun.STEPS)):
+        moved = raw.withColumn("event_time", F.col("event_time") + shift)
+        ingest_job.ingest_batch(spark, moved, root, "b1", now=F.col("received_at"),
+                                processed_at=F.col("processed_at"), arrived=ARRIVED, steps=steps)
+
+    run(F.expr("INTERVAL 0 DAYS"))
+    for steps in range(1, len(ingest_job.BatchRun.STEPS)):
+        run(F.expr(f"INTERVAL {1000 * steps} DAYS"), steps)
+    run(F.when(F.col("event_type") == "click", F.expr("INTERVAL 1 DAY"))
+        .otherwise(F.expr("INTERVAL 0 DAYS")))
+    return storage.read_insights(spark, root).select(*INSIGHT_OUT)
+
+
 def _stored(spark, sf_dir, name) -> tuple[str, DataFrame]:
     """A store with all accepted events and their insights."""
     facts = accepted_events(spark, sf_dir)
@@ -822,6 +842,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "audit_currency": q_audit_currency,
     "event_json_any_case": q_event_json_any_case,
     "fetch_publish": q_fetch_publish,
+    "ingest_interrupted": q_ingest_interrupted,
     "spend_running": q_spend_running,
     "campaign_update_owned": q_campaign_update_owned,
     "campaign_update_refused": q_campaign_update_refused,

@@ -243,7 +243,8 @@ def first_wins_ttl(df: DataFrame, key: str = "deduplication_key", clock: str = "
 def first_wins_arrival(df: DataFrame, arrived: Column, state: DataFrame | None = None,
                        key: str = "deduplication_key",
                        order: tuple[str, ...] = ("received_at", "id"),
-                       ttl_days: int = S.DEDUP_TTL_DAYS) -> DataFrame:
+                       ttl_days: int = S.DEDUP_TTL_DAYS,
+                       state_partitions: int | None = None) -> DataFrame:
     """D1 for live ingest: the rows of one batch that a dedup judging by arrival accepts.
 
     All rows of a batch share one arrival stamp, so at most one row per key is accepted (the
@@ -251,6 +252,9 @@ def first_wins_arrival(df: DataFrame, arrived: Column, state: DataFrame | None =
     less than ``ttl_days`` before the batch arrived. ``state`` is ``(key, accepted_at)`` of
     earlier batches. Event time plays no part, so late rows are judged like any other; rows
     with a null key pass through.
+
+    ``state_partitions``: the state lies in as many buckets by ``key``. The batch's first rows
+    are dealt to them, and the state is joined where it lies.
     """
     rest = [c for c in df.columns if c != key and c not in order]
     first = (df.filter(F.col(key).isNotNull()).groupBy(key)
@@ -259,6 +263,8 @@ def first_wins_arrival(df: DataFrame, arrived: Column, state: DataFrame | None =
     if state is not None:
         live = state.filter(F.col("accepted_at")
                             > arrived - F.expr(f"INTERVAL {int(ttl_days)} DAYS"))
+        if state_partitions:
+            first = first.repartition(state_partitions, key)
         first = first.join(live.select(key), key, "left_anti")
     return first.unionByName(df.filter(F.col(key).isNull()))
 

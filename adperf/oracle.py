@@ -545,3 +545,6 @@ UNION ALL
 SELECT id, user_id + 1, 'forbidden', CAST(NULL AS VARCHAR), CAST(NULL AS DATE) FROM camp
 UNION ALL
 SELECT id + 1000000000, user_id, 'not_found', CAST(NULL AS VARCHAR), CAST(NULL AS DATE) FROM camp"""
+
+# stopped runs leave nothing: the rows are those of the corrected re-run alone
+SQL["ingest_interrupted"] = SQL["ingest_rerun_corrected"]

@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from adperf.operators import dedup, validate
 from adperf.functions.dates import ntz
-from adperf.plans.refresh import refresh_days
+from adperf.plans.refresh import recover, refresh_days
 from adperf.session import checkpoint_dir
 from adperf.sources import events as ev
-from adperf.sources import storage
+from adperf.sources import journal, storage
 
 
 def checked_events(incoming: DataFrame, now: Column | None = None,
@@ -34,31 +34,74 @@ def checked_events(incoming: DataFrame, now: Column | None = None,
                              prior=F.col("decode_error"), keep=("raw_value",))
 
 
-def store_batch(spark: SparkSession, good: DataFrame, rejects: DataFrame, root: str,
-                batch_id: str | int, arrived: dt.datetime, stamp: Column, ttl_dedup: bool = True,
-                mode: str = "first", in_stream: bool = False) -> None:
-    """Dedup against the state, store, refresh: the part that batches and micro-batches share."""
-    if not ttl_dedup:
-        kept = good
-    elif mode == "last":
-        kept = dedup.last_wins(good, ["deduplication_key"], ["processed_at", "id"])
-    else:
-        kept = dedup.first_wins_arrival(
-            good, ntz(arrived), storage.read_dedup_state(spark, root, arrived, batch_id))
-    days = storage.write_facts(kept, root, batch_id, in_stream)
-    storage.write_rejects(rejects, root, batch_id, in_stream)
-    # a run that accepts nothing, or keeps no state, leaves none of an earlier run's either
-    stored = storage.read_batch(spark, root, batch_id) if ttl_dedup and mode == "first" else None
-    storage.write_dedup_state(spark, stored, root, batch_id, arrived, in_stream=in_stream)
-    refresh_days(spark, root, days, stamp, in_stream)
+class BatchRun:
+    """One run of a batch, step by step: the part that batches and micro-batches share.
+
+    ``begin`` recovers what an earlier run of the batch left and opens the journal record;
+    ``facts`` (dedup against the state), ``rejects`` and ``state`` write into folders of this
+    run, which nobody reads yet; ``switch`` makes them count, in place of the batch's earlier
+    run; ``refresh`` recomputes the insights of the days of both; ``finish`` deletes the earlier
+    run and closes the record.
+    """
+
+    STEPS = ("begin", "facts", "rejects", "state", "switch", "refresh", "finish")
+
+    def __init__(self, spark: SparkSession, good: DataFrame, rejects: DataFrame, root: str,
+                 batch_id: str | int, arrived: dt.datetime, stamp: Column,
+                 ttl_dedup: bool = True, mode: str = "first", in_stream: bool = False) -> None:
+        self.spark, self.root, self.batch_id = spark, root, batch_id
+        self.good, self.bad, self.arrived, self.stamp = good, rejects, arrived, stamp
+        self.ttl_dedup, self.mode, self.in_stream = ttl_dedup, mode, in_stream
+
+    def run(self, steps: int = len(STEPS)) -> None:
+        """The first ``steps`` steps; all of them, unless a stop on the way is wanted."""
+        for name in self.STEPS[:steps]:
+            getattr(self, name)()
+
+    def begin(self) -> None:
+        recover(self.spark, self.root, self.batch_id, self.stamp, self.in_stream)
+        self.record = journal.begin(self.spark, self.root, self.batch_id)
+
+    def facts(self) -> None:
+        kept = self.good
+        if self.ttl_dedup and self.mode == "last":
+            kept = dedup.last_wins(kept, ["deduplication_key"], ["processed_at", "id"])
+        elif self.ttl_dedup:
+            kept = dedup.first_wins_arrival(
+                kept, ntz(self.arrived),
+                storage.read_dedup_state(self.spark, self.root, self.arrived, self.batch_id),
+                state_partitions=storage.state_buckets(self.spark, self.root))
+        storage.write_run_facts(kept, self.root, self.record, self.in_stream)
+
+    def rejects(self) -> None:
+        storage.write_run_rejects(self.bad, self.root, self.record, self.in_stream)
+
+    def state(self) -> None:
+        stored = storage.read_run(self.spark, self.root, self.record)
+        # a run that accepts nothing, or keeps no state, leaves none of an earlier run's either
+        if self.ttl_dedup and self.mode == "first" and stored is not None:
+            storage.write_run_state(stored, self.root, self.record, self.arrived)
+
+    def switch(self) -> None:
+        self.record = storage.switch_run(self.spark, self.root, self.record)
+
+    def refresh(self) -> None:
+        refresh_days(self.spark, self.root, storage.changed_days(self.record), self.stamp,
+                     self.in_stream)
+
+    def finish(self) -> None:
+        storage.finish_run(self.spark, self.root, self.record)
 
 
 def ingest_batch(spark: SparkSession, incoming: DataFrame, root: str, batch_id: str | int,
                  now: Column | None = None, processed_at: Column | None = None,
                  ttl_dedup: bool = True, fact_schema=None, mode: str = "first",
-                 arrived: dt.datetime | None = None) -> dict:
+                 arrived: dt.datetime | None = None, steps: int = len(BatchRun.STEPS)) -> dict:
     """Run one ingest batch; returns row counts (accepted, duplicates, rejected).
 
+    ``steps`` stops it after some of :attr:`BatchRun.STEPS`, as a crash would: a drill for
+    recovery, after which ``accepted`` counts what the batch's last finished run holds.
+
     ``mode="first"`` (default) keeps the first row per dedup key unless an earlier batch
     accepted the key within the TTL before this one ``arrived`` (default: the wall clock);
     ``mode="last"`` keeps the latest version per dedup key (by ``processed_at``, then id) so
@@ -73,8 +116,8 @@ def ingest_batch(spark: SparkSession, incoming: DataFrame, root: str, batch_id:
         F.count_if(F.col("reject_reason").isNotNull()).alias("bad"))
     checkpoint_dir(spark)
     checked = checked.checkpoint(eager=True)  # one decode + validation pass for both outputs
-    store_batch(spark, validate.accepted(checked).drop("raw_value"), validate.rejected(checked),
-                root, batch_id, arrived, F.localtimestamp(), ttl_dedup, mode)
+    BatchRun(spark, validate.accepted(checked).drop("raw_value"), validate.rejected(checked),
+             root, batch_id, arrived, F.localtimestamp(), ttl_dedup, mode).run(steps)
     stored = storage.read_batch(spark, root, batch_id)
     kept, counts = 0 if stored is None else stored.count(), seen.get
     return {"accepted": kept, "duplicates": counts["good"] - kept, "rejected": counts["bad"]}

@@ -43,7 +43,9 @@ def reaggregate_stored(spark: SparkSession, root: str, start, end,
     merged = rollup.reaggregate(current, facts, s, e, campaigns, stamp)
     checkpoint_dir(spark)  # the days being rewritten are also read: cut the lineage first
     merged = merged.checkpoint(eager=True)
-    storage.write_insights(merged, root, days=_days(s, e))
+    left = {r[0] for r in merged.select("date").distinct().collect()}  # days of the range
+    storage.write_insights(merged, root)
+    storage.empty_insights(spark, root, sorted(set(_days(s, e)) - left))
     return merged
 
 

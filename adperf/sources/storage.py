@@ -2,47 +2,56 @@
 
 Layout under a root folder (a shared file system or object store on a cluster):
 
-- ``facts/ingest_batch=<id>/event_date=YYYY-MM-DD/``  - appended facts. Writing a batch replaces
-  everything an earlier run of the same id stored, other days included, and reports the days of
-  both runs, so a corrected re-run leaves nothing behind. Last-wins on the fact key is applied
-  when facts are read for roll-ups; the day level keeps a refresh to the days a batch touched.
-- ``insights/day=YYYY-MM-DD/``  - daily insights; a refresh replaces whole days, recomputed from
-  the stored facts alone, so a crash between two steps is mended by running the job again.
-- ``rejects/ingest_batch=<id>/`` - rejected events with their reason.
-- ``dedup_state/ingest_batch=<id>/state_day=YYYY-MM-DD/`` - keys a batch accepted and its arrival
-  stamp, replaced with the batch's facts; only the days of one TTL window are ever read back.
+- ``facts/event_date=YYYY-MM-DD/ingest_batch=<id>/run=<run>/`` - appended facts, day first, so a
+  reader of some days lists those days only. Every run of a batch has folders of its own; the
+  journal (:mod:`adperf.sources.journal`) says which run counts. Last-wins on the fact key is
+  applied when facts are read for roll-ups.
+- ``rejects/ingest_batch=<id>/run=<run>/`` - rejected events with their reason.
+- ``dedup_state/state_day=YYYY-MM-DD/ingest_batch=<id>/run=<run>/`` - keys a run accepted and its
+  arrival stamp, in ``STATE_BUCKETS`` buckets by the key's hash: a join by key shuffles the batch
+  that asks, never the state. Only the days of one TTL window are ever read back.
+- ``insights/day=YYYY-MM-DD/`` - daily insights; a refresh replaces whole days, recomputed from
+  the facts that count.
+- ``facts/_schema.json`` - the schema of the facts, so that no reader infers it from footers.
 
 Writes use a ``rebalance`` hint on the partition column, so AQE sizes the output tasks (and
 splits a day that holds most of the data) instead of one task per day or one file per task and
 partition. Rows are sorted by the table key inside each file, so Parquet row-group min/max
-statistics skip data for campaign and time predicates. Reads turn a date range into a
-partition predicate.
+statistics skip data for campaign and time predicates. A write goes through a staging folder of
+its own (dynamic overwrite of folders nobody else has), so jobs that run at once do not meet.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import json
 import os
-from urllib.parse import quote, unquote
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adperf import schemas as S
 from adperf.functions.dates import ntz
+from adperf.sources import journal
+from adperf.sources.journal import Record
 
 FACTS = "facts"
 INSIGHTS = "insights"
 REJECTS = "rejects"
 DEDUP_STATE = "dedup_state"
-MAX_DAYS = 20_000
+#: buckets of the dedup state: the number of tasks that eight days of keys are read by
+STATE_BUCKETS = 32
+RUN_PARTS = [T.StructField("ingest_batch", T.StringType()), T.StructField("run", T.StringType())]
+NO_DAY = "__HIVE_DEFAULT_PARTITION__"  # fixed value: Spark's folder name for null
 
 
 def _overwrite(df: DataFrame, path: str, partition_cols: list[str], sort_cols: list[str],
-               in_stream: bool = False, whole: bool = False):
-    """Overwrite the partitions present in ``df``, or with ``whole`` everything under ``path``.
+               in_stream: bool = False):
+    """Overwrite the partitions present in ``df``.
 
     Batch jobs use the ``rebalance`` hint (AQE sizes the tasks). Inside a streaming
     micro-batch AQE is off and the hint is ignored, so the rows are range-partitioned on
@@ -55,93 +64,215 @@ def _overwrite(df: DataFrame, path: str, partition_cols: list[str], sort_cols: l
         laid = df.repartitionByRange(*partition_cols, *sort_cols, spread)
     else:
         laid = df.hint("rebalance", *partition_cols)
-    if partition_cols + sort_cols:
-        laid = laid.sortWithinPartitions(*partition_cols, *sort_cols)
-    (laid.write.mode("overwrite")
-         .option("partitionOverwriteMode", "static" if whole else "dynamic")
+    (laid.sortWithinPartitions(*partition_cols, *sort_cols).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic")
          .partitionBy(*partition_cols)
          .parquet(path))
 
 
-def _batch_path(root: str, name: str, batch_id: str | int) -> str:
-    return os.path.join(root, name, f"ingest_batch={quote(str(batch_id), safe='')}")
+def _write_run(df: DataFrame, root: str, name: str, record: Record, day: str | None,
+               sort_cols: list[str], in_stream: bool) -> None:
+    df = df.withColumns({"ingest_batch": F.lit(record.batch), "run": F.lit(record.run)})
+    _overwrite(df, os.path.join(root, name), [*([day] if day else []), "ingest_batch", "run"],
+               sort_cols, in_stream)
 
 
-def write_facts(facts: DataFrame, root: str, batch_id: str | int,
-                in_stream: bool = False) -> list[dt.date]:
-    """S3: store a batch of facts under its batch id, replacing all that an earlier run of the
-    id stored. Returns the days that either run touches."""
-    spark, path = facts.sparkSession, _batch_path(root, FACTS, batch_id)
-    before = _read(spark, path)
-    old = days_of(before, "event_date") if before is not None and "event_date" in before.columns \
-        else []
-    out = (facts.select(*[c for c in S.EVENT_SCHEMA.fieldNames() if c in facts.columns])
-           .withColumn("event_date", F.to_date(F.col("event_time"))))
-    _overwrite(out, path, ["event_date"], list(S.FACT_KEY), in_stream, whole=True)
-    after = _read(spark, path)
-    new = days_of(after, "event_date") if after is not None and "event_date" in after.columns \
-        else []
-    return sorted({*old, *new})
-
-
-def write_rejects(rejects: DataFrame, root: str, batch_id: str | int,
-                  in_stream: bool = False) -> None:
-    """Store the rejects of a batch; an earlier run's are replaced even by none."""
-    _overwrite(rejects, _batch_path(root, REJECTS, batch_id), [],
-               ["id"] if "id" in rejects.columns else [], in_stream, whole=True)
-
-
-def write_insights(insights: DataFrame, root: str, in_stream: bool = False,
-                   days: list[dt.date] | None = None) -> None:
-    """Replace the days present in ``insights``, which must hold every row of them. Days
-    in ``days`` of which no row is left are emptied."""
-    path = os.path.join(root, INSIGHTS)
-    _overwrite(insights.withColumn("day", F.col("date")), path, ["day"], list(S.INSIGHT_KEY),
-               in_stream)
-    if days:
-        spark = insights.sparkSession
-        gone = set(days) - set(days_of(insights, "date"))
-        for day in gone:
-            _delete(spark, f"{path}/day={day.isoformat()}")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def _run_path(root: str, name: str, day: str | None, batch: str, run: str) -> str:
+    return os.path.join(root, name, *([day] if day else []), f"ingest_batch={batch}", f"run={run}")
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as exc:
-        # absent, or a batch that stored no row
-        if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
-            return None
-        raise
+def _folders(spark: SparkSession, root: str, name: str) -> dict[str, str]:
+    """Day folders of a table: value (a day, or ``NO_DAY``) to folder name."""
+    return {f.split("=", 1)[1]: f for f in journal.children(spark, os.path.join(root, name))
+            if "=" in f}
+
+
+def _run_days(spark: SparkSession, root: str, name: str, batch: str, run: str) -> list[str]:
+    """Days (as folder values) for which a run wrote something: one look per day folder."""
+    folders = _folders(spark, root, name)
+    with ThreadPoolExecutor(16) as pool:
+        there = pool.map(lambda f: journal.exists(spark, _run_path(root, name, f, batch, run)),
+                         folders.values())
+        return [day for day, found in zip(folders, there) if found]
+
+
+def _delete_run(spark: SparkSession, root: str, batch: str, run: str,
+                fact_days: list[str] | None = None) -> None:
+    """Delete all that a run wrote, and batch and day folders that are empty then."""
+    if fact_days is None:
+        fact_days = _run_days(spark, root, FACTS, batch, run)
+    state_days = _run_days(spark, root, DEDUP_STATE, batch, run)
+    gone = [_run_path(root, FACTS, f"event_date={d}", batch, run) for d in fact_days]
+    gone += [_run_path(root, DEDUP_STATE, f"state_day={d}", batch, run) for d in state_days]
+    for path in gone:
+        journal.delete(spark, path)
+        for _ in range(2):
+            path = os.path.dirname(path)
+            if not journal.children(spark, path):
+                journal.delete(spark, path)
+    journal.delete(spark, _run_path(root, REJECTS, None, batch, run))
+
+
+# ---- schema -------------------------------------------------------------------------------
+
+def _fact_schema(spark: SparkSession, root: str) -> T.StructType | None:
+    text = journal.read_text(spark, os.path.join(root, FACTS, "_schema.json"))
+    return T.StructType.fromJson(json.loads(text)) if text else None
+
+
+def _note_schema(facts: DataFrame, root: str) -> None:
+    spark, known = facts.sparkSession, _fact_schema(facts.sparkSession, root)
+    if known is None:
+        journal.write_text(spark, os.path.join(root, FACTS, "_schema.json"), facts.schema.json())
+    elif known.simpleString() != facts.schema.simpleString():
+        raise ValueError(f"the store holds facts of {known.simpleString()}, "
+                         f"not of {facts.schema.simpleString()}")
+
+
+# ---- one run of a batch -------------------------------------------------------------------
+
+def write_run_facts(facts: DataFrame, root: str, record: Record, in_stream: bool = False) -> None:
+    """S3: the facts of a run that is not switched yet."""
+    facts = facts.select(*[c for c in S.EVENT_SCHEMA.fieldNames() if c in facts.columns])
+    _note_schema(facts, root)
+    _write_run(facts.withColumn("event_date", F.to_date("event_time")), root, FACTS, record,
+               "event_date", list(S.FACT_KEY), in_stream)
+
+
+def write_run_rejects(rejects: DataFrame, root: str, record: Record,
+                      in_stream: bool = False) -> None:
+    _write_run(rejects, root, REJECTS, record, None,
+               ["id"] if "id" in rejects.columns else [], in_stream)
+
+
+def switch_run(spark: SparkSession, root: str, record: Record) -> Record:
+    """Make the run the one that counts: one small write, all or nothing."""
+    days = _run_days(spark, root, FACTS, record.batch, record.run)
+    return journal.switch(spark, root, record, days)
+
+
+def undo_run(spark: SparkSession, root: str, record: Record) -> None:
+    """Forget a run that is not switched: no reader has seen any of it."""
+    _delete_run(spark, root, record.batch, record.run)
+    journal.close(spark, root, record)
+
+
+def finish_run(spark: SparkSession, root: str, record: Record) -> None:
+    """Point the batch to its switched run, delete the run it replaces, close the record. May be
+    repeated at any point."""
+    journal.point(spark, root, record)
+    if record.old_run:
+        _delete_run(spark, root, record.batch, record.old_run, record.old_days)
+    journal.close(spark, root, record)
+
+
+def changed_days(record: Record) -> list[dt.date]:
+    """Days whose insights a switched run changes: its own, and those of the run it replaces."""
+    return sorted(dt.date.fromisoformat(d) for d in {*record.days, *record.old_days}
+                  if d != NO_DAY)
+
+
+def write_facts(facts: DataFrame, root: str, batch_id: str | int,
+                in_stream: bool = False) -> list[dt.date]:
+    """S3: store a batch of facts by itself, replacing all that an earlier run of the id stored.
+    Returns the days that either touches, whose insights the caller refreshes; the ingest jobs
+    keep the record open until that is done."""
+    spark = facts.sparkSession
+    record = journal.begin(spark, root, batch_id)
+    write_run_facts(facts, root, record, in_stream)
+    record = switch_run(spark, root, record)
+    finish_run(spark, root, record)
+    return changed_days(record)
+
+
+# ---- facts --------------------------------------------------------------------------------
+
+def _read_days(spark: SparkSession, root: str, name: str, schema: T.StructType, column: str,
+               wanted: list[str]) -> DataFrame:
+    """Rows that count, of the day folders ``wanted`` alone: other days are not even listed."""
+    base = os.path.join(root, name)
+    full = T.StructType([*schema.fields, T.StructField(column, T.DateType()), *RUN_PARTS])
+    if not wanted:
+        return spark.createDataFrame([], full)
+    df = (spark.read.schema(full).option("basePath", base)
+          .parquet(*[os.path.join(base, f"{column}={d}") for d in wanted]))
+    hidden = journal.hidden_runs(spark, root)
+    return df.filter(~F.col("run").isin(hidden)) if hidden else df
+
+
+def live_days(spark: SparkSession, root: str, days: list[dt.date]) -> list[dt.date]:
+    """Those of ``days`` that hold facts that count."""
+    hidden, out = set(journal.hidden_runs(spark, root)), []
+    known = _folders(spark, root, FACTS)
+    for day in days:
+        folder = os.path.join(root, FACTS, known.get(day.isoformat(), ""))
+        if day.isoformat() in known and any(
+                set(journal.children(spark, os.path.join(folder, b)))
+                - {f"run={r}" for r in hidden} for b in journal.children(spark, folder)):
+            out.append(day)
+    return out
 
 
 def read_facts(spark: SparkSession, root: str, start: dt.date | None = None,
                end: dt.date | None = None, days: list[dt.date] | None = None,
                schema=S.EVENT_SCHEMA) -> DataFrame:
-    """Facts of the whole days ``start..end`` and/or of ``days`` (partition pruned).
+    """Facts of the whole days ``start..end`` and/or of ``days``; other days are not listed.
 
     An absent table reads as empty with ``schema``.
     """
-    df = _read(spark, os.path.join(root, FACTS))
-    if df is None:
-        return spark.createDataFrame([], schema)
-    if days is not None:
-        df = df.filter(F.col("event_date").isin(*days))
+    known = _folders(spark, root, FACTS)
+    wanted = set(known) if days is None else {d.isoformat() for d in days} & set(known)
     if start is not None:
-        df = df.filter(F.col("event_date") >= F.lit(start))
+        wanted = {d for d in wanted if d != NO_DAY and d >= start.isoformat()}
     if end is not None:
-        df = df.filter(F.col("event_date") <= F.lit(end))
-    return df.drop("ingest_batch", "event_date")
+        wanted = {d for d in wanted if d != NO_DAY and d <= end.isoformat()}
+    found = _fact_schema(spark, root) or schema
+    return _read_days(spark, root, FACTS, found, "event_date", sorted(wanted)).select(
+        *found.fieldNames())
+
+
+def _read_run(spark: SparkSession, root: str, batch: str, run: str,
+              days: list[str]) -> DataFrame | None:
+    paths = [_run_path(root, FACTS, f"event_date={d}", batch, run) for d in days]
+    return spark.read.schema(_fact_schema(spark, root)).parquet(*paths) if paths else None
+
+
+def read_run(spark: SparkSession, root: str, record: Record) -> DataFrame | None:
+    """The facts that a run wrote, switched or not; None when it wrote none."""
+    days = record.days if record.switched else _run_days(spark, root, FACTS, record.batch,
+                                                         record.run)
+    return _read_run(spark, root, record.batch, record.run, days)
 
 
 def read_batch(spark: SparkSession, root: str, batch_id: str | int) -> DataFrame | None:
-    """The facts that one batch stored; None when it stored none."""
-    return _read(spark, _batch_path(root, FACTS, batch_id))
+    """The facts that a finished batch stored; None when it stored none."""
+    batch = journal.batch_name(batch_id)
+    found = journal.pointer(spark, root, batch)
+    return _read_run(spark, root, batch, found["run"], found["days"]) if found else None
+
+
+# ---- insights -----------------------------------------------------------------------------
+
+def write_insights(insights: DataFrame, root: str, in_stream: bool = False) -> None:
+    """Replace the days present in ``insights``, which must hold every row of them."""
+    _overwrite(insights.withColumn("day", F.col("date")), os.path.join(root, INSIGHTS), ["day"],
+               list(S.INSIGHT_KEY), in_stream)
+
+
+def empty_insights(spark: SparkSession, root: str, days: list[dt.date]) -> None:
+    """Leave no insight row of ``days``."""
+    for day in days:
+        journal.delete(spark, os.path.join(root, INSIGHTS, f"day={day.isoformat()}"))
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as exc:
+        # absent, or without any row yet
+        if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
+            return None
+        raise
 
 
 def read_insights(spark: SparkSession, root: str, start: dt.date | None = None,
@@ -160,46 +291,87 @@ def read_insights(spark: SparkSession, root: str, start: dt.date | None = None,
     return df.drop("day")
 
 
-def write_dedup_state(spark: SparkSession, accepted: DataFrame | None, root: str,
-                      batch_id: str | int, arrived: dt.datetime, key: str = "deduplication_key",
-                      in_stream: bool = False) -> None:
-    """Keys that a batch accepted, stamped with its arrival. All that earlier runs of the batch
-    accepted is replaced, whatever day they arrived, even by nothing (``accepted`` is None)."""
-    path = _batch_path(root, DEDUP_STATE, batch_id)
-    if accepted is None:
-        _delete(spark, path)
-        return
+# ---- dedup state --------------------------------------------------------------------------
+
+def _state_table(spark: SparkSession, root: str, key: str) -> str:
+    """The catalog's name for the bucketed state of a store; created where it is absent."""
+    name = "adperf_state_" + hashlib.sha256(root.encode()).hexdigest()[:16]
+    if not spark.catalog.tableExists(name):
+        buckets = journal.read_text(spark, os.path.join(root, DEDUP_STATE, "_buckets"))
+        if buckets is None:  # fixed when the state is first written
+            buckets = str(STATE_BUCKETS)
+            journal.write_text(spark, os.path.join(root, DEDUP_STATE, "_buckets"), buckets)
+        spark.sql(f"CREATE TABLE {name} (`{key}` STRING, accepted_at TIMESTAMP_NTZ, "
+                  "state_day DATE, ingest_batch STRING, run STRING) USING parquet "
+                  "PARTITIONED BY (state_day, ingest_batch, run) "
+                  f"CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {int(buckets)} BUCKETS "
+                  f"LOCATION '{os.path.join(root, DEDUP_STATE)}'")
+    return name
+
+
+def state_buckets(spark: SparkSession, root: str) -> int:
+    text = journal.read_text(spark, os.path.join(root, DEDUP_STATE, "_buckets"))
+    return int(text) if text else STATE_BUCKETS
+
+
+def _state_runs(spark: SparkSession, root: str, since: dt.date) -> set[tuple[str, str, str]]:
+    """(state_day, ingest_batch, run) folders from ``since`` on, without hidden runs."""
+    hidden, out = set(journal.hidden_runs(spark, root)), set()
+    for day, folder in _folders(spark, root, DEDUP_STATE).items():
+        if day >= since.isoformat():
+            base = os.path.join(root, DEDUP_STATE, folder)
+            out |= {(day, b.split("=", 1)[1], r.split("=", 1)[1])
+                    for b in journal.children(spark, base)
+                    for r in journal.children(spark, os.path.join(base, b))}
+    return {x for x in out if x[2] not in hidden}
+
+
+def write_run_state(accepted: DataFrame, root: str, record: Record, arrived: dt.datetime,
+                    key: str = "deduplication_key") -> None:
+    """Keys that a run accepted, stamped with its arrival, one file a bucket."""
+    spark = accepted.sparkSession
+    table = _state_table(spark, root, key)
     out = (accepted.filter(F.col(key).isNotNull()).select(key).distinct()
-           .withColumn("accepted_at", ntz(arrived))
-           .withColumn("state_day", F.to_date("accepted_at")))
-    _overwrite(out, path, ["state_day"], [key], in_stream, whole=True)
+           .repartition(state_buckets(spark, root), key)
+           .select(key, ntz(arrived).alias("accepted_at")))
+    where = _state_spec((arrived.date().isoformat(), record.batch, record.run))
+    spark.sql(f"INSERT OVERWRITE {table} {where} SELECT * FROM {{out}}", out=out)
+
 
+def _state_spec(x: tuple[str, str, str]) -> str:
+    return f"PARTITION (state_day=DATE'{x[0]}', ingest_batch='{x[1]}', run='{x[2]}')"
 
-def read_dedup_state(spark: SparkSession, root: str, arrived: dt.datetime,
-                     batch_id: str | int) -> DataFrame | None:
+
+def read_dedup_state(spark: SparkSession, root: str, arrived: dt.datetime, batch_id: str | int,
+                     key: str = "deduplication_key") -> DataFrame | None:
     """``(key, accepted_at)`` entries of one TTL window before ``arrived``, but for the batch's
-    own (a replay must not see its first attempt). None when there is no state yet."""
-    path = os.path.join(root, DEDUP_STATE)
-    df = _read(spark, path)
-    if df is None:
-        return None
-    # ids as they are in the folder names: inference would take 007 for 7
-    df = spark.read.schema(T.StructType([
-        T.StructField(f.name, T.StringType()) if f.name == "ingest_batch" else f
-        for f in df.schema])).parquet(path)
-    own = unquote(quote(str(batch_id), safe=""), "latin-1")  # Spark unescapes byte by byte
+    own (a replay must not see its first attempt). None when there is no state yet.
+
+    The rows come from a bucketed table: a join on ``key`` with :func:`state_buckets` partitions
+    on the other side shuffles none of them.
+    """
     since = (arrived - dt.timedelta(days=S.DEDUP_TTL_DAYS)).date()
-    return (df.filter((F.col("state_day") >= F.lit(since)) & (F.col("ingest_batch") != F.lit(own)))
-            .drop("state_day", "ingest_batch"))
+    own = journal.batch_name(batch_id)
+    runs = {x for x in _state_runs(spark, root, since) if x[1] != own}
+    if not runs:
+        return None
+    table = _state_table(spark, root, key)
+    # what other sessions wrote or deleted meanwhile
+    known = {tuple(p.split("=", 1)[1] for p in r[0].split("/"))
+             for r in spark.sql(f"SHOW PARTITIONS {table}").collect()}
 
+    if missing := runs - known:
+        added = " ".join(map(_state_spec, sorted(missing)))
+        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {added}")
+    if lost := {x for x in known - runs if x[1] != own}:
+        dropped = ", ".join(map(_state_spec, sorted(lost)))
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {dropped}")
+    return (spark.table(table).filter((F.col("state_day") >= F.lit(since))
+                                      & (F.col("ingest_batch") != F.lit(own)))
+            .select(key, "accepted_at"))
 
-def days_of(df: DataFrame, col: str = "event_time") -> list[dt.date]:
-    """Distinct days a batch covers, used for pruning: at most one value per calendar day."""
-    days = df.select(F.to_date(F.col(col)).alias("d")).distinct().limit(MAX_DAYS + 1).collect()
-    if len(days) > MAX_DAYS:
-        raise ValueError(f"a batch spans more than {MAX_DAYS} days; split it")
-    return sorted(r[0] for r in days if r[0] is not None)
 
+# ---- tables -------------------------------------------------------------------------------
 
 def ensure_tables(spark: SparkSession, root: str, fact_schema=S.EVENT_SCHEMA,
                   insight_schema=S.INSIGHT_SCHEMA, database: str = "adperf") -> list[str]:
@@ -211,7 +383,7 @@ def ensure_tables(spark: SparkSession, root: str, fact_schema=S.EVENT_SCHEMA,
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     names = []
     for name, schema, parts in (
-            (FACTS, fact_schema, "`ingest_batch` string, `event_date` date"),
+            (FACTS, fact_schema, "`event_date` date, `ingest_batch` string, `run` string"),
             (INSIGHTS, insight_schema, "`day` date")):
         columns = ", ".join(p.split("` ")[0].strip() + "`" for p in parts.split(", "))
         spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({ddl(schema.fields)}, {parts}) "
@@ -223,11 +395,12 @@ def ensure_tables(spark: SparkSession, root: str, fact_schema=S.EVENT_SCHEMA,
 
 def register_tables(spark: SparkSession, root: str, database: str = "adperf") -> list[str]:
     """Expose the stored tables to Spark SQL as external Parquet tables
-    (``<database>.facts``, ``.insights``, ``.rejects``, ``.dedup_state``), partitions
-    discovered from the folders. Idempotent; returns the registered names."""
+    (``<database>.facts``, ``.insights``, ``.rejects``), partitions discovered from the folders.
+    A run that is under way shows its files there; :func:`read_facts` leaves them out.
+    Idempotent; returns the registered names."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     names = []
-    for name in (FACTS, INSIGHTS, REJECTS, DEDUP_STATE):
+    for name in (FACTS, INSIGHTS, REJECTS):
         path = os.path.join(root, name)
         if _read(spark, path) is None:
             continue

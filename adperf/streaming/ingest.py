@@ -4,8 +4,9 @@
 
 1. takes the first row per dedup key, unless an earlier batch accepted the key within the TTL
    before this one arrived (the dedup-state table, shared with batch ingest);
-2. writes its facts, rejects and accepted keys under ``ingest_batch=<epoch>`` - a replayed epoch
-   replaces its own, so a restart from the checkpoint never duplicates facts;
+2. writes its facts, rejects and accepted keys as a run of batch ``<epoch>`` - a replayed epoch
+   first undoes or finishes what its earlier attempt left, then replaces it, so a restart from
+   the checkpoint never duplicates facts;
 3. recomputes the days it touched from their stored facts and replaces those days of the
    insight table.
 
@@ -23,7 +24,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adperf.plans.ingest import checked_events, store_batch
+from adperf.plans.ingest import BatchRun, checked_events
 from adperf.session import checkpoint_dir
 
 
@@ -55,8 +56,8 @@ def batch_writer(root: str, updated_at: Column | None = None, dedup: bool = True
             stamp = updated_at if updated_at is not None else F.localtimestamp()
             at = arrived(epoch_id) if arrived is not None \
                 else dt.datetime.now(dt.UTC).replace(tzinfo=None)
-            store_batch(spark, good, rejects, root, epoch_id, at, stamp, ttl_dedup=dedup,
-                        in_stream=True)
+            BatchRun(spark, good, rejects, root, epoch_id, at, stamp, ttl_dedup=dedup,
+                     in_stream=True).run()
         finally:
             batch.unpersist()
 

@@ -140,7 +140,8 @@ def test_ensure_tables_creates_schemas(spark, tmp_root):
     names = storage.ensure_tables(spark, tmp_root, database="adperf_new")
     assert names == storage.ensure_tables(spark, tmp_root, database="adperf_new")
     facts = spark.table("adperf_new.facts")
-    assert set(S.EVENT_SCHEMA.fieldNames()) | {"ingest_batch", "event_date"} == set(facts.columns)
+    assert set(S.EVENT_SCHEMA.fieldNames()) | {"ingest_batch", "event_date", "run"} == set(
+        facts.columns)
     assert facts.isEmpty() and spark.table("adperf_new.insights").isEmpty()
 
 
