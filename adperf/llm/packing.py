@@ -2,14 +2,15 @@
 
 A bin holds at most ``CAPACITY`` tokens (words), no two documents of one source and no two of
 one duplicate cluster (equal texts up to case and spacing). Documents are cut into pieces of
-the capacity (a full piece fills a bin alone) and a rest. Pieces are dealt by a hash of the id
+the capacity (a full piece fills a bin alone) and a rest. Pieces are dealt by a hash
 into groups of about ``GROUP`` pieces, each packed by itself: largest first, the bins in order
 of their residual, and the search for a piece starts at the tightest residual
 that holds it and goes on to the successor until a bin is compatible. Bins carry their sources
 and clusters as bitmaps, so a test is two ANDs.
 
-Skew: the group of a piece depends on its id and number alone, so a source or a cluster that
-holds a third of all rows is dealt over all groups; a group is bounded by its expected size.
+Skew: the group of a piece depends on its id, its number and the place of its row, so a source,
+a cluster or one id that holds a third of all rows is dealt over all groups; a group has about
+``GROUP`` pieces, within chance.
 
 Edge cases: a null, empty or wordless text has no token and no piece (it is reported with no
 bin); a null source is a source of its own; a text longer than the capacity takes several bins;
@@ -21,7 +22,8 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,23 +80,27 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataF
     n = docs.agg(F.count(F.lit(1)).alias("rows"),
                  F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     groups = max(1, -(-(n["rows"] + n["bytes"] // (2 * capacity)) // group))
-    dealt = pieces(docs, capacity).withColumn(
-        "part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
-
-    def pack_group(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        out = part.sort_values(["size", "doc_id", "piece", "cluster"],
-                               ascending=[False, True, True, True], ignore_index=True)
-        some = out[out["size"] > 0]  # the first rows
-        sources, clusters = (pd.factorize(some[c])[0].tolist() for c in ("source", "cluster"))
-        bins, offsets = best_fit(some["size"].tolist(), sources, clusters, capacity)
-        empty = [None] * (len(out) - len(some))
-        out["bin"] = pd.Series([f"g{key[0]}-{b}" for b in bins] + empty, dtype=object)
-        out["bin_offset"] = pd.array(offsets + empty, dtype="Int32")
-        return out[["doc_id", "piece", "size", "source", "bin", "bin_offset"]]
+    # the row's own number deals rows that repeat an id over all groups
+    dealt = pieces(docs, capacity).withColumn("part", F.pmod(
+        F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)))
+
+    def pack_group(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("size", "descending"), ("doc_id", "ascending"),
+                             ("piece", "ascending"), ("cluster", "ascending")])
+        some = part.slice(0, pc.sum(pc.greater(part["size"], 0)).as_py() or 0)
+        sources, clusters = (
+            some[c].combine_chunks().dictionary_encode().indices.to_pylist()
+            for c in ("source", "cluster"))
+        bins, offsets = best_fit(some["size"].to_pylist(), sources, clusters, capacity)
+        name, empty = part["part"][0].as_py(), [None] * (len(part) - len(some))
+        return pa.table({
+            "doc_id": part["doc_id"], "piece": part["piece"], "size": part["size"],
+            "source": part["source"], "bin": [f"g{name}-{b}" for b in bins] + empty,
+            "bin_offset": pa.array(offsets + empty, pa.int32())})
 
     out = (dealt.select("doc_id", "piece", "size", "source", "cluster", "part").groupBy("part")
-           .applyInPandas(pack_group, "doc_id long, piece int, size int, source string, "
-                                      "bin string, bin_offset int"))
+           .applyInArrow(pack_group, "doc_id long, piece int, size int, source string, "
+                                     "bin string, bin_offset int"))
     source = F.when(F.col("source") != "", F.substring("source", 2, 1 << 30))
     return out.withColumn("source", source)
 

@@ -74,3 +74,15 @@ def test_empty_table_and_fill(spark):
     assert P.pack(docs).collect() == []
     r = P.fill(P.pack(spark.createDataFrame(corpus(), SCHEMA), capacity=64), 64).first()
     assert 0 < r.fill <= 1
+
+
+def test_ids_beyond_a_double_beside_null_ids_and_a_hot_id(spark):
+    big = [2**53 + 1, 2**53 + 3, 2**53 + 5, None]
+    docs = spark.createDataFrame([(i, "some words", "a", "", "") for i in big], SCHEMA)
+    assert {r.doc_id for r in P.pack(docs).collect()} == set(big)
+    hot = [(None if i % 2 else 7, f"text {i}", f"s{i % 50}", "", "") for i in range(6000)]
+    got = P.pack(spark.createDataFrame(hot, SCHEMA), group=500).collect()
+    groups = {}
+    for r in got:
+        groups[r.bin.split("-")[0]] = groups.get(r.bin.split("-")[0], 0) + 1
+    assert len(got) == 6000 and len(groups) >= 10 and max(groups.values()) < 750
