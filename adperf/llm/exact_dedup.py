@@ -8,12 +8,13 @@ A member gets the winner's locator; a nonmember (no slot, or other bytes in it)
 grouped by its digest apart from the index.
 
 Skew: groups of copies are pre-aggregated per map task when the index is built; lookups of a
-bucket are salted by the row id into parts of about ``PART_ROWS`` rows, each with its own copy
+bucket are salted by the row's place into parts of about ``PART_ROWS`` rows, each with its own copy
 of that bucket's (bounded) slots, so a text that holds a third of all rows meets no single task.
 
-Edge cases: a null text counts as empty; an empty table gives no rows; repeated rows (the same
-id twice) count separately; null ids sort before all others; columns of the input other than
-id and text are not read, so clashing names do not matter.
+Edge cases: a null text counts as empty; texts of any length are hashed whole; an empty table
+gives no rows; repeated rows (the same id twice) count separately and are all kept when their id
+wins; null ids sort before all others; columns of the input other than id and text are not
+read, so clashing names do not matter.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,18 +91,24 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _keys(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(map(bytes, column)), np.uint8).reshape(-1, 32)
+def _keys(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 32)
 
 
-def _index_bucket(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _one_list(values: pa.ChunkedArray) -> pa.Array:
+    values = values.combine_chunks()
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _index_bucket(rows: pa.Table) -> pa.Table:
     keys = _keys(rows["digest"])
     levels = build_levels(keys)
     order = np.argsort(slots_of(levels, keys))
-    return pd.DataFrame([{"bucket": key[0], "levels": _pack(levels),
-                          "digests": keys[order].tobytes(),
-                          "winners": rows["winner"].to_numpy()[order],
-                          "sizes": rows["n"].to_numpy()[order]}])
+    rows = rows.take(pa.array(order))
+    return pa.table({"bucket": rows["bucket"].slice(0, 1),
+                     "levels": pa.array([_pack(levels)], pa.binary()),
+                     "digests": pa.array([keys[order].tobytes()], pa.binary()),
+                     "winners": _one_list(rows["winner"]), "sizes": _one_list(rows["n"])})
 
 
 def bucket_of(buckets: int):
@@ -113,42 +121,41 @@ def build_index(rows: DataFrame) -> tuple[DataFrame, int]:
     groups = cut(rows.groupBy("digest", "text_sha256")
                  .agg(F.max("doc_id").alias("winner"), F.count(F.lit(1)).alias("n")), "op8-groups")
     buckets = max(1, -(-groups.count() // BUCKET_KEYS))
-    index = (groups.withColumn("bucket", bucket_of(buckets)).groupBy("bucket")
-             .applyInPandas(_index_bucket, INDEX_SCHEMA))
+    index = (groups.select("digest", "winner", "n", bucket_of(buckets).alias("bucket"))
+             .groupBy("bucket")
+             .applyInArrow(_index_bucket, INDEX_SCHEMA))
     return cut(index, "op8-index"), buckets
 
 
-def _look_up(rows: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-    out = rows[["doc_id", "text_sha256"]].copy()
-    out["keep_id"], out["group_size"] = pd.NA, 0
+def _look_up(rows: pa.Table, index: pa.Table) -> pa.Table:
+    out = rows.select(["doc_id", "text_sha256", "recent"])
+    ids, sizes = pa.nulls(len(rows), pa.int64()), pa.array(np.zeros(len(rows), np.int64))
     if len(index) and len(rows):
-        entry, keys = index.iloc[0], _keys(rows["digest"])
-        slot = slots_of(_unpack(bytes(entry["levels"])), keys)
-        stored = np.frombuffer(bytes(entry["digests"]), np.uint8).reshape(-1, 32)
+        entry = {c: index[c][0] for c in ("levels", "digests", "winners", "sizes")}
+        keys = _keys(rows["digest"])
+        slot = slots_of(_unpack(entry["levels"].as_py()), keys)
+        stored = np.frombuffer(entry["digests"].as_py(), np.uint8).reshape(-1, 32)
         member = (slot >= 0) & (stored[np.maximum(slot, 0)] == keys).all(axis=1)
-        winners = pd.array(np.asarray(entry["winners"])[slot], dtype="Int64")
-        winners[~member] = pd.NA
-        out["keep_id"] = winners
-        out["group_size"] = np.where(member, np.asarray(entry["sizes"])[slot], 0)
-    else:
-        out["keep_id"] = out["keep_id"].astype("Int64")
-    return out
+        at = pa.array(slot, mask=~member)
+        ids = entry["winners"].values.take(at)
+        sizes = pc.fill_null(entry["sizes"].values.take(at), 0)
+    return out.append_column("winner", ids).append_column("size", sizes)
 
 
 def look_up(rows: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
-    """Winner and group size of each row; null and 0 for digests that the index lacks."""
+    """Winner and group size in the history of each row; null and 0 for digests it lacks."""
     rows = rows.withColumn("bucket", bucket_of(buckets))
     parts = (rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
              .select("bucket", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts")))
-    rows = (rows.join(parts, "bucket")
-            .withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
-            .select("doc_id", "text_sha256", "digest", "bucket", "part"))
+    # the row's own number deals rows that repeat an id over all parts
+    rows = (rows.withColumn("uid", F.monotonically_increasing_id()).join(parts, "bucket")
+            .withColumn("part", F.pmod(F.xxhash64("doc_id", "uid"), F.col("parts")))
+            .select("doc_id", "text_sha256", "recent", "digest", "bucket", "part"))
     index = (index.join(parts, "bucket")
              .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
              .withColumn("part", F.col("part").cast("long")).drop("parts"))
-    return rows.groupBy("bucket", "part").cogroup(index.groupBy("bucket", "part")).applyInPandas(
-        _look_up,
-        "doc_id long, text_sha256 string, keep_id long, group_size long")
+    return rows.groupBy("bucket", "part").cogroup(index.groupBy("bucket", "part")).applyInArrow(
+        _look_up, "doc_id long, text_sha256 string, recent boolean, winner long, size long")
 
 
 def dedup(rows: DataFrame, history: DataFrame | None = None) -> DataFrame:
@@ -156,20 +163,34 @@ def dedup(rows: DataFrame, history: DataFrame | None = None) -> DataFrame:
 
     ``history`` holds digests seen before: rows whose digest it has are repeats of its winner.
     The others are grouped among themselves, the largest id winning. Without a history the
-    table is its own history, so every row is a member.
+    older half of the table is its own (see :func:`older_half`): all rows are looked up in the
+    index over it, and the recent rows are counted by digest, members beside nonmembers; the
+    largest id of a group wins, be it in the slot or among the recent rows.
     """
     out = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id"))
            .alias("kept"), "text_sha256"]
-    index, buckets = build_index(rows if history is None else history)
-    found = look_up(rows, index, buckets)
-    if history is None:
+    own = history is None
+    rows = older_half(rows) if own else rows.withColumn("recent", F.lit(True))
+    index, buckets = build_index(rows.where(~F.col("recent")) if own else history)
+    found = cut(look_up(rows, index, buckets), "op8-found")
+    met = found.where(F.col("recent") & (F.lit(own) | (F.col("size") == 0)))
+    # a written table, so AQE can split the join at a hot text
+    groups = cut(met.groupBy("text_sha256").agg(F.max("doc_id").alias("w"),
+                                                F.count(F.lit(1)).alias("g")), "op8-recent")
+    found = found.join(groups, "text_sha256", "left").withColumns({
+        "keep_id": F.greatest("winner", "w"),
+        "group_size": F.col("size") + F.coalesce("g", F.lit(0))})
+    if own:
         return found.select(*out)
-    found = cut(found, "op8-found")
-    new = found.where(F.col("group_size") == 0)
-    groups = new.groupBy("text_sha256").agg(F.max("doc_id").alias("w"),
-                                            F.count(F.lit(1)).alias("g"))
-    new = (new.join(groups, "text_sha256")
-           .withColumns({"keep_id": F.col("w"), "group_size": F.col("g")}))
-    old = found.where(F.col("group_size") > 0)
-    return old.select(*out[:3], F.lit(False).alias("kept"), "text_sha256").unionByName(
-        new.select(*out))
+    old = F.col("size") > 0
+    return found.withColumn("keep_id", F.when(old, F.col("winner")).otherwise(F.col("w"))).select(
+        *out[:3], (~old & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        "text_sha256")
+
+
+def older_half(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``recent``: whether the id lies above the middle of the ids' range. Rows
+    without an id are of the older half, as are all when there is one id only."""
+    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    middle = F.lit(None if low is None else low + (high - low) // 2).cast("long")
+    return rows.withColumn("recent", F.coalesce(F.col("doc_id") > middle, F.lit(False)))
