@@ -147,8 +147,12 @@ def _similar_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataF
             .where(same >= F.lit(int(COORDINATES * SIGNATURE_SHARE))).select("a", "b"))
 
 
-def _children(rows: DataFrame) -> DataFrame:
-    """Branch rows (key, cls, label, sig): the path picks the coordinates."""
+def _children(rows: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Branch rows (key, cls, label): the path picks the coordinates of the signature, which
+    meets a class once, with all its nodes."""
+    rows = (rows.groupBy("cls").agg(F.first("label").alias("label"),
+                                    F.collect_list("key").alias("keys"))
+            .join(sigs, "cls").select(F.explode("keys").alias("key"), "cls", "label", "sig"))
 
     def child(j: int) -> Column:
         coordinate = F.pmod(F.xxhash64("key", F.lit(j)), F.lit(COORDINATES)).cast("int")
@@ -259,7 +263,7 @@ def similarity_links(docs: DataFrame, classes: DataFrame, shingle: int,
     for _ in range(MAX_DEPTH):
         if not rows.head(1):
             break
-        rows = cut(_sized(_children(rows.join(sigs, "cls"))), "near-level")
+        rows = cut(_sized(_children(rows, sigs)), "near-level")
         later.append(_small_pairs(rows).unionByName(_star_pairs(rows)))
         rows = rows.where(F.col("size") > SMALL).select("key", "cls", "label")
     else:
