@@ -4,7 +4,7 @@ Each task keeps one tokenizer. The bytes of its texts are taken in windows of ab
 bytes, however long or short the texts are, so working memory follows the window and no text or
 token id leaves the task. In a window the texts are cut into pieces at every safe boundary;
 equal pieces are encoded once, all in one call, and the count of a text is the sum over its
-pieces.
+pieces. A process remembers the lengths of up to about ``KNOWN`` short pieces it met before.
 
 A boundary is safe where the tokenizer itself always cuts, whatever stands around it:
 
@@ -40,15 +40,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 1 << 21
+KNOWN, SHORT = 400_000, 32  # pieces whose lengths a task's process remembers, and their size
 MAX_FILE = 1 << 26
 
 
 class Tokenizer(NamedTuple):
     """``encode`` gives the lengths of a batch of texts, ``cut`` the safe boundaries in some
-    bytes (None: unknown); ``drops``: the space at a boundary is left out."""
+    bytes (None: unknown); ``drops``: the space at a boundary is left out; ``known``: lengths of
+    short pieces that were encoded before."""
 
     encode: Callable[[list[str]], list[int]]
     cut: Callable[[np.ndarray], np.ndarray] | None
+    known: dict[str, int]
     drops: bool = False
 
 
@@ -110,7 +113,7 @@ def load(blob: bytes, kind: str) -> Tokenizer:
         own.no_padding()
         return Tokenizer(
             lambda texts: [len(e) for e in own.encode_batch_fast(texts, add_special_tokens=False)],
-            byte_level_cut if _is_byte_level(json.loads(blob)) else None)
+            byte_level_cut if _is_byte_level(json.loads(blob)) else None, {})
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_proto=blob)
@@ -118,7 +121,7 @@ def load(blob: bytes, kind: str) -> Tokenizer:
     apart = (model.encode("x", out_type=str)[:1] == ["▁x"]
              and not any("▁" in p.lstrip("▁") for p in pieces))
     return Tokenizer(lambda texts: [len(x) for x in model.encode(texts, num_threads=1)],
-                     one_space_cut if apart else None, drops=apart)
+                     one_space_cut if apart else None, {}, drops=apart)
 
 
 def lengths(texts: pa.Array, tokenizer: Tokenizer, window: int = WINDOW) -> np.ndarray:
@@ -151,7 +154,10 @@ def lengths(texts: pa.Array, tokenizer: Tokenizer, window: int = WINDOW) -> np.n
             dropped[0] = after_cut
             starts = starts + dropped
             after_cut = bool(len(at)) and at[-1] == ends[-1]
-        np.add.at(out, owner, _piece_lengths(part, starts, ends, tokenizer))
+        sizes = _piece_lengths(part, starts, ends, tokenizer)
+        base = int(owner[0])
+        found = np.bincount(owner - base, weights=sizes).astype(np.int64)
+        out[base:base + len(found)] += found
         lo, size = lo + int(ends[-1]), window
     return out
 
@@ -167,7 +173,14 @@ def _piece_lengths(part: np.ndarray, starts: np.ndarray, ends: np.ndarray,
         None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(part))])
     coded = raw.dictionary_encode()
     texts = coded.dictionary.cast(pa.large_string()).to_pylist()
-    return np.array(tokenizer.encode(texts), np.int64)[coded.indices.to_numpy()]
+    known = tokenizer.known
+    new = [t for t in texts if t not in known]
+    fresh = dict(zip(new, tokenizer.encode(new)))
+    counts = np.array([known[t] if t in known else fresh[t] for t in texts], np.int64)
+    if len(known) > KNOWN:
+        known.clear()
+    known.update((t, n) for t, n in fresh.items() if len(t) <= SHORT)
+    return counts[coded.indices.to_numpy()]
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id",

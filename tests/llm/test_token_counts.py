@@ -57,6 +57,7 @@ def test_empty_table_and_ids_beyond_a_double(spark):
     max_size=60), max_size=6), window=st.integers(1, 40))
 def test_pieces_at_safe_boundaries_sum_to_the_whole(path, texts, window):
     tokenizer = _load(path)
+    tokenizer = tokenizer._replace(known=tokenizer.known if window % 2 else {})
     assert tokenizer.cut is not None
     got = T.lengths(pa.array(texts, pa.string()), tokenizer, window).tolist()
     assert got == tokenizer.encode([t or "" for t in texts])
@@ -71,13 +72,22 @@ def test_windows_bound_what_is_encoded_at_once():
         return tokenizer.encode(texts)
 
     texts = [" ".join(f"word{i}" for i in range(40_000)), *["short"] * 200, None, "wörter " * 9]
-    got = T.lengths(pa.array(texts).slice(1), tokenizer._replace(encode=noted), 20_000)
+    got = T.lengths(pa.array(texts).slice(1), tokenizer._replace(encode=noted, known={}), 20_000)
     assert got.tolist() == tokenizer.encode([t or "" for t in texts[1:]])
-    got = T.lengths(pa.array(texts), tokenizer._replace(encode=noted), 20_000)
+    got = T.lengths(pa.array(texts), tokenizer._replace(encode=noted, known={}), 20_000)
     assert got.tolist() == tokenizer.encode([t or "" for t in texts])
     assert max(held) <= 20_000 and len(held) > 15
 
 
+def test_remembered_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(T, "KNOWN", 50)
+    tokenizer = _load(JSON)._replace(known={})
+    texts = [f"w{i} w{i % 7} " + "x" * 50 for i in range(2000)]
+    got = T.lengths(pa.array(texts), tokenizer, 300)
+    assert got.tolist() == tokenizer.encode(texts)
+    assert len(tokenizer.known) < 200 and max(map(len, tokenizer.known)) <= T.SHORT
+
+
 def test_other_file_kinds_are_refused(spark):
     with pytest.raises(ValueError):
         T.count_tokens(spark.createDataFrame([], "doc_id long, text string"), "x.tiktoken", 1)
