@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from adperf import schemas as S
 from adperf.functions.dates import ntz
 from adperf.operators import budget, campaigns, dedup, insights, quality, rollup, validate
-from adperf.plans import fetch, publish, request
+from adperf.plans import deltas, fetch, publish, request
 from adperf.plans import ingest as ingest_job
 from adperf.plans import reaggregate as reaggregate_job
 from adperf.session import checkpoint_dir
@@ -507,6 +507,47 @@ def q_ingest_interrupted(spark, sf_dir):
     return storage.read_insights(spark, root).select(*INSIGHT_OUT)
 
 
+def q_ingest_deltas(spark, sf_dir):
+    """A8 as deltas: all events; newer versions of the purchases in another region; older
+    versions of the clicks, which lose; the views once more, which change nothing; the days
+    compacted; the first batch run again without its signups. The merged deltas are the roll-up
+    of the facts that are left."""
+    raw = tables.with_driver_event_fields(tables.ad_events_raw(spark, sf_dir), REPLAY_KEY)
+    kind = F.coalesce("event_type", F.lit(""))
+    day = F.expr("INTERVAL 1 DAY")
+    root = ingest.scratch_root(spark, "deltas")
+    newer = (raw.filter(kind == "purchase").withColumn("region", F.lit("MOVED"))
+             .withColumn("processed_at", F.col("processed_at") + day))
+    older = (raw.filter(kind == "click").withColumn("region", F.lit("LOST"))
+             .withColumn("processed_at", F.col("processed_at") - day))
+    for name, batch in (("b1", raw), ("b2", newer), ("b3", older),
+                        ("b4", raw.filter(kind == "view")), ("", None),
+                        ("b1", raw.filter(kind != "signup")), ("b5", raw.limit(0))):
+        if batch is None:
+            deltas.compact(spark, root)
+        else:
+            ingest_job.ingest_batch(spark, batch, root, name, now=F.col("received_at"),
+                                    processed_at=F.col("processed_at"), arrived=ARRIVED,
+                                    ttl_dedup=False, how=deltas.DeltaRun)
+    return deltas.read_delta_insights(spark, root).select(*INSIGHT_OUT)
+
+
+def q_stream_deltas(spark, sf_dir):
+    """A8 in a stream: the events land in three files, one micro-batch each, purchases a file
+    late; every micro-batch adds its deltas and reads no day again."""
+    raw = tables.table(spark, sf_dir, "events")
+    root = ingest.scratch_root(spark, "stream-deltas")
+    landed = os.path.join(root, "landed")
+    for part in increment_batches(raw.withColumn("event_time", F.col("ts"))):
+        part.drop("event_time").coalesce(1).write.mode("append").parquet(landed)
+    stream = (spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(landed))
+    events = tables.with_driver_event_fields(
+        tables.ad_events_raw(spark, sf_dir, events=stream), REPLAY_KEY)
+    ingest.run(events, root, os.path.join(root, "_checkpoint"), now=F.col("received_at"),
+               processed_at=F.col("processed_at"), how=deltas.DeltaRun).awaitTermination()
+    return deltas.read_delta_insights(spark, root).select(*INSIGHT_OUT)
+
+
 def _stored(spark, sf_dir, name) -> tuple[str, DataFrame]:
     """A store with all accepted events and their insights."""
     facts = accepted_events(spark, sf_dir)
@@ -843,6 +884,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "event_json_any_case": q_event_json_any_case,
     "fetch_publish": q_fetch_publish,
     "ingest_interrupted": q_ingest_interrupted,
+    "ingest_deltas": q_ingest_deltas,
+    "stream_deltas": q_stream_deltas,
     "spend_running": q_spend_running,
     "campaign_update_owned": q_campaign_update_owned,
     "campaign_update_refused": q_campaign_update_refused,

@@ -9,6 +9,7 @@ columns reuse the same sums.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +71,49 @@ def regroup_insights_by(insights: DataFrame, granularity: str, extra_keys: list[
     return _finish(grouped, keys, None)
 
 
+def _signed_sums(facts: DataFrame, sign: int) -> DataFrame:
+    one = F.lit(sign)
+    return facts.select(
+        "campaign_id", F.to_date("event_time").alias("date"), "platform", "region",
+        *[(F.col(c).cast("long") * one).alias(c) for c in S.COUNTERS],
+        *[(F.col(c).cast(_SUM_TYPE) * one).cast(_SUM_TYPE).alias(c) for c in S.AMOUNTS],
+        one.cast("long").alias("n_facts"))
+
+
+def _delta_sums() -> list[Column]:
+    wide = "decimal(38,9)"
+    return ([F.sum(c).alias(c) for c in S.COUNTERS]
+            + [F.sum(c).cast(wide).alias(c) for c in S.AMOUNTS] + [F.sum("n_facts").alias("n_facts")])
+
+
+def insight_deltas(new: DataFrame, before: DataFrame | None) -> DataFrame:
+    """A8 as deltas: what the facts ``new`` add to and take from the daily sums.
+
+    ``before`` holds the stored facts of the same fact keys (more do no harm). The last version
+    of a key among both counts, the last one stored before no longer does: rows that lose, and
+    rows delivered again, cancel out. ``n_facts`` is the change of the number of facts.
+    """
+    if before is None:
+        signed = _signed_sums(latest_facts(new), 1)
+    else:
+        new = new.select(*before.columns)
+        signed = _signed_sums(latest_facts(before.unionByName(new)), 1).unionByName(
+            _signed_sums(latest_facts(before), -1))
+    deltas = signed.groupBy(*S.INSIGHT_KEY).agg(*_delta_sums())
+    changed = [F.col(c) != 0 for c in (*S.METRICS, "n_facts")]
+    return deltas.filter(reduce(lambda a, b: a | b, changed))
+
+
+def merge_deltas(deltas: DataFrame) -> DataFrame:
+    """The sum of delta rows per insight key; keys without any fact left are gone."""
+    return deltas.groupBy(*S.INSIGHT_KEY).agg(*_delta_sums()).filter(F.col("n_facts") > 0)
+
+
+def insights_of_deltas(deltas: DataFrame, updated_at: Column | None = None) -> DataFrame:
+    """A1-A6 from delta rows: the same rows as :func:`insights_of` over all facts."""
+    return _finish(merge_deltas(deltas), list(S.INSIGHT_KEY), updated_at)
+
+
 def touched_days(new_facts: DataFrame) -> DataFrame:
     """``(campaign_id, date)`` keys a batch of facts changes."""
     return new_facts.select("campaign_id", F.to_date("event_time").alias("date")).distinct()

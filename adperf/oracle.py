@@ -548,3 +548,15 @@ SELECT id + 1000000000, user_id, 'not_found', CAST(NULL AS VARCHAR), CAST(NULL A
 
 # stopped runs leave nothing: the rows are those of the corrected re-run alone
 SQL["ingest_interrupted"] = SQL["ingest_rerun_corrected"]
+
+SQL["stream_deltas"] = SQL["insights_daily"]
+
+SQL["ingest_deltas"] = _with(RAW, _valid(KEY_REPLAY), """versions AS (
+  SELECT * FROM valid WHERE event_type <> 'signup'
+  UNION ALL
+  SELECT * REPLACE ('MOVED' AS region, processed_at + INTERVAL 1 DAY AS processed_at)
+  FROM valid WHERE event_type = 'purchase'
+  UNION ALL
+  SELECT * REPLACE ('LOST' AS region, processed_at - INTERVAL 1 DAY AS processed_at)
+  FROM valid WHERE event_type = 'click'
+)""", _latest("versions"), _rollup("latest", DAY, "daily")) + f"SELECT {INSIGHT_COLS} FROM daily"

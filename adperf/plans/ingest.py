@@ -45,6 +45,7 @@ class BatchRun:
     """
 
     STEPS = ("begin", "facts", "rejects", "state", "switch", "refresh", "finish")
+    KIND = "table"
 
     def __init__(self, spark: SparkSession, good: DataFrame, rejects: DataFrame, root: str,
                  batch_id: str | int, arrived: dt.datetime, stamp: Column,
@@ -53,14 +54,14 @@ class BatchRun:
         self.good, self.bad, self.arrived, self.stamp = good, rejects, arrived, stamp
         self.ttl_dedup, self.mode, self.in_stream = ttl_dedup, mode, in_stream
 
-    def run(self, steps: int = len(STEPS)) -> None:
+    def run(self, steps: int | None = None) -> None:
         """The first ``steps`` steps; all of them, unless a stop on the way is wanted."""
         for name in self.STEPS[:steps]:
             getattr(self, name)()
 
     def begin(self) -> None:
         recover(self.spark, self.root, self.batch_id, self.stamp, self.in_stream)
-        self.record = journal.begin(self.spark, self.root, self.batch_id)
+        self.record = journal.begin(self.spark, self.root, self.batch_id, self.KIND)
 
     def facts(self) -> None:
         kept = self.good
@@ -96,11 +97,13 @@ class BatchRun:
 def ingest_batch(spark: SparkSession, incoming: DataFrame, root: str, batch_id: str | int,
                  now: Column | None = None, processed_at: Column | None = None,
                  ttl_dedup: bool = True, fact_schema=None, mode: str = "first",
-                 arrived: dt.datetime | None = None, steps: int = len(BatchRun.STEPS)) -> dict:
+                 arrived: dt.datetime | None = None, steps: int | None = None,
+                 how: type[BatchRun] = BatchRun) -> dict:
     """Run one ingest batch; returns row counts (accepted, duplicates, rejected).
 
-    ``steps`` stops it after some of :attr:`BatchRun.STEPS`, as a crash would: a drill for
-    recovery, after which ``accepted`` counts what the batch's last finished run holds.
+    ``how`` is the kind of run: insights as a table of whole days, or as deltas
+    (``plans.deltas.DeltaRun``). ``steps`` stops it after some of its steps, as a crash would: a
+    drill for recovery, after which ``accepted`` counts what the batch's last finished run holds.
 
     ``mode="first"`` (default) keeps the first row per dedup key unless an earlier batch
     accepted the key within the TTL before this one ``arrived`` (default: the wall clock);
@@ -116,8 +119,8 @@ def ingest_batch(spark: SparkSession, incoming: DataFrame, root: str, batch_id:
         F.count_if(F.col("reject_reason").isNotNull()).alias("bad"))
     checkpoint_dir(spark)
     checked = checked.checkpoint(eager=True)  # one decode + validation pass for both outputs
-    BatchRun(spark, validate.accepted(checked).drop("raw_value"), validate.rejected(checked),
-             root, batch_id, arrived, F.localtimestamp(), ttl_dedup, mode).run(steps)
+    how(spark, validate.accepted(checked).drop("raw_value"), validate.rejected(checked), root,
+        batch_id, arrived, F.localtimestamp(), ttl_dedup, mode).run(steps)
     stored = storage.read_batch(spark, root, batch_id)
     kept, counts = 0 if stored is None else stored.count(), seen.get
     return {"accepted": kept, "duplicates": counts["good"] - kept, "rejected": counts["bad"]}

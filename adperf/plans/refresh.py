@@ -30,7 +30,8 @@ def recover(spark: SparkSession, root: str, batch_id: str | int | None = None,
     """Bring runs that stopped on the way to an end; returns their batches.
 
     A run that was not switched is undone: no reader has seen it. A switched one is finished:
-    the days of both its runs are refreshed, then what it replaced is deleted. ``batch_id``
+    the days of both its runs are refreshed (where insights are deltas, they count already),
+    then what it replaced is deleted. ``batch_id``
     limits this to one batch (whose next run does it first); without it every open record is
     taken, so nothing else may be writing to the store meanwhile.
     """
@@ -40,10 +41,11 @@ def recover(spark: SparkSession, root: str, batch_id: str | int | None = None,
         found = journal.open_record(spark, root, journal.batch_name(batch_id))
         records = [found] if found else []
     for record in records:
-        if record.switched:
+        if not record.switched:
+            storage.undo_run(spark, root, record)
+            continue
+        if record.kind == "table":
             stamp = updated_at if updated_at is not None else F.localtimestamp()
             refresh_days(spark, root, storage.changed_days(record), stamp, in_stream)
-            storage.finish_run(spark, root, record)
-        else:
-            storage.undo_run(spark, root, record)
+        storage.finish_run(spark, root, record)
     return [r.batch for r in records]

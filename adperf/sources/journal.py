@@ -32,10 +32,12 @@ BATCHES = "batches"
 @dataclass(frozen=True)
 class Record:
     """A run under way: ``old_run`` and ``old_days`` are what the batch stored before,
-    ``days`` what this run stored (known once it is ``switched``)."""
+    ``days`` what this run stored (known once it is ``switched``). ``kind`` says what is left to
+    do after the switch: ``table`` (refresh whole days), ``deltas`` (nothing) or ``compact``."""
 
     batch: str
     run: str
+    kind: str = "table"
     old_run: str | None = None
     old_days: list[str] = field(default_factory=list)
     days: list[str] = field(default_factory=list)
@@ -118,13 +120,14 @@ def _put(spark: SparkSession, root: str, record: Record) -> Record:
     return record
 
 
-def begin(spark: SparkSession, root: str, batch_id: str | int) -> Record:
+def begin(spark: SparkSession, root: str, batch_id: str | int, kind: str = "table") -> Record:
     """Open a run of a batch; an earlier record of the batch must have been recovered."""
     batch = batch_name(batch_id)
     if open_record(spark, root, batch) is not None:
         raise ValueError(f"batch {batch} has a run under way; recover it first")
     old = pointer(spark, root, batch) or {}
-    return _put(spark, root, Record(batch, uuid.uuid4().hex, old.get("run"), old.get("days", [])))
+    return _put(spark, root, Record(batch, uuid.uuid4().hex, kind, old.get("run"),
+                                    old.get("days", [])))
 
 
 def switch(spark: SparkSession, root: str, record: Record, days: list[str]) -> Record:

@@ -12,6 +12,9 @@ Layout under a root folder (a shared file system or object store on a cluster):
   that asks, never the state. Only the days of one TTL window are ever read back.
 - ``insights/day=YYYY-MM-DD/`` - daily insights; a refresh replaces whole days, recomputed from
   the facts that count.
+- ``insight_deltas/event_date=YYYY-MM-DD/generation=<n>/ingest_batch=<id>/run=<run>/`` - what each
+  run adds to and takes from the daily sums, for stores that keep deltas in place of the table
+  above (:mod:`adperf.plans.deltas`). A day is the sum of its highest generation.
 - ``facts/_schema.json`` - the schema of the facts, so that no reader infers it from footers.
 
 Writes use a ``rebalance`` hint on the partition column, so AQE sizes the output tasks (and
@@ -43,6 +46,7 @@ FACTS = "facts"
 INSIGHTS = "insights"
 REJECTS = "rejects"
 DEDUP_STATE = "dedup_state"
+DELTAS = "insight_deltas"
 #: buckets of the dedup state: the number of tasks that eight days of keys are read by
 STATE_BUCKETS = 32
 RUN_PARTS = [T.StructField("ingest_batch", T.StringType()), T.StructField("run", T.StringType())]
@@ -96,6 +100,12 @@ def _run_days(spark: SparkSession, root: str, name: str, batch: str, run: str) -
         return [day for day, found in zip(folders, there) if found]
 
 
+def run_days(spark: SparkSession, root: str, record: Record) -> list[dt.date]:
+    """Days for which a run wrote facts, switched or not."""
+    return [dt.date.fromisoformat(d)
+            for d in _run_days(spark, root, FACTS, record.batch, record.run) if d != NO_DAY]
+
+
 def _delete_run(spark: SparkSession, root: str, batch: str, run: str,
                 fact_days: list[str] | None = None) -> None:
     """Delete all that a run wrote, and batch and day folders that are empty then."""
@@ -104,13 +114,18 @@ def _delete_run(spark: SparkSession, root: str, batch: str, run: str,
     state_days = _run_days(spark, root, DEDUP_STATE, batch, run)
     gone = [_run_path(root, FACTS, f"event_date={d}", batch, run) for d in fact_days]
     gone += [_run_path(root, DEDUP_STATE, f"state_day={d}", batch, run) for d in state_days]
-    for path in gone:
+    _drop(spark, gone)
+    journal.delete(spark, _run_path(root, REJECTS, None, batch, run))
+
+
+def _drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete run folders, and the two levels above them where nothing is left there."""
+    for path in paths:
         journal.delete(spark, path)
         for _ in range(2):
             path = os.path.dirname(path)
             if not journal.children(spark, path):
                 journal.delete(spark, path)
-    journal.delete(spark, _run_path(root, REJECTS, None, batch, run))
 
 
 # ---- schema -------------------------------------------------------------------------------
@@ -154,13 +169,18 @@ def switch_run(spark: SparkSession, root: str, record: Record) -> Record:
 def undo_run(spark: SparkSession, root: str, record: Record) -> None:
     """Forget a run that is not switched: no reader has seen any of it."""
     _delete_run(spark, root, record.batch, record.run)
+    if record.kind != "table":
+        drop_run_deltas(spark, root, record)
     journal.close(spark, root, record)
 
 
 def finish_run(spark: SparkSession, root: str, record: Record) -> None:
-    """Point the batch to its switched run, delete the run it replaces, close the record. May be
+    """Point the batch to its switched run, delete what it replaces, close the record. May be
     repeated at any point."""
-    journal.point(spark, root, record)
+    if record.kind != "table":
+        drop_old_generations(spark, root, sorted({*record.days, *record.old_days}))
+    if record.kind != "compact":
+        journal.point(spark, root, record)
     if record.old_run:
         _delete_run(spark, root, record.batch, record.old_run, record.old_days)
     journal.close(spark, root, record)
@@ -188,7 +208,7 @@ def write_facts(facts: DataFrame, root: str, batch_id: str | int,
 # ---- facts --------------------------------------------------------------------------------
 
 def _read_days(spark: SparkSession, root: str, name: str, schema: T.StructType, column: str,
-               wanted: list[str]) -> DataFrame:
+               wanted: list[str], as_if: Record | None = None) -> DataFrame:
     """Rows that count, of the day folders ``wanted`` alone: other days are not even listed."""
     base = os.path.join(root, name)
     full = T.StructType([*schema.fields, T.StructField(column, T.DateType()), *RUN_PARTS])
@@ -196,8 +216,10 @@ def _read_days(spark: SparkSession, root: str, name: str, schema: T.StructType,
         return spark.createDataFrame([], full)
     df = (spark.read.schema(full).option("basePath", base)
           .parquet(*[os.path.join(base, f"{column}={d}") for d in wanted]))
-    hidden = journal.hidden_runs(spark, root)
-    return df.filter(~F.col("run").isin(hidden)) if hidden else df
+    hidden = set(journal.hidden_runs(spark, root))
+    if as_if is not None:
+        hidden = (hidden - {as_if.run}) | {as_if.old_run} - {None}
+    return df.filter(~F.col("run").isin(sorted(hidden))) if hidden else df
 
 
 def live_days(spark: SparkSession, root: str, days: list[dt.date]) -> list[dt.date]:
@@ -213,21 +235,27 @@ def live_days(spark: SparkSession, root: str, days: list[dt.date]) -> list[dt.da
     return out
 
 
-def read_facts(spark: SparkSession, root: str, start: dt.date | None = None,
-               end: dt.date | None = None, days: list[dt.date] | None = None,
-               schema=S.EVENT_SCHEMA) -> DataFrame:
-    """Facts of the whole days ``start..end`` and/or of ``days``; other days are not listed.
-
-    An absent table reads as empty with ``schema``.
-    """
-    known = _folders(spark, root, FACTS)
+def _days_between(known: dict[str, str], start: dt.date | None, end: dt.date | None,
+                  days: list[dt.date] | None) -> list[str]:
     wanted = set(known) if days is None else {d.isoformat() for d in days} & set(known)
     if start is not None:
         wanted = {d for d in wanted if d != NO_DAY and d >= start.isoformat()}
     if end is not None:
         wanted = {d for d in wanted if d != NO_DAY and d <= end.isoformat()}
+    return sorted(wanted)
+
+
+def read_facts(spark: SparkSession, root: str, start: dt.date | None = None,
+               end: dt.date | None = None, days: list[dt.date] | None = None,
+               schema=S.EVENT_SCHEMA, as_if: Record | None = None) -> DataFrame:
+    """Facts of the whole days ``start..end`` and/or of ``days``; other days are not listed.
+
+    An absent table reads as empty with ``schema``. ``as_if`` names a run under way that is read
+    as if it were switched already.
+    """
+    wanted = _days_between(_folders(spark, root, FACTS), start, end, days)
     found = _fact_schema(spark, root) or schema
-    return _read_days(spark, root, FACTS, found, "event_date", sorted(wanted)).select(
+    return _read_days(spark, root, FACTS, found, "event_date", wanted, as_if).select(
         *found.fieldNames())
 
 
@@ -291,6 +319,77 @@ def read_insights(spark: SparkSession, root: str, start: dt.date | None = None,
     return df.drop("day")
 
 
+# ---- insight deltas -----------------------------------------------------------------------
+
+def generations(spark: SparkSession, root: str, day: str) -> dict[int, set[str]]:
+    """Generations of a day's deltas that count, with their runs."""
+    hidden, out = set(journal.hidden_runs(spark, root)), {}
+    base = os.path.join(root, DELTAS, f"event_date={day}")
+    for g in journal.children(spark, base):
+        runs = {r.split("=", 1)[1] for b in journal.children(spark, os.path.join(base, g))
+                for r in journal.children(spark, os.path.join(base, g, b))} - hidden
+        if runs:
+            out[int(g.split("=", 1)[1])] = runs
+    return out
+
+
+def delta_days(spark: SparkSession, root: str, start: dt.date | None = None,
+               end: dt.date | None = None, days: list[dt.date] | None = None) -> dict[str, int]:
+    """Days that hold deltas, with the generation that counts."""
+    wanted = _days_between(_folders(spark, root, DELTAS), start, end, days)
+    with ThreadPoolExecutor(16) as pool:
+        found = pool.map(lambda d: max(generations(spark, root, d), default=-1), wanted)
+        return {d: g for d, g in zip(wanted, found) if g >= 0}
+
+
+def write_run_deltas(deltas: DataFrame, root: str, record: Record,
+                     in_stream: bool = False) -> None:
+    """Deltas of a run (insight key, sums, ``n_facts``, ``generation``)."""
+    df = deltas.withColumns({"event_date": F.col("date"), "ingest_batch": F.lit(record.batch),
+                             "run": F.lit(record.run)})
+    if journal.read_text(df.sparkSession, os.path.join(root, DELTAS, "_schema.json")) is None:
+        journal.write_text(df.sparkSession, os.path.join(root, DELTAS, "_schema.json"),
+                           deltas.drop("generation").schema.json())
+    _overwrite(df, os.path.join(root, DELTAS),
+               ["event_date", "generation", "ingest_batch", "run"], list(S.INSIGHT_KEY), in_stream)
+
+
+def read_deltas(spark: SparkSession, root: str, counted: dict[str, int]) -> DataFrame | None:
+    """Delta rows of the days and generations ``counted`` (from :func:`delta_days`)."""
+    text = journal.read_text(spark, os.path.join(root, DELTAS, "_schema.json"))
+    if text is None:
+        return None
+    schema = T.StructType.fromJson(json.loads(text))
+    if not counted:
+        return spark.createDataFrame([], schema)
+    base = os.path.join(root, DELTAS)
+    df = (spark.read.schema(T.StructType([*schema.fields, T.StructField(
+            "generation", T.IntegerType()), *RUN_PARTS])).option("basePath", base)
+          .parquet(*[os.path.join(base, f"event_date={d}", f"generation={g}")
+                     for d, g in counted.items()]))
+    hidden = journal.hidden_runs(spark, root)
+    return (df.filter(~F.col("run").isin(hidden)) if hidden else df).select(*schema.fieldNames())
+
+
+def drop_old_generations(spark: SparkSession, root: str, days: list[str]) -> None:
+    """Delete the generations of ``days`` below the one that counts."""
+    for day in days:
+        base = os.path.join(root, DELTAS, f"event_date={day}")
+        top = max(generations(spark, root, day), default=-1)
+        for g in journal.children(spark, base):
+            if int(g.split("=", 1)[1]) < top:
+                journal.delete(spark, os.path.join(base, g))
+
+
+def drop_run_deltas(spark: SparkSession, root: str, record: Record) -> None:
+    """Delete the deltas of a run that is not switched."""
+    for folder in _folders(spark, root, DELTAS).values():
+        base = os.path.join(root, DELTAS, folder)
+        _drop(spark, [path for g in journal.children(spark, base) if journal.exists(
+            spark, path := os.path.join(base, g, f"ingest_batch={record.batch}",
+                                        f"run={record.run}"))])
+
+
 # ---- dedup state --------------------------------------------------------------------------
 
 def _state_table(spark: SparkSession, root: str, key: str) -> str:

@@ -39,8 +39,9 @@ def prepare(stream: DataFrame, fact_schema=None, now: Column | None = None,
 
 
 def batch_writer(root: str, updated_at: Column | None = None, dedup: bool = True,
-                 arrived=None):
-    """The ``foreachBatch`` function: dedup, store, refresh touched days.
+                 arrived=None, how: type[BatchRun] = BatchRun):
+    """The ``foreachBatch`` function: dedup, store, refresh touched days (or add deltas, by
+    ``how``: see ``plans.deltas``).
 
     ``arrived`` maps an epoch to its arrival stamp (default: the wall clock when it is run).
     """
@@ -56,8 +57,8 @@ def batch_writer(root: str, updated_at: Column | None = None, dedup: bool = True
             stamp = updated_at if updated_at is not None else F.localtimestamp()
             at = arrived(epoch_id) if arrived is not None \
                 else dt.datetime.now(dt.UTC).replace(tzinfo=None)
-            BatchRun(spark, good, rejects, root, epoch_id, at, stamp, ttl_dedup=dedup,
-                     in_stream=True).run()
+            how(spark, good, rejects, root, epoch_id, at, stamp, ttl_dedup=dedup,
+                in_stream=True).run()
         finally:
             batch.unpersist()
 
@@ -66,9 +67,9 @@ def batch_writer(root: str, updated_at: Column | None = None, dedup: bool = True
 
 def start(prepared: DataFrame, root: str, checkpoint: str, available_now: bool = True,
           processing_time: str | None = None, updated_at: Column | None = None,
-          dedup: bool = True, arrived=None):
+          dedup: bool = True, arrived=None, how: type[BatchRun] = BatchRun):
     """Run the ingest as one streaming query; returns the ``StreamingQuery``."""
-    w = (prepared.writeStream.foreachBatch(batch_writer(root, updated_at, dedup, arrived))
+    w = (prepared.writeStream.foreachBatch(batch_writer(root, updated_at, dedup, arrived, how))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else \
         w.trigger(processingTime=processing_time or "1 minute")
@@ -82,8 +83,9 @@ def scratch_root(spark: SparkSession, name: str) -> str:
 
 def run(stream: DataFrame, root: str, checkpoint: str, fact_schema=None, dedup: bool = True,
         now: Column | None = None, processed_at: Column | None = None,
-        available_now: bool = True, processing_time: str | None = None, arrived=None):
+        available_now: bool = True, processing_time: str | None = None, arrived=None,
+        how: type[BatchRun] = BatchRun):
     """T1 in one call: ``prepare`` + ``start``. Returns the ``StreamingQuery``."""
     prepared = prepare(stream, fact_schema, now=now, processed_at=processed_at)
     return start(prepared, root, checkpoint, available_now=available_now,
-                 processing_time=processing_time, dedup=dedup, arrived=arrived)
+                 processing_time=processing_time, dedup=dedup, arrived=arrived, how=how)
