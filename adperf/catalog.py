@@ -25,7 +25,7 @@ from adperf.plans import ingest as ingest_job
 from adperf.plans import reaggregate as reaggregate_job
 from adperf.session import checkpoint_dir
 from adperf.sources import events as ev
-from adperf.sources import payloads, storage, tables
+from adperf.sources import message_log, payloads, storage, tables
 from adperf.streaming import ingest
 
 # Parameters of the registered queries (fixed so the oracle can repeat them).
@@ -532,18 +532,57 @@ def q_ingest_deltas(spark, sf_dir):
     return deltas.read_delta_insights(spark, root).select(*INSIGHT_OUT)
 
 
-def q_stream_deltas(spark, sf_dir):
-    """A8 in a stream: the events land in three files, one micro-batch each, purchases a file
-    late; every micro-batch adds its deltas and reads no day again."""
+def _landed_stream(spark, sf_dir, root) -> DataFrame:
+    """The events as a stream of three files, one a micro-batch, purchases a file late."""
     raw = tables.table(spark, sf_dir, "events")
-    root = ingest.scratch_root(spark, "stream-deltas")
     landed = os.path.join(root, "landed")
     for part in increment_batches(raw.withColumn("event_time", F.col("ts"))):
         part.drop("event_time").coalesce(1).write.mode("append").parquet(landed)
     stream = (spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(landed))
-    events = tables.with_driver_event_fields(
+    return tables.with_driver_event_fields(
         tables.ad_events_raw(spark, sf_dir, events=stream), REPLAY_KEY)
-    ingest.run(events, root, os.path.join(root, "_checkpoint"), now=F.col("received_at"),
+
+
+def _published(spark, sf_dir, root, attempt: str = "1") -> str:
+    """The landed events written to a message log by a stream; returns the log's path."""
+    log = os.path.join(root, "log")
+    ev.publish(_landed_stream(spark, sf_dir, os.path.join(root, attempt)), fmt=message_log.FORMAT,
+               path=log, checkpoint=os.path.join(root, f"_publish-{attempt}"),
+               available_now=True).awaitTermination()
+    return log
+
+
+def q_message_log_sink(spark, sf_dir):
+    """S2 once only: the events are written to a message log in three epochs, then all epochs
+    are replayed from the start; the log holds every message once."""
+    root = ingest.scratch_root(spark, "log-sink")
+    for attempt in ("1", "2"):
+        log = _published(spark, sf_dir, root, attempt)
+    messages = spark.read.format(message_log.register(spark)).load(log)
+    return _event_out(ev.decoded_ok(ev.decode_events(messages, S.event_schema(T.LongType()))))
+
+
+def q_message_log_ingest(spark, sf_dir):
+    """S1 -> P1 -> store: a consumer starts at the earliest offset of a message log and stops
+    half way; segments are delivered again; a second start resumes from its checkpoint and reads
+    the rest. Returns the stored insights."""
+    root = ingest.scratch_root(spark, "log-ingest")
+    log = _published(spark, sf_dir, root)
+    size = sum(end for s in message_log.segments(log).values() for _, end, _ in s[-1:])
+    for most in (size // 2 + 1, size):
+        stream = ev.event_stream(spark, message_log.FORMAT, log,
+                                 {"maxOffsetsPerTrigger": str(most)})
+        ingest.run(stream, root, os.path.join(root, "_checkpoint"), S.event_schema(T.LongType()),
+                   now=F.col("received_at"), processed_at=F.col("processed_at")).awaitTermination()
+        message_log.redeliver(log)
+    return storage.read_insights(spark, root).select(*INSIGHT_OUT)
+
+
+def q_stream_deltas(spark, sf_dir):
+    """A8 in a stream: the events land in three files, one micro-batch each, purchases a file
+    late; every micro-batch adds its deltas and reads no day again."""
+    root = ingest.scratch_root(spark, "stream-deltas")
+    ingest.run(_landed_stream(spark, sf_dir, root), root, os.path.join(root, "_checkpoint"), now=F.col("received_at"),
                processed_at=F.col("processed_at"), how=deltas.DeltaRun).awaitTermination()
     return deltas.read_delta_insights(spark, root).select(*INSIGHT_OUT)
 
@@ -886,6 +925,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_interrupted": q_ingest_interrupted,
     "ingest_deltas": q_ingest_deltas,
     "stream_deltas": q_stream_deltas,
+    "message_log_sink": q_message_log_sink,
+    "message_log_ingest": q_message_log_ingest,
     "spend_running": q_spend_running,
     "campaign_update_owned": q_campaign_update_owned,
     "campaign_update_refused": q_campaign_update_refused,

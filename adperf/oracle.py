@@ -560,3 +560,6 @@ SQL["ingest_deltas"] = _with(RAW, _valid(KEY_REPLAY), """versions AS (
   SELECT * REPLACE ('LOST' AS region, processed_at - INTERVAL 1 DAY AS processed_at)
   FROM valid WHERE event_type = 'click'
 )""", _latest("versions"), _rollup("latest", DAY, "daily")) + f"SELECT {INSIGHT_COLS} FROM daily"
+
+SQL["message_log_ingest"] = SQL["insights_daily"]
+SQL["message_log_sink"] = SQL["event_json_roundtrip"].replace(KEY_DAY, KEY_REPLAY)

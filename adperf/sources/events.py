@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adperf import schemas as S
+from adperf.sources import message_log
 
 CORRUPT = "_corrupt"
 # RFC 3339 with an optional fraction of 1-9 digits and an optional offset;
@@ -28,10 +29,13 @@ def event_stream(spark: SparkSession, fmt: str = "kafka", path: str | None = Non
     """A streaming DataFrame with string ``key`` and ``value`` columns.
 
     Kafka: pass ``subscribe`` / ``kafka.bootstrap.servers`` in ``options``; reading starts at
-    the earliest offset unless ``startingOffsets`` says otherwise. File formats: ``path`` is
-    the landing folder; ``text`` gives one message per line.
+    the earliest offset unless ``startingOffsets`` says otherwise, as from a message log
+    (``adperf_log``, :mod:`adperf.sources.message_log`). File formats: ``path`` is the landing
+    folder; ``text`` gives one message per line.
     """
     opts = dict(options or {})
+    if fmt == message_log.FORMAT:
+        message_log.register(spark)
     if fmt == "kafka":
         opts.setdefault("startingOffsets", "earliest")
     reader = spark.readStream.format(fmt).options(**opts)
@@ -54,17 +58,22 @@ def encode_events(df: DataFrame, key: str = "campaign_id") -> DataFrame:
 
 
 def publish(df: DataFrame, fmt: str = "kafka", options: dict | None = None,
-            path: str | None = None, checkpoint: str | None = None, key: str = "campaign_id"):
+            path: str | None = None, checkpoint: str | None = None, key: str = "campaign_id",
+            available_now: bool = False):
     """S2 as a sink: write events as keyed JSON messages.
 
     A streaming ``df`` starts a streaming query (returned); a batch ``df`` is written once.
-    Kafka takes ``kafka.bootstrap.servers`` / ``topic`` in ``options``; file formats take
-    ``path``.
+    Kafka takes ``kafka.bootstrap.servers`` / ``topic`` in ``options``; file formats and the
+    message log (a stream writes every message to it once) take ``path``.
     """
     out = encode_events(df, key)
     opts = dict(options or {})
+    if fmt == message_log.FORMAT:
+        message_log.register(df.sparkSession)
     if df.isStreaming:
         w = out.writeStream.format(fmt).options(**opts)
+        if available_now:
+            w = w.trigger(availableNow=True)
         if checkpoint:
             w = w.option("checkpointLocation", checkpoint)
         return w.start(path) if path else w.start()
