@@ -26,7 +26,7 @@ from adperf.plans import reaggregate as reaggregate_job
 from adperf.session import checkpoint_dir
 from adperf.sources import events as ev
 from adperf.sources import message_log, payloads, storage, tables
-from adperf.streaming import ingest
+from adperf.streaming import ingest, windows
 
 # Parameters of the registered queries (fixed so the oracle can repeat them).
 FILTER_START = dt.date(2024, 1, 8)
@@ -578,6 +578,21 @@ def q_message_log_ingest(spark, sf_dir):
     return storage.read_insights(spark, root).select(*INSIGHT_OUT)
 
 
+def q_stream_windows(spark, sf_dir):
+    """T3 + T4: daily windows with a watermark of two days over the events in three files,
+    purchases a file late (most of them behind the watermark), beside the facts query. Open
+    days come from the windows, closed ones from the day refresh; no late row is lost."""
+    root = ingest.scratch_root(spark, "windows")
+    checked = ingest.prepare(_landed_stream(spark, sf_dir, root), now=F.col("received_at"),
+                             processed_at=F.col("processed_at"))
+    live = windows.start(checked, root, os.path.join(root, "_windows"))
+    live.awaitTermination()
+    windows.note_watermark(spark, live, root)
+    ingest.start(checked, root, os.path.join(root, "_facts"), how=windows.WindowRun
+                 ).awaitTermination()
+    return windows.read_insights(spark, root).select(*INSIGHT_OUT)
+
+
 def q_stream_deltas(spark, sf_dir):
     """A8 in a stream: the events land in three files, one micro-batch each, purchases a file
     late; every micro-batch adds its deltas and reads no day again."""
@@ -925,6 +940,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_interrupted": q_ingest_interrupted,
     "ingest_deltas": q_ingest_deltas,
     "stream_deltas": q_stream_deltas,
+    "stream_windows": q_stream_windows,
     "message_log_sink": q_message_log_sink,
     "message_log_ingest": q_message_log_ingest,
     "spend_running": q_spend_running,

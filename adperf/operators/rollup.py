@@ -22,7 +22,8 @@ from adperf.operators.dedup import latest_facts
 _SUM_TYPE = S.MONEY  # amounts stay decimal through the sums
 
 
-def _sums() -> list[Column]:
+def metric_sums() -> list[Column]:
+    """Exact sums of the five metrics."""
     return ([F.sum(F.col(c).cast("long")).cast("long").alias(c) for c in S.COUNTERS]
             + [F.sum(F.col(c).cast(_SUM_TYPE)).alias(c) for c in S.AMOUNTS])
 
@@ -38,10 +39,15 @@ def _finish(grouped: DataFrame, keys: list[str], updated_at: Column | None) -> D
 def daily_insights(facts: DataFrame, updated_at: Column | None = None) -> DataFrame:
     """One row per ``(campaign_id, date, platform, region)`` with sums and ratios."""
     grouped = (facts.withColumn("date", F.to_date("event_time"))
-               .groupBy(*S.INSIGHT_KEY).agg(*_sums()))
+               .groupBy(*S.INSIGHT_KEY).agg(*metric_sums()))
     return _finish(grouped, list(S.INSIGHT_KEY), updated_at)
 
 
+def daily_sums_to_insights(sums: DataFrame, updated_at: Column | None = None) -> DataFrame:
+    """Insights from rows that hold the sums of their key already."""
+    return _finish(sums, list(S.INSIGHT_KEY), updated_at)
+
+
 def insights_of(facts: DataFrame, updated_at: Column | None = None) -> DataFrame:
     """D2 then A1: daily insights of stored or incoming facts, the last version of each fact
     counted once. Every path from facts to insights goes through here."""
@@ -58,7 +64,7 @@ def regroup_insights(insights: DataFrame, granularity: str) -> DataFrame:
     if g == "daily":
         return insights.select(*S.INSIGHT_COLUMNS)
     grouped = (insights.withColumn("date", period_start(F.col("date"), g))
-               .groupBy(*S.INSIGHT_KEY).agg(*_sums()))
+               .groupBy(*S.INSIGHT_KEY).agg(*metric_sums()))
     return _finish(grouped, list(S.INSIGHT_KEY), None)
 
 
@@ -67,7 +73,7 @@ def regroup_insights_by(insights: DataFrame, granularity: str, extra_keys: list[
     g = check_granularity(granularity)
     keys = list(S.INSIGHT_KEY) + list(extra_keys)
     grouped = (insights.withColumn("date", period_start(F.col("date"), g))
-               .groupBy(*keys).agg(*_sums()))
+               .groupBy(*keys).agg(*metric_sums()))
     return _finish(grouped, keys, None)
 
 

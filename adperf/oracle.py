@@ -563,3 +563,4 @@ SQL["ingest_deltas"] = _with(RAW, _valid(KEY_REPLAY), """versions AS (
 
 SQL["message_log_ingest"] = SQL["insights_daily"]
 SQL["message_log_sink"] = SQL["event_json_roundtrip"].replace(KEY_DAY, KEY_REPLAY)
+SQL["stream_windows"] = SQL["insights_daily"]

@@ -222,6 +222,11 @@ def _read_days(spark: SparkSession, root: str, name: str, schema: T.StructType,
     return df.filter(~F.col("run").isin(sorted(hidden))) if hidden else df
 
 
+def fact_days(spark: SparkSession, root: str) -> list[dt.date]:
+    """Days that have a folder of facts."""
+    return [dt.date.fromisoformat(d) for d in _folders(spark, root, FACTS) if d != NO_DAY]
+
+
 def live_days(spark: SparkSession, root: str, days: list[dt.date]) -> list[dt.date]:
     """Those of ``days`` that hold facts that count."""
     hidden, out = set(journal.hidden_runs(spark, root)), []

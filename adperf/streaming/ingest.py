@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import time
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +78,26 @@ def start(prepared: DataFrame, root: str, checkpoint: str, available_now: bool =
     return w.start()
 
 
+def keep_running(begin, attempts: int = 5, backoff: float = 1.0, sleep=time.sleep):
+    """Run a streaming query to its end through failures.
+
+    ``begin`` starts the query anew from its checkpoint. After a failure the next start waits
+    ``backoff`` seconds, twice as long each time; a start that makes progress (stores another
+    epoch) sets the count back. After ``attempts`` failures in a row the last one is raised.
+    """
+    failed = 0
+    while True:
+        query = begin()
+        try:
+            query.awaitTermination()
+            return query
+        except StreamingQueryException:
+            failed = 1 if any(p["numInputRows"] for p in query.recentProgress) else failed + 1
+            if failed >= attempts:
+                raise
+            sleep(backoff * 2 ** (failed - 1))
+
+
 def scratch_root(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder."""
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
