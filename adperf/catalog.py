@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adperf import schemas as S
-from adperf.functions.dates import ntz
+from adperf.functions.dates import ntz, try_day
 from adperf.operators import budget, campaigns, dedup, insights, quality, rollup, validate
-from adperf.plans import deltas, fetch, publish, request
+from adperf.plans import deltas, fetch, publish, request, retention
 from adperf.plans import ingest as ingest_job
 from adperf.plans import reaggregate as reaggregate_job
 from adperf.session import checkpoint_dir
 from adperf.sources import events as ev
-from adperf.sources import message_log, payloads, storage, tables
+from adperf.sources import dimensions, message_log, payloads, storage, tables
 from adperf.streaming import ingest, windows
 
 # Parameters of the registered queries (fixed so the oracle can repeat them).
@@ -880,6 +880,58 @@ def q_fetch_plan_owned(spark, sf_dir):
     return fetch.owned_fetch_plan(asked, camps, FETCH_AS_OF)
 
 
+def q_store_retention(spark, sf_dir):
+    """Retention: days before the range's start go from a store, the others stay as they are."""
+    root, _ = _stored(spark, sf_dir, "retention")
+    retention.expire(spark, root, FILTER_START)
+    again = rollup.insights_of(storage.read_facts(spark, root))
+    kept = storage.read_insights(spark, root).select(*INSIGHT_OUT)
+    # what the facts still give is what the insight table still holds
+    return kept.intersectAll(again.select(*INSIGHT_OUT))
+
+
+def q_dimension_scans(spark, sf_dir):
+    """S7 + F7: campaigns and users landed with more columns than the schemas name, a password
+    among them, and read back."""
+    root = ingest.scratch_root(spark, "dimensions")
+    people = tables.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("name"),
+        F.concat("c_name", F.lit("@example.org")).alias("email"),
+        F.sha2("c_name", 256).alias("password"), F.col("c_acctbal").alias("unnamed"))
+    people.write.parquet(os.path.join(root, "users"))
+    tables.ad_campaigns(spark, sf_dir).withColumn("unnamed", F.lit(1)).write.parquet(
+        os.path.join(root, "campaigns"))
+    users = dimensions.read_users(spark, os.path.join(root, "users"))
+    camps = dimensions.read_campaigns(spark, os.path.join(root, "campaigns"))
+    secret = sum(c in dimensions.SENSITIVE_COLUMNS for c in users.columns)
+    return camps.join(users.select(F.col("id").alias("user_id"), "email"), "user_id").select(
+        "id", "user_id", "email", "platform", F.col("budget").cast("double").alias("budget"),
+        "status", "name", F.lit(secret).alias("secret_columns"))
+
+
+def q_validate_stamps(spark, sf_dir):
+    """P5 + P6: received and processed stamps of every event; a third of them came without."""
+    raw = tables.with_driver_event_fields(tables.ad_events_raw(spark, sf_dir), REPLAY_KEY)
+    raw = raw.withColumn("received_at", F.when(F.col("id") % 3 > 0, F.col("received_at")))
+    checked = validate.validate(raw, now=_ts(ARRIVED), processed_at=_ts(ARRIVED) + F.expr(
+        "INTERVAL 5 SECONDS"))
+    return validate.accepted(checked).select("id", "received_at", "processed_at")
+
+
+def q_parse_days(spark, sf_dir):
+    """P12 on a column: strict ``YYYY-MM-DD``; other spellings of the ship date are refused."""
+    day, line = F.col("l_shipdate"), F.col("l_linenumber")
+    text = (F.when(line == 2, F.date_format(day, "yyyy/MM/dd"))
+            .when(line == 3, F.date_format(day, "dd-MM-yyyy"))
+            .when(line == 4, F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("x")))
+            .when(line == 5, F.concat(F.date_format(day, "yyyy"), F.lit("-13-01")))
+            .when(line == 6, F.lit("")).when(line == 7, F.lit(None))
+            .otherwise(F.date_format(day, "yyyy-MM-dd")))
+    li = tables.table(spark, sf_dir, "lineitem").select(line.alias("line"), text.alias("text"))
+    return (li.withColumn("day", try_day(F.col("text"))).groupBy("line", "day")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "validate_accept": q_validate_accept,
     "validate_rejects": q_validate_rejects,
@@ -943,6 +995,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_windows": q_stream_windows,
     "message_log_sink": q_message_log_sink,
     "message_log_ingest": q_message_log_ingest,
+    "store_retention": q_store_retention,
+    "dimension_scans": q_dimension_scans,
+    "validate_stamps": q_validate_stamps,
+    "parse_days": q_parse_days,
     "spend_running": q_spend_running,
     "campaign_update_owned": q_campaign_update_owned,
     "campaign_update_refused": q_campaign_update_refused,

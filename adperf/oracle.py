@@ -564,3 +564,19 @@ SQL["ingest_deltas"] = _with(RAW, _valid(KEY_REPLAY), """versions AS (
 SQL["message_log_ingest"] = SQL["insights_daily"]
 SQL["message_log_sink"] = SQL["event_json_roundtrip"].replace(KEY_DAY, KEY_REPLAY)
 SQL["stream_windows"] = SQL["insights_daily"]
+
+SQL["store_retention"] = SQL["insights_daily"] + " WHERE date >= DATE '2024-01-08'"
+
+SQL["dimension_scans"] = _with(CAMP) + """
+SELECT c.id, c.user_id, u.c_name || '@example.org' AS email, c.platform,
+  CAST(c.budget AS DOUBLE) AS budget, c.status, CAST(NULL AS VARCHAR) AS name,
+  0 AS secret_columns
+FROM camp c JOIN customer u ON c.user_id = u.c_custkey"""
+
+SQL["validate_stamps"] = _with(RAW, _valid(KEY_REPLAY)) + """
+SELECT id, CASE WHEN id % 3 > 0 THEN received_at ELSE TIMESTAMP '2024-02-01' END AS received_at,
+  TIMESTAMP '2024-02-01 00:00:05' AS processed_at FROM valid"""
+
+SQL["parse_days"] = """
+SELECT l_linenumber AS line, CASE WHEN l_linenumber = 1 OR l_linenumber > 7
+  THEN CAST(l_shipdate AS DATE) END AS day, count(*) AS n FROM lineitem GROUP BY 1, 2"""

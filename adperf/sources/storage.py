@@ -85,7 +85,7 @@ def _run_path(root: str, name: str, day: str | None, batch: str, run: str) -> st
     return os.path.join(root, name, *([day] if day else []), f"ingest_batch={batch}", f"run={run}")
 
 
-def _folders(spark: SparkSession, root: str, name: str) -> dict[str, str]:
+def day_folders(spark: SparkSession, root: str, name: str) -> dict[str, str]:
     """Day folders of a table: value (a day, or ``NO_DAY``) to folder name."""
     return {f.split("=", 1)[1]: f for f in journal.children(spark, os.path.join(root, name))
             if "=" in f}
@@ -93,7 +93,7 @@ def _folders(spark: SparkSession, root: str, name: str) -> dict[str, str]:
 
 def _run_days(spark: SparkSession, root: str, name: str, batch: str, run: str) -> list[str]:
     """Days (as folder values) for which a run wrote something: one look per day folder."""
-    folders = _folders(spark, root, name)
+    folders = day_folders(spark, root, name)
     with ThreadPoolExecutor(16) as pool:
         there = pool.map(lambda f: journal.exists(spark, _run_path(root, name, f, batch, run)),
                          folders.values())
@@ -224,13 +224,13 @@ def _read_days(spark: SparkSession, root: str, name: str, schema: T.StructType,
 
 def fact_days(spark: SparkSession, root: str) -> list[dt.date]:
     """Days that have a folder of facts."""
-    return [dt.date.fromisoformat(d) for d in _folders(spark, root, FACTS) if d != NO_DAY]
+    return [dt.date.fromisoformat(d) for d in day_folders(spark, root, FACTS) if d != NO_DAY]
 
 
 def live_days(spark: SparkSession, root: str, days: list[dt.date]) -> list[dt.date]:
     """Those of ``days`` that hold facts that count."""
     hidden, out = set(journal.hidden_runs(spark, root)), []
-    known = _folders(spark, root, FACTS)
+    known = day_folders(spark, root, FACTS)
     for day in days:
         folder = os.path.join(root, FACTS, known.get(day.isoformat(), ""))
         if day.isoformat() in known and any(
@@ -258,7 +258,7 @@ def read_facts(spark: SparkSession, root: str, start: dt.date | None = None,
     An absent table reads as empty with ``schema``. ``as_if`` names a run under way that is read
     as if it were switched already.
     """
-    wanted = _days_between(_folders(spark, root, FACTS), start, end, days)
+    wanted = _days_between(day_folders(spark, root, FACTS), start, end, days)
     found = _fact_schema(spark, root) or schema
     return _read_days(spark, root, FACTS, found, "event_date", wanted, as_if).select(
         *found.fieldNames())
@@ -281,7 +281,9 @@ def read_batch(spark: SparkSession, root: str, batch_id: str | int) -> DataFrame
     """The facts that a finished batch stored; None when it stored none."""
     batch = journal.batch_name(batch_id)
     found = journal.pointer(spark, root, batch)
-    return _read_run(spark, root, batch, found["run"], found["days"]) if found else None
+    kept = day_folders(spark, root, FACTS)  # retention may have taken some
+    return _read_run(spark, root, batch, found["run"],
+                     [d for d in found["days"] if d in kept]) if found else None
 
 
 # ---- insights -----------------------------------------------------------------------------
@@ -341,7 +343,7 @@ def generations(spark: SparkSession, root: str, day: str) -> dict[int, set[str]]
 def delta_days(spark: SparkSession, root: str, start: dt.date | None = None,
                end: dt.date | None = None, days: list[dt.date] | None = None) -> dict[str, int]:
     """Days that hold deltas, with the generation that counts."""
-    wanted = _days_between(_folders(spark, root, DELTAS), start, end, days)
+    wanted = _days_between(day_folders(spark, root, DELTAS), start, end, days)
     with ThreadPoolExecutor(16) as pool:
         found = pool.map(lambda d: max(generations(spark, root, d), default=-1), wanted)
         return {d: g for d, g in zip(wanted, found) if g >= 0}
@@ -388,7 +390,7 @@ def drop_old_generations(spark: SparkSession, root: str, days: list[str]) -> Non
 
 def drop_run_deltas(spark: SparkSession, root: str, record: Record) -> None:
     """Delete the deltas of a run that is not switched."""
-    for folder in _folders(spark, root, DELTAS).values():
+    for folder in day_folders(spark, root, DELTAS).values():
         base = os.path.join(root, DELTAS, folder)
         _drop(spark, [path for g in journal.children(spark, base) if journal.exists(
             spark, path := os.path.join(base, g, f"ingest_batch={record.batch}",
@@ -421,7 +423,7 @@ def state_buckets(spark: SparkSession, root: str) -> int:
 def _state_runs(spark: SparkSession, root: str, since: dt.date) -> set[tuple[str, str, str]]:
     """(state_day, ingest_batch, run) folders from ``since`` on, without hidden runs."""
     hidden, out = set(journal.hidden_runs(spark, root)), set()
-    for day, folder in _folders(spark, root, DEDUP_STATE).items():
+    for day, folder in day_folders(spark, root, DEDUP_STATE).items():
         if day >= since.isoformat():
             base = os.path.join(root, DEDUP_STATE, folder)
             out |= {(day, b.split("=", 1)[1], r.split("=", 1)[1])
