@@ -18,8 +18,11 @@ def _plan(df) -> str:
 
 
 def test_no_cross_joins_or_python_in_registered_queries(spark):
+    # these run whole jobs on the way and return a scan of what they stored
+    jobs = {"stream_ingest", "stream_deltas", "stream_windows", "message_log_sink",
+            "message_log_ingest", "ingest_interrupted", "ingest_deltas"}
     for name, fn in entry.QUERIES.items():
-        if name == "stream_ingest":
+        if name in jobs:
             continue
         plan = _plan(fn(spark, entry.SMOKE_DIR))
         for op in FORBIDDEN:
