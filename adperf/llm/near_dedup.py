@@ -21,7 +21,9 @@ expression per row; only nodes of at most ``SMALL`` classes are gathered.
 
 Edge cases: null, empty or wordless texts have an empty set and link with nothing; texts with
 fewer words than a shingle are one shingle of all their words; repeated rows are returned one
-by one; rows with a null id link with nothing; other columns are not read.
+by one; rows with a null id link with nothing; equal sets are one class whatever their texts, the
+smallest id naming it, so there are no ties; texts of any length are taken whole, chunk by chunk;
+an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as B
@@ -44,6 +46,7 @@ SMALL = 16
 SECOND_CHILD = 0.3
 MAX_DEPTH = 4
 SIGNATURE_SHARE = 0.5
+BUCKETS = 1 << 20
 
 _rng = np.random.default_rng(41)
 _FLIP = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64)
@@ -191,33 +194,65 @@ def _star_pairs(rows: DataFrame) -> DataFrame:
     return rows.where(far).select(F.col("least.cls").alias("a"), F.col("cls").alias("b"))
 
 
+def _token_counts(sets: DataFrame) -> np.ndarray:
+    """How many tokens of all ``sets`` fall in each of ``BUCKETS`` buckets."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for tokens in batch.column(1):
+                held += np.bincount(_bucket(np.frombuffer(tokens.as_buffer(), np.uint64)),
+                                    minlength=BUCKETS)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["at", "n"])
+
+    counts = sets.mapInArrow(scan, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    out = np.zeros(BUCKETS, np.int64)
+    found = counts.toArrow()  # a row for each bucket at most
+    out[found["at"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def _bucket(tokens: np.ndarray) -> np.ndarray:
+    return (B.mix(tokens) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
 def _prefix_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of different labels, among all classes of ``rows``, that can reach the threshold.
 
-    An exact filter: with the tokens of every set in one order, the rarest first, two sets that
-    reach the threshold have their first common token so early in both that what follows is
-    large enough for the overlap needed. The edits of a near-copy are its rarest tokens, so
-    members of one family below the threshold do not meet.
+    An exact filter: with the tokens of every set in one order, two sets that reach the
+    threshold have their first common token so early in both that what follows is large enough
+    for the overlap needed. Any order is exact; this one puts the rarest first, by the tokens
+    counted in ``BUCKETS`` buckets (a table of one size, however many tokens there are). The
+    edits of a near-copy are its rarest tokens, so members of one family below the threshold do
+    not meet.
     """
     classes = rows.select("cls", "label").distinct()
-    sets = sets.join(classes, "cls", "left_semi")
+    sets = cut(sets.join(classes, "cls").select("cls", "tokens", "label"), "near-large")
+    counts = sets.sparkSession.sparkContext.broadcast(_token_counts(sets))
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                t = np.frombuffer(batch.column(1)[i].as_buffer(), np.int64)
+            keep, tokens, sizes, places = [], [], [], []
+            for i, blob in enumerate(batch.column(1)):
+                t = np.frombuffer(blob.as_buffer(), np.uint64)
+                n, df = len(t), counts.value[_bucket(t)]
+                most = n - (percent * n + 99) // 100 + 1
+                order = np.lexsort((t, df))[:most]
+                at = np.flatnonzero(df[order] > 1)  # a token alone in its bucket meets none
+                keep.append(np.full(len(at), i))
+                tokens.append(t[order[at]].view(np.int64))
+                sizes.append(np.full(len(at), n))
+                places.append(at + 1)
+            if keep:
+                index = pa.array(np.concatenate(keep))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(t), batch.column(0)[i].as_py())), pa.array(t),
-                     pa.array(np.full(len(t), len(t)))], names=["cls", "token", "n"])
-
-    tokens = cut(sets.mapInArrow(unpack, "cls long, token long, n long"), "near-tokens")
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    rank = F.row_number().over(Window.partitionBy("cls").orderBy("df", "token"))
-    first = (tokens.join(counts, "token").withColumn("at", rank)
-             .where((F.col("df") > 1)
-                    & (F.lit(100) * (F.col("n") - F.col("at") + 1) >= F.lit(percent) * F.col("n")))
-             .join(classes, "cls").select("token", "cls", "label", "n", "at"))
-    first = cut(first, "near-prefix")
+                    [pa.array(np.concatenate(tokens)), batch.column(0).take(index),
+                     batch.column(2).take(index), pa.array(np.concatenate(sizes)),
+                     pa.array(np.concatenate(places))], names=["token", "cls", "label", "n", "at"])
+
+    first = cut(sets.mapInArrow(prefixes, "token long, cls long, label long, n long, at long"),
+                "near-prefix")
     common = (first.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"))
               .where(F.col("l0") != F.col("l1")).select("token", "l0"))
     y = first.join(cut(common, "near-common"), "token")
