@@ -11,7 +11,8 @@ those of the scans before, so no window is left out.
 Edge cases: null or wordless texts have no words and are never hit; an item without words has
 no window; items with equal texts are all reported; a text shorter than a window can only hold
 short items' windows; repeated document rows are scanned and returned one by one; null item ids
-are reported as the string ``null``; other columns of either table are not read (the pipeline
+are reported as the string ``null``; texts of any length are scanned whole, chunk by chunk; an
+empty benchmark hits nothing and an empty table gives no rows; other columns of either table are not read (the pipeline
 stage carries them along untouched).
 """
 

@@ -12,7 +12,9 @@ not depend on partitioning. Prediction reads whole texts.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; so is every text
 when there is nothing to learn from; equal cosines go to the language first in name order; rows
-are returned one by one, repeated ones too; extra columns are carried by :func:`keep_known`.
+are returned one by one, repeated ones too; texts of any length are scored whole, chunk by chunk
+(longer than 20,000 bytes they are not learned from); an empty table gives no rows; extra columns
+are carried by :func:`keep_known`.
 """
 
 from __future__ import annotations

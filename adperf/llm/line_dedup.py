@@ -16,7 +16,8 @@ that occur twice or more take part after the first aggregate.
 
 Edge cases: null and empty texts have no lines; rows that repeat an id are one document (its
 lines are taken once); rows with a null id keep all lines; lines are compared whole but for
-trailing spaces; other columns are not read by :func:`repeated_runs` and are carried
+trailing spaces, however long the text or the line; of equal runs the one first in (doc_id,
+position) stays; an empty table gives no rows; other columns are not read by :func:`repeated_runs` and are carried
 by :func:`remove_lines`.
 """
 

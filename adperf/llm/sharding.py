@@ -11,7 +11,8 @@ rows are dealt into cells by the id's hash, numbered inside the cell, and shifte
 of rows in the cells before (a window over cells, not rows).
 
 Edge cases: a null id counts as 0; a null text has no bytes (size 8, CRC 0); repeated rows get
-one slot each; an empty table gives no rows; other columns are not read.
+one slot each (equal ones in any order, which no column shows); texts of any length are read
+whole; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ AQE may split, so a passage in a third of all documents meets no single task.
 
 Edge cases: null and empty texts have no sentence; texts without a long enough run have no span
 and stay as they are; rows that repeat an id are one document; a null id is never removed from;
-other columns are not read by :func:`repeated_spans` and are carried by :func:`remove_repeats`.
+texts of any length are cut whole; of equal spans the one first in (doc_id, position) stays; an
+empty table gives no rows; other columns are not read by :func:`repeated_spans` and are carried by :func:`remove_repeats`.
 """
 
 from __future__ import annotations

@@ -26,8 +26,9 @@ Texts that equal one with a smaller id are settled by their digest alone.
 
 Edge cases: null and empty texts have 0 bytes; texts shorter than ``LENGTH`` are never cut; an
 id names one text (rows that repeat it are one document and do not remove each other's bytes);
-rows with a null id are returned whole; matches never cross documents; other columns are not
-read.
+rows with a null id are returned whole; matches never cross documents; texts of any length are
+taken whole; ids are compared, so there are no ties; an empty table gives no rows; other columns
+are not read.
 """
 
 from __future__ import annotations

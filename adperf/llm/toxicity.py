@@ -21,7 +21,9 @@ most ``MAX_FIT_BYTES`` bytes, picked by a hash of the id. Scoring reads whole te
 
 Edge cases: null, empty and wordless texts score as a text whose words share nothing with the
 landmarks; without training rows of both classes every score is 0; repeated rows are scored one
-by one; labels other than 0 and 1 are ignored; other columns are not read.
+by one; labels other than 0 and 1 are ignored; texts of any length are scored whole; of words with
+equal evidence the first in name order is learned; an empty table gives no rows; other columns are
+not read.
 """
 
 from __future__ import annotations

@@ -12,6 +12,12 @@ return the columns of ``documents``:
    benchmark go;
 5. best-fit packing of what is left into sequences.
 
+Edge cases: null and empty texts have no language, so stage 1 drops them; rows with a null id pass
+stages 2 and 3 as they are; rows that repeat an id are treated as each stage's operator says; of
+near copies the smallest id stays; texts of any length are taken whole; an empty table gives
+no rows; columns beside those of ``documents`` are carried to the last stage, which reads none of
+them.
+
 SQL cannot express stages 1, 3 and 5, so ``ORACLE_SQL`` is None and the stages are tested
 against brute-force versions.
 """
