@@ -47,7 +47,7 @@ from . import bytescan as B
 from .tables import cut, discard
 
 LENGTH = 50
-GRAM = 16  # of the LENGTH - GRAM + 1 strings in a window, one in (LENGTH - GRAM + 2) / 2 is an anchor
+GRAM = 20
 HOT = 2000
 BUCKET_RECORDS = 4000
 SETTLE_BYTES = 4 << 20  # text whose anchors are settled at once, before the shuffle
