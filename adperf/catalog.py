@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from adperf import schemas as S
 from adperf.functions.dates import ntz, try_day
 from adperf.operators import budget, campaigns, dedup, insights, quality, rollup, validate
-from adperf.plans import deltas, fetch, publish, request, retention
+from adperf.plans import cluster, deltas, fetch, publish, refresh, request, retention
 from adperf.plans import ingest as ingest_job
 from adperf.plans import reaggregate as reaggregate_job
 from adperf.session import checkpoint_dir
@@ -42,6 +42,8 @@ SNAPSHOT_CUT = dt.datetime(1998, 1, 1)
 FETCH_AS_OF = dt.date(1997, 1, 1)
 EVENTS_AS_OF = dt.date(2024, 1, 30)
 
+CLUSTER_USER = 7
+
 LAST_WINS_KEY = ("platform", "campaign_id", "event_type", "day")
 TTL_KEY = ("platform", "campaign_id", "event_type")
 
@@ -890,6 +892,23 @@ def q_store_retention(spark, sf_dir):
     return kept.intersectAll(again.select(*INSIGHT_OUT))
 
 
+def q_insights_clustered(spark, sf_dir):
+    """O3 + F1 on S6: insights clustered by campaign and day, late events that rewrite days after
+    that, and the campaigns of one user over a range read from both."""
+    facts = accepted_events(spark, sf_dir)
+    root = ingest.scratch_root(spark, "clustered")
+    late = (F.col("event_time") >= _ts(STALE_CUT)) & (F.col("event_type") == "purchase")
+    storage.write_facts(facts.filter(~late), root, "first")
+    refresh.refresh_days(spark, root, storage.fact_days(spark, root), ntz(EVENTS_AS_OF))
+    cluster.cluster_insights(spark, root, rows_per_file=2_000)
+    days = storage.write_facts(facts.filter(late), root, "late")
+    refresh.refresh_days(spark, root, days, ntz(EVENTS_AS_OF))
+    owned = _owned_campaigns(spark, sf_dir).where(F.col("user_id") == CLUSTER_USER)
+    asked = [r.id for r in owned.select("id").collect()]  # one user's list of campaigns
+    return cluster.read_clustered(spark, root, asked, FILTER_START, FILTER_END).select(
+        *INSIGHT_OUT)
+
+
 def q_dimension_scans(spark, sf_dir):
     """S7 + F7: campaigns and users landed with more columns than the schemas name, a password
     among them, and read back."""
@@ -989,6 +1008,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "audit_currency": q_audit_currency,
     "event_json_any_case": q_event_json_any_case,
     "fetch_publish": q_fetch_publish,
+    "insights_clustered": q_insights_clustered,
     "ingest_interrupted": q_ingest_interrupted,
     "ingest_deltas": q_ingest_deltas,
     "stream_deltas": q_stream_deltas,

@@ -567,6 +567,10 @@ SQL["stream_windows"] = SQL["insights_daily"]
 
 SQL["store_retention"] = SQL["insights_daily"] + " WHERE date >= DATE '2024-01-08'"
 
+SQL["insights_clustered"] = SQL["insights_daily"] + """
+WHERE date BETWEEN DATE '2024-01-08' AND DATE '2024-01-21'
+  AND campaign_id IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7)"""
+
 SQL["dimension_scans"] = _with(CAMP) + """
 SELECT c.id, c.user_id, u.c_name || '@example.org' AS email, c.platform,
   CAST(c.budget AS DOUBLE) AS budget, c.status, CAST(NULL AS VARCHAR) AS name,

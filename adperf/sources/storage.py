@@ -310,6 +310,14 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def _read_paths(spark: SparkSession, root: str, name: str, days: dict[str, list[str]],
+                schema: T.StructType) -> DataFrame:
+    """Rows of the day folders ``days`` of a table, its own schema where it has any row."""
+    folders = day_folders(spark, root, name)
+    paths = [os.path.join(root, name, folders[d]) for d, files in days.items() if files]
+    return spark.read.parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def read_insights(spark: SparkSession, root: str, start: dt.date | None = None,
                   end: dt.date | None = None, schema=S.INSIGHT_SCHEMA) -> DataFrame | None:
     """The insight table, whole days ``start..end`` only (partition pruned).
