@@ -6,15 +6,18 @@ is several centroids, found by spherical k-means among its training vectors. A t
 language of the centroid with the largest cosine; the cosine is the score. A text too far from
 every centroid is rejected.
 
-The classifier is fitted on a bounded sample: about ``PER_LANGUAGE`` texts of each language, of
-at most ``MAX_FIT_BYTES`` bytes each, picked by a hash of the id, so the sample and the model do
-not depend on partitioning. Prediction reads whole texts.
+The classifier is fitted on a bounded sample: about ``PER_LANGUAGE`` texts of each of the
+``MAX_LANGUAGES`` commonest labels, whole texts of any length, picked by a hash of the id, so the
+sample and the model do not depend on partitioning. The fit runs in tasks: texts become sparse
+vectors where they are read, document frequencies are an aggregate, and each language's centroids
+come from one task that holds its sample alone. The driver gets frequencies and centroids, no
+text and no vector. Prediction reads whole texts.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; so is every text
 when there is nothing to learn from; equal cosines go to the language first in name order; rows
-are returned one by one, repeated ones too; texts of any length are scored whole, chunk by chunk
-(longer than 20,000 bytes they are not learned from); an empty table gives no rows; extra columns
-are carried by :func:`keep_known`.
+are returned one by one, repeated ones too (of rows that repeat an id and a label one is learned
+from, by a hash of its text); texts of any length are learned from and scored whole; an empty
+table gives no rows; extra columns are carried by :func:`keep_known`.
 """
 
 from __future__ import annotations
@@ -28,14 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as B
-from .tables import bounded_batches, free_name
+from .tables import bounded_batches, cut, discard, free_name
 
 DIM_BITS = 12
 DIM = 1 << DIM_BITS
 NGRAMS = (1, 2, 3)
-PER_LANGUAGE = 800
-MAX_LANGUAGES = 200
-MAX_FIT_BYTES = 20_000
+PER_LANGUAGE = 1_500
+MAX_LANGUAGES = 1_000
 CENTROIDS = 4
 ROUNDS = 12
 # a text is rejected below this share of the 0.1 % quantile of the training cosines; a text of
@@ -122,45 +124,86 @@ def bounded_sample(rows: DataFrame, label: str, per_label: int, max_labels: int)
 
 def sample(train: DataFrame) -> DataFrame:
     """About ``PER_LANGUAGE`` rows (lang, text) of each language, picked by the id's hash."""
-    usable = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull()
-                         & (F.octet_length("text") <= MAX_FIT_BYTES))
+    usable = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     ids = bounded_sample(usable.select("doc_id", "lang"), "lang", PER_LANGUAGE, MAX_LANGUAGES)
     # the size is bounded by the sample's parameters
-    return usable.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id").select(
-        "doc_id", "lang", "text")
+    rows = usable.join(F.broadcast(ids), ["doc_id", "lang"])
+    return rows.groupBy("doc_id", "lang").agg(
+        F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+
+
+VECTOR = "doc_id long, lang string, at array<int>, value array<float>"
+
+
+def _vectors(rows: DataFrame) -> DataFrame:
+    """The log-scaled counts of (doc_id, lang, text) rows that are not zero."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, off in B.chunks(_texts(batch.column(2)), ROWS_AT_ONCE):
+                x = term_counts(data, off)
+                row, at = np.nonzero(x)
+                ends = pa.array(np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(v))
+                         for v in (at.astype(np.int32), x[row, at])]
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.slice(a, b - a) for c in batch.columns[:2]), *lists],
+                    names=["doc_id", "lang", "at", "value"])
+
+    rows = bounded_batches(rows.select(F.col("doc_id").cast("long"), "lang", "text"))
+    return rows.mapInArrow(scan, VECTOR).where(F.size("at") > 0)
+
+
+def _weighted(at: pa.Array, value: pa.Array, idf: np.ndarray) -> np.ndarray:
+    """Unit TF-IDF vectors of a batch of sparse rows."""
+    x = np.zeros((len(at), DIM), np.float32)
+    n = pc.list_value_length(at).to_numpy(zero_copy_only=False)
+    x[np.repeat(np.arange(len(at)), n), at.flatten().to_numpy(zero_copy_only=False)] = (
+        value.flatten().to_numpy(zero_copy_only=False))
+    x *= idf
+    return _unit(x)
 
 
 def fit(train: DataFrame) -> dict:
     """Model from labelled rows: idf, centroids, their languages, rejection cosine."""
-    rows = sorted(sample(train).collect(), key=lambda r: (r.lang, r.doc_id))
-    vectors, langs = [], []
-    for a in range(0, len(rows), ROWS_AT_ONCE):
-        part = rows[a:a + ROWS_AT_ONCE]
-        for _, _, data, off in B.chunks(_texts(pa.array([r.text for r in part]))):
-            vectors.append(term_counts(data, off))
-        langs += [r.lang for r in part]
-    if not rows:
+    context = train.sparkSession.sparkContext
+    vectors = cut(_vectors(sample(train)), "language-sample")
+    n = vectors.count()
+    if not n:
+        discard(vectors)
         return {"langs": [], "idf": None, "centroids": None, "reject": 0.0}
-    del rows
-    x, langs = np.concatenate(vectors), np.array(langs)
-    vectors.clear()
-    used = x.any(axis=1)
-    if not used.all():
-        x, langs = x[used], langs[used]
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
-    x *= idf  # in place: the sample is the largest thing that the driver holds
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    names, centroids = [], []
-    for lang in sorted(set(langs.tolist())):
-        c = _spherical_kmeans(x[langs == lang], CENTROIDS)
-        centroids.append(c)
-        names += [lang] * len(c)
-    if not names:
-        return {"langs": [], "idf": None, "centroids": None, "reject": 0.0}
-    centroids = np.concatenate(centroids).astype(np.float32)
-    best = (x @ centroids.T).max(axis=1)
-    return {"langs": names, "idf": idf, "centroids": centroids,
-            "reject": float(REJECT_SHARE * np.quantile(best, 0.001))}
+    df = np.zeros(DIM)
+    for r in vectors.select(F.explode("at").alias("at")).groupBy("at").count().collect():
+        df[r["at"]] = r["count"]  # a row for each of DIM columns at most
+    idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.1)
+    shared = context.broadcast(idf)
+
+    def centroids_of(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id").combine_chunks()
+        at, value = (table.column(c).combine_chunks() for c in ("at", "value"))
+        c = _spherical_kmeans(_weighted(at, value, shared.value), CENTROIDS).astype(np.float32)
+        return pa.table({"lang": pa.array([table["lang"][0].as_py()] * len(c)),
+                         "place": pa.array(np.arange(len(c))),
+                         "c": pa.array([row.tobytes() for row in c], pa.binary())})
+
+    found = sorted(vectors.groupBy("lang").applyInArrow(
+        centroids_of, "lang string, place long, c binary").collect())
+    centroids = np.stack([np.frombuffer(r.c, np.float32) for r in found])
+    model = context.broadcast(centroids)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(a, ROWS_AT_ONCE)
+                x = _weighted(part.column(0), part.column(1), shared.value)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((x @ model.value.T).max(axis=1).astype(np.float64))], names=["best"])
+
+    best = vectors.select("at", "value").mapInArrow(nearest, "best double")
+    low = best.agg(F.percentile("best", F.lit(0.001))).first()[0]
+    discard(vectors)
+    return {"langs": [r.lang for r in found], "idf": idf, "centroids": centroids,
+            "reject": REJECT_SHARE * low}
 
 
 def _has_letter(text: str | None) -> bool:
