@@ -68,3 +68,19 @@ def test_nearest_centroid_matches_plain_cosines(spark):
         x = L.term_counts(data, np.array([0, len(data)]))[0] * model["idf"]
         cos = [float(x @ c / np.linalg.norm(x)) for c in model["centroids"]]
         assert model["langs"][int(np.argmax(cos))] == lang and abs(max(cos) - s) < 1e-5
+
+
+def test_a_language_of_long_texts_only_is_learned(spark):
+    es = "el perro y la casa con una ventana muy grande donde los niños juegan "
+    extra = [(i, f"{es * 400}{i}", "es", "s") for i in range(2000, 2012)]
+    docs, _ = _docs(spark, extra)
+    assert min(len(r[1]) for r in extra) > 25_000
+    got = {r.doc_id: r for r in L.report(docs).collect()}
+    assert all(got[r[0]].lang_pred == "es" and not got[r[0]].rejected for r in extra)
+    assert all(got[i].lang_pred == ("en" if i % 2 else "fr") for i in range(120))
+
+
+def test_one_row_of_a_repeated_id_is_learned(spark):
+    docs, _ = _docs(spark, [(1, f"{EN}{i}", "en", "s") for i in range(500)])
+    rows = L.sample(docs.select("doc_id", "lang", "text")).collect()
+    assert len(rows) == 120 and len({r.doc_id for r in rows}) == 120
