@@ -99,3 +99,29 @@ def test_null_campaigns_and_days(spark, tmp_root):
     cluster.cluster_insights(spark, tmp_root, 4)
     assert cluster.read_clustered(spark, tmp_root).count() == 24
     assert cluster.read_clustered(spark, tmp_root, ["c1"]).count() == 4
+
+
+def test_a_table_of_campaigns_is_joined(spark, tmp_root, monkeypatch):
+    storage.write_insights(insights(spark, 20, 12, hot=500), tmp_root)
+    monkeypatch.setattr(cluster, "ROWS_PER_TASK", 200)
+    made = cluster.cluster_insights(spark, tmp_root, 20)
+    assert made["rows"] == 740 and made["files"] >= 37  # several a task, none of more rows
+    start, end = DAY + dt.timedelta(2), DAY + dt.timedelta(8)
+    plain = storage.read_insights(spark, tmp_root, start, end)
+    for asked in (["c3", "hot", "unknown", "c3", None], ["unknown"], []):
+        table = spark.createDataFrame([(c,) for c in asked], "campaign_id string")
+        got = cluster.read_clustered(spark, tmp_root, table, start, end)
+        assert seen(got) == seen(plain.filter(F.col("campaign_id").isin(asked)))
+        by_list, total = cluster.files_for(spark, tmp_root, [c for c in asked if c], start, end)
+        found, _ = cluster.files_for(spark, tmp_root, table, start, end)
+        assert set(by_list) <= set(found) and len(found) < total
+
+
+def test_small_files_need_no_task_each(spark, tmp_root):
+    storage.write_insights(insights(spark), tmp_root)
+    cluster.cluster_insights(spark, tmp_root, 64)
+    files = cluster.files_for(spark, tmp_root)[0]
+    sizes = [pq.ParquetFile(f.removeprefix("file:")).metadata.num_rows for f in files]
+    assert len(sizes) == 64 and max(sizes) == 64
+    # one task wrote them all: part-<task>-...
+    assert len({os.path.basename(f).split("-")[1] for f in files}) == 1
