@@ -25,7 +25,7 @@ from adperf.plans import ingest as ingest_job
 from adperf.plans import reaggregate as reaggregate_job
 from adperf.session import checkpoint_dir
 from adperf.sources import events as ev
-from adperf.sources import dimensions, message_log, payloads, storage, tables
+from adperf.sources import dimensions, journal, message_log, payloads, storage, tables
 from adperf.streaming import ingest, windows
 
 # Parameters of the registered queries (fixed so the oracle can repeat them).
@@ -534,13 +534,25 @@ def q_ingest_deltas(spark, sf_dir):
     return deltas.read_delta_insights(spark, root).select(*INSIGHT_OUT)
 
 
+def land(part: DataFrame, folder: str, files: int) -> None:
+    """Add a delivery to a landing folder: exactly ``files`` files, written and read by as many
+    tasks, so a stream of ``files`` files a trigger takes one delivery a micro-batch."""
+    spark = part.sparkSession
+    wanted = len(journal.children(spark, folder)) + files
+    part.repartition(files).write.mode("append").parquet(folder)
+    # a delivery of few rows leaves tasks without any, which write no file
+    for _ in range(wanted - len(journal.children(spark, folder))):
+        part.limit(0).coalesce(1).write.mode("append").parquet(folder)
+
+
 def _landed_stream(spark, sf_dir, root) -> DataFrame:
-    """The events as a stream of three files, one a micro-batch, purchases a file late."""
+    """The events as a stream of three deliveries, one a micro-batch, purchases a delivery late."""
     raw = tables.table(spark, sf_dir, "events")
-    landed = os.path.join(root, "landed")
+    landed, files = os.path.join(root, "landed"), spark.sparkContext.defaultParallelism
     for part in increment_batches(raw.withColumn("event_time", F.col("ts"))):
-        part.drop("event_time").coalesce(1).write.mode("append").parquet(landed)
-    stream = (spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(landed))
+        land(part.drop("event_time"), landed, files)
+    stream = (spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", files)
+              .parquet(landed))
     return tables.with_driver_event_fields(
         tables.ad_events_raw(spark, sf_dir, events=stream), REPLAY_KEY)
 
@@ -581,8 +593,8 @@ def q_message_log_ingest(spark, sf_dir):
 
 
 def q_stream_windows(spark, sf_dir):
-    """T3 + T4: daily windows with a watermark of two days over the events in three files,
-    purchases a file late (most of them behind the watermark), beside the facts query. Open
+    """T3 + T4: daily windows with a watermark of two days over the events in three deliveries,
+    purchases a delivery late (most of them behind the watermark), beside the facts query. Open
     days come from the windows, closed ones from the day refresh; no late row is lost."""
     root = ingest.scratch_root(spark, "windows")
     checked = ingest.prepare(_landed_stream(spark, sf_dir, root), now=F.col("received_at"),
@@ -596,8 +608,8 @@ def q_stream_windows(spark, sf_dir):
 
 
 def q_stream_deltas(spark, sf_dir):
-    """A8 in a stream: the events land in three files, one micro-batch each, purchases a file
-    late; every micro-batch adds its deltas and reads no day again."""
+    """A8 in a stream: the events land in three deliveries, one micro-batch each, purchases a
+    delivery late; every micro-batch adds its deltas and reads no day again."""
     root = ingest.scratch_root(spark, "stream-deltas")
     ingest.run(_landed_stream(spark, sf_dir, root), root, os.path.join(root, "_checkpoint"), now=F.col("received_at"),
                processed_at=F.col("processed_at"), how=deltas.DeltaRun).awaitTermination()

@@ -50,10 +50,10 @@ def batch_writer(root: str, updated_at: Column | None = None, dedup: bool = True
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        if batch.isEmpty():
-            return
-        batch = batch.persist()
+        batch = batch.persist()  # first of all: the look for a row may run all before it
         try:
+            if batch.isEmpty():
+                return
             good = batch.filter(F.col("reject_reason").isNull()).drop("reject_reason", "raw_value")
             rejects = batch.filter(F.col("reject_reason").isNotNull())
             stamp = updated_at if updated_at is not None else F.localtimestamp()

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adperf import schemas as S
+from adperf.catalog import land
 from adperf.functions.dates import ntz
 from adperf.operators import rollup
 from adperf.plans.ingest import ingest_batch
 from adperf.plans.reaggregate import reaggregate_stored
-from adperf.sources import storage
+from adperf.sources import journal, storage
 from adperf.streaming import ingest
 
 SCHEMA = S.event_schema(T.LongType())
@@ -210,3 +211,15 @@ def test_event_stream_source_and_streaming_publish(spark, tmp_root):
     pq.processAllAvailable()
     pq.stop()
     assert spark.read.json(out).count() == len(FILE1) + len(FILE2) - 1  # the broken message
+
+
+def test_a_delivery_of_many_files_is_one_micro_batch(spark, tmp_root):
+    landed, seen = os.path.join(tmp_root, "in"), []
+    for n, rows in enumerate((1000, 2, 0, 500)):
+        land(spark.range(rows).toDF("id"), landed, 4)
+        assert len(journal.children(spark, landed)) == 4 * (n + 1)
+    stream = (spark.readStream.schema("id long").option("maxFilesPerTrigger", 4).parquet(landed))
+    stream.writeStream.foreachBatch(lambda df, epoch: seen.append(df.count())).option(
+        "checkpointLocation", os.path.join(tmp_root, "ck")).trigger(
+        availableNow=True).start().awaitTermination()
+    assert [n for n in seen if n] == [1000, 2, 500]
