@@ -54,10 +54,12 @@ NO_DAY = "__HIVE_DEFAULT_PARTITION__"  # fixed value: Spark's folder name for nu
 
 
 def _overwrite(df: DataFrame, path: str, partition_cols: list[str], sort_cols: list[str],
-               in_stream: bool = False):
+               in_stream: bool = False, as_dealt: bool = False):
     """Overwrite the partitions present in ``df``.
 
-    Batch jobs use the ``rebalance`` hint (AQE sizes the tasks). Inside a streaming
+    Batch jobs use the ``rebalance`` hint (AQE sizes the tasks); rows of one single partition
+    would all be dealt to one task by it, so they are written by the tasks that hold them
+    (``as_dealt``). Inside a streaming
     micro-batch AQE is off and the hint is ignored, so the rows are range-partitioned on
     (partition columns, key) instead: each task writes a contiguous slice - few files per
     partition - and a large partition still spreads over several tasks.
@@ -67,7 +69,7 @@ def _overwrite(df: DataFrame, path: str, partition_cols: list[str], sort_cols: l
         spread = F.xxhash64(*df.columns)
         laid = df.repartitionByRange(*partition_cols, *sort_cols, spread)
     else:
-        laid = df.hint("rebalance", *partition_cols)
+        laid = df if as_dealt else df.hint("rebalance", *partition_cols)
     (laid.sortWithinPartitions(*partition_cols, *sort_cols).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic")
          .partitionBy(*partition_cols)
@@ -78,7 +80,7 @@ def _write_run(df: DataFrame, root: str, name: str, record: Record, day: str | N
                sort_cols: list[str], in_stream: bool) -> None:
     df = df.withColumns({"ingest_batch": F.lit(record.batch), "run": F.lit(record.run)})
     _overwrite(df, os.path.join(root, name), [*([day] if day else []), "ingest_batch", "run"],
-               sort_cols, in_stream)
+               sort_cols, in_stream, as_dealt=day is None)
 
 
 def _run_path(root: str, name: str, day: str | None, batch: str, run: str) -> str:

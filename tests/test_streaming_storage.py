@@ -213,6 +213,15 @@ def test_event_stream_source_and_streaming_publish(spark, tmp_root):
     assert spark.read.json(out).count() == len(FILE1) + len(FILE2) - 1  # the broken message
 
 
+def test_rejects_are_written_by_the_tasks_that_hold_them(spark, tmp_root):
+    record = journal.begin(spark, tmp_root, "b1")
+    bad = spark.range(0, 100, 1, 4).withColumn("reject_reason", F.lit("x"))
+    storage.write_run_rejects(bad, tmp_root, record)
+    path = os.path.join(tmp_root, "rejects", "ingest_batch=b1", f"run={record.run}")
+    assert len(journal.children(spark, path)) == 4  # one task wrote all of them before
+    assert spark.read.parquet(path).count() == 100
+
+
 def test_a_delivery_of_many_files_is_one_micro_batch(spark, tmp_root):
     landed, seen = os.path.join(tmp_root, "in"), []
     for n, rows in enumerate((1000, 2, 0, 500)):
