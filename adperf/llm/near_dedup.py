@@ -11,7 +11,7 @@ root child with the chance of their similarity, so a pair at the threshold s is
 trees with chance (1 - s) ** TREES (6e-9 at 0.85, 1e-7 at 0.8).
 
 Candidates pass a size test (exact) and a signature test far below the threshold (half of the
-tokens equal), and each is confirmed on the full sets. Large nodes whose classes are already
+tokens equal), and each is confirmed on the full sets, made of these classes only. Large nodes whose classes are already
 one component after the first level are dropped: they cannot change the result. What is still
 large after ``MAX_DEPTH`` levels goes through an exact rarest-token filter instead of being
 compared exhaustively, so a large family of near-copies costs no square of its size.
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan as B
 from .components import connected_components
-from .tables import bounded_batches, cut
+from .tables import bounded_batches, cut, discard
 
 COORDINATES = 32
 TREES = 10
@@ -47,6 +47,7 @@ SECOND_CHILD = 0.3
 MAX_DEPTH = 4
 SIGNATURE_SHARE = 0.5
 BUCKETS = 1 << 20
+ID_BITS = 1 << 24
 
 _rng = np.random.default_rng(41)
 _FLIP = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64)
@@ -265,15 +266,43 @@ def _prefix_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("cls", "cls_x").alias("a"), F.greatest("cls", "cls_x").alias("b"))
 
 
+def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is in ``ids`` (doc_id), and few others: a bit table of one size, however
+    many ids there are, is met by every row where it lies."""
+
+    def at(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(ID_BITS))
+
+    maps = ids.groupBy(F.bitmap_bucket_number(at("doc_id")).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(at("doc_id"))).alias("bits"))
+    bit = F.bitmap_bit_position(at("doc_id"))
+    byte = F.conv(F.hex(F.substring("bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10)
+    marked = F.getbit(byte.cast("long"), (bit % 8).cast("int")) == 1
+    return (docs.withColumn("bucket", F.bitmap_bucket_number(at("doc_id")))
+            .join(F.broadcast(maps), "bucket").where(marked).select("doc_id", "text"))
+
+
 def _set_table(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """Full sets of the classes ``ids`` (cls), in one pass over the texts."""
+    """Full sets of the classes ``ids`` (cls), in one pass over the texts; only the texts that
+    are needed are shuffled."""
     ids = ids.select(F.col("cls").alias("doc_id")).distinct()
-    # the same plan at every size; an id on several rows names equal texts, one is enough
-    texts = (docs.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-             .select("doc_id", "text"))
+    # the same plan at every size (an inner join: a semi join is moved below the marks); an id on
+    # several rows names equal texts, one is enough
+    texts = (_marked(docs, ids).join(ids.hint("merge"), "doc_id")
+             .dropDuplicates(["doc_id"]).select("doc_id", "text"))
     return cut(_full_sets(texts, shingle), "near-sets", heavy=True)
 
 
+def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """:func:`_confirm` with the full sets of the classes in ``pairs`` and of no others."""
+    ends = pairs.select(F.col("a").alias("cls")).unionByName(
+        pairs.select(F.col("b").alias("cls")))
+    sets = _set_table(docs, ends, shingle)
+    links = cut(_confirm(pairs, sets, percent), "near-links", heavy=True)
+    discard(sets)
+    return links
+
+
 def similarity_links(docs: DataFrame, classes: DataFrame, shingle: int,
                      percent: int) -> DataFrame:
     """Links (a, b) between classes, enough of them to connect all that are similar."""
@@ -284,10 +313,7 @@ def similarity_links(docs: DataFrame, classes: DataFrame, shingle: int,
     pairs = _small_pairs(rows).unionByName(_star_pairs(rows)).distinct()
     pairs = cut(_similar_enough(pairs, classes, percent), "near-pairs")
     rows = rows.where(F.col("size") > SMALL).select("key", "cls")
-    # whatever is compared below is in these pairs or in a larger root node
-    sets = _set_table(docs, pairs.select(F.col("a").alias("cls")).unionByName(
-        pairs.select(F.col("b").alias("cls"))).unionByName(rows.select("cls")), shingle)
-    links = cut(_confirm(pairs, sets, percent), "near-links")
+    links = _confirmed(pairs, docs, shingle, percent)
     if not rows.head(1):
         return links
     parts = connected_components(links)
@@ -303,12 +329,13 @@ def similarity_links(docs: DataFrame, classes: DataFrame, shingle: int,
         rows = rows.where(F.col("size") > SMALL).select("key", "cls", "label")
     else:
         if rows.head(1):
+            sets = _set_table(docs, rows.select("cls"), shingle)
             later.append(_prefix_pairs(rows, sets, percent))
     if not later:
         return links
     pairs = reduce(DataFrame.unionByName, later).distinct()
     pairs = cut(_similar_enough(pairs, classes, percent), "near-pairs")
-    return links.unionByName(cut(_confirm(pairs, sets, percent), "near-links"))
+    return links.unionByName(_confirmed(pairs, docs, shingle, percent))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:

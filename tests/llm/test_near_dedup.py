@@ -102,3 +102,35 @@ def test_components_of_a_long_path_and_a_star(spark):
     df = spark.createDataFrame(links, "a long, b long")
     got = {r.node: r.component for r in connected_components(df).collect()}
     assert got == components({n for e in links for n in e}, links)
+
+
+def test_only_texts_that_are_compared_are_gathered(spark, monkeypatch):
+    rng, made = random.Random(4), []
+    intro = [f"i{n}" for n in range(12)]  # its shingles make large nodes of unlike documents
+    rows = [(i, " ".join(intro + [f"w{rng.randrange(10**6)}" for _ in range(48)]), "l", 1)
+            for i in range(160)]
+    rows += [(200, rows[0][1] + " x", "l", 1), (201, rows[9][1] + " y", "l", 1),
+             (None, rows[0][1], "l", 1)]
+
+    def cut(df, name, heavy=False):
+        out = real(df, name, heavy)
+        made.append((name, out.count()))
+        return out
+
+    real = N.cut
+    monkeypatch.setattr(N, "cut", cut)
+    got = N.near_duplicates(spark.createDataFrame(rows, SCHEMA), 3, 85)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()
+                 if r.doc_id is not None)
+    assert got == brute(rows[:-1], 3, 85)
+    assert dict(made)["near-nodes"] > 160
+    assert sum(n for name, n in made if name == "near-sets") == 4
+
+
+def test_marks_leave_few_texts_and_lose_none(spark):
+    rows = [(i, "t", "l", 1) for i in [*range(-500, 500), 2**62, -2**62]] + [(None, "t", "l", 1)]
+    ids = [-500, -1, 0, 1, 77, 2**62, -2**62]
+    docs = spark.createDataFrame(rows + rows[:1], SCHEMA)
+    marks = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    got = [r.doc_id for r in N._marked(docs, marks).collect()]
+    assert set(ids) <= set(got) and got.count(-500) == 2 and len(got) < 20
