@@ -11,10 +11,11 @@ root child with the chance of their similarity, so a pair at the threshold s is
 trees with chance (1 - s) ** TREES (6e-9 at 0.85, 1e-7 at 0.8).
 
 Candidates pass a size test (exact) and a signature test far below the threshold (half of the
-tokens equal), and each is confirmed on the full sets, made of these classes only. Large nodes whose classes are already
-one component after the first level are dropped: they cannot change the result. What is still
-large after ``MAX_DEPTH`` levels goes through an exact rarest-token filter instead of being
-compared exhaustively, so a large family of near-copies costs no square of its size.
+tokens equal), and each is confirmed on the full sets, which are made of these classes only.
+Large nodes whose classes are already one component after the first level are dropped: they
+cannot change the result. What is still large after ``MAX_DEPTH`` levels goes through an exact
+rarest-token filter instead of being compared exhaustively, so a large family of near-copies
+costs no square of its size.
 
 Skew: node sizes and smallest classes are aggregates with map-side combine; branching is an
 expression per row; only nodes of at most ``SMALL`` classes are gathered.
