@@ -9,19 +9,27 @@ with a smaller id. The suffix array is built only where it can hold a repeat, in
    a batch, equal texts and texts that share an anchor are already settled before the shuffle,
    so an anchor of a third of all documents sends one row a batch, not one a document).
 2. The windows around shared anchors become records: the bytes under all consecutive windows of
-   one anchor. Equal records are one, with their smallest document (a map-side aggregate); an
-   anchor with one record only (inside a passage) is settled by that.
-3. The records of the other anchors are dealt by anchor to buckets. A bucket sorts the suffixes
+   one anchor. Records overlap, so their bytes are several times the text's: only their places
+   and 128-bit names are kept. Equal records are one, with their smallest document (a map-side
+   aggregate); an anchor with one record only (inside a passage) is settled by that.
+3. One record of each name of the other anchors is cut out of its text, and these are dealt by
+   anchor to buckets. A bucket sorts the suffixes
    that start at its window starts, computes the common prefixes of neighbours, and scans them with a stack: every
    interval of common prefix ``LENGTH`` or more whose occurrences differ in the byte to their
    left (or start a record) is a maximal repeat group. An interval with one left byte is the
    tail of the interval one byte earlier, which covers it. In each group all occurrences in
    documents after its smallest one are removed.
-4. An anchor with more than ``HOT`` different records (a passage that very many documents go on
-   from differently) is split by the first ``LENGTH`` bytes of its suffixes, which no interval
-   crosses: each is an aggregate with map-side combine.
+4. The records of an anchor with more than ``HOT`` different ones (a common phrase) are anchored
+   again by strings of ``FINE`` bytes, which part them into shorter records; those alone with
+   their anchor are unique, the others are dealt to buckets too. Where more than ``HOT`` share
+   even that (a passage that very many documents go on from differently), they are split by the
+   first ``LENGTH`` bytes of their suffixes, which no interval crosses: each is an aggregate with
+   map-side combine.
 5. Occurrences get the result of their record; the ranges of a document are merged and cut out.
 
+Steps 2 to 5 take the shared anchors in slices, as many as keep the text under the anchors of one
+at ``1 / SLICES`` of all text, so disk stays in proportion where most anchors are shared.
+
 Texts that equal one with a smaller id are settled by their digest alone.
 
 Edge cases: null and empty texts have 0 bytes; texts shorter than ``LENGTH`` are never cut; an
@@ -35,6 +43,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -48,25 +57,27 @@ from .tables import cut, discard
 
 LENGTH = 50
 GRAM = 20
+FINE = (GRAM + LENGTH) // 2  # anchors of records that a hot anchor has too many of
 HOT = 2000
+SLICES = 3  # of a corpus in which every anchor is shared
 BUCKET_RECORDS = 4000
 SETTLE_BYTES = 4 << 20  # text whose anchors are settled at once, before the shuffle
 U64 = np.uint64
 RANGES = "array<struct<lo: int, hi: int>>"
 
 
-def anchors(data: np.ndarray, off: np.ndarray):
+def anchors(data: np.ndarray, off: np.ndarray, size_of: int = GRAM):
     """Windows of a chunk by anchor: document, first and last start, and the anchor's hash.
 
     One entry for each run of consecutive window starts of a document with one anchor.
     """
-    n, w = len(data), LENGTH - GRAM + 1
+    n, w = len(data), LENGTH - size_of + 1
     none = np.zeros(0, np.int64)
     if n < LENGTH:
         return none, none, none, none.view(U64)
     up, down = B.powers(n + 1)
     sums = np.concatenate([np.zeros(1, U64), np.cumsum(B.BYTE_CODES[data] * up[:n])])
-    gram = B.mix((sums[GRAM:] - sums[:-GRAM]) * down[:n - GRAM + 1])
+    gram = B.mix((sums[size_of:] - sums[:-size_of]) * down[:n - size_of + 1])
     # sliding minimum of (upper hash half, place): the leftmost of the smallest
     low = (gram & U64(0xFFFFFFFF00000000)) | np.arange(len(gram), dtype=U64)
     size = 1
@@ -183,9 +194,18 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
     return settled.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
 
 
+def _cut_out(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    raw = data.tobytes()
+    return pa.array([raw[x:y] for x, y in zip(start.tolist(), end.tolist())], pa.binary())
+
+
+def _names() -> list:
+    return [F.xxhash64("bytes").alias("r1"), F.xxhash64(F.lit(LENGTH), "bytes").alias("r2")]
+
+
 def _records(texts: DataFrame) -> DataFrame:
-    """Records of (doc_id, text, anchors) rows: the bytes under the windows of each shared
-    anchor, where they start, and whether the document had the same record before."""
+    """Records of (doc_id, text, anchors) rows: where the bytes under the windows of each shared
+    anchor start, how many they are and the two hashes that name them."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,18 +220,38 @@ def _records(texts: DataFrame) -> DataFrame:
                 ok = np.concatenate([np.isin(low[first[i]:first[i + 1]], keys[i])
                                      for i in range(b - a)])
                 doc, lo, hi, h = doc[ok], lo[ok], hi[ok], h[ok]
-                raw = data.tobytes()
-                found = [raw[x:y + LENGTH] for x, y in zip(lo.tolist(), hi.tolist())]
-                seen: set = set()
-                again = [r in seen or seen.add(r) is not None
-                         for r in zip(doc.tolist(), found)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(B.as_long(h)), batch.column(0).slice(a, b - a).take(pa.array(doc)),
-                     pa.array((lo - off[doc]).astype(np.int32)), pa.array(again),
-                     pa.array(found, pa.binary())],
-                    names=["h", "doc_id", "lo", "again", "bytes"])
+                     pa.array((lo - off[doc]).astype(np.int32)),
+                     _cut_out(data, lo, hi + LENGTH)], names=["h", "doc_id", "lo", "bytes"])
+
+    found = texts.mapInArrow(scan, "h long, doc_id long, lo int, bytes binary")
+    return found.select("h", "doc_id", "lo", F.octet_length("bytes").alias("size"), *_names())
+
+
+def _record_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """h, r1, r2, doc_id, bytes and ``hot`` of records (h, r1, r2, doc_id, lo, size, hot)."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, off in B.chunks(batch.column(1)):
+                mine = batch.column(2).slice(a, b - a)
+                n = pc.list_value_length(mine).to_numpy(zero_copy_only=False)
+                h, r1, r2, lo, size, hot = mine.flatten().flatten()
+                doc = np.repeat(np.arange(b - a), n)
+                start = off[doc] + lo.to_numpy()
+                yield pa.RecordBatch.from_arrays(
+                    [h, r1, r2, batch.column(0).slice(a, b - a).take(pa.array(doc)),
+                     _cut_out(data, start, start + size.to_numpy()), hot],
+                    names=["h", "r1", "r2", "doc_id", "bytes", "hot"])
 
-    return texts.mapInArrow(scan, "h long, doc_id long, lo int, again boolean, bytes binary")
+    lists = wanted.groupBy("doc_id").agg(
+        F.collect_list(F.struct("h", "r1", "r2", "lo", "size", "hot")).alias("wanted"))
+    found = docs.join(lists, "doc_id").select("doc_id", "text", "wanted").mapInArrow(
+        scan, "h long, r1 long, r2 long, doc_id long, bytes binary, hot boolean")
+    # an id of several texts: the place is in one of them
+    r1, r2 = _names()
+    return found.where((F.col("r1") == r1) & (F.col("r2") == r2))
 
 
 def sorted_suffixes(records: list[bytes]):
@@ -298,12 +338,42 @@ def _bucket(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         else:
             ranges.append({"lo": a, "hi": a + m})
     rows = list(out)
-    return pd.DataFrame({**{c: part[c].to_numpy()[rows] for c in ("h", "r1", "r2")},
-                         "ranges": pd.Series(list(out.values()), dtype=object)})
+    shift = part["at"].tolist()
+    found = [[{"lo": x["lo"] + shift[r], "hi": x["hi"] + shift[r]} for x in ranges]
+             for r, ranges in out.items()]
+    return pd.DataFrame({**{c: part[c].to_numpy()[rows] for c in ("r1", "r2")},
+                         "ranges": pd.Series(found, dtype=object)})
+
+
+def _bucket_ranges(rows: DataFrame, n: int) -> DataFrame:
+    """r1, r2 and ranges from ``n`` rows (anchor, r1, r2, doc_id, at, bytes), ``at`` being
+    where in its record a row's bytes start."""
+    bucket = F.pmod("anchor", F.lit(max(1, -(-n // BUCKET_RECORDS)))).alias("bucket")
+    return (rows.select(bucket, "r1", "r2", "doc_id", "at", "bytes").groupBy("bucket")
+            .applyInPandas(_bucket, f"r1 long, r2 long, ranges {RANGES}"))
+
+
+def _refined(hot: DataFrame) -> DataFrame:
+    """(anchor, r1, r2, doc_id, at, bytes): the records of (r1, r2, doc_id, bytes) rows, parted
+    by anchors of ``FINE`` bytes. Equal windows have equal ones, so they meet again."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, off in B.chunks(batch.column(3)):
+                rec, lo, hi, h = anchors(data, off, FINE)
+                row = pa.array(rec + a)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(B.as_long(h)), *(batch.column(i).take(row) for i in range(3)),
+                     pa.array((lo - off[rec]).astype(np.int32)),
+                     _cut_out(data, lo, hi + LENGTH)],
+                    names=["anchor", "r1", "r2", "doc_id", "at", "bytes"])
 
+    return hot.select("r1", "r2", "doc_id", "bytes").mapInArrow(
+        scan, "anchor long, r1 long, r2 long, doc_id long, at int, bytes binary")
 
-def _hot_ranges(hot: DataFrame) -> DataFrame:
-    """The same for records of hot anchors, split by the first ``LENGTH`` bytes."""
+
+def _prefix_ranges(rows: DataFrame) -> DataFrame:
+    """The same for rows of :func:`_refined`, split by the first ``LENGTH`` bytes."""
 
     def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,53 +382,64 @@ def _hot_ranges(hot: DataFrame) -> DataFrame:
             at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             whole = batch.column(4).to_pylist()
             found = [whole[r][a:a + LENGTH] for r, a in zip(row.tolist(), at.tolist())]
+            at = at + batch.column(3).to_numpy()[row]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i).take(pa.array(row)) for i in range(4)),
+                [*(batch.column(i).take(pa.array(row)) for i in range(3)),
                  pa.array(at.astype(np.int32)), pa.array(found, pa.binary())],
-                names=["h", "r1", "r2", "doc_id", "at", "prefix"])
+                names=["r1", "r2", "doc_id", "at", "prefix"])
 
-    rows = hot.select("h", "r1", "r2", "doc_id", "bytes").mapInArrow(
-        starts, "h long, r1 long, r2 long, doc_id long, at int, prefix binary")
-    least = rows.groupBy("prefix").agg(F.min("doc_id").alias("least"))
-    later = rows.join(least, "prefix").where(F.col("doc_id") > F.col("least"))
+    found = rows.select("r1", "r2", "doc_id", "at", "bytes").mapInArrow(
+        starts, "r1 long, r2 long, doc_id long, at int, prefix binary")
+    least = found.groupBy("prefix").agg(F.min("doc_id").alias("least"))
+    later = found.join(least, "prefix").where(F.col("doc_id") > F.col("least"))
     one = F.struct(F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi"))
-    return later.groupBy("h", "r1", "r2").agg(F.collect_set(one).alias("ranges"))
-
-
-def repeated_ranges(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """doc_id and byte ranges (overlapping, unsorted) that repeat a smaller document, for rows
-    (doc_id, text); texts equal to one with a smaller id (``firsts``) are left out."""
-    shared = cut(shared_anchors(docs), "op6-shared", heavy=True)
-    texts = docs.join(firsts.where("doc_id = first_id").select("doc_id").distinct(), "doc_id",
-                      "left_semi").join(shared, "doc_id")
-    records = cut(_records(texts.select("doc_id", "text", "anchors")), "op6-records", heavy=True)
-    discard(shared)
-    r1, r2 = F.xxhash64("bytes").alias("r1"), F.xxhash64(F.lit(LENGTH), "bytes").alias("r2")
-    named = records.select("h", "doc_id", "lo", F.octet_length("bytes").alias("size"), r1, r2)
-    key = ["h", "r1", "r2"]
-    one = cut(named.groupBy(*key).agg(F.min("doc_id").alias("least"),
-                                      F.count(F.lit(1)).alias("n")), "op6-distinct", heavy=True)
+    return later.groupBy("r1", "r2").agg(F.collect_set(one).alias("ranges"))
+
+
+def _hot_ranges(hot: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """r1, r2 and ranges of the records (r1, r2, doc_id, bytes) of hot anchors, and the written
+    tables that they are read from."""
+    parts = cut(_refined(hot), "op6-parts")
+    # what is alone with its anchor is unique
+    shared = cut(parts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"),
+                 "op6-fine")
+    cool = shared.where(F.col("n") <= HOT)
+    n = cool.agg(F.sum("n")).first()[0] or 0
+    found = _bucket_ranges(parts.join(cool, "anchor"), n)
+    if shared.where(F.col("n") > HOT).head(1):
+        found = found.unionByName(
+            _prefix_ranges(parts.join(shared.where(F.col("n") > HOT), "anchor")))
+    found = found.groupBy("r1", "r2").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    return found, [parts, shared]
+
+
+def _slice_ranges(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """doc_id and ranges by the anchors of (doc_id, text, anchors) rows."""
+    records = cut(_records(texts), "op6-records", heavy=True)
+    # equal bytes have equal anchors: r1 and r2 alone name a record
+    one = cut(records.groupBy("h", "r1", "r2").agg(
+        F.min("doc_id").alias("least"), F.min_by("lo", "doc_id").alias("lo"),
+        F.min("size").alias("size"), F.count(F.lit(1)).alias("n")), "op6-distinct", heavy=True)
     # an anchor whose records are all equal is settled: its later documents repeat the first
     per = one.groupBy("h").agg(F.count(F.lit(1)).alias("records")).where(F.col("records") > 1)
-    several = cut(one.join(per, "h").select(*key, F.col("least").alias("doc_id"), "records"),
-                  "op6-several", heavy=True)
-    # the two hashes name a record; its anchor need not travel with its bytes
-    texts = records.where(~F.col("again")).select("doc_id", r1, r2, "bytes")
-    several_texts = texts.join(several, ["r1", "r2", "doc_id"])
-    buckets = max(1, -(-several.count() // BUCKET_RECORDS))
-    cool = (several_texts.where(F.col("records") <= HOT)
-            .withColumn("bucket", F.pmod("h", F.lit(buckets))))
-    found = (cool.select("bucket", *key, "doc_id", "bytes").groupBy("bucket")
-             .applyInPandas(_bucket, f"h long, r1 long, r2 long, ranges {RANGES}"))
-    if several.where(F.col("records") > HOT).head(1):
-        found = found.unionByName(_hot_ranges(several_texts.where(F.col("records") > HOT)))
-    intervals = cut(found, "op6-intervals", heavy=True)
-    found = one.join(intervals, key, "left")
-    found = cut(found.where((F.col("n") > 1) | F.col("ranges").isNotNull()).drop("n", "h"),
-                "op6-found", heavy=True)
-    discard(one, several, intervals)
+    several = cut(one.join(per, "h").select(
+        "h", "r1", "r2", F.col("least").alias("doc_id"), "lo", "size",
+        (F.col("records") > HOT).alias("hot")), "op6-several", heavy=True)
+    repeated = cut(one.where(F.col("n") > 1).select("r1", "r2", "least"), "op6-repeated")
+    discard(one)
+    n = several.count()
+    found = cut(_record_bytes(docs, several), "op6-bytes", heavy=True)
+    discard(several)
+    cool = found.where(~F.col("hot")).withColumns({"anchor": F.col("h"), "at": F.lit(0)})
+    intervals, made = _bucket_ranges(cool, n), [found]
+    if found.where("hot").head(1):
+        more, tables = _hot_ranges(found.where("hot"))
+        intervals, made = intervals.unionByName(more), [found, *tables]
+    intervals = cut(intervals, "op6-intervals", heavy=True)
+    discard(*made)
+    result = repeated.join(intervals, ["r1", "r2"], "full")
     whole = F.array(F.struct(F.lit(0).alias("lo"), F.col("size").alias("hi")))
-    hits = (named.drop("h").join(found, ["r1", "r2"])
+    hits = (records.drop("h").join(result, ["r1", "r2"])
             .select("doc_id", "lo", F.when(F.col("doc_id") > F.col("least"), whole)
                     .otherwise(F.col("ranges")).alias("ranges")))
     moved = F.transform("ranges", lambda r: F.struct(
@@ -366,16 +447,42 @@ def repeated_ranges(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     out = cut(hits.where(F.col("ranges").isNotNull()).select("doc_id", moved.alias("ranges"))
               .groupBy("doc_id").agg(F.flatten(F.collect_list("ranges")).alias("ranges")),
               "op6-ranges", heavy=True)
-    discard(records, found)
+    discard(records, repeated, intervals)
     return out
 
 
+def repeated_ranges(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """doc_id and byte ranges (overlapping, unsorted) that repeat a smaller document, for rows
+    (doc_id, text); texts equal to one with a smaller id (``firsts``) are left out."""
+    shared = cut(shared_anchors(docs), "op6-shared", heavy=True)
+    own = firsts.where("doc_id = first_id")
+    under = shared.agg(F.sum(F.size("anchors"))).first()[0] or 0
+    under *= (LENGTH - GRAM + 2) // 2  # bytes from one anchor to the next
+    slices = max(1, -(-SLICES * under // (own.agg(F.sum("size")).first()[0] or 1)))
+    texts = docs.join(own.select("doc_id").distinct(), "doc_id", "left_semi")
+    out = []
+    for k in range(slices):
+        some = shared
+        if slices > 1:
+            some = shared.select("doc_id", F.filter("anchors", lambda a: F.pmod(
+                F.hash(a), F.lit(slices)) == k).alias("anchors")).where(F.size("anchors") > 0)
+        out.append(_slice_ranges(docs, texts.join(some, "doc_id").select(
+            "doc_id", "text", "anchors")))
+    discard(shared)
+    if slices == 1:
+        return out[0]
+    merged = cut(reduce(DataFrame.unionByName, out).groupBy("doc_id").agg(
+        F.flatten(F.collect_list("ranges")).alias("ranges")), "op6-merged", heavy=True)
+    discard(*out)
+    return merged
+
+
 def first_ids(docs: DataFrame) -> DataFrame:
-    """doc_id and the smallest id with an equal text."""
+    """doc_id, the smallest id with an equal text and the text's number of bytes."""
     rows = docs.where(F.col("doc_id").isNotNull()).select(
-        "doc_id", F.sha2("text", 256).alias("sha"))
+        "doc_id", F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("size"))
     first = rows.groupBy("sha").agg(F.min("doc_id").alias("first_id"))
-    return rows.join(first, "sha").select("doc_id", "first_id")
+    return rows.join(first, "sha").select("doc_id", "first_id", "size")
 
 
 def _cut_text(raw: bytes, ranges) -> tuple[bytes, int, int]:

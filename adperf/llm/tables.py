@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -64,9 +65,15 @@ def discard(*tables: DataFrame) -> None:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files that no DataFrame refers to any more."""
+    """Let Spark's cleaner drop shuffle files that no DataFrame refers to any more.
+
+    Right after a step its plan is still held by the events that tell of its end, so one
+    collection alone frees each step's files only after the next one has written its own.
+    """
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(0.3)
+    spark._jvm.System.gc()
 
 
 def bounded_batches(df: DataFrame, rows: int = 1000) -> DataFrame:

@@ -1,10 +1,13 @@
 import hashlib
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from adperf.llm import suffix_dedup as X
+from adperf.llm.tables import tidy
 
 SCHEMA = "doc_id long, text string, ranges string"
 
@@ -105,3 +108,34 @@ def test_intervals_equal_all_pairs():
     for first, end, depth, least in found:
         group = suffixes[first:end]
         assert len({s[:depth] for s in group}) == 1 and least == min(doc[rec[first:end]])
+
+
+def test_slices_of_anchors(spark, monkeypatch):
+    monkeypatch.setattr(X, "SLICES", 3)
+    monkeypatch.setattr(X, "HOT", 3)
+    kept = []
+    of_cut = X.cut
+    monkeypatch.setattr(X, "cut", lambda df, name, **k: kept.append(
+        (name, set(df.columns))) or of_cut(df, name, **k))
+    rows = corpus(5)
+    assert result(X.report(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+    # records overlap: their places are kept for all of them, their bytes are not
+    records = [columns for name, columns in kept if name == "op6-records"]
+    assert len(records) > 1 and not any("bytes" in columns for columns in records)
+
+
+def test_shuffle_files_go_with_their_step(spark):
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+
+    def files():
+        return {f for d in dirs for f in Path(str(d)).rglob("shuffle_*.data")}
+
+    tidy(spark)
+    before = files()
+    df = spark.range(100_000).repartition("id")
+    out = X.cut(df.groupBy((df.id % 1000).alias("k")).count(), "test-tidy", heavy=True)
+    until = time.time() + 5
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    X.discard(out)
