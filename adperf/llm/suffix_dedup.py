@@ -20,9 +20,9 @@ with a smaller id. The suffix array is built only where it can hold a repeat, in
    tail of the interval one byte earlier, which covers it. In each group all occurrences in
    documents after its smallest one are removed.
 4. The records of an anchor with more than ``HOT`` different ones (a common phrase) are anchored
-   again by strings of ``FINE`` bytes, which part them into shorter records; those alone with
+   again by longer strings (``FINE``), which part them into shorter records; those alone with
    their anchor are unique, the others are dealt to buckets too. Where more than ``HOT`` share
-   even that (a passage that very many documents go on from differently), they are split by the
+   even the longest (a passage that very many documents go on from differently), they are split by the
    first ``LENGTH`` bytes of their suffixes, which no interval crosses: each is an aggregate with
    map-side combine.
 5. Occurrences get the result of their record; the ranges of a document are merged and cut out.
@@ -57,7 +57,7 @@ from .tables import cut, discard
 
 LENGTH = 50
 GRAM = 20
-FINE = (GRAM + LENGTH) // 2  # anchors of records that a hot anchor has too many of
+FINE = (35, 45)  # bytes of the anchors of records that a hot anchor has too many of
 HOT = 2000
 SLICES = 3  # of a corpus in which every anchor is shared
 BUCKET_RECORDS = 4000
@@ -353,27 +353,28 @@ def _bucket_ranges(rows: DataFrame, n: int) -> DataFrame:
             .applyInPandas(_bucket, f"r1 long, r2 long, ranges {RANGES}"))
 
 
-def _refined(hot: DataFrame) -> DataFrame:
-    """(anchor, r1, r2, doc_id, at, bytes): the records of (r1, r2, doc_id, bytes) rows, parted
-    by anchors of ``FINE`` bytes. Equal windows have equal ones, so they meet again."""
+def _refined(rows: DataFrame, size: int) -> DataFrame:
+    """(anchor, r1, r2, doc_id, at, bytes) rows, parted by anchors of ``size`` bytes. Equal
+    windows have equal ones, so they meet again."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, off in B.chunks(batch.column(3)):
-                rec, lo, hi, h = anchors(data, off, FINE)
-                row = pa.array(rec + a)
+            for a, b, data, off in B.chunks(batch.column(4)):
+                rec, lo, hi, h = anchors(data, off, size)
+                r1, r2, doc, at = (batch.column(i).take(pa.array(rec + a)) for i in range(4))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(B.as_long(h)), *(batch.column(i).take(row) for i in range(3)),
-                     pa.array((lo - off[rec]).astype(np.int32)),
+                    [pa.array(B.as_long(h)), r1, r2, doc,
+                     pa.array((at.to_numpy() + lo - off[rec]).astype(np.int32)),
                      _cut_out(data, lo, hi + LENGTH)],
                     names=["anchor", "r1", "r2", "doc_id", "at", "bytes"])
 
-    return hot.select("r1", "r2", "doc_id", "bytes").mapInArrow(
+    return rows.select("r1", "r2", "doc_id", "at", "bytes").mapInArrow(
         scan, "anchor long, r1 long, r2 long, doc_id long, at int, bytes binary")
 
 
-def _prefix_ranges(rows: DataFrame) -> DataFrame:
-    """The same for rows of :func:`_refined`, split by the first ``LENGTH`` bytes."""
+def _prefixes(rows: DataFrame) -> DataFrame:
+    """r1, r2, doc_id, and the first ``LENGTH`` bytes of each suffix of rows of :func:`_refined`
+    with its place ``at`` in the record."""
 
     def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -388,8 +389,12 @@ def _prefix_ranges(rows: DataFrame) -> DataFrame:
                  pa.array(at.astype(np.int32)), pa.array(found, pa.binary())],
                 names=["r1", "r2", "doc_id", "at", "prefix"])
 
-    found = rows.select("r1", "r2", "doc_id", "at", "bytes").mapInArrow(
+    return rows.select("r1", "r2", "doc_id", "at", "bytes").mapInArrow(
         starts, "r1 long, r2 long, doc_id long, at int, prefix binary")
+
+
+def _prefix_ranges(found: DataFrame) -> DataFrame:
+    """r1, r2 and ranges of rows of :func:`_prefixes`."""
     least = found.groupBy("prefix").agg(F.min("doc_id").alias("least"))
     later = found.join(least, "prefix").where(F.col("doc_id") > F.col("least"))
     one = F.struct(F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi"))
@@ -399,18 +404,25 @@ def _prefix_ranges(rows: DataFrame) -> DataFrame:
 def _hot_ranges(hot: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """r1, r2 and ranges of the records (r1, r2, doc_id, bytes) of hot anchors, and the written
     tables that they are read from."""
-    parts = cut(_refined(hot), "op6-parts")
-    # what is alone with its anchor is unique
-    shared = cut(parts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"),
-                 "op6-fine")
-    cool = shared.where(F.col("n") <= HOT)
-    n = cool.agg(F.sum("n")).first()[0] or 0
-    found = _bucket_ranges(parts.join(cool, "anchor"), n)
-    if shared.where(F.col("n") > HOT).head(1):
-        found = found.unionByName(
-            _prefix_ranges(parts.join(shared.where(F.col("n") > HOT), "anchor")))
-    found = found.groupBy("r1", "r2").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
-    return found, [parts, shared]
+    rows, found, made = hot.withColumn("at", F.lit(0)), [], []
+    for size in FINE:
+        parts = cut(_refined(rows, size), "op6-parts")
+        # what is alone with its anchor is unique
+        shared = cut(parts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"),
+                     "op6-fine")
+        made += [parts, shared]
+        cool, shared = shared.where(F.col("n") <= HOT), shared.where(F.col("n") > HOT)
+        n = cool.agg(F.sum("n")).first()[0] or 0
+        found.append(_bucket_ranges(parts.join(cool, "anchor"), n))
+        if not shared.head(1):
+            break
+        rows = parts.join(shared, "anchor")
+    else:
+        made.append(cut(_prefixes(rows), "op6-prefixes"))
+        found.append(_prefix_ranges(made[-1]))
+    ranges = (reduce(DataFrame.unionByName, found).groupBy("r1", "r2")
+              .agg(F.flatten(F.collect_list("ranges")).alias("ranges")))
+    return ranges, made
 
 
 def _slice_ranges(docs: DataFrame, texts: DataFrame) -> DataFrame:

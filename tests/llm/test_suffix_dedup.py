@@ -111,7 +111,7 @@ def test_intervals_equal_all_pairs():
 
 
 def test_slices_of_anchors(spark, monkeypatch):
-    monkeypatch.setattr(X, "SLICES", 3)
+    monkeypatch.setattr(X, "SLICES", 12)
     monkeypatch.setattr(X, "HOT", 3)
     kept = []
     of_cut = X.cut
